@@ -102,6 +102,10 @@ def assign_periods(
             .drop("_year", "start_date", "end_date")
         )
     day = col(date_col).cast("date")
+    # the outer bounds are a plain comparison, which reaches the scan
+    first = min(str(s) for s, _ in periods.values())
+    last = max(str(e) for _, e in periods.values())
+    df = df.filter(day.between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     overlap = any(
         str(a[0]) <= str(b[1]) and str(b[0]) <= str(a[1])
         for a, b in combinations(periods.values(), 2)

@@ -49,8 +49,8 @@ def category_values(df: DataFrame, features: Sequence[str]) -> dict[str, list[st
     present = [f for f in features if f in df.columns]
     if not present:
         return {}
-    entries = [F.struct(F.lit(f).alias("f"), col(f).cast("string").alias("v")) for f in present]
-    pairs = df.select(F.explode(F.array(*entries)).alias("_")).select("_.*").dropna().distinct()
+    texts = df.select(*[col(f).cast("string").alias(f) for f in present])
+    pairs = texts.unpivot([], [col(f) for f in present], "f", "v").dropna().distinct()
     found = pairs.limit(MAX_CATEGORY_COLUMNS + 1).collect()
     if len(found) > MAX_CATEGORY_COLUMNS:
         raise ValueError("too many categories for one column each: use the vector encoding")

@@ -12,6 +12,7 @@ from harvestlens.plans.registry import query
 from harvestlens.plans.testbed import (
     CROP_MODEL_OF_FLAG,
     PERIODS,
+    SCHEMAS,
     SIM,
     STATUS,
     VALUES,
@@ -24,6 +25,7 @@ from harvestlens.plans.testbed import (
     table,
     tidy,
     translate,
+    whole,
 )
 from harvestlens.session import shared_folder
 from harvestlens.streaming import status_feed
@@ -238,7 +240,7 @@ _RAW = f"""raw as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_
 def _raw_outputs(spark, sf_dir):
     """Wide raw outputs: each model fills its own columns, two names are not mapped."""
     crop = translate("l_returnflag", CROP_MODEL_OF_FLAG)
-    q, e = F.col("l_quantity"), F.round("l_extendedprice")
+    q, e = F.col("l_quantity"), whole(F.col("l_extendedprice"))
 
     def only(model, value):
         return F.when(crop == model, value)
@@ -283,9 +285,8 @@ def standardize_wide(spark, sf_dir):
 def standardize_long(spark, sf_dir):
     wide = _raw_outputs(spark, sf_dir)
     names = [c for c in wide.columns if c not in ("simulation_id", "crop_model")]
-    entries = [F.struct(F.lit(c).alias("model_var"), fc.col(c).alias("value")) for c in names]
-    rows = wide.select("simulation_id", "crop_model", F.explode(F.array(*entries)).alias("_")).select(
-        "simulation_id", "crop_model", "_.*"
+    rows = wide.unpivot(
+        ["simulation_id", "crop_model"], [fc.col(c) for c in names], "model_var", "value"
     )
     return results.standardize_long(
         rows.filter(F.col("value").isNotNull()), results.mapping_table(spark), ["Yield_kg_ha", "ETc_mm"]
@@ -365,8 +366,7 @@ def status_latest(spark, sf_dir):
 def status_stream(spark, sf_dir):
     """The same state from a stream over the event files."""
     folder = shared_folder(spark, "status-stream")
-    schema = table(spark, sf_dir, "events").schema
-    feed = status_feed.read_feed(spark, f"{sf_dir}/events*.parquet", schema)
+    feed = status_feed.read_feed(spark, f"{sf_dir}/events*.parquet", SCHEMAS["events"])
     stream = status_feed.track_status(as_status_events(feed), f"{folder}/table", f"{folder}/checkpoint")
     stream.awaitTermination()
     return status_feed.current_status(spark, f"{folder}/table")

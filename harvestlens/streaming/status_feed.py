@@ -11,7 +11,7 @@ from harvestlens.operators.runs import latest_status
 
 
 def read_feed(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
+    spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int | None = None
 ) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if files_per_batch:
