@@ -102,17 +102,17 @@ def adaptation_effectiveness(
                 *[
                     F.struct(
                         F.lit(v).alias("variable"),
-                        col(f"_a_{v}").alias("a"),
-                        col(f"_b_{v}").alias("b"),
+                        col(f"_a_{v}").alias("_a"),
+                        col(f"_b_{v}").alias("_b"),
                     )
                     for v in target_vars
                 ]
             )
         ).alias("_"),
     ).select(*group, "_.*")
-    a, b = F.col("a"), F.col("b")
+    a, b = F.col("_a"), F.col("_b")
     return (
-        add_t_test(unfolded, "a", "b").withColumns(
+        add_t_test(unfolded, "_a", "_b").withColumns(
             {
                 "mean_impact_reduction": b["mean"] - a["mean"],
                 "impact_reduction_std": b["std"],
@@ -120,7 +120,7 @@ def adaptation_effectiveness(
             }
         )
         .withColumn("significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
-        .drop("a", "b")
+        .drop("_a", "_b")
     )
 
 

@@ -56,35 +56,35 @@ def axis_neighbours(
     """
     x = number(point_col)
     values = axis.select(number(axis_col).alias("_a")).filter(F.col("_a").isNotNull())
-    ends = values.agg(F.min("_a").alias("lo"), F.max("_a").alias("hi"))
+    ends = values.agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"))
     line = values.agg(F.array_sort(F.collect_set("_a")).alias("_axis"))
     gaps = line.select(
         F.explode(
             F.arrays_zip(
-                F.col("_axis").alias("lo"),
-                F.slice(F.col("_axis"), 2, F.greatest(F.size("_axis") - 1, F.lit(1))).alias("hi"),
+                F.col("_axis").alias("_lo"),
+                F.slice(F.col("_axis"), 2, F.greatest(F.size("_axis") - 1, F.lit(1))).alias("_hi"),
             )
         ).alias("_g")
-    ).select("_g.lo", "_g.hi")
+    ).select("_g._lo", "_g._hi")
 
     def bin_of(c):
         return F.floor(c / bin_width)
 
     binned = gaps.withColumn(
-        "_bin", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.coalesce("hi", "lo"))))
+        "_bin", F.explode(F.sequence(bin_of(F.col("_lo")), bin_of(F.coalesce("_hi", "_lo"))))
     )
-    lowest, highest = ends.select("lo").scalar(), ends.select("hi").scalar()
+    lowest, highest = ends.select("_lo").scalar(), ends.select("_hi").scalar()
     placed = points.withColumn("_x", F.greatest(lowest, F.least(highest, x))).filter(x.isNotNull())
     placed = placed.withColumn("_bin", bin_of(F.col("_x")))
-    hit = (F.col("_x") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("_x") < F.col("hi")))
+    hit = (F.col("_x") >= F.col("_lo")) & (F.col("_hi").isNull() | (F.col("_x") < F.col("_hi")))
     found = placed.join(binned, "_bin").filter(hit)
-    inside = (x >= F.col("lo")) & ((x == F.col("lo")) | F.col("hi").isNotNull())
+    inside = (x >= F.col("_lo")) & ((x == F.col("_lo")) | F.col("_hi").isNotNull())
     return found.withColumns(
         {
-            f"{axis_col}_below": F.when(x >= F.col("lo"), F.col("lo")),
-            f"{axis_col}_above": F.when(x <= F.col("lo"), F.col("lo")).when(inside, F.col("hi")),
+            f"{axis_col}_below": F.when(x >= F.col("_lo"), F.col("_lo")),
+            f"{axis_col}_above": F.when(x <= F.col("_lo"), F.col("_lo")).when(inside, F.col("_hi")),
         }
-    ).drop("_x", "_bin", "lo", "hi")
+    ).drop("_x", "_bin", "_lo", "_hi")
 
 
 def _pick(axis_col: str, point_col: str, method: str):

@@ -98,9 +98,9 @@ def bracketed_percentiles(
 
     1. A quantile sketch per group gives, for each probability, an interval that
        must contain the two order statistics wanted (rank error 1/accuracy).
-    2. One aggregate counts the rows below each interval.
-    3. Only rows inside an interval, about 10/accuracy of the group, are counted
-       by value and ranked. Step 1 and 2 combine on the map side.
+       Groups smaller than ``accuracy`` are their own interval.
+    2. Equal values are folded, and one aggregate counts those below each interval.
+    3. Only values inside an interval, about 10/accuracy of the group, are ranked.
     """
     keys = list(keys)
     accuracy = int(min(max(10_000, largest // 250_000), 1_000_000))
@@ -114,16 +114,17 @@ def bracketed_percentiles(
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", ends, accuracy).alias("_e"),
     )
+    few = F.col("_n") < accuracy
     targets = []
     for i, p in enumerate(probabilities):
         position = (F.col("_n") - 1) * F.lit(float(p))
         targets.append(
             F.struct(
-                F.lit(i).alias("i"),
-                (F.col("_min") if p <= slack else F.col("_e")[2 * i]).alias("lo"),
-                (F.col("_max") if p >= 1 - slack else F.col("_e")[2 * i + 1]).alias("hi"),
-                F.floor(position).alias("k"),
-                (position - F.floor(position)).alias("part"),
+                F.lit(i).alias("_i"),
+                F.when(few | F.lit(p <= slack), F.col("_min")).otherwise(F.col("_e")[2 * i]).alias("_lo"),
+                F.when(few | F.lit(p >= 1 - slack), F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias("_hi"),
+                F.floor(position).alias("_rank"),
+                (position - F.floor(position)).alias("_frac"),
             )
         )
     plan = sketch.filter(F.col("_n") > 0).select(*keys, "_n", "_rows", F.array(*targets).alias("_t"))
@@ -135,7 +136,7 @@ def bracketed_percentiles(
     placed = join_group_stats(folded, plan, keys)
     below = placed.groupBy(*keys).agg(
         *[
-            F.sum(F.when(F.col("_v") < F.col("_t")[i]["lo"], F.col("_c")).otherwise(0)).alias(
+            F.sum(F.when(F.col("_v") < F.col("_t")[i]["_lo"], F.col("_c")).otherwise(0)).alias(
                 f"_b{i}"
             )
             for i in range(len(probabilities))
@@ -144,27 +145,27 @@ def bracketed_percentiles(
     inside = (
         placed.select(*keys, "_v", "_c", "_n", "_rows", F.explode("_t").alias("_t"))
         .select(*keys, "_v", "_c", "_n", "_rows", "_t.*")
-        .filter(F.col("_v").between(F.col("lo"), F.col("hi")))
+        .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     )
-    running = Window.partitionBy(*keys, "i").orderBy("_v")
+    running = Window.partitionBy(*keys, "_i").orderBy("_v")
     ranked = inside.withColumn(
         "_upto", F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, 0))
     )
     before = F.element_at(
-        F.array(*[F.col(f"_b{i}") for i in range(len(probabilities))]), F.col("i") + 1
+        F.array(*[F.col(f"_b{i}") for i in range(len(probabilities))]), F.col("_i") + 1
     )
     chosen = (
         join_group_stats(ranked, below, keys)
         .withColumn("_upto", F.col("_upto") + before)
-        .groupBy(*keys, "i")
+        .groupBy(*keys, "_i")
         .agg(
             F.min(before).alias("_before"),
-            F.max("k").alias("_k"),
-            F.max("part").alias("_part"),
+            F.max("_rank").alias("_k"),
+            F.max("_frac").alias("_part"),
             F.max("_n").alias("_n"),
             F.max("_rows").alias("_rows"),
-            F.min(F.when(F.col("_upto") > F.col("k"), F.col("_v"))).alias("_low"),
-            F.min(F.when(F.col("_upto") > F.col("k") + 1, F.col("_v"))).alias("_high"),
+            F.min(F.when(F.col("_upto") > F.col("_rank"), F.col("_v"))).alias("_low"),
+            F.min(F.when(F.col("_upto") > F.col("_rank") + 1, F.col("_v"))).alias("_high"),
         )
     )
     missed = (F.col("_before") > F.col("_k")) | F.col("_low").isNull() | (
@@ -178,7 +179,7 @@ def bracketed_percentiles(
     )
     if nulls == "propagate":
         value = F.when(F.col("_n") == F.col("_rows"), value)
-    slots = [F.max(F.when(F.col("i") == i, F.col("_x"))) for i in range(len(probabilities))]
+    slots = [F.max(F.when(F.col("_i") == i, F.col("_x"))) for i in range(len(probabilities))]
     return (
         chosen.withColumn("_x", value).groupBy(*keys).agg(F.array(*slots).alias("_q"))
     )
