@@ -69,21 +69,61 @@ def adaptation_effectiveness(
 ) -> DataFrame:
     """Effectiveness and t-test per (adaptation, variable) and optional ``by`` keys.
 
-    Adapted values ``v`` meet ``{v}_abs_change`` of the baseline on ``keys``. All
-    figures are aggregated wide and unfolded to one row per variable afterwards.
+    Adapted values ``v`` meet ``{v}_abs_change`` of the baseline on ``keys``.
     """
     require_columns(adapted, [*keys, adaptation_col, *target_vars], "adaptation results")
     require_columns(baseline_impacts, [*keys, *[f"{v}_abs_change" for v in target_vars]], "impacts")
     left = keyed(adapted, [*keys, adaptation_col]).select(
-        *keys, adaptation_col, *[number(v).alias(f"{v}_adapt") for v in target_vars]
+        *keys, adaptation_col, *[number(v).alias(f"_a_{v}") for v in target_vars]
     )
     right = keyed(baseline_impacts, keys).select(
-        *keys, *[number(f"{v}_abs_change").alias(f"{v}_abs_change") for v in target_vars]
+        *keys, *[number(f"{v}_abs_change").alias(f"_b_{v}") for v in target_vars]
     )
     pairs = join_group_stats(left, right, keys)
+    return _summarize_pairs(pairs, target_vars, [*by, adaptation_col], alpha)
+
+
+def effectiveness_of_impacts(
+    changes: DataFrame,
+    target_vars: Sequence[str],
+    keys: Sequence[str],
+    by: Sequence[str] = (),
+    baseline: str = "baseline",
+    adaptation_col: str = "adaptation",
+    alpha: float = 0.05,
+) -> DataFrame:
+    """The same figures from one table of ``{v}_abs_change`` for all adaptations.
+
+    ``changes`` holds one row per (keys, adaptation). The baseline's value comes
+    from a window over the adaptations of a key, so that the results behind
+    ``changes`` are read once.
+    """
+    require_columns(changes, [*keys, adaptation_col, *[f"{v}_abs_change" for v in target_vars]], "impacts")
+    group = Window.partitionBy(*keys)
+    is_base = col(adaptation_col) == baseline
+    values = {f"_a_{v}": number(f"{v}_abs_change") for v in target_vars}
+    base = {f"_b_{v}": F.max(F.when(is_base, number(f"{v}_abs_change"))).over(group) for v in target_vars}
+    pairs = (
+        keyed(changes, [*keys, adaptation_col])
+        .select(
+            *keys,
+            adaptation_col,
+            *[x.alias(n) for n, x in {**values, **base}.items()],
+            F.count_if(is_base).over(group).alias("_has"),
+        )
+        .filter((F.col("_has") > 0) & ~is_base)
+    )
+    return _summarize_pairs(pairs, target_vars, [*by, adaptation_col], alpha)
+
+
+def _summarize_pairs(
+    pairs: DataFrame, target_vars: Sequence[str], group: Sequence[str], alpha: float
+) -> DataFrame:
+    """Figures of (``_a_{v}``, ``_b_{v}``) pairs: aggregated wide, then one row per variable."""
     wide = []
     for v in target_vars:
-        for side, x in (("a", col(f"{v}_adapt")), ("b", col(f"{v}_abs_change"))):
+        for side in ("a", "b"):
+            x = col(f"_{side}_{v}")
             wide.append(
                 F.struct(
                     F.count(F.lit(1)).cast("double").alias("rows"),
@@ -93,7 +133,6 @@ def adaptation_effectiveness(
                     F.stddev_samp(x).alias("std"),
                 ).alias(f"_{side}_{v}")
             )
-    group = [*by, adaptation_col]
     totals = pairs.groupBy(*group).agg(*wide)
     unfolded = totals.select(
         *group,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import col, keyed, number, require_columns, within_box, within_dates
+from harvestlens.session import shared_folder
 
 METHODS = ("nearest", "previous", "next", "linear")
 
@@ -43,6 +44,19 @@ def climate_window(
     return cells
 
 
+def grid_axes(cells: DataFrame) -> DataFrame:
+    """``(axis, value)``: the distinct latitudes and longitudes of a grid.
+
+    One scan of the two columns, combined on the map side. The few values are
+    written to the shared folder, so that later steps do not repeat the scan.
+    """
+    places = cells.select(number("lat").alias("lat"), number("lon").alias("lon"))
+    found = places.unpivot([], ["lat", "lon"], "axis", "value").dropna().distinct()
+    path = shared_folder(cells.sparkSession, "axes")
+    found.write.parquet(path)
+    return cells.sparkSession.read.schema("axis string, value double").parquet(path)
+
+
 def axis_neighbours(
     points: DataFrame, point_col: str, axis: DataFrame, axis_col: str, bin_width: float = 1.0
 ) -> DataFrame:
@@ -104,7 +118,7 @@ def _pick(axis_col: str, point_col: str, method: str):
 
 def locate_cells(
     points: DataFrame,
-    grid: DataFrame,
+    axes: DataFrame,
     method: str = "nearest",
     lat_col: str = "lat",
     lon_col: str = "lon",
@@ -112,15 +126,16 @@ def locate_cells(
 ) -> DataFrame:
     """Cells of each point: ``cell_lat, cell_lon, weight``.
 
-    One row per point, or up to four weighted corners for ``linear``. Points
+    ``axes`` comes from ``grid_axes``. One row per point, or up to four weighted corners for ``linear``. Points
     that have no such cell (beyond the ends, unless ``nearest``) drop out.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     require_columns(points, [lat_col, lon_col], "points")
     around = points.withColumnsRenamed({lat_col: "_plat", lon_col: "_plon"})
-    around = axis_neighbours(around, "_plat", grid, "lat", bin_width)
-    around = axis_neighbours(around, "_plon", grid, "lon", bin_width)
+    for axis, p in (("lat", "_plat"), ("lon", "_plon")):
+        line = axes.filter(F.col("axis") == axis).select(F.col("value").alias(axis))
+        around = axis_neighbours(around, p, line, axis, bin_width)
     helpers = ["lat_below", "lat_above", "lon_below", "lon_above"]
     if method != "linear":
         found = around.withColumns(
@@ -169,11 +184,13 @@ def extract_points(
     """Series of every point from wide cells ``(lat, lon, keys..., variables...)``.
 
     ``linear`` renormalizes the corner weights over the values that are there.
-    ``axes`` may name a small table of the grid's coordinates, which saves
-    reading the cells for them.
+    ``axes`` from an earlier ``grid_axes`` saves reading the cells for them.
     """
-    grid = axes if axes is not None else cells
-    mapped = locate_cells(points.select(id_col, "lat", "lon"), grid, method, bin_width=bin_width)
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}, not {method!r}")
+    if axes is None:
+        axes = grid_axes(cells)
+    mapped = locate_cells(points.select(id_col, "lat", "lon"), axes, method, bin_width=bin_width)
     mapped = mapped.select(
         id_col, F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon"), "weight"
     )

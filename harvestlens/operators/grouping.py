@@ -79,11 +79,17 @@ def profile_groups(
         }
         return out.withColumns(picked).drop(*[f"_q_{v}" for v in value_cols]) if picked else out
     out = rows.groupBy(*keys).agg(*moments) if moments else rows.select(*keys).distinct()
-    for v in value_cols:
-        q = bracketed_percentiles(rows, keys, v, probabilities, largest, nulls)
-        named = {name(v, p): F.col("_q")[i] for i, p in enumerate(probabilities)}
-        out = out.join(q, list(keys), "left").withColumns(named).drop("_q")
-    return out
+    numbers = rows.select(*keys, *[number(v).alias(v) for v in value_cols])
+    long = numbers.unpivot([col(k) for k in keys], [col(v) for v in value_cols], "_var", "_v")
+    q = bracketed_percentiles(long, [*keys, "_var"], "_v", probabilities, largest, nulls)
+    wide = q.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("_var") == v, F.col("_q")[i])).alias(name(v, p))
+            for v in value_cols
+            for i, p in enumerate(probabilities)
+        ]
+    )
+    return out.join(wide, list(keys), "left")
 
 
 def bracketed_percentiles(
@@ -99,8 +105,9 @@ def bracketed_percentiles(
     1. A quantile sketch per group gives, for each probability, an interval that
        must contain the two order statistics wanted (rank error 1/accuracy).
        Groups smaller than ``accuracy`` are their own interval.
-    2. Equal values are folded, and one aggregate counts those below each interval.
-    3. Only values inside an interval, about 10/accuracy of the group, are ranked.
+    2. Equal values are folded, then counted by value inside each interval (about
+       10/accuracy of the group) and in one sum below it.
+    3. Running sums over these few counts find the order statistics.
     """
     keys = list(keys)
     accuracy = int(min(max(10_000, largest // 250_000), 1_000_000))
@@ -134,47 +141,41 @@ def bracketed_percentiles(
         F.count(F.lit(1)).alias("_c")
     )
     placed = join_group_stats(folded, plan, keys)
-    below = placed.groupBy(*keys).agg(
-        *[
-            F.sum(F.when(F.col("_v") < F.col("_t")[i]["_lo"], F.col("_c")).otherwise(0)).alias(
-                f"_b{i}"
-            )
-            for i in range(len(probabilities))
-        ]
-    )
-    inside = (
-        placed.select(*keys, "_v", "_c", "_n", "_rows", F.explode("_t").alias("_t"))
-        .select(*keys, "_v", "_c", "_n", "_rows", "_t.*")
-        .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    )
-    running = Window.partitionBy(*keys, "_i").orderBy("_v")
-    ranked = inside.withColumn(
-        "_upto", F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    before = F.element_at(
-        F.array(*[F.col(f"_b{i}") for i in range(len(probabilities))]), F.col("_i") + 1
+    # per target: values inside the interval one by one, all values below it as one NULL
+    reached = placed.select(
+        *keys,
+        "_v",
+        "_c",
+        "_n",
+        "_rows",
+        F.explode(F.filter("_t", lambda t: F.col("_v") <= t["_hi"])).alias("_t"),
+    ).select(*keys, "_c", "_n", "_rows", "_t.*", F.when(F.col("_v") >= F.col("_t._lo"), F.col("_v")).alias("_w"))
+    counted = reached.groupBy(*keys, "_i", "_w").agg(
+        F.sum("_c").alias("_c"), *[F.max(c).alias(c) for c in ("_rank", "_frac", "_n", "_rows")]
     )
+    running = Window.partitionBy(*keys, "_i").orderBy(F.col("_w").asc_nulls_first())
+    upto = F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, 0))
     chosen = (
-        join_group_stats(ranked, below, keys)
-        .withColumn("_upto", F.col("_upto") + before)
+        counted.withColumn("_upto", upto)
         .groupBy(*keys, "_i")
         .agg(
-            F.min(before).alias("_before"),
-            F.max("_rank").alias("_k"),
-            F.max("_frac").alias("_part"),
-            F.max("_n").alias("_n"),
-            F.max("_rows").alias("_rows"),
-            F.min(F.when(F.col("_upto") > F.col("_rank"), F.col("_v"))).alias("_low"),
-            F.min(F.when(F.col("_upto") > F.col("_rank") + 1, F.col("_v"))).alias("_high"),
+            F.max(F.when(F.col("_w").isNull(), F.col("_upto"))).alias("_below"),
+            F.min(F.when(F.col("_upto") > F.col("_rank"), F.col("_w"))).alias("_low"),
+            F.min(F.when(F.col("_upto") > F.col("_rank") + 1, F.col("_w"))).alias("_high"),
+            *[F.max(c).alias(c) for c in ("_rank", "_frac", "_n", "_rows")],
         )
     )
-    missed = (F.col("_before") > F.col("_k")) | F.col("_low").isNull() | (
-        (F.col("_part") > 0) & F.col("_high").isNull()
+    missed = (
+        (F.coalesce(F.col("_below"), F.lit(0)) > F.col("_rank"))
+        | F.col("_low").isNull()
+        | ((F.col("_frac") > 0) & F.col("_high").isNull())
     )
-    value = F.when(
-        missed, F.raise_error(F.lit("quantile interval missed its rank")).cast("double")
-    ).otherwise(
-        F.when(F.col("_part") > 0, (1 - F.col("_part")) * F.col("_low") + F.col("_part") * F.col("_high"))
+    value = (
+        F.when(missed, F.raise_error(F.lit("quantile interval missed its rank")).cast("double"))
+        .when(
+            F.col("_frac") > 0,
+            (1 - F.col("_frac")) * F.col("_low") + F.col("_frac") * F.col("_high"),
+        )
         .otherwise(F.col("_low"))
     )
     if nulls == "propagate":

@@ -137,17 +137,15 @@ def longest_spell(
         .groupBy(*keys, col(date_col).cast("date").alias("_d"))
         .agg(F.min(F.coalesce(condition, F.lit(False))).alias("_holds"))
     )
-    order = Window.partitionBy(*keys).orderBy("_d")
-    runs = (
-        days.filter("_holds")
-        .withColumn("_island", F.date_sub("_d", F.row_number().over(order)))
+    order = Window.partitionBy(*keys, "_holds").orderBy("_d")
+    island = F.when(F.col("_holds"), F.date_sub("_d", F.row_number().over(order)))
+    return (
+        days.withColumn("_island", island)
         .groupBy(*keys, "_island")
-        .agg(F.count(F.lit(1)).alias("_len"))
+        .agg(F.count_if(F.col("_holds")).alias("_len"))
         .groupBy(*keys)
         .agg(F.max("_len").alias(name))
     )
-    groups = days.select(*keys).distinct()
-    return groups.join(runs, list(keys), "left").fillna(0, [name])
 
 
 def centered_mean(

@@ -329,12 +329,17 @@ def _adaptation_impacts(spark, sf_dir):
 
 
 def _effectiveness(spark, sf_dir, by=()):
+    changes = _adaptation_impacts(spark, sf_dir)
+    return ad.effectiveness_of_impacts(changes, _AD_VARS, _AD_KEYS, by)
+
+
+def _effectiveness_by_join(spark, sf_dir):
     changes = _adaptation_impacts(spark, sf_dir)
     adapted = scenario.without_baseline(changes).select(
         *_AD_KEYS, "adaptation", *[F.col(f"{v}_abs_change").alias(v) for v in _AD_VARS]
     )
     baseline = changes.filter(F.col("adaptation") == "baseline")
-    return ad.adaptation_effectiveness(adapted, baseline, _AD_VARS, _AD_KEYS, by)
+    return ad.adaptation_effectiveness(adapted, baseline, _AD_VARS, _AD_KEYS)
 
 
 def _effectiveness_ctes(by: list[str]) -> str:
@@ -379,6 +384,15 @@ def adaptation_effectiveness(spark, sf_dir):
     return tidy(_effectiveness(spark, sf_dir))
 
 
+@query(
+    "adaptation_effectiveness_by_join",
+    f"with {_effectiveness_ctes([])} select adaptation, variable, {_rounded(_EFF_COLS)}, significant from eff",
+)
+def adaptation_effectiveness_by_join(spark, sf_dir):
+    """Adapted results and baseline impacts given as two tables."""
+    return tidy(_effectiveness_by_join(spark, sf_dir))
+
+
 @query(
     "adaptation_effectiveness_by_member",
     f"with {_effectiveness_ctes(['location_id', 'climate_model'])} select location_id, climate_model, "

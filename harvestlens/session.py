@@ -36,6 +36,9 @@ def local_session(cpus: int | str = "*", app: str = "harvestlens", memory: str =
     return spark
 
 
+_local_base: list[str] = []
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
@@ -46,6 +49,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="harvestlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _local_base:
+            _local_base.append(tempfile.mkdtemp(prefix="harvestlens-"))
+        base = _local_base[0]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

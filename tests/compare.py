@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import math
 import sys
 import time
@@ -60,6 +62,13 @@ def difference(got, want) -> str:
     return f"{len(bad)} of {len(rows_a)} rows differ, first {bad[0]}" if bad else ""
 
 
+def explained(df) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
 def main(argv: list[str]) -> int:
     from harvestlens.plans.catalog import ORACLES, QUERIES
     from harvestlens.session import local_session
