@@ -41,9 +41,17 @@ def require_columns(df: DataFrame, columns: Iterable[str], name: str = "DataFram
 
 
 def keyed(df: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """Rows with a null group key belong to no group."""
+    """Rows with a null (or NaN) group key belong to no group."""
     keys = list(keys)
-    return df.dropna(subset=keys) if keys else df
+    if not keys:
+        return df
+    kinds = df.schema
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & col(k).isNotNull()
+        if isinstance(kinds[k].dataType, (T.DoubleType, T.FloatType)):
+            condition = condition & ~F.isnan(col(k))
+    return df.filter(condition)
 
 
 def parse_date(c: Column, strict: bool = False) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import col, keyed, number
 
-SALTS = 16
+SALTS = 8
 # A group up to this size has its exact percentiles computed in one aggregation buffer.
 MAX_BUFFERED_GROUP = 5_000_000
 

@@ -17,12 +17,22 @@ from harvestlens import schemas
 from harvestlens.functions.columns import keyed, require_columns
 from harvestlens.operators.grid import climate_window, pivot_variables
 from harvestlens.operators.quality import require_rows
+from harvestlens.operators.scenario import choose
 from harvestlens.operators.soil import soil_layers
 
 CLIMATE_FOLDERS = ["climate_source", "climate_model", "scenario"]
 CODECS = ("gzip", "snappy", "brotli", "zstd", "none")
 
 
+Choice = str | Sequence[str] | None
+
+
+def _chosen(df: DataFrame, wanted: Mapping[str, Choice]) -> DataFrame:
+    """Filter by single values or lists; on folder columns this prunes files."""
+    lists = {n: [v] if isinstance(v, str) else v for n, v in wanted.items()}
+    return choose(df, lists)
+
+
 def _write(df: DataFrame, path: str, folders: Sequence[str], mode: str, codec: str = "snappy") -> None:
     codec = "none" if codec is None else codec
     if codec not in CODECS:
@@ -66,9 +76,9 @@ def read_climate(
     spark: SparkSession,
     path: str,
     variables: Sequence[str],
-    climate_source: str | None = None,
-    climate_model: str | None = None,
-    scenario: str | None = None,
+    climate_source: Choice = None,
+    climate_model: Choice = None,
+    scenario: Choice = None,
     lat_range: tuple | None = None,
     lon_range: tuple | None = None,
     date_range: tuple | None = None,
@@ -80,10 +90,7 @@ def read_climate(
         "climate_model": climate_model,
         "scenario": scenario,
     }
-    for name, value in chosen.items():
-        if value is not None:
-            cells = cells.filter(F.col(name) == value)
-    window = climate_window(cells, lat_range, lon_range, date_range, variables)
+    window = climate_window(_chosen(cells, chosen), lat_range, lon_range, date_range, variables)
     return pivot_variables(window, [*CLIMATE_FOLDERS, "lat", "lon", "date"], variables)
 
 
@@ -94,22 +101,21 @@ def write_point_series(df: DataFrame, path: str, mode: str = "overwrite") -> Non
 def read_point_series(
     spark: SparkSession,
     path: str,
-    location_id: str | None = None,
-    climate_source: str | None = None,
-    climate_model: str | None = None,
-    scenario: str | None = None,
+    location_id: Choice = None,
+    climate_source: Choice = None,
+    climate_model: Choice = None,
+    scenario: Choice = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
-    df = spark.read.parquet(path)
+    """Stored series; with a ``schema`` a folder without any file is an empty table."""
+    df = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     chosen = {
         "location_id": location_id,
         "climate_source": climate_source,
         "climate_model": climate_model,
         "scenario": scenario,
     }
-    for name, value in chosen.items():
-        if value is not None:
-            df = df.filter(F.col(name) == value)
-    return df
+    return _chosen(df, chosen)
 
 
 def read_run_status(spark: SparkSession, path: str) -> DataFrame:
