@@ -54,25 +54,25 @@ def climate_window(spark, sf_dir):
 @query(
     "unit_conversion",
     f"""with {DAILY} select location_id, date, {r('tasmax - 273.15', 'maximum')}, {r('tasmin', 'tasmin')},
- {r('pr * 86400', 'rain')}, {r('rsds * 0.0864', 'radiation')}, {r('hurs', 'hurs')},
+ {r('pr * 86400', 'rain', 3)}, {r('rsds * 0.0864', 'radiation')}, {r('hurs', 'hurs')},
  {r('tasmax - tasmin', 'dtr')} from daily""",
 )
 def unit_conversion(spark, sf_dir):
     daily = climate_daily(spark, sf_dir).withColumn(
         "dtr", weather.diurnal_range(F.col("tasmax"), F.col("tasmin"))
     )
-    return tidy(
-        season.process_point_series(
-            daily,
-            {"tasmax": "maximum", "pr": "rain", "rsds": "radiation", "absent": "ignored"},
-            {
-                "maximum": fc.kelvin_to_celsius,
-                "rain": fc.flux_to_mm_per_day,
-                "radiation": fc.watt_to_megajoule_per_day,
-                "absent": fc.kelvin_to_celsius,
-            },
-        )
+    processed = season.process_point_series(
+        daily,
+        {"tasmax": "maximum", "pr": "rain", "rsds": "radiation", "absent": "ignored"},
+        {
+            "maximum": fc.kelvin_to_celsius,
+            "rain": fc.flux_to_mm_per_day,
+            "radiation": fc.watt_to_megajoule_per_day,
+            "absent": fc.kelvin_to_celsius,
+        },
     )
+    # nine digits before the point leave fewer behind it
+    return tidy(processed.withColumn("rain", F.round("rain", 3)))
 
 
 @query(
