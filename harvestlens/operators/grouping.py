@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import col, keyed, number
+from harvestlens.session import shared_folder
 
 SALTS = 8
 # A group up to this size has its exact percentiles computed in one aggregation buffer.
@@ -57,29 +58,26 @@ def profile_groups(
 
     ``percentile`` keeps the distinct values of a group in one buffer. The group
     sizes are therefore checked first (unless the caller knows them ``bounded``);
-    when one is too large, all percentiles come from ``bracketed_percentiles``,
-    which never gathers a group.
+    the percentiles of groups that are too large come from
+    ``bracketed_percentiles``, which never gathers a group.
     """
     if nulls not in ("propagate", "omit"):
         raise ValueError(f"nulls must be propagate or omit, not {nulls!r}")
     rows = keyed(df, keys)
-    largest = 0 if bounded or not probabilities else largest_group(df, keys)
+    if not probabilities:
+        return rows.groupBy(*keys).agg(*moments)
+    largest = 0 if bounded else largest_group(df, keys)
     if largest <= max_buffered:
-        wide = []
-        for v in value_cols:
-            # one percentile call per variable shares its buffer among the probabilities
-            q = F.percentile(number(v), F.array(*[F.lit(float(p)) for p in probabilities]))
-            whole = F.lit(True) if nulls == "omit" else F.count(number(v)) == F.count(F.lit(1))
-            wide.append(F.when(whole, q).alias(f"_q_{v}"))
-        out = rows.groupBy(*keys).agg(*moments, *(wide if probabilities else []))
-        picked = {
-            name(v, p): col(f"_q_{v}")[i]
-            for v in value_cols
-            for i, p in enumerate(probabilities)
-        }
-        return out.withColumns(picked).drop(*[f"_q_{v}" for v in value_cols]) if picked else out
-    out = rows.groupBy(*keys).agg(*moments) if moments else rows.select(*keys).distinct()
-    numbers = rows.select(*keys, *[number(v).alias(v) for v in value_cols])
+        return _buffered_profile(rows, keys, moments, value_cols, probabilities, name, nulls)
+    # the large groups are few (rows / max_buffered); stored, their list has a known size
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_buffered)
+    path = shared_folder(df.sparkSession, "large-groups")
+    sizes.write.parquet(path)
+    large = df.sparkSession.read.schema(sizes.schema).parquet(path).select(*keys)
+    small_rows = rows.join(large, list(keys), "left_anti")
+    large_rows = rows.join(large, list(keys), "left_semi")
+    small = _buffered_profile(small_rows, keys, moments, value_cols, probabilities, name, nulls)
+    numbers = large_rows.select(*keys, *[number(v).alias(v) for v in value_cols])
     long = numbers.unpivot([col(k) for k in keys], [col(v) for v in value_cols], "_var", "_v")
     q = bracketed_percentiles(long, [*keys, "_var"], "_v", probabilities, largest, nulls)
     wide = q.groupBy(*keys).agg(
@@ -89,7 +87,30 @@ def profile_groups(
             for i, p in enumerate(probabilities)
         ]
     )
-    return out.join(wide, list(keys), "left")
+    figures = large_rows.groupBy(*keys).agg(*moments) if moments else large
+    return small.unionByName(figures.join(wide, list(keys), "left").select(*[col(c) for c in small.columns]))
+
+
+def _buffered_profile(
+    rows: DataFrame,
+    keys: Sequence[str],
+    moments: Sequence[Column],
+    value_cols: Sequence[str],
+    probabilities: Sequence[float],
+    name: Callable[[str, float], str],
+    nulls: str,
+) -> DataFrame:
+    """One aggregation; a percentile call per variable shares its buffer among the probabilities."""
+    wide = []
+    for v in value_cols:
+        q = F.percentile(number(v), F.array(*[F.lit(float(p)) for p in probabilities]))
+        whole = F.lit(True) if nulls == "omit" else F.count(number(v)) == F.count(F.lit(1))
+        wide.append(F.when(whole, q).alias(f"_q_{v}"))
+    picked = {
+        name(v, p): col(f"_q_{v}")[i] for v in value_cols for i, p in enumerate(probabilities)
+    }
+    out = rows.groupBy(*keys).agg(*moments, *wide).withColumns(picked)
+    return out.drop(*[f"_q_{v}" for v in value_cols])
 
 
 def bracketed_percentiles(

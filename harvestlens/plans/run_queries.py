@@ -208,7 +208,7 @@ def ensure_numeric(spark, sf_dir):
 
 @query(
     "sowing_doy",
-    f"""with {SIM} select sowing_date, dayofyear(try_strptime('1900-' || sowing_date, '%Y-%m-%d')) as sowing_doy,
+    f"""with {SIM} select sowing_date, dayofyear(try_strptime('1900-' || sowing_date, '%Y-%m-%d'))::int as sowing_doy,
  count(*) as n_runs from sim group by all""",
 )
 def sowing_doy(spark, sf_dir):
