@@ -1,8 +1,12 @@
 """All queries of this subpackage."""
 
 from harvestlens.llm import (  # noqa: F401
+    jaccard,
+    language,
     mixing,
+    packing,
     quality,
+    spans,
 )
 from harvestlens.llm.registry import ORACLES, QUERIES
 
