@@ -7,6 +7,7 @@ from harvestlens.llm import (  # noqa: F401
     packing,
     quality,
     spans,
+    toxicity,
 )
 from harvestlens.llm.registry import ORACLES, QUERIES
 
