@@ -8,6 +8,8 @@ from harvestlens.llm import (  # noqa: F401
     quality,
     spans,
     toxicity,
+    vectors,
+    warc,
 )
 from harvestlens.llm.registry import ORACLES, QUERIES
 
