@@ -31,7 +31,7 @@ from harvestlens.llm.registry import query
 
 BLOCK = 64
 SHARD = 1024
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -122,13 +122,15 @@ def permuted(index: Column, n: Column, *salt: Column, rounds: int = 8) -> Column
     return F.aggregate(F.array(*[F.lit(r) for r in range(rounds)]), state, step, lambda acc: acc["x"])
 
 
-def _counted(df: DataFrame, n: Column, name: str, chunk: int = 8192) -> DataFrame:
-    """Each row ``n`` times, numbered from 0 in ``name``; dealt out in chunks, so that one row
-    with a huge count isn't unfolded by one task."""
-    chunks = df.withColumn("_n", n.cast("long")).filter("_n > 0")
+def _counted(df: DataFrame, n: Column, name: str, total: int, chunk: int = 8192) -> DataFrame:
+    """Each row ``n`` times, numbered from 0 in ``name``.
+
+    Dealt out in chunks over as many partitions as ``total`` rows need: the numbers of one
+    row are no single task's work, and a small number of rows isn't taken for a small result.
+    """
     numbers = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / chunk))
-    chunks = chunks.withColumn("_chunk", F.explode(numbers))
-    dealt = chunks.repartition("_i", "_chunk")
+    chunks = df.withColumn("_n", n.cast("long")).filter("_n > 0").withColumn("_chunk", F.explode(numbers))
+    dealt = chunks.repartition(max(1, -(-total // (16 * chunk))), "_i", "_chunk")
     first = F.col("_chunk") * chunk
     last = F.least(first + (chunk - 1), F.col("_n") - 1)
     return dealt.withColumn(name, F.explode(F.sequence(first, last))).drop("_n", "_chunk")
@@ -143,7 +145,8 @@ def slots(targets: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     sized = sized.withColumn("_first", F.sum("_quota").over(earlier) - F.col("_quota")).withColumn(
         "_all", F.sum("_quota").over(Window.partitionBy())
     )
-    rows = _counted(sized, F.col("_quota"), "_r")
+    total = targets.agg(F.sum("target")).first()[0] or 0
+    rows = _counted(sized, F.col("_quota"), "_r", int(total) // block)
     at = permuted(F.col("_first") + F.col("_r"), F.col("_all"), F.lit(seed), F.lit(-1))
     epoch = F.floor(F.col("_r") / F.col("_blocks"))
     index = permuted(F.col("_r") % F.col("_blocks"), F.col("_blocks"), F.lit(seed), F.col("_i"), epoch)
@@ -181,7 +184,8 @@ def plan_mix(
         sized["doc_id"], sized["source"], "size", "tie", "_i", "source_size", "target"
     )
     placed = stored(stream_positions(named, seed), "mix-streams")
-    drawn = slots(targets, block, shard, seed).join(pieces(placed, block), ["_i", "_block"])
+    # a merge join: both sides are unfolded from few rows, so their sizes can't be foreseen
+    drawn = slots(targets, block, shard, seed).hint("merge").join(pieces(placed, block), ["_i", "_block"])
     return placed, drawn
 
 
