@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 
 from harvestlens.llm import (  # noqa: F401
+    content,
     jaccard,
     language,
     mixing,
