@@ -85,7 +85,9 @@ _HINTS = [
     )
 ]
 _NO_HINT = len(_HINTS)
-_FEATURES = (20, _NO_HINT + 1, 6, 5, 3, 3)  # values of each feature
+_WRAPPER = re.compile(r"wrap|container|layout|(?:^|[\s_-])(?:has|with|no)[_-]")  # names of what is around it, not of itself
+_FURNITURE_TAGS = {_TAGS[t] for t in ("nav", "footer", "aside", "form")}
+_FEATURES = (20, _NO_HINT + 1, 6, 5, 3, 4)  # values of each feature
 _BUCKETS = (0, 20, 80, 200, 600)
 
 
@@ -107,6 +109,8 @@ def _hint(attributes: str, known: dict) -> int:
         return known[attributes]
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower()
     found = next((i for i, p in enumerate(_HINTS) if p.search(names)), _NO_HINT) if names else _NO_HINT
+    if found < _NO_HINT and _WRAPPER.search(names):
+        found = _NO_HINT
     if len(known) < 100_000:
         known[attributes] = found
     return found
@@ -227,14 +231,19 @@ def _observe(parents, tags, hints, own, linked, ends) -> list[tuple[int, ...]]:
     for i in range(n - 1, 0, -1):
         total[parents[i]] += total[i]
         links[parents[i]] += links[i]
-    article, comment = _TAGS["article"], 0
-    place = [0] * n
+    place = [0] * n  # 1 below an article, 2 below comments, 3 below other furniture
     out = []
     for i in range(n):
         if i:
-            # 1 below an article or main, 2 below comments
             above = parents[i]
-            place[i] = 2 if place[above] == 2 or hints[above] == comment else 1 if place[above] == 1 or tags[above] in (article, article + 1) else 0
+            if place[above] >= 2:
+                place[i] = place[above]
+            elif hints[above] == 0:
+                place[i] = 2
+            elif tags[above] in _FURNITURE_TAGS or 1 <= hints[above] <= 6:
+                place[i] = 3
+            elif place[above] == 1 or tags[above] in (_TAGS["article"], _TAGS["main"]):
+                place[i] = 1
         length = sum(own[i] > b for b in _BUCKETS)
         density = 0 if not total[i] else 1 if not links[i] else 2 if links[i] < 0.25 * total[i] else 3 if links[i] < 0.6 * total[i] else 4
         out.append((tags[i], hints[i], length, density, min(ends[i], 2), place[i]))
