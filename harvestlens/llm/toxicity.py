@@ -10,8 +10,8 @@ does in its clause.
 Insults are learned: words whose document odds among toxic training rows
 are surely high. A
 logistic curve over the document's strongest clause and its sum turns scores into a
-probability. Both are fitted on a bounded sample of labelled rows (``train_rows``), near
-repeats of one text counting once.
+probability. Both are fitted on a bounded sample of labelled rows (``train_rows``), equal
+texts counting once.
 
 Null and empty texts have no clause and get the score of a document without evidence.
 Repeated rows are scored alike. Columns named like a result are replaced. If the training
@@ -242,13 +242,22 @@ def _evidence(rows: DataFrame, model: ToxicityModel, text_at: int, schema: T.Str
     return rows.mapInArrow(run, schema)
 
 
-def train(labelled: DataFrame, train_rows: int = 20_000, min_docs: int = 3, min_log_odds: float = 1.3, max_words: int = 2000) -> ToxicityModel:
-    """Fit on ``text, toxic``: about ``train_rows`` rows, chosen by a hash of the text."""
+def training_sample(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> DataFrame:
+    """About ``train_rows`` labelled texts as ``text, toxic``, never held-out ones.
+
+    Drawn from the labels by a hash of the id before the texts are touched; the drawn
+    labels, bounded by ``train_rows``, go to the texts, so that no text is shuffled.
+    """
+    usable = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    share = min(1.0, train_rows / max(usable.count(), 1))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)).cast("double") / 1_000_000
+    return docs.select("doc_id", "text").join(F.broadcast(usable.filter(draw < share)), "doc_id").select("text", "toxic")
+
+
+def train(labelled: DataFrame, min_docs: int = 3, min_log_odds: float = 1.3, max_words: int = 2000) -> ToxicityModel:
+    """Fit on rows ``text, toxic``, a bounded number of them (see ``training_sample``)."""
     rows = labelled.filter("text IS NOT NULL AND toxic IS NOT NULL").select("text", F.col("toxic").cast("int").alias("toxic"))
-    total = rows.count()
-    share = min(1.0, train_rows / max(total, 1))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)).cast("double") / 1_000_000
-    sample = rows.filter(draw < share).groupBy(F.xxhash64("text").alias("k")).agg(
+    sample = rows.groupBy(F.xxhash64("text").alias("k")).agg(
         F.first("text").alias("text"), F.max("toxic").alias("toxic")
     ).drop("k")
     sample = sample.persist()
@@ -312,7 +321,7 @@ def score(df: DataFrame, model: ToxicityModel, keep: Sequence[str] | None = None
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = train(docs.join(labels, "doc_id").filter(~held_out(F.col("doc_id"))))
+    model = train(training_sample(docs, labels))
     return score(docs, model, keep=["doc_id"]).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
