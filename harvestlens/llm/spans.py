@@ -47,8 +47,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(factors)
 
 
-def runs(text: str, run_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, spans) of a text's runs; a span is first sentence << 32 | end."""
+def runs(text: str, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, spans, new) of a text's runs in order; a span is first sentence << 32 | end.
+
+    ``new`` is false for a run that occurs earlier in the text.
+    """
     hashes, lengths = [], [0]
     for s in sentences(text):
         w = s.split()
@@ -57,7 +60,7 @@ def runs(text: str, run_words: int) -> tuple[np.ndarray, np.ndarray]:
     total = np.cumsum(lengths)
     n = len(hashes)
     if not n or total[-1] < run_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     forward = np.searchsorted(total, total[:-1] + run_words, side="left")
     backward = np.searchsorted(total, total[1:] - run_words, side="right") - 1
     i, j = np.arange(n), np.arange(1, n + 1)
@@ -68,7 +71,10 @@ def runs(text: str, run_words: int) -> tuple[np.ndarray, np.ndarray]:
     first, end = spans >> 32, spans & 0xFFFFFFFF
     value = (prefix[end] - prefix[first]) * back[first]
     value ^= value >> _U(31)
-    return (value * _U(0xBF58476D1CE4E5B9) + (end - first).astype(_U)).view(np.int64), spans
+    value = (value * _U(0xBF58476D1CE4E5B9) + (end - first).astype(_U)).view(np.int64)
+    new = np.zeros(len(spans), dtype=bool)
+    new[np.unique(value, return_index=True)[1]] = True
+    return value, spans, new
 
 
 def covered_stretches(text: str, spans: list[int], passage_words: int) -> tuple[str, int, int]:
@@ -100,16 +106,16 @@ def repeats(docs: DataFrame, run_words: int) -> DataFrame:
             for i, text in enumerate(batch.column(2)):
                 value = text.as_py()
                 if value:
-                    h, s = runs(value, run_words)
+                    h, s, new = runs(value, run_words)
                     at.append(np.full(len(h), i))
-                    found.append(h)
+                    found.append(pa.array(h, mask=~new))
                     where.append(s)
                     n += len(h)
                 if n > 200_000 or (i == batch.num_rows - 1 and n):
                     rows = pa.array(np.concatenate(at))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.concatenate(found)),
+                            pa.concat_arrays(found),
                             batch.column(0).take(rows),
                             batch.column(1).take(rows),
                             pa.array(np.concatenate(where)),
@@ -119,13 +125,20 @@ def repeats(docs: DataFrame, run_words: int) -> DataFrame:
                     at, found, where, n = [], [], [], 0
 
     every = stored(source.filter("text IS NOT NULL").mapInArrow(run, f"run long, doc_id {kind}, row_key long, span long"), "runs")
-    # counts first: a run that occurs once, by far the most frequent case, goes no further
-    often = every.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run")
-    again = stored(every.join(often, "run"), "repeated-runs")
+    # a null run occurs earlier in its own text: a repeat whatever the other texts hold, and
+    # one row for each text and run is left to compare
+    single = every.filter("run IS NOT NULL")
+    # counts first: a run of one text only, by far the most frequent case, goes no further.
+    # Counts and firsts are stored, so that joins with them have two plain sides and a run
+    # of very many texts can be split among tasks
+    often = stored(single.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run"), "frequent-runs")
+    again = stored(single.join(often, "run"), "repeated-runs")
     place = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("d"), F.col("row_key").alias("k"), F.col("span").alias("s"))
-    first = again.groupBy("run").agg(F.min(place).alias("first"))
+    first = stored(again.groupBy("run").agg(F.min(place).alias("first")), "first-runs")
     later = again.join(first, "run").filter(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "row_key").agg(F.collect_set("span").alias("spans"))
+    columns = ["doc_id", "row_key", "span"]
+    flagged = later.select(*columns).union(every.filter("run IS NULL").select(*columns))
+    return flagged.groupBy("doc_id", "row_key").agg(F.collect_set("span").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, run_words: int = 25, passage_words: int = 50) -> DataFrame:
