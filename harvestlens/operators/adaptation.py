@@ -13,49 +13,55 @@ from harvestlens.functions.significance import add_t_test
 from harvestlens.operators.grouping import join_group_stats
 
 
+def flat_settings(item: Mapping) -> dict[str, str]:
+    """Settings of one adaptation as text; nested per-model ones become ``MODEL.key`` entries."""
+    flat = {}
+    for key, value in (item.get("settings") or {}).items():
+        if isinstance(value, Mapping):
+            flat.update({f"{key}.{k}": str(v) for k, v in value.items()})
+        elif isinstance(value, (list, tuple)):
+            flat[key] = ",".join(str(v) for v in value)
+        else:
+            flat[key] = str(value)
+    return flat
+
+
 def adaptation_table(spark: SparkSession, adaptations: Sequence[Mapping]) -> DataFrame:
-    """Settings as MAP rows; nested per-model settings become ``MODEL.key`` entries."""
-    rows = []
-    for item in adaptations:
-        flat = {}
-        for key, value in (item.get("settings") or {}).items():
-            if isinstance(value, Mapping):
-                flat.update({f"{key}.{k}": str(v) for k, v in value.items()})
-            elif isinstance(value, (list, tuple)):
-                flat[key] = ",".join(str(v) for v in value)
-            else:
-                flat[key] = str(value)
-        rows.append((item["name"], item.get("description"), flat))
+    """The configured adaptations as rows with their settings as a MAP."""
+    rows = [(item["name"], item.get("description"), flat_settings(item)) for item in adaptations]
     return spark.createDataFrame(rows, schemas.ADAPTATION)
 
 
 def effective_setting(
-    settings: Column, name: str, baseline: Column, crop_model: Column | None = None
+    adaptations: Sequence[Mapping], name: str, baseline: Column, adaptation: Column, crop_model: Column
 ) -> Column:
     """A setting of the crop model, else of the adaptation, else the baseline value."""
-    options = [F.try_element_at(settings, F.lit(name)), baseline]
-    if crop_model is not None:
-        key = F.concat_ws(".", crop_model, F.lit(name))
-        options.insert(0, F.try_element_at(settings, key))
-    return F.coalesce(*options)
+    out = baseline
+    for item in adaptations:
+        flat = flat_settings(item)
+        own = F.lit(flat[name]) if name in flat else baseline
+        for key, value in flat.items():
+            model, dot, setting = key.rpartition(".")
+            if dot and setting == name:
+                own = F.when(crop_model == model, F.lit(value)).otherwise(own)
+        out = F.when(adaptation == item["name"], own).otherwise(out)
+    return out
 
 
 def apply_settings(
     runs: DataFrame,
-    adaptations: DataFrame,
+    adaptations: Sequence[Mapping],
     baselines: Mapping[str, Column],
     adaptation_col: str = "adaptation",
     crop_model_col: str = "crop_model",
 ) -> DataFrame:
-    """Effective management parameters of each run."""
-    table = adaptations.select(F.col("name").alias(adaptation_col), "settings")
-    joined = runs.join(table, adaptation_col, "left")
-    return joined.withColumns(
+    """Effective management parameters of each run, from the configured settings as literals."""
+    return runs.withColumns(
         {
-            name: effective_setting(F.col("settings"), name, base, col(crop_model_col))
+            name: effective_setting(adaptations, name, base, col(adaptation_col), col(crop_model_col))
             for name, base in baselines.items()
         }
-    ).drop("settings")
+    )
 
 
 def adaptation_effectiveness(
@@ -237,9 +243,12 @@ def ranking_table(
 
 
 def effectiveness_order(
-    effectiveness: DataFrame, value_col: str, adaptation_col: str = "adaptation"
+    effectiveness: DataFrame,
+    value_col: str,
+    adaptation_col: str = "adaptation",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows of an effectiveness chart: ascending, with the colour flag."""
+    """Rows of the effectiveness charts: ascending within each chart ``by``, with the colour flag."""
     return effectiveness.withColumn("highlight", F.coalesce(F.col("significant"), F.lit(False))).orderBy(
-        col(value_col).asc(), col(adaptation_col)
+        *[col(c) for c in by], col(value_col).asc(), col(adaptation_col)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 RESULT_SCHEMA = "simulation_id string, status string, message string, run_time double"
@@ -61,10 +61,18 @@ def run_in_parallel(
             status, message = "RUN_ERROR", str(e)
         return str(run[key]), status, message, time.monotonic() - started
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            rows = [one(run) for run in frame.to_dict("records")]
-            yield pd.DataFrame(rows, columns=["simulation_id", "status", "message", "run_time"])
+            rows = [one(run) for run in frame.to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0] for r in rows], pa.string()),
+                    pa.array([r[1] for r in rows], pa.string()),
+                    pa.array([r[2] for r in rows], pa.string()),
+                    pa.array([r[3] for r in rows], pa.float64()),
+                ],
+                names=["simulation_id", "status", "message", "run_time"],
+            )
 
     spread = runs.repartition(tasks, key) if tasks else runs
-    return spread.mapInPandas(batches, RESULT_SCHEMA)
+    return spread.mapInArrow(batches, RESULT_SCHEMA)

@@ -8,30 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import keyed, number
-from harvestlens.operators.grouping import MAX_BUFFERED_GROUP, join_group_stats, profile_groups
+from harvestlens.operators.grouping import group_percentiles, join_group_stats
 
 
-def boxplot_summary(
-    data: DataFrame,
-    keys: Sequence[str],
-    value_col: str,
-    bounded: bool = False,
-    max_buffered: int = MAX_BUFFERED_GROUP,
-) -> DataFrame:
+def boxplot_summary(data: DataFrame, keys: Sequence[str], value_col: str) -> DataFrame:
     """Quartiles, whiskers inside 1.5 interquartile ranges, and outlier count."""
     rows = keyed(data, keys).select(*keys, number(value_col).alias("_v")).filter(
         F.col("_v").isNotNull()
     )
-    names = {0.25: "q1", 0.5: "median", 0.75: "q3"}
-    quartiles = profile_groups(
-        rows,
-        keys,
-        [F.count(F.lit(1)).alias("n")],
-        ["_v"],
-        list(names),
-        lambda _, p: names[p],
-        bounded=bounded,
-        max_buffered=max_buffered,
+    figures = group_percentiles(rows, keys, ["_v"], [0.25, 0.5, 0.75])
+    quartiles = figures.select(
+        *keys, F.col("_n").alias("n"), *[F.col("_q")[i].alias(q) for i, q in enumerate(("q1", "median", "q3"))]
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)

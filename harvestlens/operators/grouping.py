@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import col, keyed, number
-from harvestlens.session import shared_folder
 
 SALTS = 8
-# A group up to this size has its exact percentiles computed in one aggregation buffer.
-MAX_BUFFERED_GROUP = 5_000_000
+# Quantile sketches bracket a rank to within 1 / ACCURACY of a group, at any size.
+ACCURACY = 100_000
 
 
 def join_group_stats(
@@ -37,112 +36,47 @@ def join_group_stats(
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the biggest group (one job over the key columns only)."""
-    counts = keyed(df, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
-def profile_groups(
+def group_percentiles(
     df: DataFrame,
     keys: Sequence[str],
-    moments: Sequence[Column],
     value_cols: Sequence[str],
     probabilities: Sequence[float],
-    name: Callable[[str, float], str],
     nulls: str = "propagate",
-    max_buffered: int = MAX_BUFFERED_GROUP,
-    bounded: bool = False,
 ) -> DataFrame:
-    """One row per group: ``moments`` plus exact, linearly interpolated percentiles.
+    """Per group and variable ``_var``: ``_n, _rows, _mean, _std`` and ``_q``, exact percentiles.
+
+    One way for groups of any size, in two passes over the rows:
 
-    ``percentile`` keeps the distinct values of a group in one buffer. The group
-    sizes are therefore checked first (unless the caller knows them ``bounded``);
-    the percentiles of groups that are too large come from
-    ``bracketed_percentiles``, which never gathers a group.
+    1. Counts, moments and a quantile sketch of rank error 1 / ``ACCURACY`` per group. For
+       each probability the sketch brackets the two order statistics wanted; a group of at
+       most ``ACCURACY`` values is its own bracket.
+    2. Equal values are folded, then counted by value inside each bracket (about 8 /
+       ``ACCURACY`` of the group) and in one sum below it. Running sums over these few
+       counts find the order statistics; a bracket that missed its rank raises.
     """
     if nulls not in ("propagate", "omit"):
         raise ValueError(f"nulls must be propagate or omit, not {nulls!r}")
-    rows = keyed(df, keys)
-    if not probabilities:
-        return rows.groupBy(*keys).agg(*moments)
-    largest = 0 if bounded else largest_group(df, keys)
-    if largest <= max_buffered:
-        return _buffered_profile(rows, keys, moments, value_cols, probabilities, name, nulls)
-    # the large groups are few (rows / max_buffered); stored, their list has a known size
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_buffered)
-    path = shared_folder(df.sparkSession, "large-groups")
-    sizes.write.parquet(path)
-    large = df.sparkSession.read.schema(sizes.schema).parquet(path).select(*keys)
-    small_rows = rows.join(large, list(keys), "left_anti")
-    large_rows = rows.join(large, list(keys), "left_semi")
-    small = _buffered_profile(small_rows, keys, moments, value_cols, probabilities, name, nulls)
-    numbers = large_rows.select(*keys, *[number(v).alias(v) for v in value_cols])
-    long = numbers.unpivot([col(k) for k in keys], [col(v) for v in value_cols], "_var", "_v")
-    q = bracketed_percentiles(long, [*keys, "_var"], "_v", probabilities, largest, nulls)
-    wide = q.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("_var") == v, F.col("_q")[i])).alias(name(v, p))
-            for v in value_cols
-            for i, p in enumerate(probabilities)
-        ]
-    )
-    figures = large_rows.groupBy(*keys).agg(*moments) if moments else large
-    return small.unionByName(figures.join(wide, list(keys), "left").select(*[col(c) for c in small.columns]))
-
-
-def _buffered_profile(
-    rows: DataFrame,
-    keys: Sequence[str],
-    moments: Sequence[Column],
-    value_cols: Sequence[str],
-    probabilities: Sequence[float],
-    name: Callable[[str, float], str],
-    nulls: str,
-) -> DataFrame:
-    """One aggregation; a percentile call per variable shares its buffer among the probabilities."""
-    wide = []
-    for v in value_cols:
-        q = F.percentile(number(v), F.array(*[F.lit(float(p)) for p in probabilities]))
-        whole = F.lit(True) if nulls == "omit" else F.count(number(v)) == F.count(F.lit(1))
-        wide.append(F.when(whole, q).alias(f"_q_{v}"))
-    picked = {
-        name(v, p): col(f"_q_{v}")[i] for v in value_cols for i, p in enumerate(probabilities)
-    }
-    out = rows.groupBy(*keys).agg(*moments, *wide).withColumns(picked)
-    return out.drop(*[f"_q_{v}" for v in value_cols])
-
-
-def bracketed_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value_col: str,
-    probabilities: Sequence[float],
-    largest: int,
-    nulls: str = "propagate",
-) -> DataFrame:
-    """Exact percentiles ``_q`` (array) of groups of any size.
-
-    1. A quantile sketch per group gives, for each probability, an interval that
-       must contain the two order statistics wanted (rank error 1/accuracy).
-       Groups smaller than ``accuracy`` are their own interval.
-    2. Equal values are folded, then counted by value inside each interval (about
-       10/accuracy of the group) and in one sum below it.
-    3. Running sums over these few counts find the order statistics.
-    """
     keys = list(keys)
-    accuracy = int(min(max(10_000, largest // 250_000), 1_000_000))
-    slack = 4.0 / accuracy
-    values = df.select(*keys, number(value_col).alias("_v"))
+    rows = keyed(df, keys).select(*keys, *[number(v).alias(v) for v in value_cols])
+    slack = 4.0 / ACCURACY
     ends = [e for p in probabilities for e in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = values.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.count(F.lit(1)).alias("_rows"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", ends, accuracy).alias("_e"),
-    )
-    few = F.col("_n") < accuracy
+
+    def summary(v: str) -> Column:
+        x = col(v)
+        return F.struct(
+            F.count(x).alias("_n"),
+            F.count(F.lit(1)).alias("_rows"),
+            F.avg(x).alias("_mean"),
+            F.stddev_samp(x).alias("_std"),
+            F.min(x).alias("_min"),
+            F.max(x).alias("_max"),
+            F.percentile_approx(x, ends, ACCURACY).alias("_e"),
+        ).alias(v)
+
+    wide = rows.groupBy(*keys).agg(*[summary(v) for v in value_cols])
+    named = F.array(*[F.struct(F.lit(v).alias("_var"), col(v).alias("_s")) for v in value_cols])
+    each = wide.select(*keys, F.explode(named).alias("_x")).select(*keys, "_x._var", "_x._s.*")
+    few = F.col("_n") <= ACCURACY
     targets = []
     for i, p in enumerate(probabilities):
         position = (F.col("_n") - 1) * F.lit(float(p))
@@ -155,44 +89,43 @@ def bracketed_percentiles(
                 (position - F.floor(position)).alias("_frac"),
             )
         )
-    plan = sketch.filter(F.col("_n") > 0).select(*keys, "_n", "_rows", F.array(*targets).alias("_t"))
+    facts = ["_n", "_rows", "_mean", "_std"]
+    plan = each.select(*keys, "_var", *facts, F.array(*targets).alias("_t"))
     # the salt must differ among rows of a group: it hashes keys and value, and equal
     # values are folded first so that repeated ones cannot pile up on one salt
-    folded = values.filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(
-        F.count(F.lit(1)).alias("_c")
+    long = rows.unpivot([col(k) for k in keys], [col(v) for v in value_cols], "_var", "_v")
+    folded = long.groupBy(*keys, "_var", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = join_group_stats(folded, plan, [*keys, "_var"])
+    # per target: values inside the bracket one by one, all values below it as one NULL;
+    # a null value keeps its group, which may have no other
+    hit = F.filter("_t", lambda t: F.col("_v") <= t["_hi"])
+    reached = placed.select(*keys, "_var", *facts, "_v", "_c", F.explode_outer(hit).alias("_t"))
+    reached = reached.filter(F.col("_t").isNotNull() | F.col("_v").isNull()).select(
+        *keys, "_var", *facts, "_c", "_t.*", F.when(F.col("_v") >= F.col("_t._lo"), F.col("_v")).alias("_w")
     )
-    placed = join_group_stats(folded, plan, keys)
-    # per target: values inside the interval one by one, all values below it as one NULL
-    reached = placed.select(
-        *keys,
-        "_v",
-        "_c",
-        "_n",
-        "_rows",
-        F.explode(F.filter("_t", lambda t: F.col("_v") <= t["_hi"])).alias("_t"),
-    ).select(*keys, "_c", "_n", "_rows", "_t.*", F.when(F.col("_v") >= F.col("_t._lo"), F.col("_v")).alias("_w"))
-    counted = reached.groupBy(*keys, "_i", "_w").agg(
-        F.sum("_c").alias("_c"), *[F.max(c).alias(c) for c in ("_rank", "_frac", "_n", "_rows")]
+    carried = ["_rank", "_frac", *facts]
+    counted = reached.groupBy(*keys, "_var", "_i", "_w").agg(
+        F.sum("_c").alias("_c"), *[F.max(c).alias(c) for c in carried]
     )
-    running = Window.partitionBy(*keys, "_i").orderBy(F.col("_w").asc_nulls_first())
+    running = Window.partitionBy(*keys, "_var", "_i").orderBy(F.col("_w").asc_nulls_first())
     upto = F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, 0))
     chosen = (
         counted.withColumn("_upto", upto)
-        .groupBy(*keys, "_i")
+        .groupBy(*keys, "_var", "_i")
         .agg(
             F.max(F.when(F.col("_w").isNull(), F.col("_upto"))).alias("_below"),
             F.min(F.when(F.col("_upto") > F.col("_rank"), F.col("_w"))).alias("_low"),
             F.min(F.when(F.col("_upto") > F.col("_rank") + 1, F.col("_w"))).alias("_high"),
-            *[F.max(c).alias(c) for c in ("_rank", "_frac", "_n", "_rows")],
+            *[F.max(c).alias(c) for c in carried],
         )
     )
-    missed = (
+    missed = F.col("_i").isNotNull() & (
         (F.coalesce(F.col("_below"), F.lit(0)) > F.col("_rank"))
         | F.col("_low").isNull()
         | ((F.col("_frac") > 0) & F.col("_high").isNull())
     )
     value = (
-        F.when(missed, F.raise_error(F.lit("quantile interval missed its rank")).cast("double"))
+        F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
         .when(
             F.col("_frac") > 0,
             (1 - F.col("_frac")) * F.col("_low") + F.col("_frac") * F.col("_high"),
@@ -203,7 +136,18 @@ def bracketed_percentiles(
         value = F.when(F.col("_n") == F.col("_rows"), value)
     slots = [F.max(F.when(F.col("_i") == i, F.col("_x"))) for i in range(len(probabilities))]
     return (
-        chosen.withColumn("_x", value).groupBy(*keys).agg(F.array(*slots).alias("_q"))
+        chosen.withColumn("_x", value)
+        .groupBy(*keys, "_var")
+        .agg(*[F.max(c).alias(c) for c in facts], F.array(*slots).alias("_q"))
+    )
+
+
+def spread_variables(
+    figures: DataFrame, keys: Sequence[str], columns: dict[str, tuple[str, Column]]
+) -> DataFrame:
+    """One row per group from rows per (group, ``_var``): ``columns`` maps a name to (variable, expression)."""
+    return figures.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_var") == v, x)).alias(name) for name, (v, x) in columns.items()]
     )
 
 

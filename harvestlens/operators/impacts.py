@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import col, keyed, number, ratio, relative_change, require_columns
-from harvestlens.operators.grouping import MAX_BUFFERED_GROUP, join_group_stats, profile_groups
+from harvestlens.operators.grouping import group_percentiles, join_group_stats, spread_variables
 
 PERCENTILES = (10, 25, 50, 75, 90)
 
@@ -20,34 +20,30 @@ def baseline_statistics(
     percentiles: Sequence[float] = PERCENTILES,
     exact: bool = True,
     nulls: str = "propagate",
-    max_buffered: int = MAX_BUFFERED_GROUP,
 ) -> DataFrame:
-    """``{v}_mean, {v}_std, {v}_cv, {v}_p10 ...`` per group in one aggregation."""
+    """``{v}_mean, {v}_std, {v}_cv, {v}_p10 ...`` per group."""
     require_columns(data, [*keys, *value_cols], "baseline data")
-    moments = []
+    if exact and percentiles:
+        figures = group_percentiles(data, keys, value_cols, [p / 100 for p in percentiles], nulls)
+        columns = {}
+        for v in value_cols:
+            columns[f"{v}_mean"] = (v, F.col("_mean"))
+            columns[f"{v}_std"] = (v, F.col("_std"))
+            columns[f"{v}_cv"] = (v, ratio(F.col("_std"), F.col("_mean")))
+        for v in value_cols:
+            columns |= {f"{v}_p{p:g}": (v, F.col("_q")[i]) for i, p in enumerate(percentiles)}
+        return spread_variables(figures, keys, columns)
+    aggregates = []
     for v in value_cols:
         x = number(v)
-        moments += [
+        aggregates += [
             F.avg(x).alias(f"{v}_mean"),
             F.stddev_samp(x).alias(f"{v}_std"),
             ratio(F.stddev_samp(x), F.avg(x)).alias(f"{v}_cv"),
         ]
-    if not exact:
-        for v in value_cols:
-            moments += [
-                F.percentile_approx(number(v), p / 100).alias(f"{v}_p{p:g}") for p in percentiles
-            ]
-        return keyed(data, keys).groupBy(*keys).agg(*moments)
-    return profile_groups(
-        data,
-        keys,
-        moments,
-        value_cols,
-        [p / 100 for p in percentiles],
-        lambda v, p: f"{v}_p{p * 100:g}",
-        nulls=nulls,
-        max_buffered=max_buffered,
-    )
+    for v in value_cols:
+        aggregates += [F.percentile_approx(number(v), p / 100).alias(f"{v}_p{p:g}") for p in percentiles]
+    return keyed(data, keys).groupBy(*keys).agg(*aggregates)
 
 
 def _changes(value_cols: Sequence[str]) -> dict[str, Column]:
@@ -175,22 +171,14 @@ def change_quantiles(
     keys: Sequence[str],
     change_cols: dict[str, str],
     probabilities: Sequence[float] = (0.1, 0.9),
-    bounded: bool = False,
-    max_buffered: int = MAX_BUFFERED_GROUP,
 ) -> DataFrame:
     """``{v}_change_q10`` and ``_q90``; ``change_cols`` maps a variable to its change column."""
     named = changes.select(*keys, *[col(c).alias(v) for v, c in change_cols.items()])
-    return profile_groups(
-        named,
-        keys,
-        [],
-        list(change_cols),
-        probabilities,
-        lambda v, p: f"{v}_change_q{p * 100:g}",
-        nulls="omit",
-        bounded=bounded,
-        max_buffered=max_buffered,
-    )
+    figures = group_percentiles(named, keys, list(change_cols), probabilities, nulls="omit")
+    columns = {
+        f"{v}_change_q{p * 100:g}": (v, F.col("_q")[i]) for v in change_cols for i, p in enumerate(probabilities)
+    }
+    return spread_variables(figures, keys, columns)
 
 
 def yearly_means(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens.functions import status as st
@@ -116,28 +116,29 @@ def unmapped_variables(
     ]
 
 
-def mapping_table(spark: SparkSession, mapping: Mapping[str, Mapping[str, str]] = VARIABLE_NAMES) -> DataFrame:
-    rows = [(m, std, raw) for m, names in mapping.items() for std, raw in names.items()]
-    return spark.createDataFrame(rows, "crop_model string, std_name string, model_name string")
-
-
 def standardize_long(
     outputs: DataFrame,
-    mapping: DataFrame,
     variables: Sequence[str],
+    mapping: Mapping[str, Mapping[str, str]] = VARIABLE_NAMES,
     keys: Sequence[str] = ("simulation_id", "crop_model"),
     variable_col: str = "model_var",
     value_col: str = "value",
+    crop_model_col: str = "crop_model",
 ) -> DataFrame:
-    """Standard columns from ``(keys, model_var, value)`` rows.
+    """Standard columns from ``(keys, model_var, value)`` rows; runs without a mapped output stay.
 
-    Variables are conditional aggregates, so rows combine before the shuffle.
+    The names are literals in conditional aggregates: nothing is joined, and rows combine
+    before the one shuffle.
     """
-    named = outputs.join(
-        mapping.withColumnRenamed("model_name", variable_col), ["crop_model", variable_col]
-    )
-    return named.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("std_name") == v, number(value_col))).alias(v) for v in variables]
+    def mapped(standard: str) -> Column:
+        hit = F.lit(False)
+        for model, names in mapping.items():
+            if standard in names:
+                hit = hit | ((col(crop_model_col) == model) & (col(variable_col) == names[standard]))
+        return hit
+
+    return outputs.groupBy(*keys).agg(
+        *[F.max(F.when(mapped(v), number(value_col))).alias(v) for v in variables]
     )
 
 

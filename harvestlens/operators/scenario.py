@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import col, require_columns, simulation_key
+from harvestlens.operators.grouping import join_group_stats
 
 ID_ORDER = ("location_id", "crop_model", "climate_source", "climate_model", "scenario", "adaptation")
 
@@ -83,9 +84,9 @@ def assign_periods(
 ) -> DataFrame:
     """Add ``period``; dates in no period drop out, overlaps give several rows.
 
-    A configured mapping becomes expressions. A table ``(period, start_date,
-    end_date)`` is unfolded to the years it covers and joined on the year, with
-    the exact dates as a residual condition.
+    A configured mapping becomes expressions. A stored table ``(period, start_date,
+    end_date)`` is unfolded to the years it covers and joined on the year and a salt, with
+    the exact dates as a residual condition; read from storage, its size is known.
     """
     if isinstance(periods, DataFrame):
         years = periods.select(
@@ -97,7 +98,7 @@ def assign_periods(
         dated = df.withColumn("_year", F.year(col(date_col)))
         day = col(date_col).cast("date")
         return (
-            dated.join(years, "_year")
+            join_group_stats(dated, years, ["_year"])
             .filter(day.between(F.col("start_date"), F.col("end_date")))
             .drop("_year", "start_date", "end_date")
         )

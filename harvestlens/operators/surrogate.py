@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -30,7 +32,7 @@ from harvestlens.functions.columns import (
 
 CATEGORICAL = ("climate_source", "climate_model", "scenario", "period", "soil_id", "adaptation")
 ALIASES = {"gcm": "climate_model"}
-MAX_CATEGORY_COLUMNS = 2000
+MAX_TREE_DEPTH = 30  # of MLlib
 
 
 def with_sowing_day(df: DataFrame) -> DataFrame:
@@ -39,24 +41,6 @@ def with_sowing_day(df: DataFrame) -> DataFrame:
     return df.withColumn("sowing_doy", sowing_day_of_year(F.col("sowing_date")))
 
 
-def category_values(df: DataFrame, features: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct values of the categorical features that are present.
-
-    They become columns, so the driver must know them: one job, and at most
-    ``MAX_CATEGORY_COLUMNS`` values are fetched. Beyond that use the vector
-    encoding of ``fit_surrogate``, which has no such bound.
-    """
-    present = [f for f in features if f in df.columns]
-    if not present:
-        return {}
-    texts = df.select(*[col(f).cast("string").alias(f) for f in present])
-    pairs = texts.unpivot([], [col(f) for f in present], "f", "v").dropna().distinct()
-    found = pairs.limit(MAX_CATEGORY_COLUMNS + 1).collect()
-    if len(found) > MAX_CATEGORY_COLUMNS:
-        raise ValueError("too many categories for one column each: use the vector encoding")
-    return {f: sorted(r["v"] for r in found if r["f"] == f) for f in present}
-
-
 def one_hot(df: DataFrame, values: Mapping[str, Sequence[str]]) -> DataFrame:
     """``{feature}_{value}`` columns of 0 and 1 instead of the features; NULL gives zeros."""
     encoded = {
@@ -82,11 +66,19 @@ def expand_features(
 
 
 def engineer_features(
-    df: DataFrame, requested: Sequence[str], targets: Sequence[str] = ()
+    df: DataFrame,
+    requested: Sequence[str],
+    values: Mapping[str, Sequence[str]],
+    targets: Sequence[str] = (),
 ) -> tuple[DataFrame, list[str], list[str]]:
-    """Encoded features, targets and ``simulation_id``: (frame, features, missing)."""
+    """Encoded features, targets and ``simulation_id``: (frame, features, missing).
+
+    ``values`` lists the configured values of the categorical features, which become one
+    column each. Features with values that no configuration lists take the vector encoding
+    of ``fit_surrogate``.
+    """
     prepared = with_sowing_day(df)
-    values = category_values(prepared, CATEGORICAL)
+    values = {f: sorted(map(str, vs)) for f, vs in values.items() if f in prepared.columns}
     encoded = one_hot(prepared, values)
     features, absent = expand_features(requested, encoded.columns, values)
     wanted = [*features, *[t for t in targets if t not in features], "simulation_id"]
@@ -252,7 +244,7 @@ def _encoder(numeric: Sequence[str], categorical: Sequence[str]) -> Pipeline:
     return Pipeline(stages=stages)
 
 
-# Hyperparameter name -> setter argument; names without an equivalent are left out.
+# Hyperparameter name -> setter argument; names without an equivalent are reported.
 _FOREST = {
     "n_estimators": "numTrees",
     "max_depth": "maxDepth",
@@ -278,8 +270,11 @@ def _regressor(model_type: str, hyperparameters: Mapping):
         for k, v in hyperparameters.items()
         if k in known[model_type] and v is not None
     }
-    if "maxDepth" in params:
-        params["maxDepth"] = min(int(params["maxDepth"]), 30)
+    unused = sorted(k for k, v in hyperparameters.items() if k not in known[model_type] and v is not None)
+    if unused:
+        warnings.warn(f"{model_type} has no equivalent of {unused}", stacklevel=3)
+    if int(params.get("maxDepth", 0)) > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {params['maxDepth']} is beyond {MAX_TREE_DEPTH}, the deepest tree there is")
     if "featureSubsetStrategy" in params:
         params["featureSubsetStrategy"] = str(params["featureSubsetStrategy"])
     cls = RandomForestRegressor if model_type == "RandomForest" else GBTRegressor
@@ -298,12 +293,15 @@ def fit_surrogate(
     require_columns(train, [*numeric, *categorical, *targets], "training data")
     make = _regressor(model_type, {"random_state": 42, **(hyperparameters or {})})
     casts = {c: number(c) for c in [*numeric, *targets]}
-    rows = train.withColumns(casts)
-    encoder = _encoder(numeric, categorical).fit(rows)
-    encoded = encoder.transform(rows).select("_features", *[col(t) for t in targets])
-    regressors = {}
-    for target in targets:
-        regressors[target] = make.copy().setLabelCol(target).fit(encoded)
+    # fitted many times over: kept on the executors, on disk where memory ends
+    rows = train.withColumns(casts).select(*[col(c) for c in dict.fromkeys([*numeric, *categorical, *targets])])
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        encoder = _encoder(numeric, categorical).fit(rows)
+        encoded = encoder.transform(rows).select("_features", *[col(t) for t in targets])
+        regressors = {t: make.copy().setLabelCol(t).fit(encoded) for t in targets}
+    finally:
+        rows.unpersist()
     return Surrogate(encoder, regressors, list(numeric), list(categorical), model_type)
 
 

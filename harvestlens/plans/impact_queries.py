@@ -104,9 +104,9 @@ def baseline_statistics(spark, sf_dir):
     "where period = 'historical' group by all",
 )
 def baseline_statistics_large_groups(spark, sf_dir):
-    """Few, large groups: percentiles by bracketing instead of buffering."""
+    """Few, large groups."""
     base = scenario.one_period(sim_results(spark, sf_dir), "historical")
-    return tidy(impacts.baseline_statistics(base, ["climate_source"], VALUES, max_buffered=1000))
+    return tidy(impacts.baseline_statistics(base, ["climate_source"], VALUES))
 
 
 _ENS_KEYS = "location_id, scenario, period"
@@ -176,13 +176,11 @@ def direction_agreement(spark, sf_dir):
     + " from impacts group by all",
 )
 def impact_quantiles(spark, sf_dir):
-    # a group holds one row per source, model and scenario
     return tidy(
         impacts.change_quantiles(
             all_impacts(spark, sf_dir),
             ["location_id", "period"],
             {v: f"{v}_abs_change" for v in ("yield_kg", "etc_mm")},
-            bounded=True,
         )
     )
 
@@ -404,13 +402,13 @@ def adaptation_effectiveness_by_member(spark, sf_dir):
 
 @query(
     "effectiveness_chart",
-    f"with {_effectiveness_ctes([])} select adaptation, {r('mean_impact_reduction', 'mean_impact_reduction')}, "
-    "significant, significant as highlight from eff where variable = 'yield_kg'",
+    f"with {_effectiveness_ctes([])} select variable, adaptation, "
+    f"{r('mean_impact_reduction', 'mean_impact_reduction')}, significant, significant as highlight from eff",
 )
 def effectiveness_chart(spark, sf_dir):
-    rows = _effectiveness(spark, sf_dir).filter("variable = 'yield_kg'")
-    chart = rows.select("adaptation", "mean_impact_reduction", "significant")
-    return tidy(ad.effectiveness_order(chart, "mean_impact_reduction"))
+    """One chart per variable."""
+    chart = _effectiveness(spark, sf_dir).select("variable", "adaptation", "mean_impact_reduction", "significant")
+    return tidy(ad.effectiveness_order(chart, "mean_impact_reduction", by=["variable"]))
 
 
 @query(

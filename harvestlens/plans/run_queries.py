@@ -162,10 +162,13 @@ def period_assignment_overlapping(spark, sf_dir):
 
 @query("period_assignment_table", _OVERLAP_SQL)
 def period_assignment_table(spark, sf_dir):
+    """Periods from a stored table, whose size the planner knows."""
     rows = [(n, s, e) for n, (s, e) in _SPANS.items()]
-    spans = spark.createDataFrame(rows, "period string, s string, e string").select(
+    path = shared_folder(spark, "periods")
+    spark.createDataFrame(rows, "period string, s string, e string").select(
         "period", F.col("s").cast("date").alias("start_date"), F.col("e").cast("date").alias("end_date")
-    )
+    ).coalesce(1).write.parquet(path)
+    spans = spark.read.schema("period string, start_date date, end_date date").parquet(path)
     dated = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     return scenario.assign_periods(dated, "o_orderdate", spans).select("o_orderkey", "period")
 
@@ -280,17 +283,24 @@ def standardize_wide(spark, sf_dir):
     f"""with {_RAW}, x as (select simulation_id, crop_model, max(q) as q, max(e) as e from raw group by all)
  select simulation_id, crop_model,
  q * (case crop_model when 'DSSAT' then 1 when 'APSIM' then 2 else 3 end) as "Yield_kg_ha",
- case crop_model when 'DSSAT' then e when 'APSIM' then e * 2 end as "ETc_mm" from x""",
+ case crop_model when 'DSSAT' then e when 'APSIM' then e * 2 end as "ETc_mm" from x union all
+ select 'unmapped-' || s_suppkey, 'STICS', null, null from supplier""",
 )
 def standardize_long(spark, sf_dir):
+    """Outputs of all runs, and runs whose only output has no standard name."""
     wide = _raw_outputs(spark, sf_dir)
     names = [c for c in wide.columns if c not in ("simulation_id", "crop_model")]
     rows = wide.unpivot(
         ["simulation_id", "crop_model"], [fc.col(c) for c in names], "model_var", "value"
     )
-    return results.standardize_long(
-        rows.filter(F.col("value").isNotNull()), results.mapping_table(spark), ["Yield_kg_ha", "ETc_mm"]
+    unmapped = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("unmapped-"), F.col("s_suppkey").cast("string")).alias("simulation_id"),
+        F.lit("STICS").alias("crop_model"),
+        F.lit("cumulraint").alias("model_var"),
+        F.col("s_acctbal").alias("value"),
     )
+    known = rows.filter(F.col("value").isNotNull()).union(unmapped)
+    return results.standardize_long(known, ["Yield_kg_ha", "ETc_mm"])
 
 
 @query(
@@ -333,7 +343,7 @@ _SETTINGS = [
 def adaptation_settings(spark, sf_dir):
     effective = ad.apply_settings(
         sim_results(spark, sf_dir),
-        ad.adaptation_table(spark, ADAPTATIONS),
+        ADAPTATIONS,
         {
             "baseline_irrigation_threshold_pct": F.lit("50"),
             "baseline_irrigation_amount_mm": F.lit("25"),
@@ -455,7 +465,8 @@ def _toy_model(run: dict) -> str:
         raise ValueError("no discount")
     if run["discount"] > 0.095:
         raise TimeoutError("too long")
-    return f"line {run['line']}"
+    order = "none" if run["even_order"] is None else run["even_order"]
+    return f"line {run['line']}, order {order}"
 
 
 @query(
@@ -463,13 +474,15 @@ def _toy_model(run: dict) -> str:
     """select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as simulation_id,
  case when l_discount = 0 then 'RUN_ERROR' when l_discount > 0.095 then 'TIMEOUT' else 'SUCCESS' end as status,
  case when l_discount = 0 then 'no discount' when l_discount > 0.095 then 'too long'
- else 'line ' || l_linenumber end as message from lineitem""",
+ else 'line ' || l_linenumber || ', order ' || case when l_orderkey % 2 = 0 then l_orderkey::varchar else 'none' end
+ end as message from lineitem""",
 )
 def parallel_apply(spark, sf_dir):
     listed = table(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("simulation_id"),
         F.col("l_discount").alias("discount"),
         F.col("l_linenumber").alias("line"),
+        F.when(F.col("l_orderkey") % 2 == 0, F.col("l_orderkey")).alias("even_order"),
     )
     return apply.run_in_parallel(listed, _toy_model).select("simulation_id", "status", "message")
 
@@ -493,7 +506,7 @@ _HOT = {
 )
 def one_hot(spark, sf_dir):
     sim = sim_results(spark, sf_dir)
-    encoded = surrogate.one_hot(sim, surrogate.category_values(sim, list(_HOT)))
+    encoded = surrogate.one_hot(sim, _HOT)
     names = [c for c in encoded.columns if any(c.startswith(f"{f}_") for f in _HOT)]
     return encoded.groupBy("period").agg(*[F.sum(fc.col(c)).alias(c) for c in names])
 
@@ -548,11 +561,16 @@ def regression_metrics(spark, sf_dir):
     )
 
 
-# --- machine learning (rows only) ---------------------------------------------------
+# --- machine learning ----------------------------------------------------------------
 
 _NUMERIC = ["sowing_doy", "yield_kg", "irrigation_mm", "fertilizer_n", "price"]
 _CATEGORIES = ["climate_source", "climate_model", "scenario", "period", "soil_id", "adaptation"]
 _TARGETS = ["revenue", "water"]
+_TREES = {"n_estimators": 10, "max_depth": 8, "min_samples_leaf": 3, "max_features": 0.7}
+_ML = f"""{SIM}, ml as (select *, yield_kg * price as revenue, irrigation_mm * 2 + fertilizer_n as water,
+ dayofyear(try_strptime('1900-' || sowing_date, '%Y-%m-%d')) as sowing_doy from sim),
+ split as (select *, ('0x' || left(md5('42:' || simulation_id), 8))::bigint % 1000 < 200 as is_test from ml
+ where {' and '.join(f'{c} is not null' for c in [*_NUMERIC, *_CATEGORIES, *_TARGETS])})"""
 
 
 def _surrogate_data(spark, sf_dir):
@@ -562,45 +580,124 @@ def _surrogate_data(spark, sf_dir):
             "water": F.col("irrigation_mm") * 2 + F.col("fertilizer_n"),
         }
     )
-    whole = surrogate.complete_rows(rows, [*_NUMERIC, *_CATEGORIES], _TARGETS, check=False)
-    return surrogate.hash_split(whole)
+    whole_rows = surrogate.complete_rows(rows, [*_NUMERIC, *_CATEGORIES], _TARGETS, check=False)
+    return surrogate.hash_split(whole_rows)
 
 
-def _fit(data):
-    return surrogate.fit_surrogate(
-        data.filter(~F.col("is_test")),
-        _NUMERIC,
-        _CATEGORIES,
-        _TARGETS,
-        hyperparameters={"n_estimators": 10, "max_depth": 8, "min_samples_leaf": 3, "max_features": 0.7},
-    )
+def _fit(data, model_type="RandomForest", hyperparameters=_TREES, categorical=_CATEGORIES, targets=_TARGETS):
+    train = data.filter(~F.col("is_test"))
+    return surrogate.fit_surrogate(train, _NUMERIC, categorical, targets, model_type, hyperparameters)
 
 
-@query("surrogate_predict")
+@query(
+    "surrogate_predict",
+    f"with {_ML} select simulation_id, revenue, water, true as revenue_inside, true as water_inside from split where is_test",
+)
 def surrogate_predict(spark, sf_dir):
+    """Test rows; a forest averages targets it was trained on, so it predicts inside their range."""
     data = _surrogate_data(spark, sf_dir)
     predicted = _fit(data).predict(data.filter("is_test"))
-    return predicted.select("simulation_id", *_TARGETS, *[f"{t}_pred" for t in _TARGETS])
+    ranges = data.filter("NOT is_test").agg(
+        *[f(t).alias(f"{t}_{n}") for t in _TARGETS for n, f in (("lo", F.min), ("hi", F.max))]
+    ).first()
+    inside = {
+        f"{t}_inside": F.col(f"{t}_pred").between(ranges[f"{t}_lo"] - 1e-6, ranges[f"{t}_hi"] + 1e-6) for t in _TARGETS
+    }
+    return predicted.withColumns(inside).select("simulation_id", *_TARGETS, *inside)
 
 
-@query("surrogate_quality")
+_QUALITY_SQL = " union all ".join(
+    f"select '{t}' as target, count({t}) as \"Count\", true as good from split where is_test" for t in _TARGETS
+)
+
+
+@query("surrogate_quality", f"with {_ML} {_QUALITY_SQL}")
 def surrogate_quality(spark, sf_dir):
+    """Test rows by target, and whether the fit explains more than half of the variance."""
     data = _surrogate_data(spark, sf_dir)
     predicted = _fit(data).predict(data.filter("is_test"))
-    return surrogate.regression_metrics(predicted, {t: (t, f"{t}_pred") for t in _TARGETS})
+    metrics = surrogate.regression_metrics(predicted, {t: (t, f"{t}_pred") for t in _TARGETS})
+    return metrics.select("target", "Count", (F.col("R2") > 0.5).alias("good"))
+
+
+@query("surrogate_boosted", f"with {_ML} select count(*) as n_test, true as good from split where is_test")
+def surrogate_boosted(spark, sf_dir):
+    """Boosted trees on one target; the mean R2 over targets."""
+    data = _surrogate_data(spark, sf_dir)
+    model = _fit(data, "GBT", {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3}, ["scenario"], ["revenue"])
+    metrics = surrogate.regression_metrics(
+        model.predict(data.filter("is_test")), {"revenue": ("revenue", "revenue_pred")}
+    )
+    return metrics.agg(F.max("Count").alias("n_test")).join(surrogate.mean_r2(metrics)).select(
+        "n_test", (F.col("mean_r2") > 0.5).alias("good")
+    )
+
+
+@query(
+    "surrogate_stored",
+    f"with {_ML} select simulation_id, true as revenue_same, true as water_same from split where is_test",
+)
+def surrogate_stored(spark, sf_dir):
+    """A model saved, loaded and applied predicts as before."""
+    data = _surrogate_data(spark, sf_dir)
+    path = shared_folder(spark, "surrogate")
+    model = _fit(data)
+    model.save(path)
+    test = data.filter("is_test")
+    before = model.predict(test)
+    after = surrogate.Surrogate.load(spark, path).predict(before, "_again")
+    return after.select(
+        "simulation_id", *[(F.abs(F.col(f"{t}_pred") - F.col(f"{t}_again")) < 1e-9).alias(f"{t}_same") for t in _TARGETS]
+    )
 
 
-@query("feature_importance")
+@query(
+    "feature_importance",
+    "select 'revenue' as target, true as sums_to_one, true as ordered, true as names_known, 'yield_kg' as first_feature",
+)
 def feature_importance(spark, sf_dir):
+    """The importances add up to one, descend, and belong to encoded features; yield leads revenue."""
     data = _surrogate_data(spark, sf_dir)
-    return _fit(data).importance(data, "revenue", top=10)
+    found = _fit(data).importance(data, "revenue")
+    known = F.lit(False)
+    for c in [*_NUMERIC, *_CATEGORIES]:
+        known = known | F.col("feature").contains(c)
+    top = F.max_by("feature", "importance")
+    return found.agg(
+        F.lit("revenue").alias("target"),
+        (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
+        (F.min("importance") >= 0).alias("ordered"),
+        F.bool_and(known).alias("names_known"),
+        top.alias("first_feature"),
+    )
 
 
-@query("impact_clusters")
-def impact_clusters(spark, sf_dir):
-    changes = impacts.climate_impacts(
-        sim_results(spark, sf_dir), ["location_id"], VALUES, periods=["near_future"]
+@query(
+    "feature_table",
+    f"""with {SIM}, x as (select *, dayofyear(try_strptime('1900-' || sowing_date, '%Y-%m-%d')) as sowing_doy from sim)
+ select simulation_id, sowing_doy, price, {', '.join(f"(coalesce(scenario = '{v}', false))::int as scenario_{v}" for v in ('F', 'O', 'P'))},
+ yield_kg, 'elev' as absent from x""",
+)
+def feature_table(spark, sf_dir):
+    """Encoded features and a target; what cannot be had is named."""
+    frame, _, absent = surrogate.engineer_features(
+        sim_results(spark, sf_dir), ["sowing_doy", "price", "scenario", "elev"], {"scenario": _HOT["scenario"]}, ["yield_kg"]
     )
+    return frame.withColumn("absent", F.lit(",".join(absent)))
+
+
+@query(
+    "impact_clusters",
+    f"""with {SIM}, base as (select location_id, avg(yield_kg) as b from sim where period = 'historical' group by all),
+ fut as (select location_id, period, avg(yield_kg) as f from sim where period <> 'historical' group by all),
+ loc as (select s_nationkey::varchar as location_id, min((s_suppkey * 37 % 1400) / 100.0::double) as lat,
+ min((s_suppkey * 53 % 900) / 100.0::double) as lon from supplier group by all)
+ select location_id, period, {r('lat', 'lat')}, {r('lon', 'lon')}, {r('f - b', 'yield_kg_abs_change')}, true as known_cluster
+ from fut join base using (location_id) join loc using (location_id)""",
+)
+def impact_clusters(spark, sf_dir):
+    """Every location and future period in one of four clusters."""
+    changes = impacts.climate_impacts(sim_results(spark, sf_dir), ["location_id"], VALUES)
     locations = (
         points(spark, sf_dir)
         .join(table(spark, sf_dir, "supplier"), F.col("location_id") == F.col("s_suppkey"))
@@ -608,9 +705,9 @@ def impact_clusters(spark, sf_dir):
         .agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
     )
     placed = scenario.attach_attributes(changes, locations, ["lat", "lon"])
-    clustered = surrogate.impact_clusters(
-        placed, "yield_kg_abs_change", name="yield_change_spatial_cluster"
-    )
-    return clustered.select(
-        "location_id", "lat", "lon", "yield_kg_abs_change", "yield_change_spatial_cluster"
+    clustered = surrogate.impact_clusters(placed, "yield_kg_abs_change", name="cluster")
+    return tidy(
+        clustered.select(
+            "location_id", "period", "lat", "lon", "yield_kg_abs_change", F.col("cluster").between(0, 3).alias("known_cluster")
+        )
     )

@@ -63,13 +63,11 @@ def read_locations_csv(spark, sf_dir):
 
 @query(
     "read_region_map_csv",
-    "select n_nationkey::varchar as location_id, n_regionkey::varchar as region_id from nation "
-    "join (select distinct s_nationkey from supplier) on n_nationkey = s_nationkey",
+    "select n_nationkey::varchar as location_id, n_regionkey::varchar as region_id from nation",
 )
 def read_region_map_csv(spark, sf_dir):
     path = shared_folder(spark, "regions")
-    used = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("location_id"))
-    _region_map(spark, sf_dir).join(used.distinct(), "location_id", "left_semi").write.csv(path, header=True)
+    _region_map(spark, sf_dir).write.csv(path, header=True)
     return tables.read_region_map(spark, path)
 
 

@@ -26,39 +26,41 @@ def skewed():
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 
 
-def profile(spark, pdf, nulls, max_buffered):
+def quantiles(spark, pdf, nulls):
     df = spark.createDataFrame(pdf, "g string, v double").repartition(7)
-    out = grouping.profile_groups(
-        df, ["g"], [F.count(F.lit(1)).alias("n")], ["v"], PROBS, lambda v, p: f"q{p}", nulls, max_buffered
-    )
-    return {r["g"]: [r[f"q{p}"] for p in PROBS] for r in out.collect()}
+    out = grouping.group_percentiles(df, ["g"], ["v"], PROBS, nulls)
+    return {r["g"]: list(r["_q"]) for r in out.collect()}
 
 
 @pytest.mark.parametrize("nulls", ["propagate", "omit"])
-@pytest.mark.parametrize("max_buffered", [10**9, 10])
-def test_percentiles_are_exact(spark, skewed, nulls, max_buffered):
-    got = profile(spark, skewed, nulls, max_buffered)
+@pytest.mark.parametrize("accuracy", [100_000, 1000])
+def test_percentiles_are_exact(spark, skewed, nulls, accuracy, monkeypatch):
+    """With the usual sketch groups are their own brackets here; with a coarse one they are bracketed."""
+    monkeypatch.setattr(grouping, "ACCURACY", accuracy)
+    got = quantiles(spark, skewed, nulls)
     assert set(got) == {"hot", "same", "one", "two", "null", "empty"}
-    for g, quantiles in got.items():
+    for g, found in got.items():
         v = skewed[skewed.g == g].v
         if v.notna().sum() == 0 or (nulls == "propagate" and v.isna().any()):
-            assert quantiles == [None] * len(PROBS)
+            assert found == [None] * len(PROBS)
         else:
-            assert quantiles == pytest.approx(list(np.quantile(v.dropna(), PROBS)), rel=1e-12)
+            assert found == pytest.approx(list(np.quantile(v.dropna(), PROBS)), rel=1e-12)
 
 
-def test_bracketing_with_a_fine_sketch(spark):
+def test_bracketing_of_a_large_group(spark):
     values = pd.DataFrame({"g": "a", "v": np.random.default_rng(1).exponential(size=300_000)})
     df = spark.createDataFrame(values, "g string, v double")
-    out = grouping.bracketed_percentiles(df, ["g"], "v", [0.01, 0.5, 0.999], 300_000).first()["_q"]
-    assert out == pytest.approx(list(np.quantile(values.v, [0.01, 0.5, 0.999])), rel=1e-12)
+    out = grouping.group_percentiles(df, ["g"], ["v"], [0.01, 0.5, 0.999]).first()
+    assert list(out["_q"]) == pytest.approx(list(np.quantile(values.v, [0.01, 0.5, 0.999])), rel=1e-12)
+    assert out["_n"] == 300_000 and out["_mean"] == pytest.approx(values.v.mean())
 
 
-def test_both_ways_give_the_same_statistics(spark, skewed):
+def test_coarse_and_fine_sketches_give_the_same_statistics(spark, skewed, monkeypatch):
     df = spark.createDataFrame(skewed, "g string, v double")
-    small = baseline_statistics(df, ["g"], ["v"]).orderBy("g").toPandas()
-    large = baseline_statistics(df, ["g"], ["v"], max_buffered=1).orderBy("g").toPandas()
-    pd.testing.assert_frame_equal(small, large[small.columns])
+    fine = baseline_statistics(df, ["g"], ["v"]).orderBy("g").toPandas()
+    monkeypatch.setattr(grouping, "ACCURACY", 1000)
+    coarse = baseline_statistics(df, ["g"], ["v"]).orderBy("g").toPandas()
+    pd.testing.assert_frame_equal(fine, coarse[fine.columns])
 
 
 def test_numbering(spark):

@@ -193,9 +193,9 @@ def test_ranking_table_and_chart_order(spark):
 
 
 def test_settings(spark):
-    table = ad.adaptation_table(
-        spark, [{"name": "baseline", "settings": {}}, {"name": "c", "settings": {"n": 70, "DSSAT": {"cultivar": "D"}, "days": ["06-01", "07-01"]}}]
-    )
+    table = [{"name": "baseline", "settings": {}}, {"name": "c", "settings": {"n": 70, "DSSAT": {"cultivar": "D"}, "days": ["06-01", "07-01"]}}]
+    stored = {r["name"]: r["settings"] for r in ad.adaptation_table(spark, table).collect()}
+    assert stored == {"baseline": {}, "c": {"n": "70", "DSSAT.cultivar": "D", "days": "06-01,07-01"}}
     runs = frame(spark, [("baseline", "DSSAT"), ("c", "DSSAT"), ("c", "APSIM"), ("unknown", "APSIM")], "adaptation string, crop_model string")
     out = ad.apply_settings(runs, table, {"n": F.lit("50"), "cultivar": F.lit("L"), "days": F.lit("-")})
     rows = {(r["adaptation"], r["crop_model"]): (r["n"], r["cultivar"], r["days"]) for r in out.collect()}
@@ -205,10 +205,9 @@ def test_settings(spark):
     }
 
 
-@pytest.mark.parametrize("max_buffered", [10**9, 2])
-def test_boxplot_golden(spark, max_buffered):
+def test_boxplot_golden(spark):
     df = frame(spark, [("a", float(v)) for v in [1, 2, 3, 4, 100]] + [("b", None), ("b", 2.0)], "k string, v double")
-    rows = {r["k"]: r for r in figures.boxplot_summary(df, ["k"], "v", max_buffered=max_buffered).collect()}
+    rows = {r["k"]: r for r in figures.boxplot_summary(df, ["k"], "v").collect()}
     a = rows["a"]
     assert (a["q1"], a["median"], a["q3"], a["whisker_low"], a["whisker_high"], a["n_outliers"]) == (2, 3, 4, 1, 4, 1)
     assert rows["b"]["n"] == 1 and rows["b"]["median"] == 2.0

@@ -36,26 +36,26 @@ def fitted(data):
 
 def test_one_hot_with_nulls(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, None, "y"), (3, "b", "x")], "id int, scenario string, soil_id string")
-    values = su.category_values(df, su.CATEGORICAL)
-    assert values == {"scenario": ["a", "b"], "soil_id": ["x", "y"]}
+    values = {"scenario": ["a", "b"], "soil_id": ["x", "y"]}
     rows = sorted(tuple(r) for r in su.one_hot(df, values).collect())
     assert rows == [(1, 1, 0, 1, 0), (2, 0, 0, 0, 1), (3, 0, 1, 1, 0)]
 
 
 def test_engineer_features(data):
-    frame, features, absent = su.engineer_features(data, ["lat", "sowing_doy", "scenario", "gcm", "elev"], TARGETS)
+    lists = {"scenario": ["ssp585", "ssp245"], "climate_model": ["m"]}
+    frame, features, absent = su.engineer_features(data, ["lat", "sowing_doy", "scenario", "gcm", "elev"], lists, TARGETS)
     assert features == ["lat", "scenario_ssp245", "scenario_ssp585", "sowing_doy"]
     assert absent == ["gcm", "elev"]
     assert frame.columns == [*features, *TARGETS, "simulation_id"]
     renamed = data.withColumn("climate_model", F.lit("m"))
-    assert su.engineer_features(renamed, ["gcm"])[1] == ["climate_model_m"]
+    assert su.engineer_features(renamed, ["gcm"], lists)[1] == ["climate_model_m"]
 
 
-def test_too_many_categories(spark, monkeypatch):
-    monkeypatch.setattr(su, "MAX_CATEGORY_COLUMNS", 3)
-    df = spark.range(10).select(F.col("id").cast("string").alias("soil_id"))
-    with pytest.raises(ValueError, match="vector"):
-        su.category_values(df, ["soil_id"])
+def test_limits_and_unused_settings_are_reported(data):
+    with pytest.raises(ValueError, match="deepest"):
+        su.fit_surrogate(data, NUMERIC, [], TARGETS, hyperparameters={"max_depth": 40})
+    with pytest.warns(UserWarning, match="min_samples_split"):
+        su.fit_surrogate(data.limit(200), NUMERIC, [], TARGETS[:1], hyperparameters={"n_estimators": 2, "min_samples_split": 5})
 
 
 def test_null_drop(spark):
