@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,25 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def may_hold(keys: DataFrame, key: str, bits: int = 1 << 24) -> Column:
+    """Filter for rows whose 64-bit ``key`` may be among ``keys``.
+
+    A table of ``bits`` bits, ``bits / 8`` bytes for any number of keys, goes to the tasks as
+    a scalar subquery. It lets every wanted row through and few others; with very many keys
+    it fills up and lets more through, so an exact join must follow.
+    """
+    h = keys.select(F.pmod(key, F.lit(bits)).alias("h"))
+    found = h.groupBy(F.floor(F.col("h") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 AS int)))").alias("v"))
+    rows = found.toArrow()  # bits / 64 rows at most
+    words_ = np.zeros(bits // 64, dtype="<i8")
+    words_[rows["w"].to_numpy()] = rows["v"].to_numpy()
+    marks = keys.sparkSession.createDataFrame([(bytearray(words_.tobytes()),)], "marks binary")
+    marks = stored(marks.coalesce(1), "row-marks").scalar()
+    at = F.pmod(F.col(key), F.lit(bits))
+    byte = F.conv(F.hex(F.substring(marks, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

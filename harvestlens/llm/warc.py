@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harvestlens.llm.common import pick, stored, table
+from harvestlens.llm.common import may_hold, pick, stored, table
 from harvestlens.llm.registry import query
 from harvestlens.session import shared_folder
 
@@ -48,10 +48,15 @@ def records(pages: DataFrame, revisit_from: int = 0, date: str = "2024-01-01T00:
     rows = pick(pages, "page_id", "url", "html").withColumn("_body", F.coalesce("html", F.lit("")))
     rows = rows.withColumn("_digest", base32_sha1(F.col("_body").cast("binary")))
     length = F.octet_length("_body")
-    # the first of each payload: small rows, combined before they are shuffled
-    first = rows.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    first = first.filter("_n > 1").select("_digest", "_first")
-    rows = rows.join(first, "_digest", "left")
+    # payloads that occur again, by a hash of the digest: small rows, combined before they
+    # are shuffled. Only pages that may have one of them are joined with the first of each
+    named = rows.select("page_id", "_digest").groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = stored(named.filter("_n > 1").select("_digest", "_first", F.xxhash64("_digest").alias("_key")), "warc-repeats")
+    maybe = may_hold(first, "_key")
+    keyed = rows.withColumn("_key", F.xxhash64("_digest")).withColumn("_maybe", maybe)
+    known = keyed.filter("_maybe").join(first.select("_digest", "_first"), "_digest", "left")
+    once = keyed.filter("NOT _maybe").withColumn("_first", F.lit(None).cast(rows.schema["page_id"].dataType))
+    rows = once.unionByName(known)
     again = (length >= revisit_from) & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"\r\n{key}: "), value)
@@ -211,9 +216,9 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, strict: bool
     joint = F.aggregate(
         F.slice("p", 2, F.size("p")), F.col("p")[0]["piece"], lambda acc, x: F.concat(acc, F.lit(_CUT).cast("binary"), x["piece"])
     )
-    gathered = gathered.select("file", "start", joint.alias("whole_record"), F.col("skip").alias("at"))
+    gathered = gathered.select("file", "start", joint.alias("whole_record"), F.col("skip").alias("gap"))
     rest = real.filter("NOT whole").join(gathered, ["file", "start"]).withColumn(
-        "payload", F.expr("substring(whole_record, cast(at + 1 AS int), cast(content_length AS int))")
+        "payload", F.expr("substring(whole_record, cast(gap + 1 AS int), cast(content_length AS int))")
     )
     rest = rest.withColumn(
         "digest",
