@@ -1,9 +1,9 @@
 """Two-sample t-test on aggregated moments, as plain columns.
 
-Spark has no Student distribution. For few degrees of freedom the finite
-trigonometric series (Abramowitz and Stegun 26.7.3-4) is summed over a short
-array. Beyond ``SERIES_LIMIT`` the statistic is turned into a normal one (Hill
-1970, Algorithm 395), so that the cost per group never depends on its size.
+Spark has no Student distribution. P(|T| > |t|) is a regularized incomplete beta function;
+its continued fraction (Abramowitz and Stegun 26.5.8) is evaluated from the inside out at a
+fixed depth, in the one of its two mirrored forms that converges for the value of t. One
+formula and one cost, whatever the degrees of freedom.
 
 Each step is a column of its own: an expression used in several places would
 otherwise be repeated in all of them.
@@ -16,84 +16,70 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SERIES_LIMIT = 2000
-_ERF_TERMS = 80
-_FRACTION_DEPTH = 120
-
-
-def normal_two_sided(z: Column) -> Column:
-    """P(|Z| > z) for a column z >= 0."""
-    half = z * z / 2
-    scale = math.sqrt(2 / math.pi)
-    # 1 - erf(z / sqrt 2) by its all-positive series
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(_ERF_TERMS)),
-        F.struct(z.alias("term"), z.alias("total")),
-        lambda acc, k: F.struct(
-            (acc["term"] * z * z / (2 * k + 1)).alias("term"),
-            (acc["total"] + acc["term"] * z * z / (2 * k + 1)).alias("total"),
-        ),
-        lambda acc: acc["total"],
-    )
-    # Mills ratio by its continued fraction, evaluated from the inside out
-    mills = F.aggregate(
-        F.sequence(F.lit(_FRACTION_DEPTH), F.lit(1), F.lit(-1)),
-        z,
-        lambda acc, k: z + k / acc,
+_DEPTH = 100
+_SHIFT = 16
+
+
+def _log_gamma_ratio(a: Column) -> Column:
+    """ln(gamma(a + 1/2) / gamma(a)): shifted upwards by a fixed number of steps, then its asymptotic series."""
+    shifted = F.aggregate(
+        F.sequence(F.lit(0), F.lit(_SHIFT - 1)),
+        F.lit(0.0),
+        lambda acc, k: acc + F.log((a + k) / (a + k + 0.5)),
     )
-    return F.when(z < 2.5, 1 - scale * F.exp(-half) * series).otherwise(
-        scale * F.exp(-half) / mills
+    z = a + _SHIFT
+    terms = (-1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144, 869 / 4194304)
+    series = F.lit(0.0)
+    for c in reversed(terms):
+        series = (series + c) / z
+    return shifted + 0.5 * F.log(z) + F.log1p(series)
+
+
+def _fraction(p: Column, q: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, without its leading factor."""
+
+    def step(acc: Column, k: Column) -> Column:
+        m = F.floor(k / 2).cast("double")
+        even = m * (q - m) * x / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 2 * m + 1))
+        return F.when(k % 2 == 0, even).otherwise(odd) / (1 + acc)
+
+    return F.aggregate(
+        F.sequence(F.lit(_DEPTH), F.lit(1), F.lit(-1)), F.lit(0.0), step, lambda acc: 1 / (1 + acc)
     )
 
 
 def add_student_two_sided(df: DataFrame, t: str, dof: str, name: str) -> DataFrame:
-    """Add P(|T| > |t|) for columns of statistics and integer degrees of freedom."""
-    v, x2 = F.col(dof), F.col(t) * F.col(t)
-    theta, cosine2, even = F.col("_theta"), F.col("_cosine2"), F.col("_even")
+    """Add P(|T| > |t|) for columns of statistics and degrees of freedom (1 or more, else NULL)."""
+    v, t2 = F.col("_v"), F.col("_t2")
     staged = df.withColumns(
-        {
-            "_theta": F.atan(F.abs(F.col(t)) / F.sqrt(v)),
-            "_cosine2": v / (v + x2),
-            "_even": v % 2 == 0,
-            "_exact": F.col(t).isNotNull() & v.between(1, SERIES_LIMIT),
-            "_y": F.when(v > SERIES_LIMIT, (v - 0.5) * F.log1p(x2 / v)),
-        }
+        {"_v": F.when(F.col(dof) >= 1, F.col(dof).cast("double")), "_t2": (F.col(t) * F.col(t)).cast("double")}
     )
-
-    def grow(acc: Column, k: Column) -> Column:
-        return F.struct(
-            (acc["term"] * F.when(even, (2 * k - 1) / (2 * k)).otherwise(2 * k / (2 * k + 1)) * cosine2)
-            .alias("term"),
-            (acc["total"] + acc["term"]).alias("total"),
-        )
-
-    last = F.floor((v - F.when(even, 2).otherwise(3)) / 2).cast("int")
-    steps = F.when(F.col("_exact") & (last >= 0), F.sequence(F.lit(1), last + 1))
-    first = F.when(even, F.lit(1.0)).otherwise(F.sqrt(cosine2))
-    b = 48 * (v - 0.5) * (v - 0.5)
-    y = F.col("_y")
-    tail = (((-0.4 * y - 3.3) * y - 24) * y - 85.5) / (0.8 * y * y + 100 + b)
     staged = staged.withColumns(
         {
-            "_series": F.aggregate(
-                steps,
-                F.struct(first.alias("term"), F.lit(0.0).alias("total")),
-                grow,
-                lambda acc: acc["total"],
+            # the central form converges where t is small against the freedom and in itself
+            "_central": (t2 < v) & (t2 < 20),
+            "_factor": F.exp(
+                -(v / 2) * F.log1p(t2 / v)
+                + 0.5 * F.log(t2 / (v + t2))
+                - 0.5 * math.log(math.pi)
+                + _log_gamma_ratio(v / 2)
             ),
-            "_z": ((tail + y + 3) / b + 1) * F.sqrt(y),
         }
     )
-    total = F.col("_series")
-    inside = (
-        F.when(v == 1, 2 * theta / math.pi)
-        .when(even, F.sin(theta) * total)
-        .otherwise((theta + F.sin(theta) * total) * (2 / math.pi))
-    )
-    p = F.when(F.col("_exact"), F.greatest(F.lit(0.0), 1 - inside)).when(
-        F.col("_z").isNotNull(), normal_two_sided(F.col("_z"))
+    central = F.col("_central")
+    staged = staged.withColumns(
+        {
+            "_p": F.when(central, 0.5).otherwise(v / 2),
+            "_q": F.when(central, v / 2).otherwise(0.5),
+            "_x": F.when(central, t2 / (v + t2)).otherwise(v / (v + t2)),
+        }
     )
-    return staged.withColumn(name, p).drop("_theta", "_cosine2", "_even", "_exact", "_y", "_series", "_z")
+    staged = staged.withColumn("_beta", F.col("_factor") / F.col("_p") * _fraction(F.col("_p"), F.col("_q"), F.col("_x")))
+    tail = F.when(central, 1 - F.col("_beta")).otherwise(F.col("_beta"))
+    p = F.when(v.isNotNull() & (t2 == 0), 1.0).otherwise(F.greatest(F.lit(0.0), tail))
+    p = F.when(v.isNotNull() & t2.isNotNull(), p)
+    return staged.withColumn(name, p).drop("_v", "_t2", "_central", "_factor", "_p", "_q", "_x", "_beta")
 
 
 def add_t_test(df: DataFrame, a: str, b: str, name: str = "p_value") -> DataFrame:
@@ -114,7 +100,7 @@ def add_t_test(df: DataFrame, a: str, b: str, name: str = "p_value") -> DataFram
             "_constant": complete & (a["var"] == 0) & (b["var"] == 0) & (a["mean"] != b["mean"]),
         }
     )
-    tested = add_student_two_sided(staged, "_t", "_dof", "_p")
+    tested = add_student_two_sided(staged, "_t", "_dof", "_tail")
     return tested.withColumn(
-        name, F.when(F.col("_constant"), F.lit(0.0)).otherwise(F.col("_p"))
-    ).drop("_t", "_dof", "_constant", "_p")
+        name, F.when(F.col("_constant"), F.lit(0.0)).otherwise(F.col("_tail"))
+    ).drop("_t", "_dof", "_constant", "_tail")

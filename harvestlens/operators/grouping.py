@@ -157,9 +157,12 @@ def number_rows(
     bucket: Column,
     order: Sequence[Column],
     name: str,
+    total: str | None = None,
 ) -> DataFrame:
     """Position (from 1) of each row in its group, ordered by ``bucket`` then ``order``.
 
+    ``total`` names a column for the rows of the group, which the bucket counts give too.
+
     Rows are sorted inside (group, bucket) only; a running sum of the bucket
     counts gives the offsets. ``bucket`` must grow with the order wanted and cut
     a group into pieces one task can sort.
@@ -170,9 +173,10 @@ def number_rows(
     earlier = (
         Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = counts.select(
-        *keys, "_bucket", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_offset")
-    )
+    sums = [F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_offset")]
+    if total:
+        sums.append(F.sum("_c").over(Window.partitionBy(*keys)).alias(total))
+    offsets = counts.select(*keys, "_bucket", *sums)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
         rows.withColumn("_rank", F.row_number().over(inside))

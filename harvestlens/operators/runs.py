@@ -95,8 +95,8 @@ def split_work(
         raise ValueError("tasks must be at least 1")
     text = col(key).cast("string")
     bucket = F.substring(F.md5(text), 1, digits)
-    numbered = number_rows(runs, [], bucket, [text], "_pos")
-    total = runs.agg(F.count(F.lit(1))).scalar()
+    numbered = number_rows(runs, [], bucket, [text], "_pos", "_total")
+    total = F.col("_total")
     small = F.floor(total / tasks)
     extra = total % tasks
     wide = extra * (small + 1)
@@ -104,7 +104,7 @@ def split_work(
     task = F.when(at < wide, F.floor(at / (small + 1))).otherwise(
         extra + F.floor(F.try_divide(at - wide, small))
     )
-    return numbered.withColumn(name, (task + 1).cast("int")).drop("_pos")
+    return numbered.withColumn(name, (task + 1).cast("int")).drop("_pos", "_total")
 
 
 def task_runs(runs: DataFrame, task: int, tasks: int, key: str = "simulation_id") -> DataFrame:

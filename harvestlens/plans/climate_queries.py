@@ -121,22 +121,28 @@ def _cell_sql(lat_order: str, lon_order: str, lat_where: str = "true", lon_where
  select location_id, date, {_rounded(WEATHER)} from m join grid using (lat, lon)"""
 
 
+def _series(spark, sf_dir, method="nearest"):
+    """Series at the points; the axes come from the long cells, before they are pivoted."""
+    axes = grid.grid_axes(climate_cells(spark, sf_dir))
+    return grid.extract_points(points(spark, sf_dir), grid_daily(spark, sf_dir), WEATHER, method=method, axes=axes)
+
+
 @query("nearest_cell", _cell_sql("abs(a - X), a desc", "abs(a - X), a desc"))
 def nearest_cell(spark, sf_dir):
-    return tidy(grid.extract_points(points(spark, sf_dir), grid_daily(spark, sf_dir), WEATHER))
+    return tidy(_series(spark, sf_dir))
 
 
 @query("previous_cell", _cell_sql("a desc", "a desc", "a <= X", "a <= X"))
 def previous_cell(spark, sf_dir):
     return tidy(
-        grid.extract_points(points(spark, sf_dir), grid_daily(spark, sf_dir), WEATHER, method="previous")
+        _series(spark, sf_dir, method="previous")
     )
 
 
 @query("next_cell", _cell_sql("a", "a", "a >= X", "a >= X"))
 def next_cell(spark, sf_dir):
     return tidy(
-        grid.extract_points(points(spark, sf_dir), grid_daily(spark, sf_dir), WEATHER, method="next")
+        _series(spark, sf_dir, method="next")
     )
 
 
@@ -160,7 +166,7 @@ def next_cell(spark, sf_dir):
 )
 def bilinear(spark, sf_dir):
     return tidy(
-        grid.extract_points(points(spark, sf_dir), grid_daily(spark, sf_dir), WEATHER, method="linear")
+        _series(spark, sf_dir, method="linear")
     )
 
 

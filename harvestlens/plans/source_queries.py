@@ -21,6 +21,7 @@ from harvestlens.plans.registry import query
 from harvestlens.plans.testbed import (
     CELLS,
     KEYS,
+    POINTS,
     SIM,
     STATUS,
     WEATHER,
@@ -61,6 +62,24 @@ def read_locations_csv(spark, sf_dir):
     return tidy(tables.read_locations(spark, path))
 
 
+@query(
+    "unreadable_locations_csv",
+    f"""with {POINTS} select location_id::varchar as location_id, case when location_id % 7 = 0 then 'n/a' else null end as lat,
+ case when location_id % 7 = 0 then '5' end as lon from points where location_id % 7 = 0 or location_id % 11 = 0""",
+)
+def unreadable_locations_csv(spark, sf_dir):
+    """Bad coordinates are reported instead of dropped in silence."""
+    path = shared_folder(spark, "locations")
+    k = F.col("location_id")
+    texts = points(spark, sf_dir).select(
+        k.cast("string").alias("location_id"),
+        F.when(k % 7 == 0, "n/a").when(k % 11 != 0, F.col("lat").cast("string")).alias("lat"),
+        F.when(k % 7 == 0, "5").when(k % 11 != 0, F.col("lon").cast("string")).alias("lon"),
+    )
+    texts.write.csv(path, header=True)
+    return tables.unreadable_locations(spark, path)
+
+
 @query(
     "read_region_map_csv",
     "select n_nationkey::varchar as location_id, n_regionkey::varchar as region_id from nation",
@@ -199,8 +218,9 @@ def impact_step_baseline(spark, sf_dir):
     f"with {_IMPACTS} {_ensemble_sql('impacts', _ENS_KEYS, _ENS, 'climate_model')}",
 )
 def impact_step_ensemble(spark, sf_dir):
-    stored = _analysis(spark, sf_dir)["impacts"]
-    return tidy(impacts.ensemble_statistics(stored, _ENS_KEYS.split(", "), _ENS, "climate_model"))
+    made = _analysis(spark, sf_dir)["ensemble"]
+    figures = [c for c in made.columns if c == "n_models" or c.startswith(tuple(f"{v}_" for v in _ENS))]
+    return tidy(made.select(*_ENS_KEYS.split(", "), *figures))
 
 
 @query(

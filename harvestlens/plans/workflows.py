@@ -39,8 +39,9 @@ def prepare_climate(
 ) -> dict[str, DataFrame]:
     """Gridded cells to checked point series.
 
-    The report is stored before it is used: read back, its size is known and
-    Spark can broadcast the rejected groups instead of shuffling the series.
+    The series are extracted once and stored; the report comes from the stored table. It is
+    stored too before it is used: read back, its size is known and Spark can broadcast the
+    rejected groups instead of shuffling the series.
     """
     cells = tables.read_climate(
         spark,
@@ -55,6 +56,8 @@ def prepare_climate(
     series = season.process_point_series(points, names or {}, conversions)
     required = [(names or {}).get(v, v) for v in variables]
     report_path, series_path = f"{out}/climate_report", f"{out}/climate_points"
+    tables.write_point_series(series, f"{out}/climate_series")
+    series = tables.read_point_series(spark, f"{out}/climate_series", schema=series.schema)
     report = quality.quality_report(series, CLIMATE_KEYS, required, limits)
     report.write.mode("overwrite").parquet(report_path)
     report = spark.read.parquet(report_path)

@@ -18,8 +18,10 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: int | str = "*", app: str = "harvestlens", memory: str = "8g") -> SparkSession:
-    """Session for tests and the benchmark; a cluster brings its own."""
+def local_session(
+    cpus: int | str = "*", app: str = "harvestlens", memory: str = "8g", folder: str | None = None
+) -> SparkSession:
+    """Session for tests and the benchmark; a cluster brings its own. ``folder``: ``spark.checkpoint.dir``."""
     partitions = 8 if cpus == "*" else int(cpus)
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -31,6 +33,8 @@ def local_session(cpus: int | str = "*", app: str = "harvestlens", memory: str =
         # recording the call site of every column costs more than planning small data
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
+    if folder:
+        builder = builder.config("spark.checkpoint.dir", folder)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

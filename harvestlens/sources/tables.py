@@ -7,8 +7,10 @@ Spark to rebalance: a large folder is split over tasks and small ones share one.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +62,13 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
     return require_columns(table, ["location_id", "lat", "lon"], "locations")
 
 
+def unreadable_locations(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a locations file whose coordinates are missing or no numbers, as text."""
+    rows = require_columns(spark.read.csv(path, header=True), ["location_id", "lat", "lon"], "locations")
+    bad = F.col("lat").try_cast("double").isNull() | F.col("lon").try_cast("double").isNull()
+    return rows.filter(bad).select("location_id", "lat", "lon")
+
+
 def read_region_map(spark: SparkSession, path: str) -> DataFrame:
     return _csv_by_header(spark, path, schemas.REGION_MAP)
 
@@ -156,8 +165,8 @@ def read_period_tables(spark: SparkSession, path: str, names: Sequence[str]) ->
     for name in names:
         try:
             out[name] = spark.read.parquet(f"{path.rstrip('/')}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
     return out
 
@@ -176,6 +185,8 @@ def write_by_suffix(df: DataFrame, path: str, codec: str = "snappy", mode: str =
     if path.endswith(".parquet"):
         df.write.mode(mode).option("compression", codec).parquet(path)
         return "parquet"
+    if not path.endswith(".csv"):
+        warnings.warn(f"unknown file type, written as CSV: {path}", stacklevel=2)
     df.write.mode(mode).csv(path, header=True)
     return "csv"
 

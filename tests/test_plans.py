@@ -12,7 +12,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 
 # These run jobs while they build (training, streams, stored steps) and end in a plain read.
 EAGER = {
-    "surrogate_predict", "surrogate_quality", "feature_importance", "impact_clusters", "status_stream",
+    "surrogate_predict", "surrogate_quality", "surrogate_boosted", "surrogate_stored", "feature_importance",
+    "impact_clusters", "status_stream",
     *(n for n in QUERIES if QUERIES[n].__module__.endswith("source_queries")),
 }
 PYTHON = {"parallel_apply"}
@@ -38,3 +39,24 @@ def test_results_scan_reads_only_needed_columns(spark, name):
     schemas = [line for line in plan.splitlines() if "ReadSchema" in line and "l_quantity" in line]
     assert schemas and all("l_tax" not in s and "l_shipdate" not in s for s in schemas)
     assert any("o_orderdate" in line for line in plan.splitlines() if "PushedFilters" in line)
+
+
+@pytest.mark.parametrize("name", ["standardize_long", "adaptation_settings", "period_assignment", "period_assignment_table"])
+def test_configured_lists_are_no_driver_tables(spark, name):
+    assert "ExistingRDD" not in explained(QUERIES[name](spark, SF_DIR))
+
+
+def _operators(plan):
+    """Names in the tree at the top of a formatted plan."""
+    return [line.strip(" :+-*|").split(" (")[0] for line in plan.split("\n\n")[0].splitlines()]
+
+
+def test_standard_names_need_one_shuffle(spark):
+    names = _operators(explained(QUERIES["standardize_long"](spark, SF_DIR)))
+    assert names.count("Exchange") == 1 and not any("Join" in n for n in names)
+
+
+def test_work_is_split_in_two_scans(spark):
+    """The rows and their bucket counts; the total comes with the counts."""
+    names = _operators(explained(QUERIES["work_split"](spark, SF_DIR)))
+    assert sum(n.startswith("Scan parquet") for n in names) <= 2
