@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harvestlens.functions.significance import add_t_test
 from harvestlens.operators import adaptation as ad
 from harvestlens.operators import figures, impacts, regions, scenario
 from harvestlens.plans.registry import query
@@ -494,3 +495,33 @@ def adaptation_rank(spark, sf_dir):
 def yearly_series(spark, sf_dir):
     sim = sim_results(spark, sf_dir)
     return tidy(impacts.yearly_means(sim, ["scenario"], F.col("year"), VALUES))
+
+
+@query(
+    "t_test_large_groups",
+    f"""with agg as (select l_linenumber % 2 as parity, count(*) filter (l_linestatus = 'F') as na,
+ count(*) filter (l_linestatus = 'O') as nb, avg(l_quantity) filter (l_linestatus = 'F') as ma,
+ avg(l_quantity) filter (l_linestatus = 'O') as mb, var_samp(l_quantity) filter (l_linestatus = 'F') as va,
+ var_samp(l_quantity) filter (l_linestatus = 'O') as vb from lineitem group by all),
+ tt as (select *, na + nb - 2 as df, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)) as t
+ from agg),
+ term as (select parity, k, case when k = 0 then case when df % 2 = 0 then 0 else 0.5 * ln(df / (df + t * t)) end
+  else ln(case when df % 2 = 0 then (2 * k - 1) / (2.0 * k) else 2 * k / (2.0 * k + 1) end * df / (df + t * t)) end as lt
+  from (select *, unnest(generate_series(0, case when df % 2 = 0 then (df - 2) // 2 else (df - 3) // 2 end)) as k from tt)),
+ series as (select parity, sum(e) as s from (select parity, exp(sum(lt) over (partition by parity order by k)) as e from term)
+  group by all)
+ select parity, na as n_a, nb as n_b, {r("case when df % 2 = 0 then 1 - sin(atan(abs(t) / sqrt(df))) * s "
+ "else 1 - 2 / pi() * (atan(abs(t) / sqrt(df)) + sin(atan(abs(t) / sqrt(df))) * s) end", 'p_value')}
+ from tt join series using (parity)""",
+)
+def t_test_large_groups(spark, sf_dir):
+    """Two samples of tens of thousands of rows in each group; the SQL sums the finite series."""
+    def sample(status):
+        x = F.when(F.col("l_linestatus") == status, F.col("l_quantity"))
+        return F.struct(
+            F.count(x).alias("rows"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var")
+        )
+
+    groups = table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") % 2).alias("parity"))
+    tested = add_t_test(groups.agg(sample("F").alias("a"), sample("O").alias("b")), "a", "b")
+    return tidy(tested.select("parity", F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), "p_value"))

@@ -130,6 +130,21 @@ def test_parallel_runs_capture_errors(spark):
     assert all(r["run_time"] >= 0 for r in rows.values())
 
 
+def test_runs_arrive_with_their_types(spark):
+    df = spark.createDataFrame([("a", 1, None), ("b", None, [2, 3])], "simulation_id string, x int, y array<int>")
+    out = apply.run_in_parallel(df, lambda run: f"{run['x']!r} {run['y']!r}")
+    assert {r["simulation_id"]: r["message"] for r in out.collect()} == {"a": "1 None", "b": "None [2, 3]"}
+
+
+def test_long_outputs_keep_runs_without_a_mapped_output(spark):
+    rows = [("1", "DSSAT", "GWAD", "5"), ("1", "DSSAT", "ETCP", None), ("2", "DSSAT", "other", "7"), ("3", None, "GWAD", "1")]
+    df = spark.createDataFrame(rows, "simulation_id string, crop_model string, model_var string, value string")
+    out = results.standardize_long(df, ["Yield_kg_ha", "ETc_mm"])
+    assert {r["simulation_id"]: (r["Yield_kg_ha"], r["ETc_mm"]) for r in out.collect()} == {
+        "1": (5.0, None), "2": (None, None), "3": (None, None)
+    }
+
+
 def test_retry_waits_and_gives_up(monkeypatch):
     waits, calls = [], []
     monkeypatch.setattr(apply.time, "sleep", waits.append)

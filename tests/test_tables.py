@@ -116,3 +116,10 @@ def test_shared_folder_follows_the_setting():
     assert "/x-" in shared_folder(session_with(None, "local[2]"), "x")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session_with(None, "yarn"), "x")
+
+
+def test_unreadable_locations(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("location_id,lat,lon\na,1.5,2\nb,north,2\nc,,3\n")
+    bad = tables.unreadable_locations(spark, f"{tmp_path}/l.csv").collect()
+    assert [(r["location_id"], r["lat"]) for r in bad] == [("b", "north"), ("c", None)]
+    assert tables.read_locations(spark, f"{tmp_path}/l.csv").filter("lat is null").count() == 2
