@@ -157,6 +157,24 @@ def near_duplicates(
     ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-@query("op8_embedding_near_dedup")
+@query(
+    "op8_embedding_near_dedup",
+    oracle="""
+    WITH RECURSIVE v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+    ), g AS (
+        SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS norm FROM v
+    ), e AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id
+        WHERE list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.95
+    ), r(root, node) AS (
+        SELECT vec_id, vec_id FROM v UNION SELECT r.root, e.b FROM r JOIN e ON r.node = e.a
+    ), n AS (
+        SELECT a, count(*) AS n FROM e GROUP BY a
+    )
+    SELECT root AS vec_id, any_value(coalesce(n.n, 0)) AS n_links, min(node) AS component_id, min(node) = root AS kept
+    FROM r LEFT JOIN n ON n.a = root GROUP BY root
+    """,
+)
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -233,7 +233,24 @@ def page_number(record_id: Column) -> Column:
     return F.regexp_extract(record_id, r"^<urn:x-page:(-?\d+)>$", 1).try_cast("long")
 
 
-@query("op6_warc")
+@query(
+    "op6_warc",
+    oracle="""
+    WITH h AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+    ), d AS (
+        SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr(
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + (('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (5 * (3 - i % 4))) % 32, 1)), 'string_agg', '') AS payload_digest
+        FROM h
+    ), f AS (
+        SELECT payload_digest, min(page_id) AS first FROM d GROUP BY payload_digest
+    )
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM d JOIN f USING (payload_digest)
+    """,
+)
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "archive")
     write_warc(table(spark, sf_dir, "pages"), path)

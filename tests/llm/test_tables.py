@@ -247,14 +247,15 @@ def test_one_query_per_operator():
     assert set(ORACLES) <= set(QUERIES) and [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
 
 
-def test_quality_query_equals_sql(spark):
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_queries_equal_sql(spark, name):
     from tests.compare import database, difference, spark_rows, sql_rows
 
     sf_dir = "/root/testdata/sf0.001"
-    got = spark_rows(QUERIES["op1_quality_rules"](spark, sf_dir))
-    assert difference(got, sql_rows(database(sf_dir), ORACLES["op1_quality_rules"])) == ""
+    got = spark_rows(QUERIES[name](spark, sf_dir))
+    assert difference(got, sql_rows(database(sf_dir), ORACLES[name])) == ""
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n != "op1_quality_rules"])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
 def test_queries_run(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
