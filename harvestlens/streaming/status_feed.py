@@ -10,6 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from harvestlens.operators.runs import latest_status
 
 
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def read_feed(
     spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int | None = None
 ) -> DataFrame:
@@ -27,8 +30,11 @@ def track_status(
     The state store keeps one state per run. Each batch writes only the runs it
     changed, into its own folder: repeating a batch after a failure replaces
     that folder. An event older than the state, by (ts, seq), changes nothing
-    but the start time and the count.
+    but the start time and the count, however late it comes. State is kept by
+    RocksDB, outside the executors' heap.
     """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+
     def save(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{table}/batch={batch}")
 
