@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from harvestlens.session import shared_folder
 
@@ -113,5 +113,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def schema_of(df: DataFrame, names: Sequence[str]) -> T.StructType:
-    return T.StructType([df.schema[n] for n in names])
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to at most ``rows`` rows, so that what is made of long texts stays small."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)

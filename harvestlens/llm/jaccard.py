@@ -1,7 +1,7 @@
 """N-gram Jaccard join by parity sketches.
 
 Every shingle flips one bit of a sketch, so two sketches differ in at most as many bits as
-the sets differ in shingles. Two sketches are kept per set:
+the sets differ in shingles. Two kinds of sketch are kept per set:
 
 * a wide one, cut into bands. A band stands for the odd positions of its part, folded by
   XOR into 64 bits. Sets of a size class that are similar enough differ in at most ``d``
@@ -9,15 +9,26 @@ the sets differ in shingles. Two sketches are kept per set:
   candidates, without loss. Sizes are classed by powers of ``CLASS_RATIO``; a set also
   emits the bands of the class below if partners may be there. Empty bands say little:
   ``SPARE`` more bands let a set leave out that many of them.
-* a dense one of 512 bits, whose Hamming distance sorts out candidates before their sets
-  are compared.
+* a dense one of 512 bits, whose Hamming distance sorts out candidates inside the join; a
+  longer one of two bits a shingle or more, made for candidates only, does so again before
+  their sets are compared.
 
 Sets that are equal are one class from the start, so copies, however many, are one node.
-Candidates are compared in two steps. First each class with the smallest class of its
-band: linear in the members. Then, in bands whose members are not in one component yet,
-members of different components, pairs far apart by the dense sketch being dropped inside
-the join. Every pair is exactly compared unless it cannot link or its ends are in one
-component already, so components are exact (class and band hashes have 64 bits).
+Candidates are compared in steps, each leaving less to the next:
+
+1. Each class with the smallest class of its band: linear in the members.
+2. In bands whose members are not in one component yet: each member with the next two in an
+   order of the band's own, again linear; it joins most of a group whose texts link with
+   many others but not with its first.
+3. Members of one band that are in different components, pairs far apart by the dense
+   sketch being dropped inside the join. Bands with more than ``CROWDED`` members (of a
+   large group of texts that resemble one another but mostly don't link) are left out;
+   their members are cut into ``FINER`` times as many bands as can differ and one, of which
+   a linked pair must share all but those. So it must share one among the ``d + 1`` rarest
+   of each set (prefix filter), and rare bands are shared by few.
+
+Every pair is exactly compared unless it cannot link or its ends are in one component
+already, so components are exact (class and band hashes have 64 bits).
 
 Rows: a null or blank text has an empty set and links with nothing; with fewer words than
 ``shingle`` the whole sequence is one shingle. A component's id is its smallest non-null
@@ -31,15 +42,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harvestlens.llm.common import components, pick, stored, table
+from harvestlens.llm.common import components, in_parts, may_hold, pick, stored, table
 from harvestlens.llm.registry import query
 
 CLASS_RATIO = 1.6
 SPARE = 4
+CROWDED = 16  # members of a band above which it is cut finer
+FINER = 2
+CHAIN_ROUNDS = 1
 SKETCH_WORDS = 8  # 512 bits
+FILTER_BITS = 1 << 24  # of the table that finds the rows whose sets are needed: 2 MB
 _U = np.uint64
 # Odd multipliers for the positions of a shingle and for mixing.
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -55,7 +70,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, kept while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -78,6 +93,11 @@ def shingle_hashes(text: str | None, shingle: int, hashes: _WordHashes) -> np.nd
     return np.unique(_mixed(out))
 
 
+def row_key() -> Column:
+    """Names a row by its id and text; equal rows are equal here."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
 def size_classes(percent: int, up_to: int) -> list[tuple[int, int, int]]:
     """(first size, last size, bands) of each size class.
 
@@ -85,8 +105,9 @@ def size_classes(percent: int, up_to: int) -> list[tuple[int, int, int]]:
     ``d`` shingles; bands = d + 1 + SPARE.
     """
     found, first = [], 1
+    ratio = max(CLASS_RATIO, 100 / percent)  # a set's partners are of its class or one next to it
     while first <= up_to:
-        last = max(first, int(first * CLASS_RATIO))
+        last = max(first, int(first * ratio))
         larger = last * 100 // percent
         d = (100 - percent) * (last + larger) // (100 + percent)
         found.append((first, last, d + 1 + SPARE))
@@ -104,22 +125,28 @@ def _bands(s: np.ndarray, number: int, bands: int) -> np.ndarray:
     return name[filled] if bands - filled.sum() <= SPARE else name
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    odd = np.bincount((s & _U(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+def _sketch(s: np.ndarray, bits: int = 64 * SKETCH_WORDS) -> np.ndarray:
+    """Parity of the shingles at each of ``bits`` (a power of two) positions; halves fold by XOR."""
+    odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _long_sketch(s: np.ndarray) -> np.ndarray:
+    """Two to four bits a shingle: the distance of two such is close to the true difference."""
+    return _sketch(s, max(64 * SKETCH_WORDS, 1 << int(2 * len(s) - 1).bit_length()))
+
+
 SIGNED = "doc_id {kind}, row_key long, n int, class long, sketch array<long>, bands array<long>"
 
 
 def sign(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """One row per document: set size, class (hash of the set), dense sketch, band hashes."""
-    source = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), "text")
+    source = pick(docs, "doc_id", "text").select("doc_id", row_key().alias("row_key"), "text")
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, classes = _WordHashes(), size_classes(percent, 64)
-        for batch in batches:
+        for batch in in_parts(batches):
             sizes, names, sketches, bands = [], [], [], []
             for text in batch.column(2):
                 s = shingle_hashes(text.as_py(), shingle, hashes)
@@ -156,80 +183,179 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``class, set`` of the wanted (row_key, class) rows, from the texts of one row each."""
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), "text")
-    texts = texts.join(wanted, "row_key").dropDuplicates(["class"]).select("class", "text")
+def _wanted_texts(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``row_key, text`` of rows that may be among the wanted (row_key, class) ones.
+
+    The texts stay where they are; the few that come through are joined with the wanted
+    rows after their texts have become small.
+    """
+    texts = docs.select(row_key().alias("row_key"), "text")
+    return texts.filter(may_hold(wanted, "row_key", bits))
+
+
+def _of_sets(docs: DataFrame, wanted: DataFrame, shingle: int, make, fields: str) -> DataFrame:
+    """``class`` and the columns that ``make(set)`` gives, lists of 64-bit integers, for the wanted rows."""
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
-            found = [shingle_hashes(t.as_py(), shingle, hashes).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], names=["class", "set"])
+        for batch in in_parts(batches):
+            made = [make(shingle_hashes(t.as_py(), shingle, hashes)) for t in batch.column(1)]
+            columns = [_lists([m[i] for m in made]) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row_key", *names])
+
+    made = _wanted_texts(docs, wanted).mapInArrow(run, f"row_key long, {fields}")
+    # a wanted class has one row key; rows equal in id and text share it, and the join's
+    # partitioning serves to drop them
+    return made.join(wanted, "row_key").dropDuplicates(["row_key"]).drop("row_key")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``class, set`` of the wanted (row_key, class) rows."""
+    return _of_sets(docs, wanted, shingle, lambda s: (s.view(np.int64),), "set array<long>")
+
+
+def long_sketches(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    return _of_sets(docs, wanted, shingle, lambda s: (_long_sketch(s),), "long array<long>")
 
-    return texts.mapInArrow(run, "class long, set array<long>")
 
+def rare_bands(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``class, band``: the rarest of the finer bands of each wanted class, as many as can differ and one."""
 
-def _far(percent: int):
+    def make(s: np.ndarray) -> tuple[np.ndarray, ...]:
+        found = []
+        for i, (first, last, n) in enumerate(size_classes(percent, 2 * len(s))):
+            if first <= len(s) <= last or (last < len(s) and len(s) * percent <= 100 * last):
+                found.append(_all_bands(s, i, FINER * (n - SPARE)).view(np.int64))
+        # those of the class below, if any, and those of the set's own class
+        none = np.zeros(0, dtype=np.int64)
+        return (none, none, *found)[-2:]
+
+    lists = _of_sets(docs, wanted, shingle, make, "lower array<long>, own array<long>")
+    parts = F.explode(F.array(*[F.struct((F.size(c) / FINER).cast("int").alias("need"), F.col(c).alias("bands")) for c in ("lower", "own")]))
+    rows = lists.select("class", parts.alias("p")).select("class", "p.need", F.explode("p.bands").alias("band"))
+    # bands of one set only come first in its order and meet nothing: they are counted, not moved
+    often = F.count(F.lit(1)).over(Window.partitionBy("band"))
+    shared = rows.withColumn("often", often).filter("often > 1")
+    order = Window.partitionBy("class", "need").orderBy("often", "band")
+    whole = Window.partitionBy("class", "need")
+    alone = FINER * F.col("need") - F.count(F.lit(1)).over(whole)
+    return shared.withColumn("place", alone + F.row_number().over(order)).filter("place <= need").select("class", "band")
+
+
+def _all_bands(s: np.ndarray, number: int, bands: int) -> np.ndarray:
+    """All finer bands of a set in size class ``number``, empty ones included."""
+    place = ((s >> _U(29)) % _U(bands)).astype(np.int64)
+    fold = np.zeros(bands, dtype=_U)
+    np.bitwise_xor.at(fold, place, s)
+    return _mixed(fold + _U(_MIX[2]) * (np.arange(bands, dtype=_U) + _U(number * 0x10001 + 7)))
+
+
+def _far(percent: int) -> str:
     """SQL: the dense sketches of ``x`` and ``y`` prove that the pair doesn't link."""
     distance = " + ".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_WORDS))
     apart = f"({distance}) * {100 + percent} > {100 - percent} * (x.n + y.n)"
     return f"{apart} OR 100 * least(x.n, y.n) < {percent} * greatest(x.n, y.n)"
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, signed: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough, by their exact sets."""
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    keys = signed.join(ends, "class").groupBy("class").agg(F.min("row_key").alias("row_key"))
-    sets = stored(sets_of(docs, keys, shingle), "shingle-sets")
-    left = sets.select(F.col("class").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("class").alias("b"), F.col("set").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    united = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * united).select("a", "b")
+def _folded(x: str, y: str) -> str:
+    """SQL: sketch ``x`` folded to the length of ``y`` if it is longer (twice as long at most)."""
+    half = f"zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q)"
+    return f"if(size({x}) > size({y}), {half}, {x})"
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, keys: DataFrame, longs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough.
+
+    The long sketches, a small part of the sets' size, are compared first and leave few
+    pairs that don't link; the sets of those are then made and compared exactly.
+    """
+    def end(df: DataFrame, name: str, *what: str) -> DataFrame:
+        return df.select(F.col("class").alias(name), *[F.col(w).alias(f"{w}_{name}") for w in what])
+
+    differ = f"zip_with({_folded('long_a', 'long_b')}, {_folded('long_b', 'long_a')}, (p, q) -> bit_count(p ^ q))"
+    apart = f"aggregate({differ}, 0, (s, x) -> s + x) * {100 + percent} > {100 - percent} * (n_a + n_b)"
+    near = pairs.join(end(longs, "a", "long", "n"), "a").join(end(longs, "b", "long", "n"), "b")
+    near = stored(near.filter(f"NOT ({apart})").select("a", "b"), "near-pairs")
+    ends = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct()
+    sets = stored(sets_of(docs, stored(keys.join(ends, "class"), "near-keys"), shingle), "shingle-sets")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    united = F.size("set_a") + F.size("set_b") - both
+    return near.join(end(sets, "a", "set"), "a").join(end(sets, "b", "set"), "b").filter(
+        100 * both >= percent * united
+    ).select("a", "b")
 
 
 def similarity_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, row_key, n_shingles, part, component_id.
 
     Documents link when 100 * intersection >= ``percent`` * union of their shingle sets;
-    ``row_key`` is a hash of the text, ``part`` names the component (null for an empty set),
+    ``row_key`` is a hash of id and text, ``part`` names the component (null for an empty set),
     ``component_id`` is the smallest doc_id reachable.
     """
     docs = pick(docs, "doc_id", "text")
     signed = stored(sign(docs, shingle, percent), "signed")
     some = signed.filter("n > 0")
-    heads = some.groupBy("class").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    rows = heads.select("class", F.explode("bands").alias("band"))
+    heads = some.groupBy("class").agg(F.first("bands").alias("bands"))
     group = Window.partitionBy("band")
-    crowded = rows.withColumn("least", F.min("class").over(group)).withColumn("most", F.max("class").over(group))
-    members = stored(crowded.filter("least < most").select("class", "band", "least"), "band-members")
-    needed = members.select("class").distinct()
-    sketches = stored(
-        some.join(needed, "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")),
-        "sketches",
+    crowd = heads.select("class", F.explode("bands").alias("band")).withColumn("least", F.min("class").over(group))
+    crowd = crowd.withColumn("members", F.count(F.lit(1)).over(group)).filter("members > 1")
+    members = stored(crowd, "band-members")
+    facts = some.join(members.select("class").distinct(), "class", "left_semi").groupBy("class")
+    facts = stored(
+        facts.agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("row_key").alias("row_key")), "sketches"
     )
+    keys = facts.select("class", "row_key")
+    longs = stored(long_sketches(docs, keys, shingle).join(facts.select("class", "n"), "class"), "long-sketches")
     far = _far(percent)
+
+    def end(name: str, side: str) -> DataFrame:
+        return facts.select(F.col("class").alias(name), F.struct("n", "sketch").alias(side))
+
     stars = members.filter("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
-    x = sketches.select(F.col("class").alias("a"), F.struct("n", "sketch").alias("x"))
-    y = sketches.select(F.col("class").alias("b"), F.struct("n", "sketch").alias("y"))
-    stars = stored(stars.join(x, "a").join(y, "b").filter(f"NOT ({far})").select("a", "b"), "star-pairs")
-    links = stored(_linked(stars, docs, signed, shingle, percent), "star-links")
-    joined = components(links)
-
-    # what is left: members of one band in different components
-    named = members.join(joined, members["class"] == joined["node"], "left").select(
-        "class", "band", F.coalesce("component", "class").alias("part")
-    )
-    mixed = named.withColumn("lo", F.min("part").over(group)).withColumn("hi", F.max("part").over(group))
-    mixed = mixed.filter("lo < hi").select("class", "band", "part")
-    mixed = stored(mixed.join(sketches, "class"), "open-members")
-    left = mixed.select("band", F.col("class").alias("a"), F.col("part").alias("pa"), F.struct("n", "sketch").alias("x"))
-    right = mixed.select("band", F.col("class").alias("b"), F.col("part").alias("pb"), F.struct("n", "sketch").alias("y"))
+    stars = stars.join(end("a", "x"), "a").join(end("b", "y"), "b").filter(f"NOT ({far})").select("a", "b")
+    links = stored(_linked(stored(stars, "star-pairs"), docs, keys, longs, shingle, percent), "star-links")
+    joined = stored(components(links), "star-components")
+
+    def still_open() -> DataFrame:
+        """Members of bands that reach over several components, with their component."""
+        named = members.join(joined, members["class"] == joined["node"], "left").select(
+            "class", "band", "members", F.coalesce("component", "class").alias("part")
+        )
+        wide = named.withColumn("lo", F.min("part").over(group)).withColumn("hi", F.max("part").over(group))
+        return wide.filter("lo < hi").select("class", "band", "members", "part")
+
+    # neighbours in an order of each band's own: still linear in the members, and enough to
+    # join most of a group whose texts link with many others but not with its first
+    for turn in range(CHAIN_ROUNDS):
+        known = still_open().join(facts.select("class", "n", "sketch"), "class")
+        order = Window.partitionBy("band").orderBy(F.xxhash64("class", "band", F.lit(turn)), "class")
+        own = F.struct("class", "part", "n", "sketch")
+        nexts = known.select(own.alias("x"), *[F.lead(own, i).over(order).alias(f"y{i}") for i in (1, 2)])
+        pairs = nexts.select("x", F.explode(F.array("y1", "y2")).alias("y")).filter(
+            f"y IS NOT NULL AND x.part <> y.part AND NOT ({far})"
+        )
+        pairs = pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+        more = _linked(stored(pairs, "chain-pairs"), docs, keys, longs, shingle, percent)
+        links = stored(links.union(more), "chain-links")
+        joined = stored(components(links), "chain-components")
+
+    # what is left: every pair of members of one band in different components
+    open_ = stored(still_open(), "open-members")
+    crowded = open_.filter(F.col("members") > CROWDED).select("class", "part").distinct()
+    crowded = stored(crowded.join(keys, "class"), "crowded-classes")
+    rare = rare_bands(docs, crowded.select("class", "row_key"), shingle, percent)
+    rare = rare.join(crowded.select("class", "part"), "class").select("class", "band", "part")
+    meeting = open_.filter(F.col("members") <= CROWDED).select("class", "band", "part").union(rare)
+    meeting = stored(meeting.join(facts.select("class", "n", "sketch"), "class"), "meeting-members")
+
+    def side(name: str, part: str, facts_: str) -> DataFrame:
+        return meeting.select("band", F.col("class").alias(name), F.col("part").alias(part), F.struct("n", "sketch").alias(facts_))
+
+    left, right = side("a", "pa", "x"), side("b", "pb", "y")
     rest = left.join(right, (left["band"] == right["band"]) & F.expr(f"a < b AND pa <> pb AND NOT ({far})"))
-    rest = stored(rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti").join(
-        stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "open-pairs")
-    more = _linked(rest, docs, signed, shingle, percent)
+    rest = stored(rest.select("a", "b").distinct(), "open-pairs")
+    more = _linked(rest, docs, keys, longs, shingle, percent)
     joined = components(links.union(more))
 
     ids = signed.select("class", "doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"))
@@ -261,14 +387,37 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     gone = found.join(first, "part").filter(~rank.eqNullSafe(F.col("first"))).select(
         F.col("doc_id").alias("_gone_id"), F.col("row_key").alias("_gone_key")
     )
-    keyed = docs.withColumn("_gone_row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("_gone_row", row_key())
     left = keyed.join(
         gone, keyed["doc_id"].eqNullSafe(gone["_gone_id"]) & (keyed["_gone_row"] == gone["_gone_key"]), "left_anti"
     )
     return left.dropDuplicates(["doc_id", "_gone_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-@query("op3_ngram_jaccard")
+@query(
+    "op3_ngram_jaccard",
+    oracle=r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+            lambda x: x <> '') AS w
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+    ), n AS (
+        SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), p AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+    ), e AS (
+        SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+    ), r(root, node) AS (
+        SELECT doc_id, doc_id FROM documents UNION SELECT r.root, e.b FROM r JOIN e ON r.node = e.a
+    )
+    SELECT root AS doc_id, any_value(coalesce(n.n, 0)) AS n_shingles, min(node) AS component_id
+    FROM r LEFT JOIN n ON n.doc_id = root GROUP BY root
+    """,
+)
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return similarity_classes(docs, shingle=4, percent=85).select("doc_id", "n_shingles", "component_id")
