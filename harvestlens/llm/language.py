@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harvestlens.llm.common import held_out, table
+from harvestlens.llm.common import held_out, in_parts, table
 from harvestlens.llm.registry import query
 
 # First and last code point of the letters of each script.
@@ -50,7 +50,7 @@ _FROM = np.array([a for a, _, _ in _BOUNDS])
 _TO = np.array([b for _, b, _ in _BOUNDS])
 _SCRIPT = np.array([i for _, _, i in _BOUNDS])
 UNDETERMINED = "und"
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 2 << 20
 
 
 def scripts_of(points: np.ndarray) -> np.ndarray:
@@ -228,7 +228,7 @@ def _label(model: LanguageModel, texts: pa.Array, spans: bool) -> dict[str, list
     codes = flat.indices.to_numpy()
     base = offsets[0]
     is_word = np.array([any(c.isalpha() for c in w) for w in vocabulary], dtype=bool)
-    if len(model._known) > 400_000:
+    if len(model._known) > 150_000:
         model._known.clear()
         model._rows.clear()
     known, rows = model._known, model._rows
@@ -299,7 +299,7 @@ def identify(
             pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("n_letters", pa.int64())])
         )
         kinds = {"lang_pred": pa.string(), "score": pa.float64(), "lang_spans": span_type}
-        for batch in batches:
+        for batch in in_parts(batches, 2000):
             found: dict[str, list] = {f.name: [] for f in added}
             for part in _slices(batch.column(batch.num_columns - 1)):
                 for name, values in _label(model, part, spans).items():

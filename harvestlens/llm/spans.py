@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harvestlens.llm.common import pick, stored, table
+from harvestlens.llm.common import in_parts, pick, stored, table
 from harvestlens.llm.registry import query
 
 _CUT = re.compile(r"[.!?…。！？][\"')\]»”]*\s+|\n\s*")
@@ -160,7 +160,7 @@ def remove_repeats(docs: DataFrame, run_words: int = 25, passage_words: int = 50
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             texts, totals, removed = [], [], []
             for text, spans in zip(batch.column(at), batch.column(batch.num_columns - 1)):
                 value = text.as_py()
