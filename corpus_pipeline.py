@@ -6,7 +6,7 @@ Stages, each over all that its predecessor kept:
    has half of the letters.
 2. ``near_duplicates`` keeps one document of each group linked by five-word shingles with a
    Jaccard similarity of 0.8 or more: the smallest doc_id.
-3. ``repeated_passages`` cuts passages of 50 words or more that occur earlier.
+3. ``repeated_passages`` cuts runs of sentences, of 12 words or more, that occur earlier.
 4. ``mixing`` draws blocks of words by source weights; a document may come back whole, in
    part, or up to three times.
 5. ``packing`` fills sequences of several permitted lengths.
@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = spans.remove_repeats(docs).drop("n_sentences", "n_removed")
+    out = spans.remove_repeats(docs, spans.RUN_WORDS, passage_words=0).drop("n_sentences", "n_removed")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

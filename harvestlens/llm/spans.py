@@ -3,10 +3,12 @@
 A text is cut into sentences (after ``.!?`` with white space, and at line ends). A run is
 several consecutive sentences, as few as reach ``run_words`` words; every sentence begins
 one and ends one. A run whose words occur elsewhere, earlier in the order (doc_id, text
-hash, position), is a repeat. Sentences covered by repeats form stretches, and stretches of
-``passage_words`` words or more are removed. With ``passage_words`` at least twice
-``run_words``, any repeated passage of whole sentences of that length is covered wholly,
-since from each of its sentences a run fits in one direction.
+hash, position), is a repeat, and sentences covered by repeats are removed. Any repeated
+passage whose whole sentences hold ``run_words`` words or more loses all of these: a run fits
+in it from its first sentence on, back from its last, and from any other in one direction or
+these two meet. A passage that begins or ends inside a sentence of its host keeps only that
+sentence, so ``run_words`` is small in the queries. On request, covered stretches of fewer
+than ``passage_words`` words stay; the queries don't ask for it.
 
 A null text stays null and an empty one empty. Rows equal in id and text are one document,
 treated alike. A null id comes last in the order. A text may become empty; its row stays.
@@ -31,6 +33,7 @@ from harvestlens.llm.registry import query
 _CUT = re.compile(r"[.!?…。！？][\"')\]»”]*\s+|\n\s*")
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # fixed value: odd base of the run polynomial
+RUN_WORDS = 12  # of the queries: alone sets what counts as a repeated passage
 
 
 def sentences(text: str) -> list[str]:
@@ -78,7 +81,7 @@ def runs(text: str, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def covered_stretches(text: str, spans: list[int], passage_words: int) -> tuple[str, int, int]:
-    """The text without its repeated passages, its sentences, and how many were removed."""
+    """The text without its covered stretches of ``passage_words`` words or more, its sentences, and how many were removed."""
     parts = sentences(text)
     marks = np.zeros(len(parts) + 1, dtype=np.int64)
     for s in spans:
@@ -142,9 +145,10 @@ def repeats(docs: DataFrame, run_words: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, run_words: int = 25, passage_words: int = 50) -> DataFrame:
-    """The documents without repeated passages, with ``n_sentences`` and ``n_removed``."""
-    if passage_words < 2 * run_words:
-        raise ValueError("passage_words must be at least twice run_words")
+    """The documents without repeated passages, with ``n_sentences`` and ``n_removed``.
+
+    With ``passage_words`` at 0 every sentence covered by a repeat goes.
+    """
     found = repeats(docs, run_words).select(
         F.col("doc_id").alias("_span_id"), F.col("row_key").alias("_span_key"), F.col("spans").alias("_spans")
     )
@@ -179,4 +183,4 @@ def remove_repeats(docs: DataFrame, run_words: int = 25, passage_words: int = 50
 @query("op9_sentence_spans")
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs).select("doc_id", "text", "n_sentences", "n_removed")
+    return remove_repeats(docs, RUN_WORDS, passage_words=0).select("doc_id", "text", "n_sentences", "n_removed")

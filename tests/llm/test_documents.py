@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from harvestlens.llm import jaccard, language, mixing, packing, quality, spans, toxicity
 from harvestlens.llm.common import components, held_out
 from tests.llm.data import awkward_docs, edited, empty_docs, prose
@@ -404,6 +405,30 @@ def test_repeated_passages_equal_brute_force(spark):
     assert spans.remove_repeats(empty_docs(spark)).count() == 0
 
 
+def test_passage_that_begins_and_ends_inside_sentences_goes(spark, tmp_path):
+    """Through the query and the stage: only the edge sentences of the host stay."""
+    sizes = [5, 9, 8, 6, 10, 7, 10]
+    names = iter(f"w{i}" for i in range(100))
+    passage = " ".join(" ".join(next(names) for _ in range(n)) + "." for n in sizes)[:-1]
+    assert len(passage.split()) == 55
+    inner = " ".join(spans.sentences(passage)[1:-1])
+    short = " ".join(f"v{i}" for i in range(14)) + ". " + " ".join(f"u{i}" for i in range(14)) + ". "
+    rows = [(i, f"{prose(i, 60)[:-1]} in as {passage} and on x{i}. {prose(50 + i, 60)}", "en", "s", 1) for i in (1, 2, 3)]
+    rows += [(i, f"{prose(i, 60)} {short}{prose(50 + i, 60)}", "en", "s", 1) for i in (4, 5)]
+    plain = [(i, prose(i, 90), "en", "s", 1) for i in range(10, 20)] + [(20, None, "en", "s", 1), (21, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows + plain, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    outs = spans.op9_sentence_spans(spark, str(tmp_path)), corpus_pipeline.repeated_passages(spark, docs, str(tmp_path))
+    for out in outs:
+        got = {r["doc_id"]: r["text"] for r in out.collect()}
+        want = {i: t for i, t, *_ in rows + plain}
+        for i in (2, 3):
+            head, tail = want[i].split(" ".join(inner.split()))
+            want[i] = head + tail.lstrip()
+        want[5] = want[5].replace(short, "")
+        assert got == want
+
+
 def test_sentences_are_the_text():
     for text in ("A b. C d!  E\n\nf g", "no end", "...", "\n\n a", "x." * 50):
         assert "".join(spans.sentences(text)) == text
