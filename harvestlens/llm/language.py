@@ -121,23 +121,29 @@ def train(
     min_script_share: float = 0.01,
     penalty: float = 6.0,
 ) -> LanguageModel:
-    """Fit on about ``docs_per_language`` whole texts of each language, chosen by a hash of the text.
+    """Fit on about ``docs_per_language`` different whole texts of each language, chosen by a hash of the text.
 
-    The sample and the kept trigrams are bounded; the number of languages is that of the labels.
+    Equal texts of a language count once, so copies neither swamp the sample nor leave it
+    empty. The sample and the kept trigrams are bounded; the number of languages is that of
+    the labels. Words are counted by the tasks; the driver gets their counts.
     """
     rows = labelled.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l"))
     rows = rows.filter("t IS NOT NULL AND l IS NOT NULL")
-    totals = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    totals = {r["l"]: max(r["n"], 1) for r in rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     languages = sorted(totals)
     if not languages:
         return LanguageModel([], np.zeros(1, np.int64), np.zeros((2, 0)), np.zeros((len(SCRIPTS), 0), bool))
-    draw = F.pmod(F.xxhash64("t"), F.lit(1_000_000)).cast("double") / 1_000_000
+    draw = F.pmod("h", F.lit(1_000_000)).cast("double") / 1_000_000
     chosen = F.lit(False)
     for lang in languages:
         chosen = F.when(F.col("l") == lang, draw < docs_per_language / totals[lang]).otherwise(chosen)
     counts = {lang: Counter() for lang in languages}
-    for row in rows.filter(chosen).toLocalIterator():
-        counts[row["l"]].update(_words_of(row["t"]))
+    sample = rows.filter(chosen).groupBy("l", "h").agg(F.first("t").alias("t")).select("t", "l")
+    kind = sample.schema["l"].dataType.simpleString()
+    words_ = sample.mapInArrow(_word_counts, f"l {kind}, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    for row in words_.toLocalIterator():
+        counts[row["l"]][row["w"]] = row["n"]
     tri, scripts = [], np.zeros((len(SCRIPTS) + 1, len(languages)))
     for j, lang in enumerate(languages):
         words = [w for w in counts[lang] if any(c.isalpha() for c in w)]
@@ -173,6 +179,20 @@ def _words_of(text: str) -> list[str]:
     return [w for w in _split(pa.array([text]))[0].as_py() if w]
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``l, w, n``: how often each word occurs in the texts of a slice, for (t, l) rows."""
+    for batch in in_parts(batches):
+        found: dict = {}
+        for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+            found.setdefault(lang, Counter()).update(_words_of(text.as_py()))
+        flat = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
+        langs, names, times = zip(*flat) if flat else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(langs, batch.schema.field(1).type), pa.array(names, pa.string()), pa.array(times, pa.int64())],
+            names=["l", "w", "n"],
+        )
+
+
 def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of each row of ``scores`` for many sequences at once.
 

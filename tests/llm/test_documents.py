@@ -238,6 +238,18 @@ def test_language_spans_and_held_out_accuracy(spark, docs):
     assert language.identify(empty_docs(spark), model).count() == 0
 
 
+def test_copies_of_a_text_count_once_in_training(spark):
+    hot = [("one two three four", "aa")] * 400  # a language of one text
+    many = [(prose(i, 30, "qrstuvwx"), "bb") for i in range(3)] + [(prose(9, 30, "mnop"), "bb")] * 400
+    table = spark.createDataFrame(hot + many, "text string, lang string")
+    model = language.train(table, docs_per_language=20)
+    once = language.train(table.distinct(), docs_per_language=20)
+    assert np.array_equal(model.codes, once.codes) and np.array_equal(model.logs, once.logs)
+    assert np.array_equal(model.uses, once.uses) and model.uses.any(axis=0).all()
+    texts = spark.createDataFrame([("four three two one",), (prose(1, 30, "qrstuvwx"),)], "text string")
+    assert [r["lang_pred"] for r in language.identify(texts, model).collect()] == ["aa", "bb"]
+
+
 # --- mixing
 
 
