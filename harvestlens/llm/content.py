@@ -44,6 +44,9 @@ _SENTENCE = re.compile(r"[.!?…。]")
 # Element names by their part in the page.
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "head", "object", "math", "xmp"}
 _TO_THE_END = {"script", "style", "textarea", "title", "xmp"}  # without an end tag they hold the rest of the page
+# an end tag in the source itself: lower-casing can move offsets, and "</header" is no end of the head
+_RAW_END = {name: re.compile(rf"</(?i:{name})(?=[\s/>]|\Z)", re.A) for name in _RAW}
+_BODY = re.compile(r"<(?i:body)(?=[\s/>]|\Z)", re.A)
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
@@ -152,7 +155,7 @@ def parse(source: str, known: dict | None = None) -> Page:
         del stack[at:]
         block = next(b for _, b in reversed(stack) if b >= 0)
 
-    at, lower = 0, None
+    at = 0
     while True:
         m = _TOKEN.search(source, at)
         if not m:
@@ -171,15 +174,14 @@ def parse(source: str, known: dict | None = None) -> Page:
             name = open_.lower()
             if name in _RAW:
                 if not attributes.endswith("/"):
-                    lower = source.lower() if lower is None else lower
-                    end = lower.find("</" + name, at)
-                    if name == "head" and end < 0:  # never closed: ends where the body begins
-                        end = lower.find("<body", at)
-                        at = end if end >= 0 else at
+                    end = _RAW_END[name].search(source, at)
+                    if name == "head" and not end:  # never closed: ends where the body begins
+                        body = _BODY.search(source, at)
+                        at = body.start() if body else at
                         continue
-                    if end < 0 and name not in _TO_THE_END:
+                    if not end and name not in _TO_THE_END:
                         continue
-                    stop = source.find(">", end) if end >= 0 else -1
+                    stop = source.find(">", end.start()) if end else -1
                     at = stop + 1 if stop >= 0 else len(source)
                 continue
             if name in _VOID:

@@ -216,6 +216,19 @@ def test_texts_of_pages(spark):
     assert content.extract(df.limit(0)).count() == 0
 
 
+def test_text_behind_heads_and_scripts_is_not_skipped():
+    def text(source):
+        return "\n".join(t for _, t in content.parse(source).segments)
+
+    header = "<html><head><title>No</title><body><article><p>First.</p><header><h1>Title</h1></header><p>Last.</p></article>"
+    assert text(header) == "First.\nTitle\nLast."
+    assert text(header.replace("<body>", "")) == "First.\nTitle\nLast."
+    assert text(header.replace("<body>", "</HEAD ><BODY class=x>")) == "First.\nTitle\nLast."
+    dotted = "<p>" + "\u0130" * 40 + "</p><script>var a = '</scripts>';</SCRIPT\n><p>Kept text.</p><style>p{}</style><p>Too.</p>"
+    assert text(dotted) == "\u0130" * 40 + "\nKept text.\nToo."
+    assert text("<p>A</p><script>cut</script") == text("<p>A</p><style>cut") == "A"
+
+
 # --- pipeline and queries
 
 
