@@ -4,10 +4,13 @@ from harvestlens.llm import (  # noqa: F401
     content,
     jaccard,
     language,
+    merkle,
     mixing,
     packing,
+    periods,
     quality,
     spans,
+    topk,
     toxicity,
     vectors,
     warc,

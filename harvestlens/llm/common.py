@@ -15,6 +15,16 @@ from harvestlens.session import shared_folder
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
+# DuckDB: the 256-entry table of CRC-32 (polynomial 0xEDB88320), and the checksum of a decimal doc_id.
+CRC32_SQL = """crc_steps AS (
+        SELECT b, b AS v, 0 AS k FROM range(256) r(b)
+        UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM crc_steps WHERE k < 8
+    ), crc_table AS (SELECT list(v ORDER BY b) AS t FROM crc_steps WHERE k = 8)"""
+CRC32_OF_ID = (
+    "xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)), "
+    "lambda a, c: xor(a // 256, t[1 + xor(a, c) % 256]), 4294967295))"
+)
+
 
 def trimmed(text: Column) -> Column:
     """The text without white space at its ends."""
