@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,38 +18,56 @@ def global_positions(
     order: Sequence[Column],
     name: str,
     total: str | None = None,
+    running: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Position (from 1) of each row in its group, by ``order``; ``total`` names the rows of the group.
 
+    ``running`` maps a new name to a column: its sum over the rows of the group that come earlier.
+
     Two levels, for groups of any size and number:
 
     1. The rows are dealt out by ranges of (keys, order), whose bounds Spark takes from a
        sample, and sorted; a piece has about the same size whatever the keys. They are
        written together with piece and place in it, so that later passes see one layout.
-    2. Rows are counted per (group, piece), at most as many counts as groups and pieces
-       together, and running sums of these are each piece's offset.
+    2. Rows and values are summed per (group, piece), at most as many sums as groups and pieces
+       together, and running totals of these are each piece's offset. The number of pieces
+       follows the session's shuffle partitions, not the rows.
 
-    Rows equal in keys and order share a piece and are numbered arbitrarily among themselves.
-    A group key may be null. ``df`` is read twice, so it should come from storage.
+    Rows equal in keys and order are numbered arbitrarily among themselves and may be in
+    several pieces. A group key may be null. ``df`` is read twice, so it should come from storage.
     """
     spark = df.sparkSession
-    keys = list(keys)
-    by = [*[F.col(f"`{k}`") for k in keys], *order]
-    sorted_rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    keys, running = list(keys), dict(running or {})
+    named = df.withColumn("_tie", F.monotonically_increasing_id())
+    by = [*[F.col(f"`{k}`") for k in keys], *order, F.col("_tie")]
+    dealt = named.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).drop("_tie")
     path = shared_folder(spark, "ordered-rows")
-    sorted_rows.write.parquet(path)
-    rows = spark.read.schema(sorted_rows.schema).parquet(path)
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path)
     rows = rows.withColumn("_piece", F.shiftright("_at", _BITS)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << _BITS) - 1)))
-    counts = rows.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_first"))
+    sums = {"_count": F.count(F.lit(1)), "_first": F.min("_at")}
+    sums |= {f"_sum_{new}": F.sum(F.coalesce(F.col(f"`{c}`"), F.lit(0))) for new, c in running.items()}
+    counts = rows.groupBy(*keys, "_piece").agg(*[x.alias(n) for n, x in sums.items()])
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offset = (F.coalesce(F.sum("_c").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_offset")
-    sums = [F.sum("_c").over(whole).alias(total)] if total else []
-    named = [F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)]
-    offsets = counts.select(*named, F.col("_piece").alias("_of"), offset, *sums)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    offsets = counts.select(
+        *[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)],
+        F.col("_piece").alias("_of"),
+        (before("_count") - F.col("_first") + 1).alias("_offset"),
+        *[before(f"_sum_{new}").alias(f"_before_{new}") for new in running],
+        *([F.sum("_count").over(whole).alias(total)] if total else []),
+    )
+    inside = Window.partitionBy(*keys, "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    if running:
+        rows = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_own_{new}") for new, c in running.items()])
     same = F.col("_piece") == F.col("_of")
     for i, k in enumerate(keys):
         same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_key{i}"))
-    found = rows.join(offsets, same).withColumn(name, F.col("_at") + F.col("_offset"))
-    kept = [c for c in df.columns if c not in (name, total)]
-    return found.select(*[F.col(f"`{c}`") for c in kept], name, *([total] if total else []))
+    kept = [c for c in df.columns if c not in (name, total, *running)]
+    return rows.join(offsets, same).select(
+        *[F.col(f"`{c}`") for c in kept],
+        (F.col("_at") + F.col("_offset")).alias(name),
+        *[(F.col(f"_own_{new}") + F.col(f"_before_{new}")).alias(new) for new in running],
+        *([total] if total else []),
+    )

@@ -59,3 +59,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             _local_base.append(tempfile.mkdtemp(prefix="harvestlens-"))
         base = _local_base[0]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session made, through Spark's own view of the store."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
