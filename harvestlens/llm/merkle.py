@@ -94,28 +94,37 @@ def _siblings(place: Column) -> Column:
 
 
 def sweep_down(runs: list[DataFrame], rest: DataFrame, facts: list[str]) -> DataFrame:
-    """``tree, at, steps`` of each node of the lowest level: the siblings on its way up, lowest first.
+    """``tree, run, kids, steps`` of each run of the lowest level: its kids and the proof above it.
 
-    ``rest`` has ``tree, height, steps`` and ``facts`` for the top of each tree; trees without
-    runs are passed on.
+    ``rest`` has ``tree, height, steps`` and ``facts`` for the top of each tree; a tree of one
+    node has no run and passes its steps on, without kids. A proof stays with its run of up
+    to ``FAN`` nodes: it isn't copied to each before rows of that size have to move.
     """
     carried = [F.col(f) for f in facts]
-    due = rest.filter("height = 0").select("tree", F.lit(0).cast("long").alias("at"), "steps", *carried)
+    lone = rest.filter("height = 0").select("tree", F.lit(0).cast("long").alias("run"), F.lit(None).cast("array<string>").alias("kids"), "steps", *carried)
     message = None
     for level in range(len(runs) - 1, -1, -1):
         entering = rest.filter(F.col("height") == level + 1).select("tree", F.lit(0).cast("long").alias("at"), "steps", *carried)
         message = entering if message is None else message.union(entering)
         met = runs[level].join(message, ["tree", "at"])
+        if not level:
+            return met.select("tree", F.col("at").alias("run"), "kids", "steps", *carried).union(lone)
         kid = met.select("tree", "at", "steps", *carried, "kids", F.explode(F.sequence(F.lit(0), F.size("kids") - 1)).alias("place"))
-        message = kid.select(
-            "tree",
-            (F.col("at") * FAN + F.col("place")).alias("at"),
-            F.concat(F.array(_siblings(F.col("place"))), F.col("steps")).cast(_STEP).alias("steps"),
-            *carried,
-        )
-        if level:
-            message = stored(message, f"merkle-rest-{level}")
-    return due if message is None else due.union(message)
+        message = kid.select("tree", (F.col("at") * FAN + F.col("place")).alias("at"), _proof(F.col("place")).alias("steps"), *carried)
+        message = stored(message, f"merkle-rest-{level}")
+    return lone
+
+
+def _proof(place: Column) -> Column:
+    """The steps of the kid at ``place``: its siblings, then those of the run."""
+    return F.when(F.col("kids").isNull(), F.col("steps")).otherwise(F.concat(F.array(_siblings(place)), F.col("steps"))).cast(_STEP)
+
+
+def _delivered(nodes: DataFrame, runs: DataFrame) -> DataFrame:
+    """The nodes of the lowest level with their ``steps`` and the facts of their run."""
+    named = nodes.withColumn("run", F.floor(F.col("at") / FAN).cast("long"))
+    met = named.join(runs, ["tree", "run"])
+    return met.withColumn("steps", _proof((F.col("at") % FAN).cast("int"))).drop("run", "kids")
 
 
 def manifest(docs: DataFrame, changed: Column | None = None, change=None) -> DataFrame:
@@ -137,17 +146,15 @@ def manifest(docs: DataFrame, changed: Column | None = None, change=None) -> Dat
     top = ranked.select(F.lit("").alias("tree"), "at", "n", "digest")
     top_runs, root = sweep_up(top, heights)
     start = root.select("tree", F.lit(heights).alias("height"), F.array().cast(_STEP).alias("steps"), F.col("digest").alias("root"))
-    down = sweep_down(top_runs, start, ["root"]).select("at", "steps", "root")
+    down = _delivered(top, sweep_down(top_runs, start, ["root"])).select("at", "steps", "root")
     height = F.lit(0)
     for i in range(1, levels + 1):
         height = F.when(F.col("rows") > FAN ** (i - 1), i).otherwise(height)
     sizes = placed.filter("at = 0").select("tree", F.col("n").alias("rows"))
     rest = ranked.select("tree", "at", F.col("digest").alias("subroot")).join(down, "at").join(sizes, "tree")
     rest = stored(rest.select("tree", height.alias("height"), "steps", "subroot", "root"), "merkle-rest")
-    proofs = sweep_down(runs, rest, ["subroot", "root"])
-    return placed.select("tree", "at", "doc_id", "leaf", "other").join(proofs, ["tree", "at"]).select(
-        "doc_id", F.col("tree").alias("source_tree"), "leaf", "other", "subroot", "root", "steps"
-    )
+    found = _delivered(placed.drop("n"), sweep_down(runs, rest, ["subroot", "root"]))
+    return found.select("doc_id", F.col("tree").alias("source_tree"), "leaf", "other", "subroot", "root", "steps")
 
 
 def fold(leaf: Column, steps: Column) -> Column:
