@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.session import shared_folder
+from harvestlens.session import remove_folder, shared_folder
 
 # The white space that separates words, as a pattern class and as characters.
 SPACE = r"[\x20\x09-\x0D]"
@@ -49,16 +49,36 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).cast("string").alias(n) for n in names])
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
     Cuts the lineage with files that every executor can read; a lost executor costs
-    only the tasks it was running.
+    only the tasks it was running. ``discard`` deletes the files when nothing reads them any more.
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables. Whatever was derived from them must have been stored itself."""
+    for df in tables:
+        remove_folder(df.sparkSession, df._stored_at)
 
 
 def may_hold(keys: DataFrame, key: str, bits: int = 1 << 24) -> Column:
@@ -89,24 +109,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``(a, b)`` links as ``(node, component)``.
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``(a, b)`` links as ``(node, component)``, stored.
 
     Nodes of any ordered type; the component is its smallest node. Alternating large
     and small stars: each round links every node to the smallest node near it, so that
-    paths shrink geometrically. Minima are aggregates with a map-side part, joined back
-    by an equi-join that can be split, so a node with very many links is no single
-    task's work. Self links and null ends are ignored.
+    paths shrink geometrically, until a round changes no link. Minima are aggregates with a
+    map-side part, joined back by an equi-join that can be split, so a node with very many links
+    is no single task's work. Self links and null ends are ignored.
     """
     pairs = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = stored(pairs, "links")
-    seen = None
-    for _ in range(max_rounds):
-        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
-        if state == seen or state[0] == 0:
-            break
-        seen = state
+    count = pairs.count()
+    while count:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -115,12 +131,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # every node points at its smallest neighbour, its other neighbours point there too
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        pairs = stored(small.filter("a <> b").distinct(), "links")
-    else:
-        raise RuntimeError("components did not settle")
-    return pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(
+        turned = stored(small.filter("a <> b").distinct(), "links")
+        before, count = count, turned.count()
+        settled = count == before and turned.join(pairs, ["a", "b"], "left_anti").isEmpty()
+        discard(pairs)
+        pairs = turned
+        if settled:
+            break
+    named = pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(
         pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+    found = stored(named, "components")
+    discard(pairs)
+    return found
 
 
 def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
