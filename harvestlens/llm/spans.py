@@ -1,18 +1,20 @@
 """Removal of passages that repeat, by hashes of sentence runs.
 
 A text is cut into sentences (after ``.!?`` with white space, and at line ends). A run is
-several consecutive sentences, as few as reach ``run_words`` words; every sentence begins
-one and ends one. A run whose words occur elsewhere, earlier in the order (doc_id, text
-hash, position), is a repeat, and sentences covered by repeats are removed. Any repeated
-passage whose whole sentences hold ``run_words`` words or more loses all of these: a run fits
-in it from its first sentence on, back from its last, and from any other in one direction or
-these two meet. A passage that begins or ends inside a sentence of its host keeps only that
-sentence, so ``run_words`` is small in the queries. On request, covered stretches of fewer
-than ``passage_words`` words stay; the queries don't ask for it.
-
-A null text stays null and an empty one empty. Rows equal in id and text are one document,
-treated alike. A null id comes last in the order. A text may become empty; its row stays.
-All columns stay; those added are ``n_sentences`` and ``n_removed``, in place of such names.
+several consecutive sentences, as few as hold ``run_words`` words and are ``run_sentences``
+or more; every sentence begins one and ends one. A run whose words occur elsewhere, earlier in
+the order (doc_id, text hash, position), is a repeat, and sentences covered by repeats are
+removed. A single sentence that recurs is none, whatever its length. Any repeated passage
+whose whole sentences make a run loses all of these: a run fits in it from its first sentence
+on and back from its last, and from any sentence between these two runs in one direction. A
+passage that begins or ends inside a sentence of its host keeps only that sentence, so
+``run_words`` is small.
+
+Runs are told apart by two independent 64-bit hashes: one finds those that may recur, both
+decide. A null text stays null and an empty one empty. Rows equal in id and text are one
+document, treated alike. A null id comes last in the order. A text may become empty; its row
+stays. Texts count whole, however long. An empty table gives no rows. All columns stay; those
+added are ``n_sentences`` and ``n_removed``, in place of such names.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harvestlens.llm.common import in_parts, pick, stored, table
+from harvestlens.llm.common import free_names, in_parts, pick, stored, table
 from harvestlens.llm.registry import query
 
 _CUT = re.compile(r"[.!?…。！？][\"')\]»”]*\s+|\n\s*")
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # fixed value: odd base of the run polynomial
-RUN_WORDS = 12  # of the queries: alone sets what counts as a repeated passage
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # fixed values: odd bases of the run polynomials
+RUN_WORDS = 12
+RUN_SENTENCES = 2
 
 
 def sentences(text: str) -> list[str]:
@@ -50,84 +53,86 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(factors)
 
 
-def runs(text: str, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, spans, new) of a text's runs in order; a span is first sentence << 32 | end.
+def runs(text: str, run_words: int, run_sentences: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, second hashes, spans, new) of a text's runs in order; a span is first sentence << 32 | end.
 
     ``new`` is false for a run that occurs earlier in the text.
     """
     hashes, lengths = [], [0]
     for s in sentences(text):
         w = s.split()
-        hashes.append(xxhash.xxh3_64_intdigest(" ".join(w)))
+        hashes.append(xxhash.xxh3_128_intdigest(" ".join(w)))
         lengths.append(len(w))
     total = np.cumsum(lengths)
     n = len(hashes)
-    if not n or total[-1] < run_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    forward = np.searchsorted(total, total[:-1] + run_words, side="left")
-    backward = np.searchsorted(total, total[1:] - run_words, side="right") - 1
+    none = np.zeros(0, np.int64)
+    if n < run_sentences or total[-1] < run_words:
+        return none, none, none, np.zeros(0, bool)
     i, j = np.arange(n), np.arange(1, n + 1)
+    forward = np.maximum(np.searchsorted(total, total[:-1] + run_words, side="left"), i + run_sentences)
+    backward = np.minimum(np.searchsorted(total, total[1:] - run_words, side="right") - 1, j - run_sentences)
     spans = np.unique(np.concatenate(((i << 32 | forward)[forward <= n], (backward << 32 | j)[backward >= 0])))
-    # prefix sums of hash * base^position; a run's sum is shifted back by its first position
-    powers, back = _powers(_BASE, n + 1), _powers(pow(_BASE, -1, 1 << 64), n + 1)
-    prefix = np.concatenate((np.zeros(1, _U), np.cumsum(np.array(hashes, dtype=_U) * powers[:-1], dtype=_U)))
     first, end = spans >> 32, spans & 0xFFFFFFFF
-    value = (prefix[end] - prefix[first]) * back[first]
-    value ^= value >> _U(31)
-    value = (value * _U(0xBF58476D1CE4E5B9) + (end - first).astype(_U)).view(np.int64)
-    new = np.zeros(len(spans), dtype=bool)
-    new[np.unique(value, return_index=True)[1]] = True
-    return value, spans, new
-
-
-def covered_stretches(text: str, spans: list[int], passage_words: int) -> tuple[str, int, int]:
-    """The text without its covered stretches of ``passage_words`` words or more, its sentences, and how many were removed."""
+    found = []
+    for base, shift in ((_BASES[0], 0), (_BASES[1], 64)):
+        # prefix sums of hash * base^position; a run's sum is shifted back by its first position
+        own = np.array([(h >> shift) & 0xFFFFFFFFFFFFFFFF for h in hashes], dtype=_U)
+        powers, back = _powers(base, n + 1), _powers(pow(base, -1, 1 << 64), n + 1)
+        prefix = np.concatenate((np.zeros(1, _U), np.cumsum(own * powers[:-1], dtype=_U)))
+        value = (prefix[end] - prefix[first]) * back[first]
+        value ^= value >> _U(31)
+        found.append((value * _U(0xBF58476D1CE4E5B9) + (end - first).astype(_U)).view(np.int64))
+    value, check = found
+    _, at, of = np.unique(value, return_index=True, return_inverse=True)
+    new = (np.arange(len(spans)) == at[of]) | (check != check[at[of]])
+    return value, check, spans, new
+
+
+def without_covered(text: str, spans: list[int]) -> tuple[str, int, int]:
+    """The text without its covered sentences, its sentences, and how many were removed."""
     parts = sentences(text)
+    if not spans:
+        return text, len(parts), 0
     marks = np.zeros(len(parts) + 1, dtype=np.int64)
     for s in spans:
         marks[s >> 32] += 1
         marks[s & 0xFFFFFFFF] -= 1
-    covered = np.cumsum(marks[:-1]) > 0
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], covered, [False])).astype(np.int8)))
-    gone = np.zeros(len(parts), dtype=bool)
-    for a, b in zip(edges[::2], edges[1::2]):
-        if sum(len(p.split()) for p in parts[a:b]) >= passage_words:
-            gone[a:b] = True
-    if not gone.any():
-        return text, len(parts), 0
+    gone = np.cumsum(marks[:-1]) > 0
     return "".join(p for p, g in zip(parts, gone) if not g), len(parts), int(gone.sum())
 
 
-def repeats(docs: DataFrame, run_words: int) -> DataFrame:
+def repeats(docs: DataFrame, run_words: int, run_sentences: int) -> DataFrame:
     """doc_id, row_key and the spans of its runs that repeat earlier ones, one row per document that has any."""
     source = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     kind = source.schema["doc_id"].dataType.simpleString()
+    names = ["run", "check", "doc_id", "row_key", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, found, where, n = [], [], [], 0
+            at, found, checks, where, n = [], [], [], [], 0
             for i, text in enumerate(batch.column(2)):
                 value = text.as_py()
                 if value:
-                    h, s, new = runs(value, run_words)
+                    h, c, s, new = runs(value, run_words, run_sentences)
                     at.append(np.full(len(h), i))
                     found.append(pa.array(h, mask=~new))
+                    checks.append(c)
                     where.append(s)
                     n += len(h)
                 if n > 200_000 or (i == batch.num_rows - 1 and n):
                     rows = pa.array(np.concatenate(at))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.concat_arrays(found),
-                            batch.column(0).take(rows),
-                            batch.column(1).take(rows),
-                            pa.array(np.concatenate(where)),
-                        ],
-                        names=["run", "doc_id", "row_key", "span"],
-                    )
-                    at, found, where, n = [], [], [], 0
-
-    every = stored(source.filter("text IS NOT NULL").mapInArrow(run, f"run long, doc_id {kind}, row_key long, span long"), "runs")
+                    columns = [
+                        pa.concat_arrays(found),
+                        pa.array(np.concatenate(checks)),
+                        batch.column(0).take(rows),
+                        batch.column(1).take(rows),
+                        pa.array(np.concatenate(where)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    at, found, checks, where, n = [], [], [], [], 0
+
+    made = source.filter("text IS NOT NULL").mapInArrow(run, f"run long, check long, doc_id {kind}, row_key long, span long")
+    every = stored(made, "runs")
     # a null run occurs earlier in its own text: a repeat whatever the other texts hold, and
     # one row for each text and run is left to compare
     single = every.filter("run IS NOT NULL")
@@ -137,27 +142,24 @@ def repeats(docs: DataFrame, run_words: int) -> DataFrame:
     often = stored(single.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run"), "frequent-runs")
     again = stored(single.join(often, "run"), "repeated-runs")
     place = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("d"), F.col("row_key").alias("k"), F.col("span").alias("s"))
-    first = stored(again.groupBy("run").agg(F.min(place).alias("first")), "first-runs")
-    later = again.join(first, "run").filter(~place.eqNullSafe(F.col("first")))
+    first = stored(again.groupBy("run", "check").agg(F.min(place).alias("first")), "first-runs")
+    later = again.join(first, ["run", "check"]).filter(~place.eqNullSafe(F.col("first")))
     columns = ["doc_id", "row_key", "span"]
     flagged = later.select(*columns).union(every.filter("run IS NULL").select(*columns))
     return flagged.groupBy("doc_id", "row_key").agg(F.collect_set("span").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, run_words: int = 25, passage_words: int = 50) -> DataFrame:
-    """The documents without repeated passages, with ``n_sentences`` and ``n_removed``.
-
-    With ``passage_words`` at 0 every sentence covered by a repeat goes.
-    """
-    found = repeats(docs, run_words).select(
-        F.col("doc_id").alias("_span_id"), F.col("row_key").alias("_span_key"), F.col("spans").alias("_spans")
-    )
+def remove_repeats(docs: DataFrame, run_words: int = RUN_WORDS, run_sentences: int = RUN_SENTENCES) -> DataFrame:
+    """The documents without repeated passages, with ``n_sentences`` and ``n_removed``."""
     added = ("n_sentences", "n_removed")
     kept = [c for c in docs.columns if c not in added]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64("text").alias("_span_row"))
-    joined = keyed.join(
-        found, keyed["_span_row"].eqNullSafe(found["_span_key"]) & keyed["doc_id"].eqNullSafe(found["_span_id"]), "left"
-    ).select(*[F.col(f"`{c}`") for c in kept], "_spans")
+    span_id, span_key, span_list, own_key = free_names(docs, "span_id", "span_key", "span_list", "own_key")
+    found = repeats(docs, run_words, run_sentences).select(
+        F.col("doc_id").alias(span_id), F.col("row_key").alias(span_key), F.col("spans").alias(span_list)
+    )
+    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64("text").alias(own_key))
+    same = keyed[own_key].eqNullSafe(found[span_key]) & keyed["doc_id"].eqNullSafe(found[span_id])
+    joined = keyed.join(found, same, "left").select(*[F.col(f"`{c}`") for c in kept], span_list)
     at = kept.index("text")
     schema = T.StructType(
         [*joined.schema.fields[:-1], T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())]
@@ -168,7 +170,7 @@ def remove_repeats(docs: DataFrame, run_words: int = 25, passage_words: int = 50
             texts, totals, removed = [], [], []
             for text, spans in zip(batch.column(at), batch.column(batch.num_columns - 1)):
                 value = text.as_py()
-                done = (value, 0, 0) if value is None else covered_stretches(value, spans.as_py() or [], passage_words)
+                done = (value, 0, 0) if value is None else without_covered(value, spans.as_py() or [])
                 for out, x in zip((texts, totals, removed), done):
                     out.append(x)
             columns = [batch.column(i) for i in range(len(kept))]
@@ -183,4 +185,4 @@ def remove_repeats(docs: DataFrame, run_words: int = 25, passage_words: int = 50
 @query("op9_sentence_spans")
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, RUN_WORDS, passage_words=0).select("doc_id", "text", "n_sentences", "n_removed")
+    return remove_repeats(docs).select("doc_id", "text", "n_sentences", "n_removed")
