@@ -9,6 +9,11 @@ its last piece, and pointer jumping over the runs (doubling the step each round)
 that the file start reaches. A candidate inside a payload is never reached, and its bytes
 go back into the record that holds it.
 
+Offsets follow from one pass, whose pieces are stored without their payloads under the SHA-1
+of their bytes. Payloads come from a second pass by that name, never by a place in a plan, so
+splits may be dealt otherwise the second time. A payload whose digest isn't the one in its
+header raises an error.
+
 Writing. A record's block is the payload itself. Of pages with equal payloads (by SHA-1) of
 at least ``revisit_from`` bytes the smallest page_id is written as response, the others as
 revisit records without a block; shorter ones are all responses.
@@ -17,7 +22,8 @@ A null html is an empty payload, a null url leaves its header out, a null page_i
 empty record id, read back as null. Rows with the same smallest id and payload are all
 responses. Line ends in a url become blanks. Empty input: an archive without records, from
 which no row is read. A file that doesn't start with a record, or a chain that ends inside
-a file, raises an error naming it (``strict=False`` keeps what was reached).
+a file, raises an error naming it (``strict=False`` keeps what was reached, and digests that
+differ). A payload is one value, so it may have up to 2 GB; a longer content length breaks the chain.
 """
 
 from __future__ import annotations
@@ -89,7 +95,8 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("id"),
+        F.monotonically_increasing_id().alias("id"),  # order inside one pass; not the same in another
+        F.unhex(F.sha1(F.col("value").cast("binary"))).alias("name"),
         F.col("value").cast("binary").alias("piece"),
     )
 
@@ -103,7 +110,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     header = F.substring_index(text, BLANK, 1)
     value = lambda key: F.regexp_extract(F.col("header"), rf"(?i)\r\n{key}:[ \t]*([^\r\n]*)", 1)
     parsed = _pieces(spark, path).select(
-        "file", "file_size", "split", "id", F.octet_length("piece").alias("n"), header.alias("header"), "piece"
+        "file", "file_size", "split", "id", "name", F.octet_length("piece").alias("n"), header.alias("header"), "piece"
     )
     length = F.regexp_extract("header", r"(?i)\r\nContent-Length:[ \t]*(\d+)[ \t]*(?:\r\n|$)", 1).try_cast("long")
     valid = F.col("header").rlike(r"^(?:WARC/1\.)?[01]\r\n")
@@ -113,6 +120,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         "file_size",
         "split",
         "id",
+        "name",
         "n",
         "skip",
         "content_length",
@@ -197,20 +205,25 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, strict: bool
         lost = lost or last.filter("s <> z").select("file").limit(1).collect()
         if lost:
             raise ValueError(f"broken chain of records in {lost[0]['file']}")
+        wrong = real.filter((F.col("type") == "response") & (F.col("digest_header") != F.concat(F.lit("sha1:"), F.col("digest"))))
+        wrong = wrong.filter(F.col("digest_header").startswith("sha1:")).select("file", "start").limit(1).collect()
+        if wrong:
+            raise ValueError(f"digest of the payload differs at {wrong[0]['start']} in {wrong[0]['file']}")
     split_records = real.filter("NOT whole").select(F.col("file"), F.col("start").alias("owner"))
-    parts_of = marks.join(split_records, ["file", "owner"]).select("file", "owner", "id", "start", "skip", "content_length")
+    parts_of = marks.join(split_records, ["file", "owner"]).select("file", "owner", "name", "start", "skip", "content_length")
     out = [*names, "digest", *(["payload"] if payload else [])]
-    bytes_ = _pieces(spark, path).select("id", "piece")
+    # equal pieces are equal bytes, so any of them will do
+    bytes_ = _pieces(spark, path).select("name", "piece").dropDuplicates(["name"])
     simple = real.filter("whole")
     if payload:
-        simple = simple.join(bytes_, "id").withColumn(
+        simple = simple.join(bytes_, "name").withColumn(
             "payload", F.expr("substring(piece, cast(skip + 1 AS int), cast(content_length AS int))")
         )
     simple = simple.select(*out)
     if split_records.limit(1).count() == 0:
         return simple
     # records that hold cuts: their pieces, in order, with the cuts between them
-    gathered = parts_of.join(bytes_, "id").groupBy("file", F.col("owner").alias("start")).agg(
+    gathered = parts_of.join(bytes_, "name").groupBy("file", F.col("owner").alias("start")).agg(
         F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("p"), F.max(F.when(F.col("start") == F.col("owner"), F.col("skip"))).alias("skip")
     )
     joint = F.aggregate(
