@@ -1,7 +1,7 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-1. The words of a source form one stream, its documents in the order (hash bucket, doc_id,
-   size, text hash); the stream is cut into blocks of ``block`` words, the last one shorter.
+1. The words of a source form one stream, its documents in the order of a hash of doc_id and
+   text, then (doc_id, size, text hash); the stream is cut into blocks of ``block`` words, the last one shorter.
 2. Each source has a quota of output blocks (slots), its target over its mean block. All
    slots together pass through one pseudorandom permutation and are cut into shards of
    ``shard`` slots: the source counts of a shard are a multinomial draw given the totals.
@@ -16,22 +16,22 @@ document, is taken at most that often. Everything is a hash of ids and ``seed``:
 agree whatever the partitioning. A null text has no words, is never taken and stays in the
 report; a null source is a source of its own; repeated rows are documents of their own
 (which of two equal rows gets which piece is immaterial). No words at all: targets 0,
-nothing taken. Extra columns are ignored.
+nothing taken. Texts count whole, however long. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harvestlens.llm.common import pick, stored, table, word_count, words
+from harvestlens.llm.common import free_names, pick, stored, table, word_count, words
 from harvestlens.llm.registry import query
+from harvestlens.operators.ordering import global_positions
 
 BLOCK = 64
 SHARD = 1024
-ROWS_PER_BUCKET = 1024
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -84,42 +84,56 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), max_r
 
 
 def stream_positions(sized: DataFrame, seed: int) -> DataFrame:
-    """Add ``_start``: words of the source's stream before the document.
+    """Add ``_start``: words of the source's stream before the document."""
+    order = [F.xxhash64("doc_id", "tie", F.lit(seed)), F.col("doc_id"), F.col("size"), F.col("tie")]
+    return global_positions(sized, ["_i"], order, "_nth", running={"_start": "size"}).drop("_nth")
 
-    Sorting happens inside hash buckets of a few thousand rows; a running sum of the
-    bucket totals gives their offsets, so a large source is nobody's single task.
+
+def permuted(index: Column, n: Column, *salt: Column, rounds: int = 6, walks: int = 64) -> Column:
+    """Pseudorandom permutation of 0..n-1 for any n: a Feistel network on two digits.
+
+    With ``a = ceil(sqrt(n))`` and ``b = ceil(n / a)``, x is the pair (x div b, x mod b). A round adds
+    a hash of the second digit to the first (mod a), then one of the first to the second (mod b):
+    each step can be undone, so all of them are a permutation of the a * b pairs. A result of n or
+    more, of which there are fewer than ``a``, goes through again until it falls below n
+    (cycle walking), which leaves a permutation of 0..n-1; of ``walks`` turns nearly always the
+    first or second is the last.
     """
-    n = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / ROWS_PER_BUCKET)).alias("_buckets")
-    buckets = sized.agg(n).first()[0]
-    placed = sized.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.lit(int(buckets))))
-    key = ["_i", "_bucket"]
-    inside = Window.partitionBy(*key).orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    totals = placed.groupBy(*key).agg(F.sum("size").alias("_words"))
-    before = Window.partitionBy("_i").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*key, F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_offset"))
-    return (
-        placed.withColumn("_own", F.sum("size").over(inside) - F.col("size"))
-        .join(offsets, key)
-        .withColumn("_start", F.col("_offset") + F.col("_own"))
-        .drop("_own", "_offset", "_bucket")
-    )
+    root = F.ceil(F.sqrt(n.cast("double")))
+    state = F.struct(
+        index.cast("long").alias("x"), n.cast("long").alias("n"), root.cast("long").alias("a"), F.ceil(n / root).cast("long").alias("b"),
+        F.xxhash64(*salt).alias("s"),
+    )
 
+    def turn(v: Column) -> Column:
+        pair = F.struct(F.floor(v["x"] / v["b"]).cast("long").alias("l"), F.pmod(v["x"], v["b"]).alias("r"))
 
-def permuted(index: Column, n: Column, *salt: Column, rounds: int = 8) -> Column:
-    """Pseudorandom permutation of 0..n-1 for any n (swap-or-not rounds).
+        def step(acc: Column, r: Column) -> Column:
+            left = F.pmod(acc["l"] + F.pmod(F.xxhash64(v["s"], r, acc["r"]), v["a"]), v["a"])
+            half = F.struct(left.alias("l"), acc["r"].alias("r"))
+            return _with(half, lambda h: F.struct(
+                h["l"].alias("l"), F.pmod(h["r"] + F.pmod(F.xxhash64(v["s"], r, h["l"], F.lit(1)), v["b"]), v["b"]).alias("r")
+            ))
 
-    A round pairs x with k - x mod n, k a hash of the salt, and swaps the pair if a hash of
-    its larger end is odd; each round is its own inverse, so their chain is a permutation.
-    """
-    state = F.struct(index.cast("long").alias("x"), n.cast("long").alias("n"), F.xxhash64(*salt).alias("s"))
+        return F.aggregate(F.array(*[F.lit(r) for r in range(rounds)]), pair, step, lambda p: p["l"] * v["b"] + p["r"])
 
-    def step(acc: Column, r: Column) -> Column:
-        x = acc["x"]
-        y = F.pmod(F.xxhash64(acc["s"], r) - x, acc["n"])
-        swap = F.xxhash64(acc["s"], r, F.greatest(x, y)) % 2 != 0
-        return F.struct(F.when(swap, y).otherwise(x).alias("x"), acc["n"].alias("n"), acc["s"].alias("s"))
+    def walk(v: Column, i: Column) -> Column:
+        x = F.when((i == 0) | (v["x"] >= v["n"]), turn(v)).otherwise(v["x"])
+        return F.struct(x.alias("x"), v["n"].alias("n"), v["a"].alias("a"), v["b"].alias("b"), v["s"].alias("s"))
 
-    return F.aggregate(F.array(*[F.lit(r) for r in range(rounds)]), state, step, lambda acc: acc["x"])
+    unsettled = F.raise_error(F.lit("permutation left its range")).cast("long")
+    # most are settled after one turn: the others' turns are an array that is mostly empty
+    first = _with(state, lambda v: walk(v, F.lit(0)))
+    rest = lambda v: F.aggregate(
+        F.when(v["x"] < v["n"], F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.lit(walks))), v, walk,
+        lambda w: F.when(w["x"] < w["n"], w["x"]).otherwise(unsettled),
+    )
+    return _with(first, rest)
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _counted(df: DataFrame, n: Column, name: str, total: int, chunk: int = 8192) -> DataFrame:
@@ -180,9 +194,9 @@ def plan_mix(
     """
     sized = stored(sizes(docs), "mix-sizes")
     targets = stored(source_targets(sized, weights, max_repeats), "mix-targets")
-    named = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(
+    named = stored(sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(
         sized["doc_id"], sized["source"], "size", "tie", "_i", "source_size", "target"
-    )
+    ), "mix-named")
     placed = stored(stream_positions(named, seed), "mix-streams")
     # a merge join: both sides are unfolded from few rows, so their sizes can't be foreseen
     drawn = slots(targets, block, shard, seed).hint("merge").join(pieces(placed, block), ["_i", "_block"])
@@ -210,19 +224,20 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
         F.sum(F.col("_to") - F.col("_from")).alias("_n"),
         F.array_sort(F.collect_list(F.struct(F.col("_from").cast("int").alias("f"), F.col("_to").cast("int").alias("t")))).alias("_spans"),
     )
-    full = docs.withColumns({"_mix_tie": F.xxhash64(F.coalesce("text", F.lit("")))})
-    full = full.dropDuplicates(["doc_id", "source", "_mix_tie"])
-    spans = spans.select("size", "_n", "_spans", *[F.col(k).alias(f"_mix_{k}") if k != "tie" else F.col(k).alias("_mix_t") for k in key])
+    mix_id, mix_source, mix_tie, own_tie, size, taken, parts = free_names(
+        docs, "mix_id", "mix_source", "mix_tie", "own_tie", "mix_size", "mix_taken", "mix_parts"
+    )
+    full = docs.withColumn(own_tie, F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "source", own_tie])
+    renamed = {"doc_id": mix_id, "source": mix_source, "tie": mix_tie, "size": size, "_n": taken, "_spans": parts}
+    spans = spans.select(*[F.col(old).alias(new) for old, new in renamed.items()])
     joined = full.join(
         spans,
-        full["doc_id"].eqNullSafe(spans["_mix_doc_id"])
-        & full["source"].eqNullSafe(spans["_mix_source"])
-        & (full["_mix_tie"] == spans["_mix_t"]),
+        full["doc_id"].eqNullSafe(spans[mix_id]) & full["source"].eqNullSafe(spans[mix_source]) & (full[own_tie] == spans[mix_tie]),
     )
     cut = F.array_join(
-        F.flatten(F.transform("_spans", lambda s: F.slice(words(F.col("text")), s["f"] + 1, s["t"] - s["f"]))), " "
+        F.flatten(F.transform(parts, lambda s: F.slice(words(F.col("text")), s["f"] + 1, s["t"] - s["f"]))), " "
     )
-    text = F.when(F.col("_n") == F.col("size"), F.col("text")).otherwise(cut)
+    text = F.when(F.col(taken) == F.col(size), F.col("text")).otherwise(cut)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
