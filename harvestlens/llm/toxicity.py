@@ -1,20 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer turns the tokens of a clause into symbols (insult of three strengths,
-threat, target, negation, reported speech, quotation mark, other). Four small letter
+A lexical transducer turns the tokens of a sentence into symbols (insult of three strengths,
+threat, target, negation, reported speech, quotation mark, end of a clause, other). Four small letter
 transducers rewrite and weigh them: negation weakens what it governs, reported speech and
 quotations weaken what they hold, a target near an insult or a threat strengthens it. Their
-composition, one deterministic machine, scores whole clauses; a word counts for what it
-does in its clause.
-
-Insults are learned: words whose document odds among toxic training rows
-are surely high. A
-logistic curve over the document's strongest clause and its sum turns scores into a
+composition, one deterministic machine, runs through a sentence and gives the weight of each of its
+clauses; a word counts for what it does in its clause. A comma, colon or semicolon ends a clause:
+negation and target reach no further, but reported speech goes on to the end of the sentence
+and a quotation to its closing mark, if that comes first. Marks inside a token (3.5, an address)
+end nothing.
+
+Insults are learned: words whose document odds among toxic training rows are surely high, as many
+as there are. How much a strength, a target or a report weighs is fixed by hand. A logistic curve over the document's strongest clause and its sum turns scores into a
 probability. Both are fitted on a bounded sample of labelled rows (``train_rows``), equal
 texts counting once.
 
 Null and empty texts have no clause and get the score of a document without evidence.
-Repeated rows are scored alike. Columns named like a result are replaced. If the training
+Repeated rows are scored alike; very long texts count whole; an empty table gives no rows. Columns named like a result are replaced. If the training
 rows have only one label, the score is that label's share.
 """
 
@@ -50,9 +52,9 @@ THREATS = (
 ).split()
 SEED_INSULTS = "idiot moron scum stupid trash idiota imbécile dummkopf".split()
 
-OTHER, TARGET, NOT, REPORT, QUOTE, THREAT, MILD, STRONG, SEVERE = range(9)
+OTHER, TARGET, NOT, REPORT, QUOTE, CLAUSE, THREAT, MILD, STRONG, SEVERE = range(10)
 _INSULTS = (MILD, STRONG, SEVERE)
-_WEAK = {MILD: 9, STRONG: 10, SEVERE: 11, THREAT: 12}  # negated or reported
+_WEAK = {MILD: 10, STRONG: 11, SEVERE: 12, THREAT: 13}  # negated or reported
 _WEIGHT = {MILD: 1.5, STRONG: 2.5, SEVERE: 4.0, THREAT: 1.0}
 _SLICE_BYTES = 8 << 20
 
@@ -90,6 +92,7 @@ def negation_transducer(reach: int = 3) -> Transducer:
     rest = {0: 0}
     for k in range(1, reach + 1):
         rest[k] = k - 1
+        arcs[k, CLAUSE] = (0, CLAUSE, 0.0)
         arcs[k, NOT] = (reach, NOT, 0.0)
         for strong, weak in _WEAK.items():
             arcs[k, strong] = (k - 1, weak, 0.0)
@@ -97,7 +100,7 @@ def negation_transducer(reach: int = 3) -> Transducer:
 
 
 def report_transducer() -> Transducer:
-    """What follows a verb of speech, and what stands in quotation marks, comes out weak."""
+    """What follows a verb of speech, and what stands in quotation marks, comes out weak, over ends of clauses too."""
     arcs = {(0, REPORT): (1, REPORT, 0.0), (0, QUOTE): (2, QUOTE, 0.0), (1, QUOTE): (2, QUOTE, 0.0), (2, QUOTE): (0, QUOTE, 0.0)}
     for state in (1, 2):
         for strong, weak in _WEAK.items():
@@ -110,6 +113,7 @@ def insult_transducer(weaken: float = 0.5) -> Transducer:
     arcs, rest = {}, {0: 0, 1: 0, 2: 2}
     for state, factor in ((0, 1.0), (1, 1.3), (2, 1.2)):
         arcs[state, TARGET] = (1 if state == 0 else 2, TARGET, 0.0)
+        arcs[state, CLAUSE] = (0, CLAUSE, 0.0)
         for s in _INSULTS:
             arcs[state, s] = (2, s, factor * _WEIGHT[s])
             arcs[state, _WEAK[s]] = (state, _WEAK[s], weaken * _WEIGHT[s])
@@ -126,19 +130,21 @@ def threat_transducer(weaken: float = 0.3) -> Transducer:
         (3, THREAT): (3, THREAT, _WEIGHT[THREAT]),
     }
     for state in range(4):
+        arcs[state, CLAUSE] = (0, CLAUSE, 0.0)
         arcs[state, _WEAK[THREAT]] = (state, _WEAK[THREAT], weaken * _WEIGHT[THREAT])
     return Transducer(arcs, {})
 
 
 def grammar() -> Transducer:
     """Negation, then reported speech, then the weighing of insults and of threats."""
-    symbols = range(9)
+    symbols = range(10)
     machine = compose(negation_transducer(), report_transducer(), symbols)
     machine = compose(machine, insult_transducer(), symbols)
     return compose(machine, threat_transducer(), symbols)
 
 
-_ENDS = re.compile(r"[.!?;:,…]")
+_ENDS = re.compile(r"([.!?…;:,]+)[\"'’“”»)\]]*$")  # marks at the end of a token
+_STOPS = re.compile(r"[.!?…]")
 _CORE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _QUOTES = "\"“”„«»"
 
@@ -150,7 +156,7 @@ class ToxicityModel:
     machine: Transducer = field(default_factory=grammar)
 
     def symbols_of(self, token: str) -> tuple[tuple[int, ...], bool]:
-        """Symbols of a token between blanks, and whether a clause ends with it."""
+        """Symbols of a token between blanks, and whether a sentence ends with it."""
         out: list[int] = [QUOTE] if token[0] in _QUOTES else []
         for word in _CORE.findall(token):
             w = word.replace("'", "").replace("’", "")
@@ -162,14 +168,21 @@ class ToxicityModel:
                 out.append(OTHER)
         if len(token) > 1 and any(q in _QUOTES for q in token[1:]):
             out.append(QUOTE)
-        return tuple(out), bool(_ENDS.search(token))
-
-    def clause_score(self, symbols: Sequence[int]) -> float:
-        state, total = 0, 0.0
+        end = _ENDS.search(token)
+        if end:
+            out.append(CLAUSE)
+        return tuple(out), bool(end and _STOPS.search(end[1]))
+
+    def clause_scores(self, symbols: Sequence[int]) -> list[float]:
+        """Weights of the clauses of one sentence."""
+        state, scores = 0, [0.0]
         for s in symbols:
             state, _, w = self.machine.step(state, s)
-            total += w
-        return total
+            if s == CLAUSE:
+                scores.append(0.0)
+            else:
+                scores[-1] += w
+        return scores
 
     def probability(self, strongest: float, total: float) -> float:
         z = self.curve[0] + self.curve[1] * strongest + self.curve[2] * math.log1p(total)
@@ -192,7 +205,7 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
 
 
 def clause_evidence(model: ToxicityModel, texts: pa.Array, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(strongest clause, sum over clauses) of each text. Only clauses with an insult or a threat are run."""
+    """(strongest clause, sum over clauses) of each text. Only sentences with an insult or a threat are run."""
     n = len(texts)
     parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\s+")
     offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
@@ -214,14 +227,14 @@ def clause_evidence(model: ToxicityModel, texts: pa.Array, known: dict) -> tuple
     if not hit.any():
         return strongest, total
     ends = np.array([f[1] for f in facts], dtype=bool)[codes]
-    stops = np.union1d(np.flatnonzero(ends) + 1, offsets[1:])  # a clause ends here
+    stops = np.union1d(np.flatnonzero(ends) + 1, offsets[1:])  # a sentence ends here
     begins = np.concatenate(([0], stops[:-1]))
     for c in np.unique(np.searchsorted(stops, np.flatnonzero(hit), side="right")):
         symbols = [s for k in codes[begins[c] : stops[c]] for s in facts[k][0]]
-        score = model.clause_score(symbols)
+        scores = model.clause_scores(symbols)
         doc = int(np.searchsorted(offsets, begins[c], side="right")) - 1
-        strongest[doc] = max(strongest[doc], score)
-        total[doc] += score
+        strongest[doc] = max(strongest[doc], *scores)
+        total[doc] += sum(scores)
     return strongest, total
 
 
@@ -254,7 +267,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000
     return docs.select("doc_id", "text").join(F.broadcast(usable.filter(draw < share)), "doc_id").select("text", "toxic")
 
 
-def train(labelled: DataFrame, min_docs: int = 3, min_log_odds: float = 1.3, max_words: int = 2000) -> ToxicityModel:
+def train(labelled: DataFrame, min_docs: int = 3, min_log_odds: float = 1.3) -> ToxicityModel:
     """Fit on rows ``text, toxic``, a bounded number of them (see ``training_sample``)."""
     rows = labelled.filter("text IS NOT NULL AND toxic IS NOT NULL").select("text", F.col("toxic").cast("int").alias("toxic"))
     sample = rows.groupBy(F.xxhash64("text").alias("k")).agg(
@@ -275,7 +288,7 @@ def train(labelled: DataFrame, min_docs: int = 3, min_log_odds: float = 1.3, max
         spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
         odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1)) - 1.64 * spread
         top = words.filter(F.col("bad") >= min_docs).withColumn("odds", odds).filter(F.col("odds") >= min_log_odds)
-        top = top.orderBy(F.desc(F.col("odds") * F.col("bad")), "w").limit(max_words).collect()
+        top = top.select("w", "odds").collect()  # of the vocabulary of a bounded number of texts
         closed = set(_CLASSES)
         insults = {w: STRONG for w in SEED_INSULTS}
         for r in top:
