@@ -1,23 +1,29 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-A rule is a boolean expression that is true for a text to reject. ``cascade`` times each
-rule on a bounded sample, counts what it rejects there, and evaluates the rules in the
-order of rejections per second; a text stops at the first rule that rejects it. The order
-changes cost, never the verdict: ``kept`` is true when no rule rejects.
-
-Null or blank text has no words and is rejected by the length rule. Columns of the input
-stay; ``kept`` and ``rejected_by`` replace columns of those names.
+A rule is a boolean expression that is true for a text to reject. ``rank_rules`` estimates each
+rule's cost and the share that it rejects on a bounded sample, and the cascade evaluates the
+rules in the order of rejections per cost; a text stops at the first rule that rejects it. The
+order changes cost, never the verdict: ``kept`` is true when no rule rejects.
+
+``quality_filter`` measures every text and judges by the measures; ``screen`` returns the verdict
+alone and measures a text only as far as the cascade gets, so that dear rules run last.
+
+Null or blank text has no words and is rejected by the length rule. Repeated rows are judged
+alike; very long texts count whole; an empty table gives no rows. Rules of equal rank are
+ordered by name. Columns of the input stay, whatever their names; the measures, ``kept`` and
+``rejected_by`` replace columns of those names.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.llm.common import SPACE_CHARS, table, words
+from harvestlens.llm.common import SPACE_CHARS, free_names, table, word_count, words
 from harvestlens.llm.registry import query
 
 SYMBOLS = "#*$%&|<>"  # fixed value: characters counted as symbols
@@ -112,33 +118,55 @@ def _covered(positions: Column) -> Column:
     )
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+Measures = dict[str, Column]
+
+
+def measure_columns(text: Column, w: Column) -> Measures:
+    """The base measures of a text that isn't null and its words ``w``."""
+    return {
+        "n_words": F.size(w).cast("long"),
+        "word_chars": word_chars(text),
+        "n_symbols": symbol_count(text),
+        "n_dup_lines": duplicate_lines(text),
+        "n_repeat_words": F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(repeated_words(w)),
+    }
+
+
 def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The base measures as columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    w = F.col("_w")
-    out = df.withColumn("_w", words(text))
-    return out.select(
-        *[F.col(f"`{c}`") for c in df.columns if c not in MEASURES],
-        F.size(w).cast("long").alias("n_words"),
-        word_chars(text).alias("word_chars"),
-        symbol_count(text).alias("n_symbols"),
-        duplicate_lines(text).alias("n_dup_lines"),
-        F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(repeated_words(w)).alias("n_repeat_words"),
+    (w,) = free_names(df, "word_list")
+    found = measure_columns(text, F.col(w))
+    return df.withColumn(w, words(text)).select(
+        *[F.col(f"`{c}`") for c in df.columns if c not in MEASURES], *[x.alias(n) for n, x in found.items()]
     )
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def measured() -> Measures:
+    """The measures as columns of a table that has them."""
+    return {n: F.col(n) for n in MEASURES}
 
 
-def base_rules(min_words: int = 50, repeat_percent: int = 50) -> list[Rule]:
-    n = F.col("n_words")
+def unmeasured(text_col: str = "text") -> Measures:
+    """The measures as expressions on the text, worked out where a rule asks for them."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    w = words(text)
+    # the words are made once and then looked at by place
+    repeated = F.transform(F.array(w), lambda x: measure_columns(text, x)["n_repeat_words"])[0]
+    return measure_columns(text, w) | {"n_words": word_count(text), "n_repeat_words": repeated}
+
+
+def base_rules(m: Measures | None = None, min_words: int = 50, repeat_percent: int = 50) -> list[Rule]:
+    m = m or measured()
     return [
-        Rule("too_short", n < min_words),
-        Rule("repetitive", 100 * F.col("n_repeat_words") > repeat_percent * n),
+        Rule("too_short", m["n_words"] < min_words),
+        Rule("repetitive", 100 * m["n_repeat_words"] > repeat_percent * m["n_words"]),
     ]
 
 
 def page_rules(
+    m: Measures | None = None,
     symbol_percent: int = 10,
     duplicate_line_percent: int = 50,
     word_length: tuple[int, int] = (2, 12),
@@ -147,40 +175,55 @@ def page_rules(
     text_col: str = "text",
 ) -> list[Rule]:
     """Rules on symbols, repeated lines, word length, capitals and table separators."""
-    n, text = F.col("n_words"), F.col(f"`{text_col}`")
+    m = m or measured()
+    n, text = m["n_words"], F.col(f"`{text_col}`")
     letters = F.char_length(F.regexp_replace(text, r"[^\p{L}]", ""))
     capitals = F.char_length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
     lines = F.size(F.split(text, "\n"))
     bars = F.char_length(text) - F.char_length(F.translate(text, "|", ""))
     return [
-        Rule("symbols", 100 * F.col("n_symbols") > symbol_percent * F.col("word_chars")),
-        Rule("duplicate_lines", 100 * F.col("n_dup_lines") > duplicate_line_percent * lines),
-        Rule("short_words", F.col("word_chars") < word_length[0] * n),
-        Rule("long_words", F.col("word_chars") > word_length[1] * n),
+        Rule("symbols", 100 * m["n_symbols"] > symbol_percent * m["word_chars"]),
+        Rule("duplicate_lines", 100 * m["n_dup_lines"] > duplicate_line_percent * lines),
+        Rule("short_words", m["word_chars"] < word_length[0] * n),
+        Rule("long_words", m["word_chars"] > word_length[1] * n),
         Rule("capitals", 100 * capitals > upper_percent * letters),
         Rule("table", 100 * bars > separator_percent * n),
     ]
 
 
-def rank_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """Rules by rejections per second on ``sample``, best first.
+def draw_sample(df: DataFrame, text_col: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, chosen by a hash of the text from the whole table; ``2 * rows`` at most."""
+    share = rows / max(df.count(), 1)
+    if share >= 1:
+        return df
+    h = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), F.lit(1_000_000_000))
+    return df.filter(h < int(share * 1_000_000_000)).limit(2 * rows)
+
 
-    Each rule runs alone on the sample; the time of a constant expression is taken off,
-    so that starting a job doesn't count. Rules that reject nothing go last, cheap first.
+def rank_rules(sample: DataFrame, rules: list[Rule], repeats: int = 5) -> list[Rule]:
+    """Rules by rejections per cost on ``sample``, best first.
+
+    A rule's cost is the least of ``repeats`` runs of it alone, less that of a constant
+    expression (starting a job doesn't count), rounded to a power of two of milliseconds, so
+    that noise seldom changes the order. Equal ranks go by name; rules that reject nothing go last,
+    cheap first.
     """
     sample = sample.persist()
     try:
         def timed(expr: Column) -> tuple[float, int]:
-            began = time.perf_counter()
-            hits = sample.agg(F.count_if(F.coalesce(expr, F.lit(False)))).first()[0]
-            return time.perf_counter() - began, hits
+            best, hits = math.inf, 0
+            for _ in range(repeats):
+                began = time.perf_counter()
+                hits = sample.agg(F.count_if(F.coalesce(expr, F.lit(False)))).first()[0]
+                best = min(best, time.perf_counter() - began)
+            return best, hits
 
         timed(F.lit(True))
         idle = timed(F.lit(True))[0]
         found = []
         for rule in rules:
             seconds, hits = timed(rule.rejects)
-            cost = max(seconds - idle, 1e-3)
+            cost = 2 ** round(math.log2(max(1000 * (seconds - idle), 8.0)))
             found.append((-hits / cost, cost, rule.name, rule))
     finally:
         sample.unpersist()
@@ -203,14 +246,21 @@ def cascade(df: DataFrame, rules: list[Rule]) -> DataFrame:
 def quality_filter(
     df: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = 2000
 ) -> DataFrame:
-    """Measure every text and run the cascade, ordered on the first ``sample_rows`` rows.
+    """Measure every text and run the cascade, ordered on a sample of about ``sample_rows`` rows.
 
     The sample decides the order of evaluation only; every row is judged by every rule
     that it reaches.
     """
     rules = rules if rules is not None else base_rules() + page_rules(text_col=text_col)
-    measured = measures(df, text_col)
-    return cascade(measured, rank_rules(measured.limit(sample_rows), rules))
+    sample = measures(draw_sample(df, text_col, sample_rows), text_col)
+    return cascade(measures(df, text_col), rank_rules(sample, rules))
+
+
+def screen(df: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = 2000) -> DataFrame:
+    """The verdict alone: ``rejected_by`` and ``kept`` without measures of what no rule asks for."""
+    m = unmeasured(text_col)
+    rules = rules if rules is not None else base_rules(m) + page_rules(m, text_col=text_col)
+    return cascade(df, rank_rules(draw_sample(df, text_col, sample_rows), rules))
 
 
 @query(
