@@ -42,7 +42,7 @@ _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?…。]")
 
 # Element names by their part in the page.
-_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "head", "object", "math", "xmp"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "head", "xmp", "annotation", "annotation-xml"}
 _TO_THE_END = {"script", "style", "textarea", "title", "xmp"}  # without an end tag they hold the rest of the page
 # an end tag in the source itself: lower-casing can move offsets, and "</header" is no end of the head
 _RAW_END = {name: re.compile(rf"</(?i:{name})(?=[\s/>]|\Z)", re.A) for name in _RAW}
@@ -50,7 +50,8 @@ _BODY = re.compile(r"<(?i:body)(?=[\s/>]|\Z)", re.A)
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var".split()
+    "strike strong sub sup time tt u var object math mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover "
+    "munderover mstyle mpadded mphantom semantics".split()
 )
 _CLOSES = {  # an opening tag ends these open elements, up to the barrier elements
     "li": ({"li", "p"}, {"ul", "ol", "menu"}),
@@ -123,8 +124,12 @@ def parse(source: str, known: dict | None = None) -> Page:
     """The tree of blocks of a page; open elements are closed as browsers do in the usual cases."""
     known = {} if known is None else known
     parents, depths, tags, hints, marked = [-1], [0], [_TAGS["html"]], [_NO_HINT], [False]
-    # open elements: (name, block, or -1 for inline)
+    # open elements: (name, block, or -1 for inline), the blocks among them, and where each name is open:
+    # what a tag ends is looked up, not searched for, so a page costs time in proportion to its length
     stack: list[tuple[str, int]] = [("html", 0)]
+    open_blocks = [0]
+    places: dict[str, list[int]] = {}
+    unclosed: set[str] = set()  # raw elements without an end tag from here on
     own, linked, ends = [0], [0], [0]
     segments: list[tuple[int, str]] = []
     held: list[str] = []
@@ -146,14 +151,24 @@ def parse(source: str, known: dict | None = None) -> Page:
             if in_link:
                 linked[block] += len(text.strip())
 
+    def push(name: str, of: int) -> None:
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, of))
+
     def pop_to(at: int) -> None:
         nonlocal in_link, block
         if any(b >= 0 for _, b in stack[at:]):
             flush()
-        for name, _ in stack[at:]:
+        for name, of in stack[at:]:
             in_link -= name == "a"
+            places[name].pop()
+            if of >= 0:
+                open_blocks.pop()
         del stack[at:]
-        block = next(b for _, b in reversed(stack) if b >= 0)
+        block = open_blocks[-1]
+
+    def last_open(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     at = 0
     while True:
@@ -166,15 +181,15 @@ def parse(source: str, known: dict | None = None) -> Page:
         close, open_, attributes = m.group(1), m.group(2) or m.group(4), m.group(3) or m.group(5) or ""
         if close:
             name = close.lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
+            if places.get(name):
+                pop_to(places[name][-1])
         elif open_:
             name = open_.lower()
             if name in _RAW:
                 if not attributes.endswith("/"):
-                    end = _RAW_END[name].search(source, at)
+                    end = None if name in unclosed else _RAW_END[name].search(source, at)
+                    if not end:
+                        unclosed.add(name)
                     if name == "head" and not end:  # never closed: ends where the body begins
                         body = _BODY.search(source, at)
                         at = body.start() if body else at
@@ -193,24 +208,16 @@ def parse(source: str, known: dict | None = None) -> Page:
             if name in ("html", "body"):
                 continue
             if name in _INLINE:
-                stack.append((name, -1))
+                push(name, -1)
                 in_link += name == "a"
                 continue
             if name in _CLOSES:
                 ended, barrier = _CLOSES[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in barrier:
-                        break
-                    if stack[k][0] in ended:
-                        pop_to(k)
-                        break
-            else:  # a block ends an open paragraph
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        pop_to(k)
-                        break
-                    if stack[k][1] >= 0:
-                        break
+                at_end = last_open(ended)
+                if at_end > last_open(barrier):
+                    pop_to(at_end)
+            elif places.get("p") and stack[places["p"][-1]][1] == open_blocks[-1]:  # a block ends an open paragraph
+                pop_to(places["p"][-1])
             flush()
             parents.append(block)
             depths.append(depths[block] + 1)
@@ -221,7 +228,8 @@ def parse(source: str, known: dict | None = None) -> Page:
             linked.append(0)
             ends.append(0)
             block = len(parents) - 1
-            stack.append((name, block))
+            push(name, block)
+            open_blocks.append(block)
     flush()
     return Page(parents, depths, _observe(parents, tags, hints, own, linked, ends), segments, marked)
 
