@@ -116,7 +116,7 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     docs_per_language: int = 1200,
-    max_trigrams: int = 60_000,
+    min_count: int = 2,
     smoothing: float = 0.5,
     min_script_share: float = 0.01,
     penalty: float = 6.0,
@@ -124,8 +124,8 @@ def train(
     """Fit on about ``docs_per_language`` different whole texts of each language, chosen by a hash of the text.
 
     Equal texts of a language count once, so copies neither swamp the sample nor leave it
-    empty. The sample and the kept trigrams are bounded; the number of languages is that of
-    the labels. Words are counted by the tasks; the driver gets their counts.
+    empty. Trigrams seen ``min_count`` times or more are kept, however many those are; the sample
+    bounds them. The number of languages is that of the labels. Words are counted by the tasks; the driver gets their counts.
     """
     rows = labelled.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l"))
     rows = rows.filter("t IS NOT NULL AND l IS NOT NULL")
@@ -162,9 +162,8 @@ def train(
     table_ = np.zeros((len(every), len(languages)))
     for j, (found, n) in enumerate(tri):
         table_[np.searchsorted(every, found), j] = n
-    if len(every) > max_trigrams:
-        keep = np.sort(np.argsort(-table_.sum(axis=1), kind="stable")[:max_trigrams])
-        every, table_ = every[keep], table_[keep]
+    keep = table_.sum(axis=1) >= min_count
+    every, table_ = every[keep], table_[keep]
     size = len(every) + 1
     logs = np.log((np.vstack([table_, np.zeros(len(languages))]) + smoothing) / (table_.sum(axis=0) + smoothing * size))
     share = scripts[:-1] / np.maximum(scripts[:-1].sum(axis=0), 1)

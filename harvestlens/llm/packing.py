@@ -27,12 +27,11 @@ from pyspark.sql import functions as F
 
 from harvestlens.llm.common import pick, stored, table, word_count, words
 from harvestlens.llm.registry import query
-from harvestlens.operators.grouping import number_rows
+from harvestlens.operators.ordering import global_positions
 
 LENGTHS = (512, 1024, 2048)
 OVERHEAD = 16  # cost of a sequence beside its words, in words
 ATTENTION = 16384  # length at which attention costs as much as the words themselves
-ROWS_PER_BUCKET = 4096
 
 
 @dataclass
@@ -167,10 +166,8 @@ def pack(
     # at most as many rows as the longest permitted length
     counts = {r["n_words"]: r["n"] for r in cut.filter("n_words > 0").groupBy("n_words").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = plan_bins(counts, lengths, costs or default_costs(lengths))
-    buckets = max(1, -(-sum(counts.values()) // ROWS_PER_BUCKET))
-    bucket = F.pmod(F.xxhash64("doc_id", "tie", "piece"), F.lit(buckets))
     order = [F.col("doc_id"), F.col("tie"), F.col("piece")]
-    ranked = number_rows(cut.filter("n_words > 0"), ["n_words"], bucket, order, "_nth")
+    ranked = global_positions(cut.filter("n_words > 0"), ["n_words"], order, "_nth")
     columns = ["doc_id", "tie", "piece", "first_word", "n_words"]
     step = np.array(plan.steps, dtype=np.int64).reshape(-1, 6)
     group = np.array(plan.groups, dtype=np.int64).reshape(-1, 4)

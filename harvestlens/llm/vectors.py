@@ -3,16 +3,17 @@
 Normalised vectors are projected on random Gaussian directions; the projections, shifted
 at random and divided by ``width``, are rounded down. ``k`` such values make a bucket in
 each of several tables. Vectors that share a bucket are candidates and are compared
-exactly, by cosine in double precision, so no pair below the threshold is linked.
+exactly, by cosine in double precision, so no pair below the threshold is linked. Buckets of one
+vector are dropped by counts apart from the rows, so a bucket of very many can be split among tasks.
 
 ``k`` follows the number of vectors so that unrelated vectors rarely meet, and the number
 of tables follows ``k`` so that a pair at the threshold is found with probability
 ``recall``; closer pairs are found more surely. Equal vectors are one class, hashed and
-compared once however many they are, and linked with one another.
+compared once however many they are, and linked with one another; 128 bits name a class.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing;
 nor do vectors of different lengths. Rows with equal or null ids count as rows of their
-own; a component's id is its smallest non-null one. Extra columns are ignored.
+own; a component's id is its smallest non-null one. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.llm.common import components, pick, stored, table
+from harvestlens.llm.common import components, discard, pick, stored, table
 from harvestlens.llm.registry import query
 
 WIDTH = 2.0
@@ -72,17 +73,23 @@ def hashed(classes: DataFrame, k: int, tables: int, width: float, seed: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, names = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+            column, names = batch.column(1), batch.column(0)
             sizes = np.array([-1 if n is None else n for n in column.value_lengths().to_pylist()])
             for dim in np.unique(sizes[sizes > 0]):
                 for rows in np.array_split(np.flatnonzero(sizes == dim), max(1, int((sizes == dim).sum() // 2000))):
                     x = _matrix(column, rows, int(dim))
                     buckets = bucket_hashes(x, k, tables, width, seed)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(names[rows], tables)), pa.array(buckets.ravel())], names=["class", "bucket"]
+                        [names.take(pa.array(np.repeat(rows, tables))), pa.array(buckets.ravel())], names=["class", "bucket"]
                     )
 
-    return classes.select("class", "v").mapInArrow(run, "class long, bucket long")
+    return classes.select("class", "v").mapInArrow(run, "class binary, bucket long")
+
+
+def _name_of(vector: str) -> Column:
+    """128 bits that name a vector: two hashes of different seeds."""
+    parts = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(vector), F.xxhash64(F.lit(1), vector))]
+    return F.unhex(F.concat(*parts))
 
 
 def close_pairs(pairs: DataFrame, cosine: float) -> DataFrame:
@@ -101,7 +108,7 @@ def close_pairs(pairs: DataFrame, cosine: float) -> DataFrame:
             at = pa.array(np.concatenate(keep) if keep else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    return pairs.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "va", "vb").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(
@@ -119,17 +126,16 @@ def near_duplicates(
         rows = rows.withColumn("v", F.col("v").cast("array<double>"))
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     valid = F.coalesce(F.forall("v", number) & F.exists("v", lambda x: x != 0), F.lit(False))
-    named = rows.withColumn("class", F.when(valid, F.xxhash64("v")))
+    named = rows.withColumn("class", F.when(valid, _name_of("v")))
     classes = named.filter("class IS NOT NULL").groupBy("class").agg(
         F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("low")
     )
     classes = stored(classes, "vector-classes")
     k, tables = table_plan(classes.count(), cosine, recall, width)
-    group = Window.partitionBy("bucket")
-    shared = hashed(classes, k, tables, width, seed).withColumn("lo", F.min("class").over(group)).withColumn(
-        "hi", F.max("class").over(group)
-    )
-    shared = stored(shared.filter("lo < hi").select("class", "bucket"), "vector-buckets")
+    found = stored(hashed(classes, k, tables, width, seed), "vector-hashes")
+    several = found.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi")
+    shared = stored(found.join(stored(several.select("bucket"), "shared-buckets"), "bucket").select("class", "bucket"), "vector-buckets")
+    discard(found)
     other = shared.select(F.col("class").alias("b"), F.col("bucket").alias("other"))
     met = shared.join(other, (F.col("bucket") == F.col("other")) & (F.col("class") < F.col("b")))
     met = met.select(F.col("class").alias("a"), "b").distinct()
