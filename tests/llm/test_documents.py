@@ -4,6 +4,7 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,8 @@ def test_cascade_keeps_columns_and_ignores_order(docs):
     one = quality.cascade(quality.measures(docs), rules)
     two = quality.cascade(quality.measures(docs), rules[::-1])
     assert {"_w", "score", "kept", "rejected_by"} <= set(one.columns)
+    clash = docs.withColumn("word_list", F.lit("mine"))
+    assert {(r["_w"], r["word_list"]) for r in quality.measures(clash).collect()} == {("y", "mine")}
     verdicts = [{(r["doc_id"], r["text"]): r["kept"] for r in x.collect()} for x in (one, two)]
     assert verdicts[0] == verdicts[1] and set(verdicts[0].values()) == {True, False}
     assert verdicts[0][30, None] is False
@@ -59,24 +62,91 @@ def test_cascade_keeps_columns_and_ignores_order(docs):
 def test_rules_are_ranked_by_rejection_per_cost(docs):
     rules = [quality.Rule("never", F.lit(False)), quality.Rule("often", F.col("n_words") < 10**6)]
     assert [r.name for r in quality.rank_rules(quality.measures(docs), rules)] == ["often", "never"]
-    assert quality.quality_filter(docs.limit(0)).count() == 0
+    equal = [quality.Rule(n, F.col("n_words") < 50) for n in ("b", "a", "c")]
+    assert [r.name for r in quality.rank_rules(quality.measures(docs), equal)] == ["a", "b", "c"]
+    assert quality.quality_filter(docs.limit(0)).count() == 0 and quality.screen(docs.limit(0)).count() == 0
+
+
+def test_screen_judges_like_the_filter(docs):
+    full = quality.quality_filter(docs).select("doc_id", "text", "kept").collect()
+    lean = quality.screen(docs)
+    assert set(lean.columns) == {*docs.columns, "rejected_by", "kept"}
+    key = lambda r: (str(r["doc_id"]), r["text"] or "", r["kept"])
+    assert sorted(map(key, full)) == sorted(map(key, lean.collect()))
+
+
+def test_sample_is_drawn_by_content(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    ids = [{r["doc_id"] for r in quality.draw_sample(x, "text", 500).collect()} for x in (rows, rows.repartition(7))]
+    assert ids[0] == ids[1] and 400 < len(ids[0]) < 600
 
 
 # --- toxicity
 
 
-def test_grammar_scores_clauses():
-    model = toxicity.ToxicityModel({"clod": toxicity.STRONG}, (0.0, 1.0, 0.0))
+def clauses_of(model, text):
+    return model.clause_scores([s for t in text.split() for s in model.symbols_of(t)[0]])
 
-    def clause(text):
-        return model.clause_score([s for t in text.split() for s in model.symbols_of(t)[0]])
 
+def test_grammar_scores_clauses():
+    model = toxicity.ToxicityModel({"clod": toxicity.STRONG}, (0.0, 1.0, 0.0))
+    clause = lambda text: max(clauses_of(model, text))
     plain = clause("a clod here")
     assert clause("nothing to see") == 0 and plain > 0
     assert clause("you clod") > plain > clause("not a clod") > 0
     assert clause("he said clod") < plain and clause('"clod"') < plain
     assert clause("kill you") > clause("kill time") > 0
     assert clause("you clod you clod") > clause("you clod")
+    # reports and quotations reach over commas and colons, not past the sentence or the closing mark
+    weak = clause("he said you clod")
+    for text in ("he said: you clod", "he said, you clod", 'he said "well, you clod"', "“well, you clod”", "she wrote; today: clod"):
+        assert 0 < clause(text) <= weak < plain, text
+    assert clause('he said "well" you clod') > plain  # the report became the quotation, which is closed
+    scores = toxicity.clause_evidence(model, pa.array(["he said it. you clod", "you clod", "not here, you clod"]), {})[0]
+    assert scores[0] == scores[1] == scores[2]
+    # marks inside a token end nothing
+    assert model.symbols_of("3.5")[1] is False and toxicity.CLAUSE not in model.symbols_of("http://a.b/c?d=1,2")[0]
+    assert model.symbols_of("end.”")[1] and model.symbols_of("well,")[0][-1] == toxicity.CLAUSE
+
+
+def test_evidence_equals_running_the_parts_over_every_sentence():
+    """The four transducers one after the other over all sentences of a text, clause by clause."""
+    parts = [toxicity.negation_transducer(), toxicity.report_transducer(), toxicity.insult_transducer(), toxicity.threat_transducer()]
+    model = toxicity.ToxicityModel({"clod": toxicity.STRONG, "oaf": toxicity.MILD, "fiend": toxicity.SEVERE}, (-2.0, 0.7, 0.4))
+    draw = np.random.default_rng(8)
+    pool = ["clod", "oaf", "fiend", "you", "not", "said", "kill", "tree", "house,", "sky:", "end.", "why?", '"so', 'it"', "3.5", "clod!", "you,"]
+    texts = [" ".join(draw.choice(pool, draw.integers(0, 60))) for _ in range(60)] + ["", None, "clod"]
+
+    def slow(text):
+        sentence, sentences = [], []
+        for token in (text or "").lower().split():
+            symbols, ends = model.symbols_of(token)
+            sentence += symbols
+            if ends:
+                sentences.append(sentence)
+                sentence = []
+        scores = [0.0]
+        for symbols in [*sentences, sentence]:
+            weights, stream = np.zeros(len(symbols)), symbols
+            for part in parts:
+                state, out = 0, []
+                for i, s in enumerate(stream):
+                    state, o, w = part.step(state, s)
+                    out.append(o)
+                    weights[i] += w
+                stream = out
+            scores.append(0.0)
+            for s, w in zip(symbols, weights):
+                if s == toxicity.CLAUSE:
+                    scores.append(0.0)
+                else:
+                    scores[-1] += w
+        z = -2.0 + 0.7 * max(scores) + 0.4 * np.log1p(sum(scores))
+        return max(scores), sum(scores), 1 / (1 + np.exp(-z))
+
+    strongest, total = toxicity.clause_evidence(model, pa.array(texts), {})
+    for text, a, b in zip(texts, strongest, total):
+        assert (a, b, model.probability(a, b)) == pytest.approx(slow(text)), text
 
 
 def test_composition_equals_running_one_after_the_other():
@@ -84,7 +154,7 @@ def test_composition_equals_running_one_after_the_other():
     whole = toxicity.grammar()
     draw = np.random.default_rng(1)
     for _ in range(200):
-        symbols = draw.integers(0, 9, draw.integers(1, 12)).tolist()
+        symbols = draw.integers(0, 10, draw.integers(1, 12)).tolist()
         total, stream = 0.0, symbols
         for part in parts:
             state, out = 0, []
@@ -151,8 +221,11 @@ def brute_components(rows, k, percent):
 @pytest.mark.parametrize("crowded", [16, 1])
 @pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
 def test_components_equal_brute_force(spark, docs, k, percent, crowded, monkeypatch):
-    """With ``crowded`` at 1 every band left open goes through the finer bands."""
+    """With ``crowded`` at 1 every band left open goes through the finer bands; the tables of bits may fill up."""
     monkeypatch.setattr(jaccard, "CROWDED", crowded)
+    monkeypatch.setattr(jaccard, "MARK_BITS", 1 << (28 if crowded == 16 else 16))
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 1 << (24 if crowded == 16 else 6))
+    monkeypatch.setattr(jaccard, "PIECE", 1024 if crowded == 16 else 3)
     base = prose(7, 150)
     family = [(5000 + i, edited(base, i, 1 + i % 14)) for i in range(40)]
     more = docs.select("doc_id", "text").union(spark.createDataFrame(family, "doc_id long, text string"))
@@ -178,9 +251,22 @@ def test_bands_never_miss_a_pair():
             assert far <= len(set(a) ^ set(b))
 
 
+@pytest.mark.parametrize("members", [16, 17])
+def test_bands_about_as_crowded_as_the_border(spark, members):
+    """Families that share half of their text, at either side of the border, with linked pairs inside."""
+    common = prose(70, 120)
+    family = [(i, common + " " + prose(100 + i, 120)) for i in range(members)]
+    family += [(1000 + i, edited(t, i, 3)) for i, t in family[::4]]
+    more = spark.createDataFrame(family, "doc_id long, text string")
+    got = jaccard.similarity_classes(more, 5, 80).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(more.collect(), 5, 80)
+
+
 def test_keep_one(spark, docs, rows):
-    kept = jaccard.keep_one(docs, 5, 80)
-    assert kept.columns == docs.columns
+    named = docs.withColumn("gone_key", F.concat(F.lit("g"), "doc_id"))
+    kept = jaccard.keep_one(named, 5, 80)
+    assert kept.columns == named.columns
+    assert all(r["gone_key"] == (None if r["doc_id"] is None else f"g{r['doc_id']}") for r in kept.collect())
     ids = [r["doc_id"] for r in kept.collect()]
     want = {b for a, n, b in brute_components(rows, 5, 80) if n}
     gone = {a for a, n, b in brute_components(rows, 5, 80) if n and a is not None and a != b}
@@ -288,11 +374,50 @@ def test_mix_meets_its_targets(docs, rows):
 
 
 def test_permutation_is_one(spark):
-    for n in (1, 2, 7, 1000):
+    for n in (1, 2, 3, 5, 7, 31, 1000, 9999):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3), F.lit(4)).alias("p")).collect()
         assert sorted(r["p"] for r in got) == list(range(n))
 
 
+def test_shards_are_a_multinomial_draw(spark):
+    """A source of a third: variance of its share by shard, and neighbouring shards independent."""
+    n, shard = 3_000_000, 1024
+    at = mixing.permuted(F.col("id"), F.lit(n), F.lit(17), F.lit(-1))
+    got = spark.range(n // 3).groupBy(F.floor(at / shard).alias("s")).agg(F.count(F.lit(1)).alias("k")).orderBy("s").collect()
+    share = np.array([r["k"] for r in got][: n // shard]) / shard
+    expected = np.sqrt((1 / 3) * (2 / 3) / shard)
+    assert abs(share.std() / expected - 1) < 0.05
+    assert abs(np.corrcoef(share[1:], share[:-1])[0, 1]) < 0.05
+
+
+def test_counts_of_each_shard(spark, docs):
+    """Every slot is filled once, and a source has its quota of slots."""
+    targets = mixing.source_targets(mixing.sizes(docs)).collect()
+    slots = mixing.slots(mixing.source_targets(mixing.sizes(docs)), 8, 16, 17).collect()
+    assert sorted(r["position"] for r in slots) == list(range(len(slots)))
+    assert all(r["shard"] == r["position"] // 16 for r in slots)
+    for t in targets:
+        blocks = -(-t["source_size"] // 8)
+        mine = [r for r in slots if r["_i"] == t["_i"]]
+        assert len(mine) == (round(t["target"] * blocks / t["source_size"]) if t["source_size"] else 0)
+        for e in {r["epoch"] for r in mine}:
+            of = [r["_block"] for r in mine if r["epoch"] == e]
+            assert len(set(of)) == len(of) and set(of) <= set(range(blocks))
+
+
+def test_streams_are_cut_without_gaps(spark):
+    """A third of the rows is one text with one id; sums run through all of a source."""
+    rows = [(7, "same words here", "hot")] * 300 + [(i, "w " * (i % 9), "hot" if i % 2 else None) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed, drawn = mixing.plan_mix(docs, block=8)
+    got = placed.select("_i", "_start", "size").collect()
+    for i in (0, 1):
+        at = 0
+        for r in sorted((r for r in got if r["_i"] == i), key=lambda r: (r["_start"], r["size"])):
+            assert r["_start"] == at
+            at += r["size"]
+
+
 def test_mixed_documents(spark, docs):
     out = mixing.mix_documents(docs, block=8)
     assert out.columns == docs.columns
@@ -337,10 +462,27 @@ def test_plan_is_sound_and_shrinks():
         assert not used
 
 
-def test_best_fit_puts_pieces_where_least_room_is_left():
-    # 7 and 6 open bins of 10; 3 fits exactly beside 7, 4 beside 6
-    plan = packing.plan_bins({7: 1, 6: 1, 4: 1, 3: 1}, [10], {10: 10})
-    assert len(plan.groups) == 1 or sorted(g[3] for g in plan.groups) == [10, 10]
+def test_plan_equals_best_fit_piece_by_piece():
+    """One permitted length: the contents of all bins are those of best fit decreasing, each bin searched."""
+    draw = np.random.default_rng(6)
+    for _ in range(40):
+        length = int(draw.integers(20, 120))
+        counts = {int(s): int(draw.integers(1, 9)) for s in draw.integers(1, length + 1, 14)}
+        bins = []
+        for size in sorted(counts, reverse=True):
+            for _ in range(counts[size]):
+                fits = [b for b in bins if length - sum(b) >= size]
+                if fits:
+                    min(fits, key=lambda b: length - sum(b)).append(size)
+                else:
+                    bins.append([size])
+        plan = packing.plan_bins(counts, [length], {length: length})
+        got = collections.defaultdict(list)
+        for size, _, n, bin_, per, _ in plan.steps:
+            for k in range(n):
+                got[bin_ + k // per].append(size)
+        assert len(got) == len(bins)
+        assert collections.Counter(sum(b) for b in got.values()) == collections.Counter(sum(b) for b in bins)
 
 
 def test_packed_documents(spark, docs, rows):
@@ -364,19 +506,19 @@ def test_packed_documents(spark, docs, rows):
 # --- sentence spans
 
 
-def brute_removal(rows, run_words, passage_words):
-    """Every run of sentences, as short as reaches ``run_words``, compared as text."""
+def brute_removal(rows, run_words, run_sentences):
+    """Every run of sentences, as short as it may be, compared as text."""
     order = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in rows if r["text"]}, key=lambda x: x[:2])
     first, marks = {}, {}
     for doc in order:
         parts = spans.sentences(doc[2])
         n = [len(p.split()) for p in parts]
+        run = lambda i, j: j - i >= run_sentences and sum(n[i:j]) >= run_words
         found = set()
         for i in range(len(parts)):
             for j in range(i + 1, len(parts) + 1):
-                if sum(n[i:j]) >= run_words:
-                    if sum(n[i : j - 1]) < run_words or sum(n[i + 1 : j]) < run_words:
-                        found.add((i, j))
+                if run(i, j) and not (run(i, j - 1) and run(i + 1, j)):
+                    found.add((i, j))
         covered = set()
         for i, j in sorted(found):
             key = tuple(" ".join(p.split()) for p in parts[i:j])
@@ -384,36 +526,33 @@ def brute_removal(rows, run_words, passage_words):
                 covered.update(range(i, j))
             else:
                 first[key] = doc
-        gone = set()
-        run = []
-        for i in range(len(parts) + 1):
-            if i in covered:
-                run.append(i)
-            else:
-                if sum(n[k] for k in run) >= passage_words:
-                    gone.update(run)
-                run = []
-        marks[doc] = ("".join(p for i, p in enumerate(parts) if i not in gone), len(gone))
+        marks[doc] = ("".join(p for i, p in enumerate(parts) if i not in covered), len(covered))
     return marks
 
 
-def test_repeated_passages_equal_brute_force(spark):
+@pytest.mark.parametrize("run_words,run_sentences", [(spans.RUN_WORDS, spans.RUN_SENTENCES), (25, 1), (12, 4)])
+def test_repeated_passages_equal_brute_force(spark, run_words, run_sentences):
     passage = prose(1000, 60)
+    lone = " ".join(f"v{i}" for i in range(30)) + ". "
     rows = [(i, prose(i, 80)) for i in range(10)]
     rows += [(20, prose(20, 50) + " " + passage), (21, prose(21, 40) + "\n" + passage + "\n" + prose(22, 30)), (22, passage)]
     rows += [(23, prose(23, 30) + " " + prose(1000, 60)[:150]), (24, passage + " " + passage), (25, None), (26, ""), (27, "one")]
+    rows += [(30, prose(30, 40) + " " + lone + prose(31, 40)), (31, prose(32, 40) + " " + lone + prose(33, 40))]
     rows += [(None, passage), (21, prose(21, 40) + "\n" + passage + "\n" + prose(22, 30))]
-    table = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n_removed int, other int")
-    out = spans.remove_repeats(table)
-    assert out.columns == ["doc_id", "text", "other", "n_sentences", "n_removed"]
-    got = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
-    marks = brute_removal(table.collect(), 25, 50)
+    table = spark.createDataFrame([(*r, 1, 2, f"k{r[0]}") for r in rows], "doc_id long, text string, n_removed int, other int, span_key string")
+    out = spans.remove_repeats(table, run_words, run_sentences)
+    assert out.columns == ["doc_id", "text", "other", "span_key", "n_sentences", "n_removed"]
+    found = out.collect()
+    assert all(r["span_key"] == f"k{r['doc_id']}" for r in found)
+    got = collections.Counter((r["doc_id"], r["text"]) for r in found)
+    marks = brute_removal(table.collect(), run_words, run_sentences)
     want = collections.Counter(
         (i, marks[(i is None, i or 0, t)][0] if t else t) for i, t in rows
     )
     assert got == want
     kept = sum(passage in (t or "") for _, t in got)
     assert kept == 1  # the first one stays
+    assert all(lone in t for i, t in got if i in (30, 31)) == (run_sentences > 1)  # a single sentence is no run
     assert spans.remove_repeats(empty_docs(spark)).count() == 0
 
 

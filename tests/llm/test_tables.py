@@ -1,7 +1,10 @@
 """Embeddings, archives, pages and the pipeline."""
 
 import base64
+import contextlib
 import hashlib
+import html.parser
+import time
 
 import numpy as np
 import pytest
@@ -84,19 +87,25 @@ def test_recall_at_the_threshold_is_as_planned():
 # --- archives
 
 
-def read_back(spark, pages, split=None, **options):
-    path = shared_folder(spark, "test-archive")
-    warc.write_warc(pages, path, **options)
-    if split:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+@contextlib.contextmanager
+def split_size(spark, size):
+    if size:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
-        return warc.read_warc(spark, path).collect()
+        yield
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def read_back(spark, pages, split=None, **options):
+    path = shared_folder(spark, "test-archive")
+    warc.write_warc(pages, path, **options)
+    with split_size(spark, split):
+        return warc.read_warc(spark, path).collect()
+
+
 def sha(text):
     return base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
 
@@ -136,6 +145,37 @@ def test_round_trip_with_records_inside_payloads(spark, split):
     assert all(r["digest"] == sha(bytes(r["payload"]).decode()) for r in found)
 
 
+@pytest.mark.parametrize("plans", [(None, None), (6000, 6000), (None, 9000), (9000, None)])
+def test_payloads_belong_to_their_records_whatever_the_split_plan(spark, plans):
+    """The second pass over the files may be dealt otherwise than the first."""
+    cut = "\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n"
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * (1 + i % 40) + (cut * (i % 3) if i % 7 == 0 else "")) for i in range(150)]
+    rows.append((1000, "http://long", "é" * (40_000 if any(plans) else 4_000_000) + cut + "end"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = shared_folder(spark, "test-archive")
+    warc.write_warc(pages, path)
+    with split_size(spark, plans[0]):
+        found = warc.read_warc(spark, path)
+    with split_size(spark, plans[1]):
+        # a new plan: what was stored stays, the files are dealt anew
+        got = {warc_id(r["record_id"]): bytes(r["payload"]).decode() for r in found.select("*").collect()}
+    assert got == {i: h for i, _, h in rows}
+
+
+def warc_id(name):
+    return int(name[12:-1])
+
+
+def test_changed_payload_is_reported(spark, tmp_path):
+    page = spark.createDataFrame([(1, "http://a", "abcdef")], "page_id long, url string, html string")
+    text = warc.records(page).first()["record"]
+    (tmp_path / "x.warc").write_bytes((text.replace("abcdef", "abcxef") + "\r\n\r\n").encode())
+    with pytest.raises(ValueError, match="digest"):
+        warc.read_warc(spark, f"file://{tmp_path}").collect()
+    kept = warc.read_warc(spark, f"file://{tmp_path}", strict=False).collect()
+    assert [bytes(r["payload"]) for r in kept] == [b"abcxef"]
+
+
 def test_broken_archives_are_reported(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.warc").write_bytes(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nshort\r\n\r\n")
@@ -229,6 +269,79 @@ def test_text_behind_heads_and_scripts_is_not_skipped():
     assert text("<p>A</p><script>cut</script") == text("<p>A</p><style>cut") == "A"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<b>" * 200_000 + "x",
+        "<b>" * 100_000 + "</b>" * 100_000,
+        "<b>" * 100_000 + "<div>a</div>" * 50_000,
+        "<div>" * 100_000 + "<li>a</li>" * 50_000,
+        "<svg>" * 100_000,
+        "</b>" * 200_000,
+        "<p><i>" * 100_000,
+    ],
+)
+def test_pages_of_unclosed_tags_take_linear_time(page):
+    started = time.process_time()
+    content.parse(page)
+    assert time.process_time() - started < 4
+
+
+class _Blocks(html.parser.HTMLParser):
+    """Texts by innermost block element, by the standard library's parser, for well-formed pages."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.found = [[]], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in content._INLINE:
+            self.close_text()
+            self.open.append([])
+
+    def handle_endtag(self, tag):
+        if tag not in content._INLINE:
+            self.close_text()
+            self.open.pop()
+
+    def handle_data(self, data):
+        self.open[-1].append(data)
+
+    def close_text(self):
+        text = " ".join("".join(self.open[-1]).split())
+        if text:
+            self.found.append(text)
+        self.open[-1] = []
+
+
+def test_tree_builder_agrees_with_a_second_parser_on_well_formed_pages():
+    draw = np.random.default_rng(12)
+
+    def piece(depth):
+        kind = draw.integers(0, 6)
+        if depth > 5 or kind == 0:
+            return f" w{draw.integers(0, 99)} &amp; é&#233; "
+        if kind == 1:
+            name = draw.choice(["b", "i", "span", "em", "math", "mi"])
+            return f"<{name}>x{draw.integers(0, 99)}</{name}>"
+        name = draw.choice(["div", "section", "article", "blockquote", "td", "figure"])
+        inner = "".join(piece(depth + 1) for _ in range(draw.integers(0, 4)))
+        return f'<{name} class="c{kind}">{inner}</{name}>'
+
+    for _ in range(60):
+        page = "".join(piece(0) for _ in range(6)).replace("td", "div")
+        other = _Blocks()
+        other.feed(page)
+        other.close()
+        other.close_text()
+        assert [t for _, t in content.parse(page).segments] == other.found, page
+
+
+def test_formulas_in_an_article_stay():
+    text = [t for _, t in content.parse("<article><p>as <math><mi>x</mi><mo>=</mo><mn>2</mn></math> shows</p></article>").segments]
+    assert text == ["as x=2 shows"]
+
+
 # --- pipeline and queries
 
 
