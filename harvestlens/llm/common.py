@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,12 +70,28 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._stored_at = path
     return found
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While this runs, Python workers get Arrow batches of at most ``rows`` rows; then the setting is as before.
+
+    Rows with whole texts are large: the usual 10 000 of them are held by Spark, by Arrow and by Python at once.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables. Whatever was derived from them must have been stored itself."""
     for df in tables:
@@ -151,3 +168,4 @@ def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.
     for batch in batches:
         for first in range(0, batch.num_rows, rows):
             yield batch.slice(first, rows)
+        pa.default_memory_pool().release_unused()

@@ -262,7 +262,7 @@ def twice_marks(lists: DataFrame, column: str, expected: int) -> tuple[bytes, in
         )
 
     dealt = lists.select(column).mapInArrow(places, "segment long, places binary").repartition("segment")
-    rows = dealt.mapInArrow(merged, "segment long, marks binary").toArrow()  # bits / 8 bytes at most
+    rows = stored(dealt.mapInArrow(merged, "segment long, marks binary"), "band-marks").toArrow()  # bits / 8 bytes at most
     size = (1 << _SEGMENT) // 8
     out = bytearray(bits // 8)
     for segment, marks in zip(rows["segment"].to_pylist(), rows["marks"].to_pylist()):
