@@ -58,7 +58,7 @@ def parse_date(c: Column, strict: bool = False) -> Column:
     parsed = F.coalesce(*[F.try_to_date(c, layout) for layout in DATE_LAYOUTS])
     if not strict:
         return parsed
-    problem = F.raise_error(F.concat(F.lit("Could not parse date string: "), c)).cast("date")
+    problem = F.raise_error(F.concat(F.lit("no accepted date layout fits "), c)).cast("date")
     return F.when(c.isNotNull() & parsed.isNull(), problem).otherwise(parsed)
 
 

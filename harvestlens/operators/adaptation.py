@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from harvestlens import schemas
 from harvestlens.functions.columns import col, keyed, number, ratio, require_columns
 from harvestlens.functions.significance import add_t_test
-from harvestlens.operators.grouping import join_group_stats
+from harvestlens.operators.grouping import split_join
+from harvestlens.session import store
 
 
 def flat_settings(item: Mapping) -> dict[str, str]:
@@ -75,7 +76,8 @@ def adaptation_effectiveness(
 ) -> DataFrame:
     """Effectiveness and t-test per (adaptation, variable) and optional ``by`` keys.
 
-    Adapted values ``v`` meet ``{v}_abs_change`` of the baseline on ``keys``.
+    Adapted values ``v`` meet ``{v}_abs_change`` of the baseline on ``keys``. Both sides are stored
+    first, so what they come from is worked out once.
     """
     require_columns(adapted, [*keys, adaptation_col, *target_vars], "adaptation results")
     require_columns(baseline_impacts, [*keys, *[f"{v}_abs_change" for v in target_vars]], "impacts")
@@ -85,7 +87,8 @@ def adaptation_effectiveness(
     right = keyed(baseline_impacts, keys).select(
         *keys, *[number(f"{v}_abs_change").alias(f"_b_{v}") for v in target_vars]
     )
-    pairs = join_group_stats(left, right, keys)
+    left, right = store(left, "adapted"), store(right, "baseline-impacts")
+    pairs = split_join(left, right, keys)
     return _summarize_pairs(pairs, target_vars, [*by, adaptation_col], alpha)
 
 

@@ -6,7 +6,12 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from harvestlens.functions import status as st
+from harvestlens.functions.columns import col, hash_number
+from harvestlens.sources.publication import committed_folders
 
 RESULT_SCHEMA = "simulation_id string, status string, message string, run_time double"
 
@@ -76,3 +81,53 @@ def run_in_parallel(
 
     spread = runs.repartition(tasks, key) if tasks else runs
     return spread.mapInArrow(batches, RESULT_SCHEMA)
+
+
+EVENT_SCHEMA = "simulation_id string, ts timestamp, seq long, status string, message string, run_time double, portion int"
+
+
+def recorded_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Status events of all portions that were written to their end; a portion that broke off isn't read."""
+    folders = committed_folders(spark, path)
+    if not folders:
+        return spark.createDataFrame([], EVENT_SCHEMA)
+    return spark.read.schema(EVENT_SCHEMA).parquet(*folders)
+
+
+def run_resumable(
+    runs: DataFrame,
+    func: Callable[[dict], str | None],
+    path: str,
+    portions: int = 8,
+    stop_after: int | None = None,
+    key: str = "simulation_id",
+    **options,
+) -> DataFrame:
+    """Run what is not final yet, portion by portion; returns the status events of all runs so far.
+
+    A portion is a fixed share of the runs by a hash of their key. Its results, which are the runs'
+    status events, are written together and count once the folder is complete. So a start
+    leaves out every run with a final status, whatever an earlier start did or where it stopped, and
+    a lost executor repeats at most the open runs of its portion. ``stop_after`` ends the start after
+    that many portions. ``options`` are those of ``run_in_parallel``.
+    """
+    spark = runs.sparkSession
+    done = recorded_runs(spark, path)
+    start = int(done.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]) + 1
+    final = done.filter(st.is_final(F.col("status"))).select(F.col("simulation_id").alias("_done")).distinct()
+    names = col(key).cast("string")
+    open_ = runs.join(final, names == F.col("_done"), "left_anti")
+    share = hash_number(names) % portions
+    for portion in range(portions if stop_after is None else min(portions, stop_after)):
+        results = run_in_parallel(open_.filter(share == portion), func, key=key, **options)
+        events = results.select(
+            "simulation_id",
+            F.current_timestamp().alias("ts"),
+            F.lit(start).cast("long").alias("seq"),
+            "status",
+            "message",
+            "run_time",
+            F.lit(portion).alias("portion"),
+        )
+        events.write.mode("overwrite").parquet(f"{path.rstrip('/')}/start={start}-portion={portion}")
+    return recorded_runs(spark, path)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import col, keyed, number, require_columns, within_box, within_dates
-from harvestlens.session import shared_folder
+from harvestlens.operators.ordering import sorted_pieces
+from harvestlens.session import store
 
 METHODS = ("nearest", "previous", "next", "linear")
 
@@ -47,58 +48,47 @@ def climate_window(
 def grid_axes(cells: DataFrame) -> DataFrame:
     """``(axis, value)``: the distinct latitudes and longitudes of a grid.
 
-    One scan of the two columns, combined on the map side. The few values are
-    written to the shared folder, so that later steps do not repeat the scan.
+    One scan of the two columns, combined on the map side. The values are written to the
+    shared folder, so that later steps do not repeat the scan.
     """
     places = cells.select(number("lat").alias("lat"), number("lon").alias("lon"))
     found = places.unpivot([], ["lat", "lon"], "axis", "value").dropna().distinct()
-    path = shared_folder(cells.sparkSession, "axes")
-    found.write.parquet(path)
-    return cells.sparkSession.read.schema("axis string, value double").parquet(path)
+    return store(found, "axes")
 
 
-def axis_neighbours(
-    points: DataFrame, point_col: str, axis: DataFrame, axis_col: str, bin_width: float = 1.0
-) -> DataFrame:
+def axis_neighbours(points: DataFrame, point_col: str, axis: DataFrame, axis_col: str) -> DataFrame:
     """Add ``{axis}_below`` and ``{axis}_above``: the axis values around a coordinate.
 
-    Both equal the coordinate on an exact hit and are NULL beyond the ends. The
-    axis is a list of distinct coordinates, limited by the resolution of the grid
-    (36 001 for a global axis at 0.01 degree). Its gaps are unfolded over bins of
-    ``bin_width``, which turns the range search into an equi-join; a gap covers
-    at most extent / ``bin_width`` bins.
+    Both equal the coordinate on an exact hit and are NULL beyond the ends. Points without a
+    coordinate drop out. The axis may be a few grid lines or millions of station coordinates,
+    and the points may crowd anywhere: both are sorted together into pieces of about equal size.
+    Inside a piece the neighbours are the last axis value before and the next one behind; beyond
+    its edges they are carried over by running maxima and minima of the pieces' ends.
     """
     x = number(point_col)
-    values = axis.select(number(axis_col).alias("_a")).filter(F.col("_a").isNotNull())
-    ends = values.agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"))
-    line = values.agg(F.array_sort(F.collect_set("_a")).alias("_axis"))
-    gaps = line.select(
-        F.explode(
-            F.arrays_zip(
-                F.col("_axis").alias("_lo"),
-                F.slice(F.col("_axis"), 2, F.greatest(F.size("_axis") - 1, F.lit(1))).alias("_hi"),
-            )
-        ).alias("_g")
-    ).select("_g._lo", "_g._hi")
-
-    def bin_of(c):
-        return F.floor(c / bin_width)
-
-    binned = gaps.withColumn(
-        "_bin", F.explode(F.sequence(bin_of(F.col("_lo")), bin_of(F.coalesce("_hi", "_lo"))))
+    below, above = f"{axis_col}_below", f"{axis_col}_above"
+    values = axis.select(number(axis_col).alias("_x")).filter(F.col("_x").isNotNull()).distinct()
+    placed = points.withColumn("_x", x).filter(F.col("_x").isNotNull())
+    both = placed.withColumn("_a", F.lit(None).cast("double")).unionByName(values.withColumn("_a", F.col("_x")), allowMissingColumns=True)
+    # an axis value comes before the points at its place
+    rows = sorted_pieces(store(both, "points-and-axis"), [F.col("_x"), F.col("_a").isNull()], "axis-order")
+    ends = rows.groupBy("_piece").agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"))
+    # every frame grows from its first row on: one that shrinks would be gone through again for each row
+    upto = lambda w, n: w.rowsBetween(Window.unboundedPreceding, n)
+    ends = ends.select(  # as many rows as pieces
+        "_piece",
+        F.max("_hi").over(upto(Window.orderBy("_piece"), -1)).alias("_earlier"),
+        F.min("_lo").over(upto(Window.orderBy(F.col("_piece").desc()), -1)).alias("_later"),
+    )
+    inside = Window.partitionBy("_piece")
+    last = F.last("_a", ignorenulls=True).over(upto(inside.orderBy("_at"), 0))
+    following = F.last("_a", ignorenulls=True).over(upto(inside.orderBy(F.col("_at").desc()), 0))
+    found = rows.withColumns({"_last": last, "_next": following}).filter(F.col("_a").isNull()).join(ends, "_piece")
+    found = found.withColumn(below, F.coalesce("_last", "_earlier"))
+    hit = F.when(F.col(below) == F.col("_x"), F.col("_x"))
+    return found.withColumn(above, F.coalesce(hit, "_next", "_later")).select(
+        *[F.col(f"`{c}`") for c in points.columns], below, above
     )
-    lowest, highest = ends.select("_lo").scalar(), ends.select("_hi").scalar()
-    placed = points.withColumn("_x", F.greatest(lowest, F.least(highest, x))).filter(x.isNotNull())
-    placed = placed.withColumn("_bin", bin_of(F.col("_x")))
-    hit = (F.col("_x") >= F.col("_lo")) & (F.col("_hi").isNull() | (F.col("_x") < F.col("_hi")))
-    found = placed.join(binned, "_bin").filter(hit)
-    inside = (x >= F.col("_lo")) & ((x == F.col("_lo")) | F.col("_hi").isNotNull())
-    return found.withColumns(
-        {
-            f"{axis_col}_below": F.when(x >= F.col("_lo"), F.col("_lo")),
-            f"{axis_col}_above": F.when(x <= F.col("_lo"), F.col("_lo")).when(inside, F.col("_hi")),
-        }
-    ).drop("_x", "_bin", "_lo", "_hi")
 
 
 def _pick(axis_col: str, point_col: str, method: str):
@@ -107,7 +97,11 @@ def _pick(axis_col: str, point_col: str, method: str):
         return below
     if method == "next":
         return above
-    # a tie goes to the larger coordinate
+    return nearer(x, below, above)
+
+
+def nearer(x: Column, below: Column, above: Column) -> Column:
+    """The nearer of two neighbours; a tie goes to the larger coordinate."""
     return (
         F.when(above.isNull(), below)
         .when(below.isNull(), above)
@@ -122,7 +116,6 @@ def locate_cells(
     method: str = "nearest",
     lat_col: str = "lat",
     lon_col: str = "lon",
-    bin_width: float = 1.0,
 ) -> DataFrame:
     """Cells of each point: ``cell_lat, cell_lon, weight``.
 
@@ -135,7 +128,7 @@ def locate_cells(
     around = points.withColumnsRenamed({lat_col: "_plat", lon_col: "_plon"})
     for axis, p in (("lat", "_plat"), ("lon", "_plon")):
         line = axes.filter(F.col("axis") == axis).select(F.col("value").alias(axis))
-        around = axis_neighbours(around, p, line, axis, bin_width)
+        around = axis_neighbours(around, p, line, axis)
     helpers = ["lat_below", "lat_above", "lon_below", "lon_above"]
     if method != "linear":
         found = around.withColumns(
@@ -179,7 +172,6 @@ def extract_points(
     method: str = "nearest",
     id_col: str = "location_id",
     axes: DataFrame | None = None,
-    bin_width: float = 1.0,
 ) -> DataFrame:
     """Series of every point from wide cells ``(lat, lon, keys..., variables...)``.
 
@@ -190,7 +182,7 @@ def extract_points(
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     if axes is None:
         axes = grid_axes(cells)
-    mapped = locate_cells(points.select(id_col, "lat", "lon"), axes, method, bin_width=bin_width)
+    mapped = locate_cells(points.select(id_col, "lat", "lon"), axes, method)
     mapped = mapped.select(
         id_col, F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon"), "weight"
     )

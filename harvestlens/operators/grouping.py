@@ -8,32 +8,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import col, keyed, number
+from harvestlens.session import store
 
-SALTS = 8
+HEAVY = 0.01  # share of all rows above which a group is split, by its own size
 # Quantile sketches bracket a rank to within 1 / ACCURACY of a group, at any size.
-ACCURACY = 100_000
+ACCURACY = 10_000
 
 
-def join_group_stats(
+def heavy_groups(sizes: DataFrame, keys: Sequence[str], share: float = HEAVY) -> DataFrame:
+    """``keys, _parts`` of the groups with more than ``share`` of all rows: 1 / ``share`` rows at most.
+
+    ``sizes`` has ``keys`` and ``_size``. A group gets as many parts as it holds such shares.
+    """
+    fair = sizes.agg((F.sum("_size") * share).alias("_fair")).select("_fair").scalar()
+    found = sizes.filter(F.col("_size") > fair)
+    return found.select(*keys, F.ceil(F.col("_size") / fair).cast("int").alias("_parts"))
+
+
+def split_join(
     rows: DataFrame,
-    stats: DataFrame,
+    side: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
+    sizes: DataFrame | None = None,
+    share: float = HEAVY,
 ) -> DataFrame:
-    """Join per-group figures back to the rows of the groups.
-
-    A following aggregation on the same keys would normally reuse the join's
-    partitioning and put a hot group into one task. The salt, a hash of the row,
-    spreads each group over ``salts`` partitions; the few figures are repeated
-    once per salt. Small figures are broadcast by Spark as usual.
+    """Join per-group figures back to the rows of the groups, heavy groups in parts.
+
+    A following aggregation on the same keys would normally reuse the join's partitioning
+    and put a hot group into one task. Groups that hold more than ``share`` of the rows, a bounded
+    number of them, are cut into parts by their own size; only their figures are repeated, once a
+    part. Equal rows go to the parts by the partition they come from. ``sizes`` (``keys,
+    _size``) saves counting the rows; both it and ``side`` are read twice, so they should come from
+    storage or be small. Small figures are broadcast by Spark as usual.
     """
+    keys = list(keys)
+    if sizes is None:
+        sizes = store(keyed(rows, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), "group-sizes")
+    heavy = F.broadcast(heavy_groups(sizes, keys, share))  # 1 / share rows at most
+    parts = F.coalesce("_parts", F.lit(1))
     spread = [c for c, kind in rows.dtypes if not kind.startswith("map")]
-    salted = rows.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[col(c) for c in spread]), F.lit(salts)).cast("int")
-    )
-    repeated = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    part = F.pmod(F.xxhash64(*[col(c) for c in spread], F.spark_partition_id()), parts).cast("int")
+    marked = rows.join(heavy, keys, "left").withColumn("_part", part).drop("_parts")
+    repeated = side.join(heavy, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return marked.join(repeated, [*keys, "_part"], how).drop("_part")
 
 
 def group_percentiles(
@@ -43,144 +61,95 @@ def group_percentiles(
     probabilities: Sequence[float],
     nulls: str = "propagate",
 ) -> DataFrame:
-    """Per group and variable ``_var``: ``_n, _rows, _mean, _std`` and ``_q``, exact percentiles.
-
-    One way for groups of any size, in two passes over the rows:
-
-    1. Counts, moments and a quantile sketch of rank error 1 / ``ACCURACY`` per group. For
-       each probability the sketch brackets the two order statistics wanted; a group of at
-       most ``ACCURACY`` values is its own bracket.
-    2. Equal values are folded, then counted by value inside each bracket (about 8 /
-       ``ACCURACY`` of the group) and in one sum below it. Running sums over these few
-       counts find the order statistics; a bracket that missed its rank raises.
+    """One row per group with a struct ``_n, _rows, _mean, _std, _q`` for each variable; ``_q`` has exact percentiles.
+
+    One way for groups of any size. The narrow rows are stored and read twice:
+
+    1. Counts, moments and a quantile sketch of rank error 1 / ``ACCURACY`` per group, combined on
+       the map side. For each probability two values of the sketch bracket the order statistics
+       wanted.
+    2. Against these brackets the rows are counted: below a bracket, with the value next to it on
+       either side, in one wide aggregate; inside, about 8 / ``ACCURACY`` of a group, by value. Only
+       such counts are shuffled. Running sums over the few values inside find the order
+       statistics. In small groups, where the sketch is exact but its rank rounded, a
+       wanted value may be the one next to the bracket. A rank that was missed would raise.
     """
     if nulls not in ("propagate", "omit"):
         raise ValueError(f"nulls must be propagate or omit, not {nulls!r}")
-    keys = list(keys)
-    rows = keyed(df, keys).select(*keys, *[number(v).alias(v) for v in value_cols])
+    keys, values = list(keys), list(value_cols)
+    rows = store(keyed(df, keys).select(*keys, *[number(v).alias(v) for v in values]), "percentile-rows")
     slack = 4.0 / ACCURACY
     ends = [e for p in probabilities for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    facts = ["_n", "_rows", "_mean", "_std"]
 
-    def summary(v: str) -> Column:
+    def summary(v: str) -> list[Column]:
         x = col(v)
-        return F.struct(
-            F.count(x).alias("_n"),
-            F.count(F.lit(1)).alias("_rows"),
-            F.avg(x).alias("_mean"),
-            F.stddev_samp(x).alias("_std"),
-            F.min(x).alias("_min"),
-            F.max(x).alias("_max"),
-            F.percentile_approx(x, ends, ACCURACY).alias("_e"),
-        ).alias(v)
-
-    wide = rows.groupBy(*keys).agg(*[summary(v) for v in value_cols])
-    named = F.array(*[F.struct(F.lit(v).alias("_var"), col(v).alias("_s")) for v in value_cols])
-    each = wide.select(*keys, F.explode(named).alias("_x")).select(*keys, "_x._var", "_x._s.*")
-    few = F.col("_n") <= ACCURACY
-    targets = []
-    for i, p in enumerate(probabilities):
-        position = (F.col("_n") - 1) * F.lit(float(p))
-        targets.append(
+        return [
             F.struct(
-                F.lit(i).alias("_i"),
-                F.when(few | F.lit(p <= slack), F.col("_min")).otherwise(F.col("_e")[2 * i]).alias("_lo"),
-                F.when(few | F.lit(p >= 1 - slack), F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias("_hi"),
-                F.floor(position).alias("_rank"),
-                (position - F.floor(position)).alias("_frac"),
-            )
-        )
-    facts = ["_n", "_rows", "_mean", "_std"]
-    plan = each.select(*keys, "_var", *facts, F.array(*targets).alias("_t"))
-    # the salt must differ among rows of a group: it hashes keys and value, and equal
-    # values are folded first so that repeated ones cannot pile up on one salt
-    long = rows.unpivot([col(k) for k in keys], [col(v) for v in value_cols], "_var", "_v")
-    folded = long.groupBy(*keys, "_var", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    placed = join_group_stats(folded, plan, [*keys, "_var"])
-    # per target: values inside the bracket one by one, all values below it as one NULL;
-    # a null value keeps its group, which may have no other
-    hit = F.filter("_t", lambda t: F.col("_v") <= t["_hi"])
-    reached = placed.select(*keys, "_var", *facts, "_v", "_c", F.explode_outer(hit).alias("_t"))
-    reached = reached.filter(F.col("_t").isNotNull() | F.col("_v").isNull()).select(
-        *keys, "_var", *facts, "_c", "_t.*", F.when(F.col("_v") >= F.col("_t._lo"), F.col("_v")).alias("_w")
-    )
-    carried = ["_rank", "_frac", *facts]
-    counted = reached.groupBy(*keys, "_var", "_i", "_w").agg(
-        F.sum("_c").alias("_c"), *[F.max(c).alias(c) for c in carried]
-    )
-    running = Window.partitionBy(*keys, "_var", "_i").orderBy(F.col("_w").asc_nulls_first())
-    upto = F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, 0))
-    chosen = (
-        counted.withColumn("_upto", upto)
-        .groupBy(*keys, "_var", "_i")
-        .agg(
-            F.max(F.when(F.col("_w").isNull(), F.col("_upto"))).alias("_below"),
-            F.min(F.when(F.col("_upto") > F.col("_rank"), F.col("_w"))).alias("_low"),
-            F.min(F.when(F.col("_upto") > F.col("_rank") + 1, F.col("_w"))).alias("_high"),
-            *[F.max(c).alias(c) for c in carried],
-        )
-    )
-    missed = F.col("_i").isNotNull() & (
-        (F.coalesce(F.col("_below"), F.lit(0)) > F.col("_rank"))
-        | F.col("_low").isNull()
-        | ((F.col("_frac") > 0) & F.col("_high").isNull())
+                F.count(x).alias("_n"), F.count(F.lit(1)).alias("_rows"), F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_std")
+            ).alias(f"_f_{v}"),
+            F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.percentile_approx(x, ends, ACCURACY).alias("e")).alias(f"_b_{v}"),
+        ]
+
+    plan = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), *[s for v in values for s in summary(v)])
+    plan = store(plan, "percentile-brackets")
+    placed = split_join(rows, plan.drop("_size"), keys, sizes=plan.select(*keys, "_size"))
+    slots = []  # (variable, value, lower end, upper end, probability)
+    for v in values:
+        b = f"_b_{v}"
+        for i, p in enumerate(probabilities):
+            lo = col(b)["lo"] if p <= slack else col(b)["e"][2 * i]
+            hi = col(b)["hi"] if p >= 1 - slack else col(b)["e"][2 * i + 1]
+            slots.append((v, col(v), lo, hi, float(p)))
+    around = []
+    for _, x, lo, hi, _ in slots:
+        around.append(F.struct(F.count_if(x < lo).alias("below"), F.max(F.when(x < lo, x)).alias("before"), F.min(F.when(x > hi, x)).alias("after")))
+    side = placed.groupBy(*keys).agg(*[F.first(f"_f_{v}").alias(f"_f_{v}") for v in values], *[a.alias(f"_a{i}") for i, a in enumerate(around)])
+    side = side.select(*keys, *[f"_f_{v}" for v in values], F.array(*[f"_a{i}" for i in range(len(slots))]).alias("_around"))
+    hits = [F.when((x >= lo) & (x <= hi), F.struct(F.lit(i).alias("_i"), x.alias("_w"))) for i, (_, x, lo, hi, _) in enumerate(slots)]
+    inside = placed.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("_h")).select(*keys, "_h.*")
+    inside = inside.groupBy(*keys, "_i", "_w").agg(F.count(F.lit(1)).alias("_c"))
+    met = side.join(inside, keys, "left")
+    running = Window.partitionBy(*keys, "_i").orderBy("_w").rowsBetween(Window.unboundedPreceding, 0)
+    counts = F.array(*[col(f"_f_{v}")["_n"] for v, *_ in slots])
+    position = (F.get(counts, F.col("_i")) - 1) * F.get(F.array(*[F.lit(p) for *_, p in slots]), F.col("_i"))
+    met = met.withColumns(
+        {
+            "_near": F.get("_around", F.col("_i")),
+            "_rank": F.floor(position),
+            "_frac": position - F.floor(position),
+            "_upto": F.sum("_c").over(running),
+        }
+    ).withColumn("_upto", F.col("_upto") + F.col("_near.below"))
+    first = [F.first(c).alias(c) for c in (*[f"_f_{v}" for v in values], "_near", "_rank", "_frac")]
+    found = met.groupBy(*keys, "_i").agg(
+        F.min(F.when(F.col("_upto") > F.col("_rank"), F.col("_w"))).alias("_low"),
+        F.min(F.when(F.col("_upto") > F.col("_rank") + 1, F.col("_w"))).alias("_high"),
+        F.max("_upto").alias("_reach"),
+        *first,
     )
-    value = (
-        F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        .when(
-            F.col("_frac") > 0,
-            (1 - F.col("_frac")) * F.col("_low") + F.col("_frac") * F.col("_high"),
-        )
-        .otherwise(F.col("_low"))
-    )
-    if nulls == "propagate":
-        value = F.when(F.col("_n") == F.col("_rows"), value)
-    slots = [F.max(F.when(F.col("_i") == i, F.col("_x"))) for i in range(len(probabilities))]
-    return (
-        chosen.withColumn("_x", value)
-        .groupBy(*keys, "_var")
-        .agg(*[F.max(c).alias(c) for c in facts], F.array(*slots).alias("_q"))
-    )
-
-
-def spread_variables(
-    figures: DataFrame, keys: Sequence[str], columns: dict[str, tuple[str, Column]]
-) -> DataFrame:
-    """One row per group from rows per (group, ``_var``): ``columns`` maps a name to (variable, expression)."""
-    return figures.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_var") == v, x)).alias(name) for name, (v, x) in columns.items()]
-    )
-
 
-def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    bucket: Column,
-    order: Sequence[Column],
-    name: str,
-    total: str | None = None,
-) -> DataFrame:
-    """Position (from 1) of each row in its group, ordered by ``bucket`` then ``order``.
-
-    ``total`` names a column for the rows of the group, which the bucket counts give too.
+    def statistic(rank: Column, held: Column) -> Column:
+        missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+        below, reach = F.col("_near.below"), F.col("_reach")
+        return (
+            F.when(rank == below - 1, F.col("_near.before"))
+            .when(rank == reach, F.col("_near.after"))
+            .when((rank < below) | (rank > reach), missed)
+            .otherwise(held)
+        )
 
-    Rows are sorted inside (group, bucket) only; a running sum of the bucket
-    counts gives the offsets. ``bucket`` must grow with the order wanted and cut
-    a group into pieces one task can sort.
-    """
-    keys = list(keys)
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    sums = [F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_offset")]
-    if total:
-        sums.append(F.sum("_c").over(Window.partitionBy(*keys)).alias(total))
-    offsets = counts.select(*keys, "_bucket", *sums)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (
-        rows.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(name, F.col("_offset") + F.col("_rank"))
-        .drop("_bucket", "_rank", "_offset")
+    low, high = statistic(F.col("_rank"), F.col("_low")), statistic(F.col("_rank") + 1, F.col("_high"))
+    blend = F.when(F.col("_frac") > 0, (1 - F.col("_frac")) * low + F.col("_frac") * high).otherwise(low)
+    found = found.withColumn("_x", F.when(F.col("_i").isNotNull(), blend))
+    wide = found.groupBy(*keys).agg(
+        *[F.first(f"_f_{v}").alias(f"_f_{v}") for v in values],
+        *[F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(f"_q{i}") for i in range(len(slots))],
     )
+    out = []
+    for k, v in enumerate(values):
+        f = col(f"_f_{v}")
+        mine = range(k * len(probabilities), (k + 1) * len(probabilities))
+        q = [F.col(f"_q{i}") if nulls == "omit" else F.when(f["_n"] == f["_rows"], F.col(f"_q{i}")) for i in mine]
+        out.append(F.struct(*[f[n].alias(n) for n in facts], F.array(*q).alias("_q")).alias(v))
+    return wide.select(*keys, *out)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import col, keyed, number, ratio, relative_change, require_columns
-from harvestlens.operators.grouping import group_percentiles, join_group_stats, spread_variables
+from harvestlens.operators.grouping import group_percentiles, split_join
+from harvestlens.session import store
 
 PERCENTILES = (10, 25, 50, 75, 90)
 
@@ -25,14 +26,16 @@ def baseline_statistics(
     require_columns(data, [*keys, *value_cols], "baseline data")
     if exact and percentiles:
         figures = group_percentiles(data, keys, value_cols, [p / 100 for p in percentiles], nulls)
-        columns = {}
+        moments, ranks = [], []
         for v in value_cols:
-            columns[f"{v}_mean"] = (v, F.col("_mean"))
-            columns[f"{v}_std"] = (v, F.col("_std"))
-            columns[f"{v}_cv"] = (v, ratio(F.col("_std"), F.col("_mean")))
-        for v in value_cols:
-            columns |= {f"{v}_p{p:g}": (v, F.col("_q")[i]) for i, p in enumerate(percentiles)}
-        return spread_variables(figures, keys, columns)
+            x = col(v)
+            moments += [
+                x["_mean"].alias(f"{v}_mean"),
+                x["_std"].alias(f"{v}_std"),
+                ratio(x["_std"], x["_mean"]).alias(f"{v}_cv"),
+            ]
+            ranks += [x["_q"][i].alias(f"{v}_p{p:g}") for i, p in enumerate(percentiles)]
+        return figures.select(*keys, *moments, *ranks)
     aggregates = []
     for v in value_cols:
         x = number(v)
@@ -130,12 +133,14 @@ def ensemble_statistics(
     """Mean, spread and share of members above the group mean, per group.
 
     All variables share two aggregations: the means, and the comparison of each
-    row with them. Null members count in the denominator of the share.
+    row with them. The members are stored first and read for both. Null members count in
+    the denominator of the share.
     """
     require_columns(data, [*keys, *value_cols, model_col], "ensemble members")
     rows = keyed(data, keys).select(
         *keys, col(model_col).alias("_model"), *[number(v).alias(v) for v in value_cols]
     )
+    rows = store(rows, "ensemble-members")
     figures = {}
     for v in value_cols:
         figures[f"{v}_mean"] = F.avg(col(v))
@@ -143,8 +148,10 @@ def ensemble_statistics(
         figures[f"{v}_min"] = F.min(col(v))
         figures[f"{v}_max"] = F.max(col(v))
     figures["n_models"] = F.count("_model")
-    stats = rows.groupBy(*keys).agg(*[f.alias(n) for n, f in figures.items()])
-    compared = join_group_stats(rows.drop("_model"), stats, keys).groupBy(*keys).agg(
+    stats = rows.groupBy(*keys).agg(*[f.alias(n) for n, f in figures.items()], F.count(F.lit(1)).alias("_size"))
+    stats = store(stats, "ensemble-figures")
+    joined = split_join(rows.drop("_model"), stats.drop("_size"), keys, sizes=stats.select(*keys, "_size"))
+    compared = joined.groupBy(*keys).agg(
         *[F.max(col(n)).alias(n) for n in figures],
         *[
             (F.count_if(col(v) > col(f"{v}_mean")) / F.count(F.lit(1))).alias(f"{v}_agreement")
@@ -175,10 +182,9 @@ def change_quantiles(
     """``{v}_change_q10`` and ``_q90``; ``change_cols`` maps a variable to its change column."""
     named = changes.select(*keys, *[col(c).alias(v) for v, c in change_cols.items()])
     figures = group_percentiles(named, keys, list(change_cols), probabilities, nulls="omit")
-    columns = {
-        f"{v}_change_q{p * 100:g}": (v, F.col("_q")[i]) for v in change_cols for i, p in enumerate(probabilities)
-    }
-    return spread_variables(figures, keys, columns)
+    return figures.select(
+        *keys, *[col(v)["_q"][i].alias(f"{v}_change_q{p * 100:g}") for v in change_cols for i, p in enumerate(probabilities)]
+    )
 
 
 def yearly_means(

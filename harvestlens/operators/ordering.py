@@ -7,11 +7,25 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harvestlens.session import shared_folder
+from harvestlens.session import store
 
 _BITS = 33  # of a generated id that count rows inside a partition
 
 
+def sorted_pieces(df: DataFrame, by: Sequence[Column], purpose: str = "ordered-rows") -> DataFrame:
+    """The rows sorted and cut into pieces, stored: ``_piece`` ascends with the order, ``_at`` is the place in it.
+
+    Spark takes the bounds of the pieces from a sample; equal rows may be in several pieces, so
+    a piece has about the same size whatever the values. The number of pieces follows the session's
+    shuffle partitions, not the rows. ``df`` is read twice, so it should come from storage.
+    """
+    by = [*by, F.col("_tie")]
+    named = df.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = named.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    rows = store(dealt.drop("_tie"), purpose)
+    return rows.withColumn("_piece", F.shiftright("_at", _BITS)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << _BITS) - 1)))
+
+
 def global_positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -26,25 +40,15 @@ def global_positions(
 
     Two levels, for groups of any size and number:
 
-    1. The rows are dealt out by ranges of (keys, order), whose bounds Spark takes from a
-       sample, and sorted; a piece has about the same size whatever the keys. They are
-       written together with piece and place in it, so that later passes see one layout.
+    1. The rows are sorted into pieces by ranges of (keys, order).
     2. Rows and values are summed per (group, piece), at most as many sums as groups and pieces
-       together, and running totals of these are each piece's offset. The number of pieces
-       follows the session's shuffle partitions, not the rows.
+       together, and running totals of these are each piece's offset.
 
-    Rows equal in keys and order are numbered arbitrarily among themselves and may be in
-    several pieces. A group key may be null. ``df`` is read twice, so it should come from storage.
+    Rows equal in keys and order are numbered arbitrarily among themselves. A group key may
+    be null. ``df`` is read twice, so it should come from storage.
     """
-    spark = df.sparkSession
     keys, running = list(keys), dict(running or {})
-    named = df.withColumn("_tie", F.monotonically_increasing_id())
-    by = [*[F.col(f"`{k}`") for k in keys], *order, F.col("_tie")]
-    dealt = named.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).drop("_tie")
-    path = shared_folder(spark, "ordered-rows")
-    dealt.write.parquet(path)
-    rows = spark.read.schema(dealt.schema).parquet(path)
-    rows = rows.withColumn("_piece", F.shiftright("_at", _BITS)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << _BITS) - 1)))
+    rows = sorted_pieces(df, [*[F.col(f"`{k}`") for k in keys], *order])
     sums = {"_count": F.count(F.lit(1)), "_first": F.min("_at")}
     sums |= {f"_sum_{new}": F.sum(F.coalesce(F.col(f"`{c}`"), F.lit(0))) for new, c in running.items()}
     counts = rows.groupBy(*keys, "_piece").agg(*[x.alias(n) for n, x in sums.items()])

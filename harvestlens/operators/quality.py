@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import col, keyed, number
+from harvestlens.session import store
 
 
 def _checks(df: DataFrame, required: Sequence[str], limits: Mapping[str, Mapping[str, float]]):
@@ -65,6 +67,42 @@ def rejected_rows(df: DataFrame, report: DataFrame, keys: Sequence[str]) -> Data
     return df.join(report.select(*keys).distinct(), list(keys), "left_semi")
 
 
+@dataclass(frozen=True)
+class Gate:
+    """The checked table, stored, its findings, and its rows and rows with a null, counted while it was written."""
+
+    rows: DataFrame
+    report: DataFrame
+    keys: tuple[str, ...]
+    n_rows: int
+    n_null: int
+
+    @property
+    def accepted(self) -> DataFrame:
+        return valid_rows(self.rows, self.report, self.keys)
+
+    @property
+    def rejected(self) -> DataFrame:
+        return rejected_rows(self.rows, self.report, self.keys)
+
+
+def gate(
+    df: DataFrame,
+    keys: Sequence[str],
+    required: Sequence[str],
+    limits: Mapping[str, Mapping[str, float]] | None = None,
+) -> Gate:
+    """Check a table that is made once: it is stored, and findings and both kinds of rows are read from there."""
+    missing = F.lit(False)
+    for v in required:
+        if v in df.columns:
+            missing = missing | number(v).isNull()
+    seen = Observation()
+    rows = store(df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(missing).alias("n_null")), "checked-rows")
+    report = store(quality_report(rows, keys, required, limits), "quality-report")
+    return Gate(rows, report, tuple(keys), int(seen.get["n_rows"]), int(seen.get["n_null"]))
+
+
 def undefined_values(used: DataFrame, defined: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key values in use without a definition, with their row counts."""
     counts = used.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))

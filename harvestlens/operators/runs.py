@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from harvestlens.functions import status as st
 from harvestlens.functions.columns import col
-from harvestlens.operators.grouping import number_rows
+from harvestlens.operators.ordering import global_positions
+from harvestlens.session import store
 
 
 def latest_status(events: DataFrame, key: str = "simulation_id") -> DataFrame:
@@ -82,20 +83,17 @@ def status_totals(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def split_work(
-    runs: DataFrame, tasks: int, key: str = "simulation_id", digits: int = 3, name: str = "task"
-) -> DataFrame:
+def split_work(runs: DataFrame, tasks: int, key: str = "simulation_id", name: str = "task") -> DataFrame:
     """Tasks 1..n of equal size, the first ones taking the remainder.
 
-    The order is (leading MD5 digits of the key, key): the digits cut it into
-    16**digits even buckets that are sorted separately, and bucket counts give
-    the global position.
+    The order is (three leading MD5 digits of the key, key), which spreads neighbouring keys
+    over the tasks; the global position comes from sorted pieces of about equal size.
     """
     if tasks < 1:
         raise ValueError("tasks must be at least 1")
     text = col(key).cast("string")
-    bucket = F.substring(F.md5(text), 1, digits)
-    numbered = number_rows(runs, [], bucket, [text], "_pos", "_total")
+    order = [F.substring(F.md5(text), 1, 3), text]
+    numbered = global_positions(store(runs, "listed-runs"), [], order, "_pos", "_total")
     total = F.col("_total")
     small = F.floor(total / tasks)
     extra = total % tasks

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import col, require_columns, simulation_key
-from harvestlens.operators.grouping import join_group_stats
+from harvestlens.operators.grouping import split_join
 
 ID_ORDER = ("location_id", "crop_model", "climate_source", "climate_model", "scenario", "adaptation")
 
@@ -42,9 +42,12 @@ def simulation_matrix(
 def attach_attributes(
     runs: DataFrame, dimension: DataFrame, columns: Sequence[str], key: str = "location_id"
 ) -> DataFrame:
-    """Bring attributes such as ``soil_id`` or ``lat, lon`` to runs or results."""
+    """Bring attributes such as ``soil_id`` or ``lat, lon`` to runs or results.
+
+    A location with a large share of the runs is joined in parts.
+    """
     require_columns(dimension, [key, *columns], "dimension")
-    return runs.drop(*columns).join(dimension.select(key, *columns), key)
+    return split_join(runs.drop(*columns), dimension.select(key, *columns), [key])
 
 
 def choose(df: DataFrame, wanted: Mapping[str, Sequence[str] | None]) -> DataFrame:
@@ -85,7 +88,7 @@ def assign_periods(
     """Add ``period``; dates in no period drop out, overlaps give several rows.
 
     A configured mapping becomes expressions. A stored table ``(period, start_date,
-    end_date)`` is unfolded to the years it covers and joined on the year and a salt, with
+    end_date)`` is unfolded to the years it covers and joined on the year, heavy years in parts, with
     the exact dates as a residual condition; read from storage, its size is known.
     """
     if isinstance(periods, DataFrame):
@@ -98,7 +101,7 @@ def assign_periods(
         dated = df.withColumn("_year", F.year(col(date_col)))
         day = col(date_col).cast("date")
         return (
-            join_group_stats(dated, years, ["_year"])
+            split_join(dated, years, ["_year"])
             .filter(day.between(F.col("start_date"), F.col("end_date")))
             .drop("_year", "start_date", "end_date")
         )

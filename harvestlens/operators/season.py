@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import col, keyed, number, require_columns
-from harvestlens.operators.grouping import number_rows
+from harvestlens.operators.ordering import global_positions
+from harvestlens.session import store
 
 _FREQUENCIES = {"month": "month", "M": "month", "year": "year", "Y": "year"}
 
@@ -23,6 +24,39 @@ def _season_figures(columns: Sequence[str]) -> dict[str, tuple[str, Column]]:
     return figures
 
 
+def totals_up_to(daily: DataFrame, days: DataFrame, keys: Sequence[str], figures: Mapping[str, Column]) -> DataFrame:
+    """``keys, _date`` of ``days`` with the sums of ``figures`` over all data up to that day, that day included.
+
+    Sums of a day are gathered to months, a month's days being one short list, and running totals
+    of the months give what came before each. A day takes the last month that began by then:
+    both windows hold at most the calendar's months and days for a key, whatever the rows.
+    """
+    names = list(figures)
+    by_day = keyed(daily, [*keys, "date"]).groupBy(*keys, F.col("date").cast("date").alias("_date")).agg(
+        *[f.alias(n) for n, f in figures.items()]
+    )
+    months = by_day.groupBy(*keys, F.trunc("_date", "month").alias("_month")).agg(
+        *[F.sum(n).alias(n) for n in names], F.collect_list(F.struct("_date", *names)).alias("_list")
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before{n}") for n in names]
+    blocks = months.select(*keys, "_month", F.struct(F.col("_month").alias("start"), "_list", *names, *before).alias("_block"))
+    asked = days.withColumn("_month", F.trunc("_date", "month"))
+    line = blocks.withColumn("_date", F.lit(None).cast("date")).unionByName(asked.withColumn("_block", F.lit(None).cast(blocks.schema["_block"].dataType)))
+    upto = Window.partitionBy(*keys).orderBy("_month", F.col("_date").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = line.withColumn("_block", F.last("_block", ignorenulls=True).over(upto)).filter(F.col("_date").isNotNull())
+    in_month = F.col("_block.start") == F.col("_month")
+
+    def total(n: str) -> Column:
+        part = F.aggregate(
+            F.filter("_block._list", lambda d: d["_date"] <= F.col("_date")), F.lit(0).cast("double"), lambda acc, d: acc + F.coalesce(d[n].cast("double"), F.lit(0.0))
+        )
+        own = F.when(in_month, part).otherwise(F.coalesce(F.col(f"_block.{n}").cast("double"), F.lit(0.0)))
+        return F.coalesce(F.col(f"_block._before{n}") + own, F.lit(0.0)).alias(n)
+
+    return found.select(*keys, "_date", *[total(n) for n in names])
+
+
 def growing_season_climate(
     runs: DataFrame,
     daily: DataFrame,
@@ -32,35 +66,23 @@ def growing_season_climate(
 ) -> DataFrame:
     """Season figures of every run; both ends of the season count.
 
-    Runs that share a season are computed once. A season is unfolded to its
-    months, so that the range join becomes an equi-join on keys and month with
-    the exact days as a residual condition.
+    A season is the difference of two running totals of its series, that of its last day and that
+    of the day before its first. The work is one pass over the days and two look-ups for each
+    season; runs that share a season are computed once.
     """
     require_columns(runs, [*keys, start_col, end_col], "runs")
     require_columns(daily, [*keys, "date"], "daily climate")
     season = [*keys, start_col, end_col]
-    seasons = keyed(runs, season).select(*season).distinct()
-    months = seasons.withColumn(
-        "_month",
-        F.explode_outer(
-            F.when(
-                col(start_col) <= col(end_col),
-                F.sequence(
-                    F.trunc(col(start_col), "month"),
-                    F.trunc(col(end_col), "month"),
-                    F.expr("interval 1 month"),
-                ),
-            )
-        ),
-    )
-    days = daily.withColumn("_month", F.trunc("date", "month"))
-    figures = _season_figures(daily.columns)
-    totals = (
-        days.join(months, [*keys, "_month"])
-        .filter(F.col("date").between(col(start_col), col(end_col)))
-        .groupBy(*season)
-        .agg(*[f.alias(n) for n, (_, f) in figures.items()])
-    )
+    seasons = keyed(runs, season).select(*season).distinct().filter(col(start_col) <= col(end_col))
+    seasons = store(seasons.withColumn("_eve", F.date_sub(col(start_col).cast("date"), 1)), "seasons")
+    figures = {n: f for n, (_, f) in _season_figures(daily.columns).items()}
+    last = col(end_col).cast("date")
+    ends = seasons.select(*keys, last.alias("_date")).union(seasons.select(*keys, "_eve")).distinct()
+    sums = store(totals_up_to(daily, ends, keys, figures), "season-totals")
+    until = sums.select(*keys, F.col("_date").alias("_last"), *[F.col(n).alias(f"_u{n}") for n in figures])
+    since = sums.select(*keys, F.col("_date").alias("_eve"), *[F.col(n).alias(f"_s{n}") for n in figures])
+    totals = seasons.withColumn("_last", last).join(until, [*keys, "_last"]).join(since, [*keys, "_eve"])
+    totals = totals.select(*season, *[(F.col(f"_u{n}") - F.col(f"_s{n}")).alias(n) for n in figures])
 
     def total(v: str) -> Column:
         if f"_s_{v}" not in figures:
@@ -76,7 +98,7 @@ def growing_season_climate(
         runs.join(totals, season, "left")
         .withColumns(
             {
-                "GrowingDays": F.coalesce(F.col("_days"), F.lit(0)),
+                "GrowingDays": F.coalesce(F.col("_days"), F.lit(0.0)).cast("bigint"),
                 "TotalPrecip_mm": total("pr"),
                 "AvgTmax_C": mean("tasmax"),
                 "AvgTmin_C": mean("tasmin"),
@@ -154,7 +176,6 @@ def centered_mean(
     order_col: str,
     value_col: str,
     window: int,
-    bucket: Column,
     name: str = "smoothed",
     block: int = 100_000,
     ties: Sequence[str] = (),
@@ -163,8 +184,7 @@ def centered_mean(
 
     Rows are numbered in order and cut into blocks; the rows near a block's edge
     are copied into its neighbour, so a series of any length is averaged block by
-    block. ``bucket`` is a coarse, monotone cut of the order (a year, say) and
-    ``ties`` completes the order where ``order_col`` repeats.
+    block. ``ties`` completes the order where ``order_col`` repeats.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
@@ -172,7 +192,7 @@ def centered_mean(
     block = max(block, window)
     y = number(value_col)
     order = [col(order_col), *[col(t) for t in ties]]
-    numbered = number_rows(keyed(series, [*keys, order_col]), keys, bucket, order, "_pos")
+    numbered = global_positions(store(keyed(series, [*keys, order_col]), "series"), keys, order, "_pos")
     at = (F.col("_pos") - 1) % block
     home = F.floor((F.col("_pos") - 1) / block)
     copies = F.array_compact(

@@ -17,7 +17,7 @@ from pyspark.ml.regression import (
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import (
@@ -29,6 +29,7 @@ from harvestlens.functions.columns import (
     require_columns,
     sowing_day_of_year,
 )
+from harvestlens.session import store
 
 CATEGORICAL = ("climate_source", "climate_model", "scenario", "period", "soil_id", "adaptation")
 ALIASES = {"gcm": "climate_model"}
@@ -85,16 +86,19 @@ def engineer_features(
     return encoded.select(*[col(c) for c in wanted if c in encoded.columns]), features, absent
 
 
-def null_drop_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``n_total, n_complete, n_dropped`` for a drop of rows with any null."""
+def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    """The rows without a null in ``columns``, stored, and ``n_total, n_complete, n_dropped`` from the same pass."""
     complete = F.lit(True)
     for c in columns:
         complete = complete & number(c).isNotNull()
-    return df.agg(
+    seen = Observation()
+    counted = df.observe(
+        seen,
         F.count(F.lit(1)).alias("n_total"),
         F.count_if(complete).alias("n_complete"),
         F.count_if(~complete).alias("n_dropped"),
     )
+    return store(counted.filter(complete), "complete-rows"), {n: int(v) for n, v in seen.get.items()}
 
 
 def complete_rows(
@@ -171,8 +175,11 @@ class Surrogate:
         return [*self.numeric, *self.categorical]
 
     def predict(self, df: DataFrame, suffix: str = "_pred") -> DataFrame:
-        """Add one prediction per target; other columns stay."""
-        absent, _ = missing_and_extra(self.features, df.columns)
+        """Add one prediction per target; other columns stay, those the model doesn't use with a warning."""
+        absent, extra = missing_and_extra([*self.features, *self.targets, "simulation_id", "is_test"], df.columns)
+        absent = [c for c in absent if c in self.features]
+        if extra:
+            warnings.warn(f"columns that the model does not use: {extra}", stacklevel=2)
         if absent:
             raise ValueError(f"prediction data lack features: {absent}")
         out = self.encoder.transform(df)

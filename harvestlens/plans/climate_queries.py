@@ -170,6 +170,28 @@ def bilinear(spark, sf_dir):
     )
 
 
+@query(
+    "nearest_station",
+    """with axis as (select distinct l_extendedprice as a from lineitem),
+ b as (select o_orderkey, o_totalprice as x, a as below from orders asof left join axis on o_totalprice >= a),
+ n as (select o_orderkey, a as above from orders asof left join axis on o_totalprice <= a)
+ select o_orderkey as location_id, below as previous, above as next, case when above is null then below
+ when below is null then above when above - x <= x - below then above else below end as nearest
+ from b join n using (o_orderkey)""",
+)
+def nearest_station(spark, sf_dir):
+    """An axis of very many distinct coordinates, most of them away from the points."""
+    axis = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("x"))
+    places = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("location_id"), F.col("o_totalprice").alias("place"))
+    around = grid.axis_neighbours(places, "place", axis, "x")
+    return around.select(
+        "location_id",
+        F.col("x_below").alias("previous"),
+        F.col("x_above").alias("next"),
+        grid.nearer(F.col("place"), F.col("x_below"), F.col("x_above")).alias("nearest"),
+    )
+
+
 _CUSTOMERS = """cust as (select c_custkey as location_id, (c_custkey * 37 % 1499) / 100.0::double as lat,
  (c_custkey * 53 % 1499) / 100.0::double as lon from customer)"""
 
@@ -220,6 +242,28 @@ def growing_season(spark, sf_dir):
     return tidy(season.growing_season_climate(runs, daily, ["location_id"]))
 
 
+@query(
+    "season_from_every_day",
+    f"""with {SERIES}, runs as (select climate_model, date as season_start, date + (90 + day(date) * 7)::int as season_end from series),
+ p as (select climate_model, date, sum(pr) over w as pr, sum(round(tasmax)) over w as tasmax, count(*) over w as n from series
+ window w as (partition by climate_model order by date))
+ select r.climate_model, season_start, season_end, e.n - coalesce(s.n, 0) as "GrowingDays",
+ {r('e.pr - coalesce(s.pr, 0)', 'TotalPrecip_mm')}, {r('(e.tasmax - coalesce(s.tasmax, 0)) / (e.n - coalesce(s.n, 0))', 'AvgTmax_C')},
+ null::double as "AvgTmin_C", null::double as "TotalRad_MJ"
+ from runs r asof join p e on r.climate_model = e.climate_model and season_end >= e.date
+ asof left join p s on r.climate_model = s.climate_model and season_start > s.date""",
+)
+def season_from_every_day(spark, sf_dir):
+    """Seasons of three to ten months that begin on every day of every series."""
+    daily = order_series(spark, sf_dir).withColumn("tasmax", F.round("tasmax"))
+    runs = daily.select(
+        "climate_model",
+        F.col("date").alias("season_start"),
+        F.date_add("date", 90 + F.dayofmonth("date") * 7).alias("season_end"),
+    )
+    return tidy(season.growing_season_climate(runs, daily, ["climate_model"]))
+
+
 def _statistics_sql(freq: str) -> str:
     return f"""with {SERIES} select climate_model, date_trunc('{freq}', date)::date as period_start,
  {r('coalesce(sum(pr), 0)', 'pr_sum')}, {r('avg(tasmax)', 'tasmax_mean')} from series group by all"""
@@ -270,7 +314,7 @@ def _smooth_sql(width: int) -> str:
 def centered_mean(spark, sf_dir):
     return tidy(
         season.centered_mean(
-            order_series(spark, sf_dir), ["climate_model"], "date", "pr", 31, F.year("date"), block=500
+            order_series(spark, sf_dir), ["climate_model"], "date", "pr", 31, block=500
         )
     )
 
@@ -279,7 +323,7 @@ def centered_mean(spark, sf_dir):
 def centered_mean_even(spark, sf_dir):
     return tidy(
         season.centered_mean(
-            order_series(spark, sf_dir), ["climate_model"], "date", "pr", 12, F.year("date")
+            order_series(spark, sf_dir), ["climate_model"], "date", "pr", 12
         )
     )
 
@@ -319,9 +363,7 @@ def climate_quality(spark, sf_dir):
  select location_id, date, {_rounded(WEATHER)} from daily anti join report using (location_id)""",
 )
 def climate_accepted(spark, sf_dir):
-    daily = climate_daily(spark, sf_dir)
-    report = quality.quality_report(daily, ["location_id"], ["tasmax"], {"tasmax": {"max": 30000.0}})
-    return tidy(quality.valid_rows(daily, report, ["location_id"]))
+    return tidy(quality.gate(climate_daily(spark, sf_dir), ["location_id"], ["tasmax"], {"tasmax": {"max": 30000.0}}).accepted)
 
 
 @query(
@@ -330,9 +372,7 @@ def climate_accepted(spark, sf_dir):
  select location_id, date, {_rounded(WEATHER)} from daily semi join report using (location_id)""",
 )
 def climate_rejected(spark, sf_dir):
-    daily = climate_daily(spark, sf_dir)
-    report = quality.quality_report(daily, ["location_id"], ["tasmax"], {"tasmax": {"max": 30000.0}})
-    return tidy(quality.rejected_rows(daily, report, ["location_id"]))
+    return tidy(quality.gate(climate_daily(spark, sf_dir), ["location_id"], ["tasmax"], {"tasmax": {"max": 30000.0}}).rejected)
 
 
 @query(

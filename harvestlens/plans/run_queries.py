@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from harvestlens.functions import columns as fc
@@ -18,6 +19,7 @@ from harvestlens.plans.testbed import (
     VALUES,
     as_status_events,
     case_sql,
+    once,
     points,
     r,
     sim_results,
@@ -27,7 +29,7 @@ from harvestlens.plans.testbed import (
     translate,
     whole,
 )
-from harvestlens.session import shared_folder
+from harvestlens.session import shared_folder, store
 from harvestlens.streaming import status_feed
 
 # The default configuration of a run set.
@@ -41,22 +43,22 @@ SOWING_DATES = ["06-15", "06-30", "07-15"]
 ADAPTATIONS = [
     {
         "name": "baseline",
-        "description": "Current practices (uses settings from simulation section)",
+        "description": "as farmed today",
         "settings": {},
     },
     {
         "name": "early_sowing_jun01",
-        "description": "Shift sowing date to June 1st",
+        "description": "sown on the first of June",
         "settings": {"sowing_dates": ["06-01"]},
     },
     {
         "name": "drip_irrigation_90eff",
-        "description": "Conceptual high efficiency irrigation",
+        "description": "drip lines that lose a tenth of the water",
         "settings": {"baseline_irrigation_threshold_pct": 70, "baseline_irrigation_amount_mm": 15},
     },
     {
         "name": "drought_tolerant_cultivar",
-        "description": "Hypothetical drought tolerant cultivar",
+        "description": "a cultivar bred for dry years",
         "settings": {
             "DSSAT": {"cultivar_id": "DROUGHTNK_DSSAT"},
             "APSIM": {"cultivar_id": "DROUGHTNK_APSIM"},
@@ -65,7 +67,7 @@ ADAPTATIONS = [
     },
     {
         "name": "residue_retention_50pct",
-        "description": "Retain 50% crop residues (if soil C module enabled)",
+        "description": "half of the straw stays on the field",
         "settings": {"soil_carbon_parameters": {"residue_incorporation_pct": 50}},
     },
 ]
@@ -382,6 +384,29 @@ def status_stream(spark, sf_dir):
     return status_feed.current_status(spark, f"{folder}/table")
 
 
+_BATCHES = ["ts < timestamp '2024-01-10'", "ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20'", "ts >= timestamp '2024-01-20'"]
+_LATE = "event_id % 17 = 0"  # of the first ten days: these arrive with the last batch
+
+
+@query(
+    "status_batches",
+    f"""with {STATUS}, w as (select max(ts) - interval 7 days as mark from events where {_BATCHES[1]}),
+ intime as (select feed.* from feed, w where not (seq % 17 = 0 and {_BATCHES[0]} and ts < mark)),
+ late as (select count(*) as n from events, w where {_LATE} and {_BATCHES[0]} and ts < mark)
+ select s.*, n as late_events from ({_LATEST.replace("from feed)", "from intime)")}) s, late""",
+)
+def status_batches(spark, sf_dir):
+    """Three batches in the order of time, some early events with the last one: beyond the bound they are counted only."""
+    folder = shared_folder(spark, "status-batches")
+    events = table(spark, sf_dir, "events")
+    late = F.expr(f"{_LATE} and {_BATCHES[0]}")
+    batches = [events.filter(F.expr(_BATCHES[0]) & ~late), events.filter(_BATCHES[1]), events.filter(F.expr(_BATCHES[2]) | late)]
+    for batch, rows in enumerate(batches):
+        status_feed.fold_batch(as_status_events(rows), batch, folder, "7 days")
+    n_late = status_feed.pointer(spark, folder)["late"]
+    return status_feed.current_status(spark, folder).withColumn("late_events", F.lit(n_late).cast("long"))
+
+
 @query(
     "status_upsert",
     f"""with {STATUS}, cur as (select user_id::varchar as simulation_id, min(props) as message,
@@ -487,6 +512,51 @@ def parallel_apply(spark, sf_dir):
     return apply.run_in_parallel(listed, _toy_model).select("simulation_id", "status", "message")
 
 
+@query(
+    "resumed_runs",
+    """with x as (select o_orderkey, o_orderkey::varchar as id, ('0x' || left(md5(o_orderkey::varchar), 8))::bigint % 4 as portion from orders)
+ select id as simulation_id, case when o_orderkey % 10 = 0 then 'RUN_ERROR' else 'SUCCESS' end as status,
+ portion::int as portion, 1 as n_runs, case when portion < 2 then 0 else 1 end as start from x""",
+)
+def resumed_runs(spark, sf_dir):
+    """The first start ends after two portions of four, the second one runs what is left, the third finds nothing to do."""
+    listed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("simulation_id"))
+    path = shared_folder(spark, "resumed-runs")
+
+    def model(run: dict) -> None:
+        if int(run["simulation_id"]) % 10 == 0:
+            raise ValueError("no yield")
+
+    for stop_after in (2, None, None):
+        found = apply.run_resumable(listed, model, path, portions=4, stop_after=stop_after)
+    return found.groupBy("simulation_id").agg(
+        F.max("status").alias("status"),
+        F.max("portion").alias("portion"),
+        F.count(F.lit(1)).cast("int").alias("n_runs"),
+        F.max("seq").cast("int").alias("start"),
+    )
+
+
+@query(
+    "retried_runs",
+    """select o_orderkey::varchar as simulation_id, case when o_orderkey % 5 < 3 then 'SUCCESS' else 'RUN_ERROR' end as status,
+ case when o_orderkey % 5 < 3 then 'attempt ' || (1 + o_orderkey % 5) else 'attempt 3 failed' end as message from orders""",
+)
+def retried_runs(spark, sf_dir):
+    """Three attempts a run; a run fails as often as its number modulo five says."""
+    listed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("simulation_id"))
+    attempts: dict[str, int] = {}
+
+    def model(run: dict) -> str:
+        key = run["simulation_id"]
+        attempts[key] = attempts.get(key, 0) + 1
+        if attempts[key] <= int(key) % 5:
+            raise RuntimeError(f"attempt {attempts[key]} failed")
+        return f"attempt {attempts[key]}"
+
+    return apply.run_in_parallel(listed, model, max_tries=3, initial_delay=0.0).select("simulation_id", "status", "message")
+
+
 # --- surrogate data --------------------------------------------------------------
 
 _HOT = {
@@ -522,7 +592,9 @@ def null_drop_report(spark, sf_dir):
     prepared = surrogate.with_sowing_day(sim_results(spark, sf_dir)).withColumn(
         "target", F.when(F.col("yield_kg") > 2, F.col("yield_kg"))
     )
-    return surrogate.null_drop_report(prepared, ["sowing_doy", "target"])
+    rows, counts = surrogate.drop_incomplete(prepared.select("simulation_id", "sowing_doy", "target"), ["sowing_doy", "target"])
+    found = rows.agg(F.count(F.lit(1)).alias("n_complete"))
+    return found.select(F.lit(counts["n_total"]).cast("long").alias("n_total"), "n_complete", F.lit(counts["n_dropped"]).cast("long").alias("n_dropped"))
 
 
 @query(
@@ -574,6 +646,26 @@ _ML = f"""{SIM}, ml as (select *, yield_kg * price as revenue, irrigation_mm * 2
 
 
 def _surrogate_data(spark, sf_dir):
+    """The encoded runs with their split, stored once a session."""
+    return once(spark, sf_dir, "surrogate-data", lambda: store(_split_runs(spark, sf_dir), "surrogate-data"))
+
+
+def _forest(spark, sf_dir):
+    """(path of the one fitted forest, its predictions when it was fitted); all its queries load it from there."""
+    def make():
+        data, path = _surrogate_data(spark, sf_dir), shared_folder(spark, "surrogate")
+        model = _fit(data)
+        model.save(path)
+        return path, store(model.predict(data.filter("is_test")), "predictions")
+
+    return once(spark, sf_dir, "surrogate-forest", make)
+
+
+def _loaded(spark, sf_dir):
+    return surrogate.Surrogate.load(spark, _forest(spark, sf_dir)[0])
+
+
+def _split_runs(spark, sf_dir):
     rows = surrogate.with_sowing_day(sim_results(spark, sf_dir)).withColumns(
         {
             "revenue": F.col("yield_kg") * F.col("price"),
@@ -596,7 +688,7 @@ def _fit(data, model_type="RandomForest", hyperparameters=_TREES, categorical=_C
 def surrogate_predict(spark, sf_dir):
     """Test rows; a forest averages targets it was trained on, so it predicts inside their range."""
     data = _surrogate_data(spark, sf_dir)
-    predicted = _fit(data).predict(data.filter("is_test"))
+    predicted = _loaded(spark, sf_dir).predict(data.filter("is_test"))
     ranges = data.filter("NOT is_test").agg(
         *[f(t).alias(f"{t}_{n}") for t in _TARGETS for n, f in (("lo", F.min), ("hi", F.max))]
     ).first()
@@ -615,7 +707,7 @@ _QUALITY_SQL = " union all ".join(
 def surrogate_quality(spark, sf_dir):
     """Test rows by target, and whether the fit explains more than half of the variance."""
     data = _surrogate_data(spark, sf_dir)
-    predicted = _fit(data).predict(data.filter("is_test"))
+    predicted = _loaded(spark, sf_dir).predict(data.filter("is_test"))
     metrics = surrogate.regression_metrics(predicted, {t: (t, f"{t}_pred") for t in _TARGETS})
     return metrics.select("target", "Count", (F.col("R2") > 0.5).alias("good"))
 
@@ -639,12 +731,7 @@ def surrogate_boosted(spark, sf_dir):
 )
 def surrogate_stored(spark, sf_dir):
     """A model saved, loaded and applied predicts as before."""
-    data = _surrogate_data(spark, sf_dir)
-    path = shared_folder(spark, "surrogate")
-    model = _fit(data)
-    model.save(path)
-    test = data.filter("is_test")
-    before = model.predict(test)
+    path, before = _forest(spark, sf_dir)
     after = surrogate.Surrogate.load(spark, path).predict(before, "_again")
     return after.select(
         "simulation_id", *[(F.abs(F.col(f"{t}_pred") - F.col(f"{t}_again")) < 1e-9).alias(f"{t}_same") for t in _TARGETS]
@@ -653,22 +740,39 @@ def surrogate_stored(spark, sf_dir):
 
 @query(
     "feature_importance",
-    "select 'revenue' as target, true as sums_to_one, true as ordered, true as names_known, 'yield_kg' as first_feature",
+    f"""with {_ML}, train as (select * from split where not is_test), f as (
+ {' union all '.join(f"select '{c}' as feature" for c in _NUMERIC)} union all
+ {' union all '.join(f"select distinct '_h_{c}_' || {c} from train" for c in _CATEGORIES)})
+ select target, feature, true as in_order, true as sums_to_one, feature = 'yield_kg' as leads_revenue
+ from f, (values ('revenue')) as t(target)""",
 )
 def feature_importance(spark, sf_dir):
-    """The importances add up to one, descend, and belong to encoded features; yield leads revenue."""
-    data = _surrogate_data(spark, sf_dir)
-    found = _fit(data).importance(data, "revenue")
-    known = F.lit(False)
-    for c in [*_NUMERIC, *_CATEGORIES]:
-        known = known | F.col("feature").contains(c)
-    top = F.max_by("feature", "importance")
-    return found.agg(
+    """All encoded features of revenue, as they are listed: descending, adding up to one, yield first."""
+    found = _loaded(spark, sf_dir).importance(_surrogate_data(spark, sf_dir), "revenue")
+    listed = found.withColumn("place", F.monotonically_increasing_id())
+    line = Window.partitionBy().orderBy("place")
+    return listed.select(
         F.lit("revenue").alias("target"),
-        (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
-        (F.min("importance") >= 0).alias("ordered"),
-        F.bool_and(known).alias("names_known"),
-        top.alias("first_feature"),
+        "feature",
+        F.coalesce(F.lag("importance").over(line) >= F.col("importance"), F.lit(True)).alias("in_order"),
+        (F.abs(F.sum("importance").over(Window.partitionBy()) - 1) < 1e-9).alias("sums_to_one"),
+        (F.row_number().over(line) == 1).alias("leads_revenue"),
+    )
+
+
+@query(
+    "top_features",
+    f"with {_ML} select count(distinct 'x' || simulation_id) > 0 as fitted, 10 as n_features, true as yield_is_first, true as descending from split",
+)
+def top_features(spark, sf_dir):
+    """The ten features with the greatest importance."""
+    found = _loaded(spark, sf_dir).importance(_surrogate_data(spark, sf_dir), "revenue", top=10)
+    weights = F.collect_list("importance")
+    return found.agg(
+        (F.count(F.lit(1)) > 0).alias("fitted"),
+        F.count(F.lit(1)).cast("int").alias("n_features"),
+        (F.max_by("feature", "importance") == "yield_kg").alias("yield_is_first"),
+        (F.sort_array(weights, False) == weights).alias("descending"),
     )
 
 

@@ -26,6 +26,7 @@ from harvestlens.plans.testbed import (
     STATUS,
     WEATHER,
     climate_cells,
+    once,
     points,
     r,
     sim_results,
@@ -33,8 +34,8 @@ from harvestlens.plans.testbed import (
     table,
     tidy,
 )
-from harvestlens.session import shared_folder
-from harvestlens.sources import tables
+from harvestlens.session import shared_folder, store
+from harvestlens.sources import publication, tables
 
 
 def _grid_cells(spark, sf_dir):
@@ -195,12 +196,18 @@ def feature_file_csv(spark, sf_dir):
 
 
 def _analysis(spark, sf_dir):
-    return workflows.analyze_impacts(
+    """The step is run once a session; its queries read what it wrote."""
+    return once(
         spark,
-        sim_results(spark, sf_dir).drop("region_id"),
-        ["yield_kg", "etc_mm"],
-        shared_folder(spark, "analysis"),
-        region_map=_region_map(spark, sf_dir),
+        sf_dir,
+        "impact-step",
+        lambda: workflows.analyze_impacts(
+            spark,
+            sim_results(spark, sf_dir).drop("region_id"),
+            ["yield_kg", "etc_mm"],
+            shared_folder(spark, "analysis"),
+            region_map=_region_map(spark, sf_dir),
+        ),
     )
 
 
@@ -233,3 +240,45 @@ def impact_step_ensemble(spark, sf_dir):
 def impact_step_regions(spark, sf_dir):
     made = _analysis(spark, sf_dir)["regions"]
     return tidy(made.select("region_id", "scenario", "period", *[f"{v}_mean" for v in _ENS]))
+
+
+@query(
+    "rerun_period",
+    f"""with {SIM}, m as (select location_id, period, avg(yield_kg) as y from sim group by all)
+ select location_id, period, {r("y + case when period = 'far_future' then 100 else 0 end", 'yield_kg')} from m""",
+)
+def rerun_period(spark, sf_dir):
+    """All periods are published, then one of them again with other values: the others stay."""
+    path = shared_folder(spark, "published")
+    means = sim_results(spark, sf_dir).groupBy("location_id", "period").agg(F.avg("yield_kg").alias("yield_kg"))
+    publication.publish_periods(means, path)
+    first = publication.read_published(spark, path)
+    again = first.filter("period = 'far_future'").withColumn("yield_kg", F.col("yield_kg") + 100)
+    publication.publish_periods(store(again, "rerun"), path)
+    return tidy(publication.read_published(spark, path))
+
+
+@query("run_status_csv", "select s_suppkey::varchar as simulation_id, case when s_suppkey % 3 = 0 then 'SUCCESS' else 'READY_TO_RUN' end as status, "
+       "case when s_suppkey % 3 = 0 then 'done, \"well\"' end as message, s_suppkey / 2.0 as setup_time, null::double as run_time from supplier")
+def run_status_csv(spark, sf_dir):
+    path = shared_folder(spark, "run-status")
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(
+        k.cast("string").alias("simulation_id"),
+        F.when(k % 3 == 0, "SUCCESS").otherwise("READY_TO_RUN").alias("status"),
+        F.when(k % 3 == 0, F.lit('done, "well"')).alias("message"),
+        (k / 2.0).alias("setup_time"),
+        F.lit(None).cast("double").alias("run_time"),
+    )
+    rows.write.csv(path, header=True, escape='"')
+    return tables.read_run_status(spark, path)
+
+
+@query("feature_file_parquet", "select s_suppkey::varchar as simulation_id, s_acctbal as balance from supplier")
+def feature_file_parquet(spark, sf_dir):
+    path = shared_folder(spark, "features") + ".parquet"
+    rows = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("simulation_id"), F.col("s_acctbal").alias("balance")
+    )
+    tables.write_by_suffix(rows, path)
+    return tables.read_by_suffix(spark, path)

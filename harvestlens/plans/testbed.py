@@ -6,6 +6,8 @@ independent engine can be compared digit by digit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,17 @@ SCHEMAS = {
 }
 
 
+_made: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
+    """What ``make`` gives, made once for a session and its tables: stored tables and fitted models."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE sizes shuffle partitions and splits skewed joins from measured sizes, and
 # is what decides on broadcasts: the operators carry no broadcast hints.
@@ -61,6 +61,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table below ``spark.checkpoint.dir`` and read it back, so that it is worked out once."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that this session made, through Spark's own view of the store."""
     jvm = spark.sparkContext._jvm

@@ -45,7 +45,7 @@ def _write(df: DataFrame, path: str, folders: Sequence[str], mode: str, codec: s
 
 
 def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, escape='"')
 
 
 def _csv_by_header(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -12,7 +12,7 @@ SOURCE = ("src", "gcm", "ssp245")
 
 @pytest.fixture(scope="module")
 def cells(spark):
-    """366 days on a 3 x 3 grid in long form."""
+    """A leap year on a 3 x 3 grid in long form. The grid lines and the distributions."""
     rng = np.random.default_rng(42)
     rows = []
     for d in range(366):
@@ -84,20 +84,41 @@ def test_bilinear_renormalizes_over_missing_corners(spark):
     assert rows["mid"] == pytest.approx((207 + 216 + 217) / 3)
 
 
-@pytest.mark.parametrize("bin_width", [0.1, 1.0, 50.0])
-def test_neighbours_against_brute_force(spark, bin_width):
+def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(5)
     axis = np.unique(np.round(rng.uniform(-20, 20, 60), 2))
-    xs = np.r_[np.round(rng.uniform(-22, 22, 300), 2), axis[:5], axis[-1]]
+    xs = np.r_[np.round(rng.uniform(-22, 22, 300), 2), axis[:5], axis[-1], np.full(400, 3.21), np.full(400, axis[7])]
     axis_df = spark.createDataFrame(pd.DataFrame({"lat": np.repeat(axis, 3)}))
     where = spark.createDataFrame(pd.DataFrame({"id": range(len(xs)), "x": xs}))
-    out = grid.axis_neighbours(where, "x", axis_df, "lat", bin_width).toPandas().set_index("id").sort_index()
+    out = grid.axis_neighbours(where, "x", axis_df, "lat")
+    assert out.columns == ["id", "x", "lat_below", "lat_above"]
+    out = out.toPandas().set_index("id").sort_index()
     below = [axis[axis <= x].max() if (axis <= x).any() else np.nan for x in xs]
     above = [axis[axis >= x].min() if (axis >= x).any() else np.nan for x in xs]
     np.testing.assert_array_equal(out["lat_below"].astype(float), below)
     np.testing.assert_array_equal(out["lat_above"].astype(float), above)
 
 
+def test_an_axis_of_two_million_stations(spark):
+    """All in a corner of the extent: no task holds more than its piece."""
+    n = 2_000_000
+    axis = spark.range(n).select((F.col("id") * 1e-6 + 40).alias("lat"))
+    where = spark.range(2000).select("id", (F.col("id") * 0.05).alias("x"))
+    rows = grid.axis_neighbours(where, "x", axis, "lat")
+    assert "collect_set" not in rows._jdf.queryExecution().toString()
+    stations = np.arange(n) * 1e-6 + 40
+    for r in rows.collect():
+        left, right = (int(np.searchsorted(stations, r["x"], side)) for side in ("left", "right"))
+        assert r["lat_below"] == (stations[right - 1] if right else None)
+        assert r["lat_above"] == (stations[left] if left < n else None)
+
+
+def test_no_axis(spark):
+    where = spark.createDataFrame([(1, 4.0), (2, None)], "id int, x double")
+    none = grid.axis_neighbours(where, "x", spark.createDataFrame([], "lat double"), "lat").collect()
+    assert [tuple(r) for r in none] == [(1, 4.0, None, None)]
+
+
 def test_single_axis_value(spark):
     where = spark.createDataFrame([(1, 4.0), (2, 5.0), (3, 6.0)], "id int, x double")
     axis = spark.createDataFrame([(5.0,)], "lat double")
@@ -113,8 +134,8 @@ def inside(px, py, ring):
     return odd
 
 
-@pytest.mark.parametrize("strip", [0.5, 3.0])
-def test_polygons_against_brute_force(spark, strip):
+@pytest.mark.parametrize("tile,most", [(0.5, 256), (3.0, 256), (3.0, 4), (100.0, 4)])
+def test_polygons_against_brute_force(spark, tile, most):
     rng = np.random.default_rng(7)
     rings = {}
     for i in range(12):
@@ -126,14 +147,44 @@ def test_polygons_against_brute_force(spark, strip):
     xy = rng.uniform(-8, 8, (400, 2))
     where = spark.createDataFrame(pd.DataFrame({"location_id": range(400), "lat": xy[:, 1], "lon": xy[:, 0]}))
     edge_df = spark.createDataFrame(edges, "polygon_id string, x1 double, y1 double, x2 double, y2 double")
-    got = {tuple(r) for r in spatial.points_in_polygons(where, edge_df, strip=strip).collect()}
+    got = {tuple(r) for r in spatial.points_in_polygons(where, edge_df, tile=tile, most=most).collect()}
     want = {(i, k) for i, (x, y) in enumerate(xy) for k, ring in rings.items() if inside(x, y, ring)}
     assert got == want and want
-    first = {r["location_id"]: r["polygon_id"] for r in spatial.polygon_of_point(where, edge_df, strip=strip).collect()}
+    first = {r["location_id"]: r["polygon_id"] for r in spatial.polygon_of_point(where, edge_df, tile=tile, most=most).collect()}
     assert len(first) == 400
     assert all(first[i] == min((k for j, k in want if j == i), default=None) for i in range(400))
 
 
+def test_a_polygon_of_many_edges_in_one_tile(spark):
+    """A star of 100 000 edges and all points in one tile: leaves hold few edges each."""
+    n = 100_000
+    angle = 2 * np.pi * np.arange(n) / n
+    radius = 0.3 + 0.1 * np.cos(500 * angle)
+    x, y = 0.5 + radius * np.cos(angle), 0.5 + radius * np.sin(angle)
+    frame = pd.DataFrame({"polygon_id": "star", "x1": x, "y1": y, "x2": np.roll(x, -1), "y2": np.roll(y, -1)})
+    index = spatial.polygon_index(spark.createDataFrame(frame))
+    assert index.agg(F.max(F.size("_edges"))).first()[0] <= 256
+    rng = np.random.default_rng(3)
+    xy = rng.uniform(0, 1, (5000, 2))
+    where = spark.createDataFrame(pd.DataFrame({"location_id": range(5000), "lat": xy[:, 1], "lon": xy[:, 0]}))
+    got = {r["location_id"] for r in spatial.points_in_polygons(where, None, index=index).collect()}
+    far = np.hypot(xy[:, 0] - 0.5, xy[:, 1] - 0.5)
+    bound = 0.3 + 0.1 * np.cos(500 * np.arctan2(xy[:, 1] - 0.5, xy[:, 0] - 0.5))
+    sure = np.abs(far - bound) > 0.002
+    assert all((i in got) == (far[i] < bound[i]) for i in np.flatnonzero(sure))
+
+
+def test_covering_polygons_and_no_polygons(spark):
+    square = lambda k, a, b: [(k, a, a, b, a), (k, b, a, b, b), (k, b, b, a, b), (k, a, b, a, a)]
+    rows = square("big", -10.3, 10.7) + square("small", 0.2, 0.4) + [("bad", None, 1.0, 2.0, 3.0)]
+    schema = "polygon_id string, x1 double, y1 double, x2 double, y2 double"
+    where = points(spark, [("in both", 0.3, 0.3), ("big only", 5.5, -7.7), ("out", 11.0, 0.0), ("nowhere", None, 1.0)])
+    found = {tuple(r) for r in spatial.points_in_polygons(where, spark.createDataFrame(rows, schema)).collect()}
+    assert found == {("in both", "big"), ("in both", "small"), ("big only", "big")}
+    none = spatial.polygon_of_point(where, spark.createDataFrame([], schema)).collect()
+    assert {r["polygon_id"] for r in none} == {None} and len(none) == 4
+
+
 # --- seasons -----------------------------------------------------------------
 
 
@@ -166,6 +217,24 @@ def test_season_over_a_year_end(spark):
     assert row["GrowingDays"] == (date(2021, 2, 3) - date(2019, 11, 20)).days + 1 == row["TotalPrecip_mm"]
 
 
+def test_seasons_against_brute_force(spark):
+    """Gaps of months and days, several rows a day, missing values, a season on every day."""
+    rng = np.random.default_rng(9)
+    days = [date(2019, 1, 1) + timedelta(days=int(i)) for i in rng.choice(900, 500, replace=False) if not 200 < i < 320]
+    rows = [("hot" if rng.random() < 0.7 else "cold", d, float(rng.integers(0, 50)), None if rng.random() < 0.1 else float(rng.integers(0, 30))) for d in days for _ in range(2)]
+    daily = spark.createDataFrame(rows, "k string, date date, pr double, tasmax double")
+    seasons = [(k, date(2018, 12, 1) + timedelta(days=i), date(2018, 12, 1) + timedelta(days=i + int(rng.integers(-3, 400)))) for k in ("hot", "cold", "none") for i in range(0, 1000, 9)]
+    runs = spark.createDataFrame(seasons, "k string, season_start date, season_end date")
+    got = {(r["k"], r["season_start"], r["season_end"]): r for r in season.growing_season_climate(runs, daily, ["k"]).collect()}
+    assert set(got) == set(seasons)
+    for key, r in got.items():
+        mine = [x for x in rows if x[0] == key[0] and key[1] <= x[1] <= key[2]]
+        warm = [x[3] for x in mine if x[3] is not None]
+        want = (len(mine), sum(x[2] for x in mine), sum(warm) / len(warm) if warm else None)
+        assert (r["GrowingDays"], r["TotalPrecip_mm"], r["AvgTmax_C"]) == pytest.approx(want, nan_ok=True)
+        assert r["AvgTmin_C"] is None and r["TotalRad_MJ"] is None
+
+
 def test_climate_statistics(spark, wide):
     monthly = season.climate_statistics(wide, [], ["tasmax", "tasmin", "pr"], "M")
     assert monthly.count() == 12 and monthly.columns == ["period_start", "tasmax_mean", "tasmin_mean", "pr_sum"]
@@ -195,14 +264,14 @@ def test_centered_mean_against_pandas(spark, window, block):
     pdf.loc[40, "y"] = np.nan
     want = pdf.assign(smoothed=pdf.groupby("g").y.transform(lambda s: s.rolling(window, center=True).mean()))
     df = spark.createDataFrame(pdf.sample(frac=1, random_state=0))
-    out = season.centered_mean(df, ["g"], "year", "y", window, F.floor(F.col("year") / 10), block=block).toPandas()
+    out = season.centered_mean(df, ["g"], "year", "y", window, block=block).toPandas()
     out = out.sort_values(["g", "year"], ignore_index=True)
     np.testing.assert_allclose(out.smoothed.astype(float), want.smoothed, rtol=1e-9)
 
 
 def test_centered_mean_ungrouped(spark):
     df = spark.range(1991, 2051).select(F.col("id").alias("year"), F.col("id").cast("double").alias("y"))
-    out = season.centered_mean(df, [], "year", "y", 3, F.floor(F.col("year") / 10))
+    out = season.centered_mean(df, [], "year", "y", 3)
     assert out.filter("smoothed = y").count() == 58 and out.count() == 60
 
 

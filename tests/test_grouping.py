@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from harvestlens.operators import grouping
+from harvestlens.operators import grouping, ordering
 from harvestlens.operators.impacts import baseline_statistics
 
 
@@ -29,13 +29,13 @@ PROBS = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 def quantiles(spark, pdf, nulls):
     df = spark.createDataFrame(pdf, "g string, v double").repartition(7)
     out = grouping.group_percentiles(df, ["g"], ["v"], PROBS, nulls)
-    return {r["g"]: list(r["_q"]) for r in out.collect()}
+    return {r["g"]: list(r["v"]["_q"]) for r in out.collect()}
 
 
 @pytest.mark.parametrize("nulls", ["propagate", "omit"])
-@pytest.mark.parametrize("accuracy", [100_000, 1000])
+@pytest.mark.parametrize("accuracy", [10_000, 1000, 100])
 def test_percentiles_are_exact(spark, skewed, nulls, accuracy, monkeypatch):
-    """With the usual sketch groups are their own brackets here; with a coarse one they are bracketed."""
+    """Groups of all sizes take the same way, with fine and with coarse sketches."""
     monkeypatch.setattr(grouping, "ACCURACY", accuracy)
     got = quantiles(spark, skewed, nulls)
     assert set(got) == {"hot", "same", "one", "two", "null", "empty"}
@@ -51,47 +51,79 @@ def test_bracketing_of_a_large_group(spark):
     values = pd.DataFrame({"g": "a", "v": np.random.default_rng(1).exponential(size=300_000)})
     df = spark.createDataFrame(values, "g string, v double")
     out = grouping.group_percentiles(df, ["g"], ["v"], [0.01, 0.5, 0.999]).first()
-    assert list(out["_q"]) == pytest.approx(list(np.quantile(values.v, [0.01, 0.5, 0.999])), rel=1e-12)
-    assert out["_n"] == 300_000 and out["_mean"] == pytest.approx(values.v.mean())
+    assert list(out["v"]["_q"]) == pytest.approx(list(np.quantile(values.v, [0.01, 0.5, 0.999])), rel=1e-12)
+    assert out["v"]["_n"] == 300_000 and out["v"]["_mean"] == pytest.approx(values.v.mean())
+
+
+def test_every_small_size(spark):
+    """Ranks are rounded differently by the sketch: all sizes up to 120, with and without ties."""
+    probabilities = [0.01, 0.1, 0.25, 1 / 3, 0.5, 0.75, 0.9, 0.99]
+    rng = np.random.default_rng(4)
+    rows = [(n, float(x), float(round(x))) for n in range(1, 121) for x in rng.normal(0, 5, n)]
+    df = spark.createDataFrame(rows, "n int, v double, w double").repartition(5)
+    out = {r["n"]: r for r in grouping.group_percentiles(df, ["n"], ["v", "w"], probabilities).collect()}
+    for n, r in out.items():
+        for i, c in ((1, "v"), (2, "w")):
+            assert list(r[c]["_q"]) == pytest.approx(list(np.quantile([x[i] for x in rows if x[0] == n], probabilities)), rel=1e-12)
+    assert len(out) == 120
 
 
 def test_coarse_and_fine_sketches_give_the_same_statistics(spark, skewed, monkeypatch):
     df = spark.createDataFrame(skewed, "g string, v double")
     fine = baseline_statistics(df, ["g"], ["v"]).orderBy("g").toPandas()
-    monkeypatch.setattr(grouping, "ACCURACY", 1000)
+    monkeypatch.setattr(grouping, "ACCURACY", 100)
     coarse = baseline_statistics(df, ["g"], ["v"]).orderBy("g").toPandas()
     pd.testing.assert_frame_equal(fine, coarse[fine.columns])
 
 
-def test_numbering(spark):
-    pdf = pd.DataFrame({"g": ["a"] * 50 + ["b"] * 3, "x": [*range(50), 5, 1, 9]})
-    df = spark.createDataFrame(pdf.sample(frac=1, random_state=1))
-    out = grouping.number_rows(df, ["g"], F.floor(F.col("x") / 7), [F.col("x")], "pos").toPandas()
-    want = pdf.assign(pos=pdf.groupby("g").x.rank().astype(int))
-    pd.testing.assert_frame_equal(
-        out.sort_values(["g", "x"], ignore_index=True),
-        want.sort_values(["g", "x"], ignore_index=True),
-        check_dtype=False,
-    )
+def test_positions(spark):
+    """Every kind of group at once: one of a third of the rows, one of equal rows, a null key."""
+    rng = np.random.default_rng(3)
+    keys = [*["hot"] * 700, *["same"] * 600, *["a", "b"] * 40, *[None] * 50]
+    pdf = pd.DataFrame({"g": keys, "x": [*rng.permutation(700), *[5] * 600, *rng.permutation(80), *rng.permutation(50)]})
+    pdf["w"] = rng.integers(0, 9, len(pdf))
+    df = spark.createDataFrame(pdf, "g string, x long, w long").repartition(6)
+    out = ordering.global_positions(df, ["g"], [F.col("x")], "pos", "n", {"before": "w"}).toPandas()
+    assert list(out.columns) == ["g", "x", "w", "pos", "before", "n"]
+    for g, mine in out.fillna({"g": "null"}).groupby("g"):
+        mine = mine.sort_values("pos")
+        assert list(mine.pos) == list(range(1, len(mine) + 1)) and set(mine.n) == {len(mine)}
+        assert mine.x.is_monotonic_increasing
+        assert list(mine.before) == list(mine.w.cumsum() - mine.w)
+
+
+def test_pieces_stay_even(spark):
+    """A third of the rows are equal: they are cut too."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("x"))
+        sizes = [r["count"] for r in ordering.sorted_pieces(df, [F.col("x")]).groupBy("_piece").count().collect()]
+        assert len(sizes) >= 6 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_salted_join_keeps_all_rows(spark):
+def test_split_join_keeps_all_rows(spark):
     rows = spark.range(10_000).select((F.col("id") % 3 == 0).cast("int").alias("k"), "id")
     stats = rows.groupBy("k").agg(F.avg("id").alias("m"))
-    joined = grouping.join_group_stats(rows, stats, ["k"])
+    joined = grouping.split_join(rows, stats, ["k"])
     assert joined.count() == 10_000
     assert joined.columns == ["k", "id", "m"]
+    assert grouping.split_join(rows.limit(0), stats, ["k"]).count() == 0
 
 
-def test_salt_spreads_a_hot_group(spark):
+def test_only_heavy_groups_are_split_by_their_size(spark):
+    """One location owns a third of the rows, all of them equal; the others are many and small."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_size"))
+    assert [tuple(r) for r in grouping.heavy_groups(sizes, ["k"]).collect()] == [(-1, 34)]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        rows = spark.range(4000).select(F.lit(1).alias("k"), "id")
-        stats = rows.groupBy("k").agg(F.avg("id").alias("m"))
-        joined = grouping.join_group_stats(rows, stats, ["k"])
-        parts = joined.groupBy(F.spark_partition_id()).count().collect()
-        assert len(parts) > 3
+        stats = sizes.select("k", F.col("_size").alias("m"))
+        joined = grouping.split_join(rows, stats, ["k"], sizes=sizes)
+        parts = [r["count"] for r in joined.filter("k = -1").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(parts) >= 4 and max(parts) <= 10_000 and joined.count() == 60_000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")

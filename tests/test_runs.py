@@ -101,10 +101,10 @@ def test_upsert_and_counts(spark):
 @pytest.mark.parametrize("n,tasks", [(10, 3), (3, 5), (100, 7), (1, 1)])
 def test_split_sizes(spark, n, tasks):
     df = spark.range(n).select(F.col("id").cast("string").alias("simulation_id"))
-    split = runs.split_work(df, tasks, digits=1).toPandas()
+    split = runs.split_work(df, tasks).toPandas()
     sizes = split.task.value_counts().sort_index().reindex(range(1, tasks + 1), fill_value=0)
     assert list(sizes) == [len(p) for p in np.array_split(np.arange(n), tasks)]
-    again = runs.split_work(df.repartition(5), tasks, digits=1).toPandas()
+    again = runs.split_work(df.repartition(5), tasks).toPandas()
     pd.testing.assert_frame_equal(split.sort_values("simulation_id", ignore_index=True), again.sort_values("simulation_id", ignore_index=True))
 
 
