@@ -6,7 +6,7 @@ Stages, each over all that its predecessor kept:
    has half of the letters.
 2. ``near_duplicates`` keeps one document of each group linked by five-word shingles with a
    Jaccard similarity of 0.8 or more: the smallest doc_id.
-3. ``repeated_passages`` cuts runs of two sentences or more, of 12 words or more, that occur earlier.
+3. ``repeated_passages`` cuts runs of several sentences, of 16 words or more, that occur earlier.
 4. ``mixing`` draws blocks of words by source weights; a document may come back whole, in
    part, or up to three times.
 5. ``packing`` fills sequences of several permitted lengths.

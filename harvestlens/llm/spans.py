@@ -1,20 +1,21 @@
 """Removal of passages that repeat, by hashes of sentence runs.
 
-A text is cut into sentences (after ``.!?`` with white space, and at line ends). A run is
-several consecutive sentences, as few as hold ``run_words`` words and are ``run_sentences``
-or more; every sentence begins one and ends one. A run whose words occur elsewhere, earlier in
-the order (doc_id, text hash, position), is a repeat, and sentences covered by repeats are
-removed. A single sentence that recurs is none, whatever its length. Any repeated passage
-whose whole sentences make a run loses all of these: a run fits in it from its first sentence
-on and back from its last, and from any sentence between these two runs in one direction. A
-passage that begins or ends inside a sentence of its host keeps only that sentence, so
-``run_words`` is small.
+A text is cut into sentences (after ``.!?`` with white space, and at line ends), and sentences of
+more than ``LONG`` words into their clauses (after ``,;:`` with white space), so that a passage
+which begins or ends inside a sentence of its host is followed closely. A run is
+several consecutive sentences, the first and the last of which may be clauses: as few parts as hold
+``run_words`` words and reach over ``run_sentences - 1`` sentence ends; every part begins one and
+ends one. A run whose words occur elsewhere, earlier in the order (doc_id, text hash,
+position), is a repeat, and parts covered by repeats are removed. A single sentence that
+recurs is none, whatever its length. Any repeated passage whose whole parts make a run loses all of
+these: a run fits in it from its first part on and back from its last, and from any part between
+these two runs in one direction.
 
 Runs are told apart by two independent 64-bit hashes: one finds those that may recur, both
 decide. A null text stays null and an empty one empty. Rows equal in id and text are one
 document, treated alike. A null id comes last in the order. A text may become empty; its row
 stays. Texts count whole, however long. An empty table gives no rows. All columns stay; those
-added are ``n_sentences`` and ``n_removed``, in place of such names.
+added are ``n_sentences`` and ``n_removed`` (parts), in place of such names.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ from harvestlens.llm.registry import query
 _CUT = re.compile(r"[.!?…。！？][\"')\]»”]*\s+|\n\s*")
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # fixed values: odd bases of the run polynomials
-RUN_WORDS = 12
+_CLAUSE = re.compile(r"[,;:][\"')\]»”]*\s+")
+LONG = 16  # words of a sentence above which it is cut into clauses
+RUN_WORDS = 16
 RUN_SENTENCES = 2
 
 
@@ -47,6 +50,19 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(edges, edges[1:])]
 
 
+def parts(text: str) -> tuple[list[str], list[bool]]:
+    """Sentences, long ones by clause, and whether a sentence ends with the part: joined, they are the text."""
+    found, ends = [], []
+    for s in sentences(text):
+        edges = [0]
+        if len(s.split()) > LONG:
+            edges += [m.end() for m in _CLAUSE.finditer(s) if m.end() < len(s)]
+        edges.append(len(s))
+        found += [s[a:b] for a, b in zip(edges, edges[1:])]
+        ends += [False] * (len(edges) - 2) + [True]
+    return found, ends
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     factors = np.full(n, base, dtype=_U)
     factors[0] = 1
@@ -54,23 +70,30 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def runs(text: str, run_words: int, run_sentences: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, second hashes, spans, new) of a text's runs in order; a span is first sentence << 32 | end.
+    """(hashes, second hashes, spans, new) of a text's runs in order; a span is first part << 32 | end.
 
     ``new`` is false for a run that occurs earlier in the text.
     """
     hashes, lengths = [], [0]
-    for s in sentences(text):
+    pieces, ends = parts(text)
+    for s in pieces:
         w = s.split()
         hashes.append(xxhash.xxh3_128_intdigest(" ".join(w)))
         lengths.append(len(w))
     total = np.cumsum(lengths)
     n = len(hashes)
+    over = np.cumsum([0, *ends])  # sentences that end among the first so many parts
     none = np.zeros(0, np.int64)
-    if n < run_sentences or total[-1] < run_words:
+    if n == 0 or total[-1] < run_words:
         return none, none, none, np.zeros(0, bool)
     i, j = np.arange(n), np.arange(1, n + 1)
-    forward = np.maximum(np.searchsorted(total, total[:-1] + run_words, side="left"), i + run_sentences)
-    backward = np.minimum(np.searchsorted(total, total[1:] - run_words, side="right") - 1, j - run_sentences)
+    # the end of the last part is not inside a run
+    inner = run_sentences - 1
+    forward = np.maximum(np.searchsorted(total, total[:-1] + run_words, side="left"), np.maximum(np.searchsorted(over, over[:-1] + inner, side="left"), i) + 1)
+    backward = np.minimum(
+        np.searchsorted(total, total[1:] - run_words, side="right") - 1,
+        np.minimum(np.searchsorted(over, over[:-1] - inner, side="right") - 1, j - 1),
+    )
     spans = np.unique(np.concatenate(((i << 32 | forward)[forward <= n], (backward << 32 | j)[backward >= 0])))
     first, end = spans >> 32, spans & 0xFFFFFFFF
     found = []
@@ -89,16 +112,16 @@ def runs(text: str, run_words: int, run_sentences: int) -> tuple[np.ndarray, np.
 
 
 def without_covered(text: str, spans: list[int]) -> tuple[str, int, int]:
-    """The text without its covered sentences, its sentences, and how many were removed."""
-    parts = sentences(text)
+    """The text without its covered parts, its sentences, and how many parts were removed."""
+    pieces, ends = parts(text)
     if not spans:
-        return text, len(parts), 0
-    marks = np.zeros(len(parts) + 1, dtype=np.int64)
+        return text, sum(ends), 0
+    marks = np.zeros(len(pieces) + 1, dtype=np.int64)
     for s in spans:
         marks[s >> 32] += 1
         marks[s & 0xFFFFFFFF] -= 1
     gone = np.cumsum(marks[:-1]) > 0
-    return "".join(p for p, g in zip(parts, gone) if not g), len(parts), int(gone.sum())
+    return "".join(p for p, g in zip(pieces, gone) if not g), sum(ends), int(gone.sum())
 
 
 def repeats(docs: DataFrame, run_words: int, run_sentences: int) -> DataFrame:

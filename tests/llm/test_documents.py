@@ -511,9 +511,9 @@ def brute_removal(rows, run_words, run_sentences):
     order = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in rows if r["text"]}, key=lambda x: x[:2])
     first, marks = {}, {}
     for doc in order:
-        parts = spans.sentences(doc[2])
+        parts, ends = spans.parts(doc[2])
         n = [len(p.split()) for p in parts]
-        run = lambda i, j: j - i >= run_sentences and sum(n[i:j]) >= run_words
+        run = lambda i, j: j > i and sum(ends[i : j - 1]) >= run_sentences - 1 and sum(n[i:j]) >= run_words
         found = set()
         for i in range(len(parts)):
             for j in range(i + 1, len(parts) + 1):
@@ -537,6 +537,8 @@ def test_repeated_passages_equal_brute_force(spark, run_words, run_sentences):
     rows = [(i, prose(i, 80)) for i in range(10)]
     rows += [(20, prose(20, 50) + " " + passage), (21, prose(21, 40) + "\n" + passage + "\n" + prose(22, 30)), (22, passage)]
     rows += [(23, prose(23, 30) + " " + prose(1000, 60)[:150]), (24, passage + " " + passage), (25, None), (26, ""), (27, "one")]
+    clauses = ", ".join(" ".join(f"c{i}{k}" for k in range(7)) for i in range(9)) + ". Then an end, of a kind."
+    rows += [(40, f"{prose(41, 30)[:-1]} and {clauses}"), (41, f"So {clauses[:200]} {prose(42, 30)}"), (42, f"{clauses[60:]} {prose(43, 30)}")]
     rows += [(30, prose(30, 40) + " " + lone + prose(31, 40)), (31, prose(32, 40) + " " + lone + prose(33, 40))]
     rows += [(None, passage), (21, prose(21, 40) + "\n" + passage + "\n" + prose(22, 30))]
     table = spark.createDataFrame([(*r, 1, 2, f"k{r[0]}") for r in rows], "doc_id long, text string, n_removed int, other int, span_key string")
@@ -581,5 +583,6 @@ def test_passage_that_begins_and_ends_inside_sentences_goes(spark, tmp_path):
 
 
 def test_sentences_are_the_text():
-    for text in ("A b. C d!  E\n\nf g", "no end", "...", "\n\n a", "x." * 50):
-        assert "".join(spans.sentences(text)) == text
+    for text in ("a, " * 40 + "b", "A b. C d!  E\n\nf g", "no end", "...", "\n\n a", "x." * 50):
+        assert "".join(spans.sentences(text)) == text == "".join(spans.parts(text)[0])
+        assert len(spans.sentences(text)) == sum(spans.parts(text)[1])
