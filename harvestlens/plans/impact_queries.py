@@ -112,6 +112,7 @@ def baseline_statistics_large_groups(spark, sf_dir):
 
 _ENS_KEYS = "location_id, scenario, period"
 _ENS = ["yield_kg_rel_change", "etc_mm_rel_change"]
+_CHANGED = [f"{v}_{kind}_change" for v in VALUES for kind in ("abs", "rel")]
 
 
 def _ensemble_sql(source: str, keys: str, values: list[str], model: str) -> str:
@@ -148,6 +149,20 @@ def ensemble_statistics(spark, sf_dir):
     return tidy(_ensemble(spark, sf_dir))
 
 
+_CROP_KEYS = ["location_id", "climate_source", "crop_model"]
+
+
+@query(
+    "ensemble_of_crop_models",
+    f"with {SIM}, impacts as ({_impact_sql(', '.join(_CROP_KEYS), 'scenario, ', VALUES)}) "
+    f"{_ensemble_sql('impacts', _ENS_KEYS, _CHANGED, 'crop_model')}",
+)
+def ensemble_of_crop_models(spark, sf_dir):
+    """The members are crop models, the usual case, and all variables are taken."""
+    changes = impacts.climate_impacts(sim_results(spark, sf_dir), _CROP_KEYS, VALUES, future_keys=["scenario"])
+    return tidy(impacts.ensemble_statistics(changes, _ENS_KEYS.split(", "), _CHANGED))
+
+
 @query(
     "direction_agreement",
     f"with {_IMPACTS} select {_ENS_KEYS}, "

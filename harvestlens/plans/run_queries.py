@@ -9,6 +9,7 @@ from harvestlens.functions import columns as fc
 from harvestlens.functions import status as st
 from harvestlens.operators import adaptation as ad
 from harvestlens.operators import apply, impacts, quality, results, runs, scenario, surrogate
+from harvestlens.plans import workflows
 from harvestlens.plans.registry import query
 from harvestlens.plans.testbed import (
     CROP_MODEL_OF_FLAG,
@@ -116,10 +117,8 @@ def location_attributes(spark, sf_dir):
         .groupBy(F.col("s_nationkey").cast("string").alias("location_id"))
         .agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
     )
-    with_place = scenario.attach_attributes(sim_results(spark, sf_dir), locations, ["lat", "lon"])
-    return tidy(
-        with_place.groupBy("location_id", "scenario", "lat", "lon").agg(F.count(F.lit(1)).alias("n_runs"))
-    )
+    counted = sim_results(spark, sf_dir).groupBy("location_id", "scenario").agg(F.count(F.lit(1)).alias("n_runs"))
+    return tidy(scenario.attach_attributes(counted, locations, ["lat", "lon"]).select("location_id", "scenario", "lat", "lon", "n_runs"))
 
 
 @query(
@@ -738,6 +737,41 @@ def surrogate_stored(spark, sf_dir):
     )
 
 
+@query(
+    "prediction_file",
+    f"with {_ML} select simulation_id, true as revenue_inside, true as water_inside from split where is_test",
+)
+def prediction_file(spark, sf_dir):
+    """Features from a file, predictions to a file, read back."""
+    data = _surrogate_data(spark, sf_dir)
+    features = shared_folder(spark, "features") + ".parquet"
+    data.filter("is_test").select("simulation_id", *_NUMERIC, *_CATEGORIES).write.parquet(features)
+    out = shared_folder(spark, "predictions") + ".parquet"
+    workflows.predict_file(spark, features, _forest(spark, sf_dir)[0], out)
+    bounds = [f(t).alias(f"{t}_{n}") for t in _TARGETS for n, f in (("lo", F.min), ("hi", F.max))]
+    ranges = data.filter("NOT is_test").agg(*bounds).first()
+    inside = {f"{t}_inside": F.col(t).between(ranges[f"{t}_lo"] - 1e-6, ranges[f"{t}_hi"] + 1e-6) for t in _TARGETS}
+    return spark.read.parquet(out).withColumns(inside).select("simulation_id", *inside)
+
+
+@query(
+    "run_set_up",
+    f"""with m as (select s_suppkey::varchar as location_id, crop_model, climate_source, climate_model, scenario, sowing_date
+ from supplier, {_DIM_SQL}, (select unnest(['06-15', '06-30', '07-15']) as sowing_date))
+ select location_id, climate_model, scenario, case when location_id::bigint % 3 = 0 and scenario = 'ssp585' then 'SETUP_ERROR' else 'READY_TO_RUN' end as status,
+ case when location_id::bigint % 3 = 0 and scenario = 'ssp585' then 'No climate data for ' || concat_ws(', ', location_id, climate_source, climate_model, scenario) end as message,
+ count(*) as n_runs from m group by all""",
+)
+def run_set_up(spark, sf_dir):
+    """The set-up step: every third location has no climate for one scenario."""
+    locations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("location_id"))
+    matrix = scenario.simulation_matrix(locations, DIMENSIONS, SOWING_DATES)
+    there = (F.col("location_id").cast("long") % 3 != 0) | (F.col("scenario") != "ssp585")
+    series = matrix.filter(there).select(*workflows.CLIMATE_KEYS).distinct()
+    made = workflows.set_up_runs(spark, locations, DIMENSIONS, SOWING_DATES, series, shared_folder(spark, "set-up"))
+    return made.groupBy("location_id", "climate_model", "scenario", "status", "message").agg(F.count(F.lit(1)).alias("n_runs"))
+
+
 @query(
     "feature_importance",
     f"""with {_ML}, train as (select * from split where not is_test), f as (

@@ -10,6 +10,7 @@ from harvestlens.operators.grid import extract_points
 from harvestlens.plans import workflows
 from harvestlens.plans.climate_queries import _cell_sql
 from harvestlens.plans.impact_queries import (
+    _AD_VARS,
     _BASE_FIGURES,
     _ENS,
     _ENS_KEYS,
@@ -17,7 +18,7 @@ from harvestlens.plans.impact_queries import (
     _ensemble_sql,
     _region_map,
 )
-from harvestlens.plans.registry import query
+from harvestlens.plans.registry import ORACLES, query
 from harvestlens.plans.testbed import (
     CELLS,
     KEYS,
@@ -282,3 +283,48 @@ def feature_file_parquet(spark, sf_dir):
     )
     tables.write_by_suffix(rows, path)
     return tables.read_by_suffix(spark, path)
+
+
+def _adaptation_step(spark, sf_dir):
+    """The step is run once a session; its queries read what it wrote."""
+    return once(
+        spark,
+        sf_dir,
+        "adaptation-step",
+        lambda: workflows.analyze_adaptations(
+            spark, sim_results(spark, sf_dir).drop("region_id"), _AD_VARS, shared_folder(spark, "adaptations"), region_map=_region_map(spark, sf_dir)
+        ),
+    )
+
+
+@query("adaptation_step_ranking", ORACLES["adaptation_ranking_table"])
+def adaptation_step_ranking(spark, sf_dir):
+    return tidy(_adaptation_step(spark, sf_dir)["ranking"], 3)
+
+
+@query("adaptation_step_ensemble", ORACLES["adaptation_ensemble"])
+def adaptation_step_ensemble(spark, sf_dir):
+    return tidy(_adaptation_step(spark, sf_dir)["ensemble"])
+
+
+@query("adaptation_step_regions", ORACLES["adaptation_regions"])
+def adaptation_step_regions(spark, sf_dir):
+    return tidy(_adaptation_step(spark, sf_dir)["regions"])
+
+
+@query("soil_layers_json", ORACLES["soil_layers"])
+def soil_layers_json(spark, sf_dir):
+    """Profiles from JSON, half of them as parallel arrays, half as lists of layers."""
+    path = shared_folder(spark, "soil")
+    s, even = F.col("p_size"), F.col("p_partkey") % 2 == 0
+    depth = [F.lit(0.0), s.cast("double"), 2.0 * s]
+    sand = [60.0 + s % 7, 55.0 + s % 7, 50.0 + s % 7]
+    clay = [F.lit(20.0), F.lit(25.0), F.when(s % 2 == 0, 30.0)]
+    layers = [F.struct(d.alias("depth"), a.alias("sand"), c.alias("clay")) for d, a, c in zip(depth, sand, clay)]
+    profiles = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("soil_id"),
+        *[F.when(even, F.array(*x)).alias(n) for n, x in (("depth", depth), ("sand", sand), ("clay", clay))],
+        F.when(~even, F.array(*layers)).alias("layers"),
+    )
+    profiles.write.json(path)
+    return tables.read_soil_layers(spark, path)

@@ -67,6 +67,10 @@ SOIL_PROFILE_ARRAYS = T.StructType(
     + _fields(T.ArrayType(T.DoubleType()), "depth", "sand", "clay")
 )
 
+_LAYER = T.StructType(_fields(T.DoubleType(), "depth", "sand", "clay"))
+# either the arrays or the list of layers
+SOIL_PROFILE = T.StructType([*SOIL_PROFILE_ARRAYS.fields, T.StructField("layers", T.ArrayType(_LAYER))])
+
 RESULT_REQUIRED = [
     "location_id",
     "crop_model",

@@ -192,8 +192,10 @@ def write_by_suffix(df: DataFrame, path: str, codec: str = "snappy", mode: str =
 
 
 def read_soil_layers(spark: SparkSession, path: str, soil_id: str | None = None) -> DataFrame:
-    """Layers of soil profiles stored as JSON rows of parallel arrays."""
-    profiles = spark.read.schema(schemas.SOIL_PROFILE_ARRAYS).json(path)
+    """Layers of soil profiles stored as JSON rows, each with parallel arrays or with a list of layers."""
+    profiles = spark.read.schema(schemas.SOIL_PROFILE).json(path)
+    zipped = F.arrays_zip("depth", "sand", "clay").cast(schemas.SOIL_PROFILE["layers"].dataType)
+    profiles = profiles.withColumn("layers", F.coalesce("layers", zipped))
     if soil_id is not None:
         profiles = profiles.filter(F.col("soil_id") == soil_id)
-    return soil_layers(profiles)
+    return soil_layers(profiles, layers_col="layers")

@@ -13,10 +13,10 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 # These run jobs while they build (training, streams, stored steps) and end in a plain read.
 EAGER = {
     "surrogate_predict", "surrogate_quality", "surrogate_boosted", "surrogate_stored", "feature_importance",
-    "impact_clusters", "status_stream",
+    "impact_clusters", "status_stream", "status_batches", "top_features", "prediction_file", "resumed_runs", "run_set_up",
     *(n for n in QUERIES if QUERIES[n].__module__.endswith("source_queries")),
 }
-PYTHON = {"parallel_apply"}
+PYTHON = {"parallel_apply", "retried_runs"}
 
 
 @pytest.fixture(autouse=True)

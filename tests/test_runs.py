@@ -1,4 +1,4 @@
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ EVENTS = "simulation_id string, ts timestamp, seq long, status string, message s
 
 
 def at(minute):
-    return datetime(2024, 1, 1, 0, minute)
+    return datetime(2024, 1, 1) + timedelta(minutes=minute)
 
 
 def test_matrix_size_and_keys(spark):
@@ -182,3 +182,49 @@ def test_stream_equals_batch_with_late_events(spark, tmp_path):
     want = runs.latest_status(spark.read.schema(EVENTS).parquet(feed))
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
     assert {r["simulation_id"]: r["status"] for r in got.collect()} == {"r1": "SUCCESS", "r2": "SUCCESS", "r3": "RUNNING"}
+
+
+def test_late_events_expiry_and_folders(spark, tmp_path):
+    """Events beyond the bound are counted only, final runs leave the open states, folders don't grow with batches."""
+    table = str(tmp_path / "table")
+    history = []
+    for batch in range(12):
+        day = 10 * batch
+        rows = [(f"r{batch}", at(day), 1, "RUNNING", "a"), (f"r{batch}", at(day + 1), 2, "SUCCESS", "b"), ("open", at(day), batch, "RUNNING", "o")]
+        history += rows
+        late = [("r0", at(0), 99, "FAILED", "too late")] if batch == 5 else []
+        events = spark.createDataFrame(rows + late, EVENTS)
+        status_feed.fold_batch(events, batch, table, "30 minutes")
+        status_feed.fold_batch(events, batch, table, "30 minutes")  # repeated after a failure: nothing changes
+    now = status_feed.pointer(spark, table)
+    assert now["late"] == 1 and now["batch"] == 11
+    open_rows = spark.read.parquet(f"{table}/{now['open']}")
+    assert {r["simulation_id"] for r in open_rows.collect()} == {"open", "r8", "r9", "r10", "r11"}
+    assert len(now["segments"]) <= 2 * status_feed.SEGMENTS
+    assert len(list((tmp_path / "table").iterdir())) < 30
+    got = status_feed.current_status(spark, table)
+    want = runs.latest_status(spark.createDataFrame(history, EVENTS))
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_start_runs_only_what_is_left(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    df = spark.range(40).select(F.col("id").cast("string").alias("simulation_id"))
+    marks = tmp_path / "calls"
+    marks.mkdir()
+
+    def model(run):
+        with open(marks / run["simulation_id"], "a") as f:
+            f.write("x")
+        return "done"
+
+    first = apply.run_resumable(df, model, path, portions=5, stop_after=2)
+    n = first.count()
+    assert 0 < n < 40 and set(r["portion"] for r in first.collect()) == {0, 1}
+    # a portion that broke off: its folder has no mark of success and doesn't count
+    broken = tmp_path / "runs" / "start=1-portion=4"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"half")
+    assert apply.run_resumable(df, model, path, portions=5).count() == 40
+    assert apply.run_resumable(df, model, path, portions=5).count() == 40
+    assert {p.read_text() for p in marks.iterdir()} == {"x"} and len(list(marks.iterdir())) == 40

@@ -58,9 +58,16 @@ def test_limits_and_unused_settings_are_reported(data):
         su.fit_surrogate(data.limit(200), NUMERIC, [], TARGETS[:1], hyperparameters={"n_estimators": 2, "min_samples_split": 5})
 
 
+def test_columns_that_the_model_does_not_use_are_named(data):
+    model = su.fit_surrogate(data, NUMERIC, CATEGORICAL, TARGETS, hyperparameters=SMALL)
+    with pytest.warns(UserWarning, match="notes"):
+        model.predict(data.withColumn("notes", F.lit("x")))
+
+
 def test_null_drop(spark):
     df = spark.createDataFrame([(1.0, 2.0), (None, 2.0), (1.0, None)], "f double, t double")
-    assert tuple(su.null_drop_report(df, ["f", "t"]).first()) == (3, 1, 2)
+    rows, counts = su.drop_incomplete(df, ["f", "t"])
+    assert counts == {"n_total": 3, "n_complete": 1, "n_dropped": 2} and rows.count() == 1
     assert su.complete_rows(df, ["f"], ["t"]).count() == 1
     with pytest.raises(ValueError):
         su.complete_rows(df.filter("f is null"), ["f"], ["t"])

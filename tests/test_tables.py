@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from harvestlens import schemas
+from harvestlens.operators import quality
 from harvestlens.session import shared_folder
-from harvestlens.sources import tables
+from harvestlens.sources import publication, tables
 from tests.compare import explained
 
 
@@ -123,3 +124,23 @@ def test_unreadable_locations(spark, tmp_path):
     bad = tables.unreadable_locations(spark, f"{tmp_path}/l.csv").collect()
     assert [(r["location_id"], r["lat"]) for r in bad] == [("b", "north"), ("c", None)]
     assert tables.read_locations(spark, f"{tmp_path}/l.csv").filter("lat is null").count() == 2
+
+
+def test_one_period_is_published_alone(spark, tmp_path):
+    path = str(tmp_path / "table")
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, "b", 3.0), (4, None, 4.0)], "k int, period string, v double")
+    publication.publish_periods(df, path)
+    publication.publish_periods(spark.createDataFrame([(9, "b", 9.0)], df.schema), path)
+    assert sorted(tuple(r) for r in publication.read_published(spark, path).collect()) == [(1, "a", 1.0), (2, "a", 2.0), (9, "b", 9.0)]
+    publication.remove(spark, f"{path}/{publication.MARKER}")
+    with pytest.raises(ValueError, match="not a complete table"):
+        publication.read_published(spark, path)
+    with pytest.raises(ValueError):
+        publication.read_published(spark, str(tmp_path / "none"))
+
+
+def test_gate_counts_while_it_writes(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 5.0), ("c", 99.0)], "k string, v double")
+    found = quality.gate(df, ["k"], ["v"], {"v": {"max": 50.0}})
+    assert (found.n_rows, found.n_null) == (4, 1)
+    assert [r["k"] for r in found.accepted.collect()] == ["b"] and found.rejected.count() == 3
