@@ -10,8 +10,10 @@ above ``threshold`` is kept.
 
 Character references are decoded; white space inside a block, line breaks included, is one
 blank; blocks are trimmed and joined by one newline in page order. Scripts, styles,
-comments and the head are no text. A null or empty page, and one without main text, give
-an empty text. Rows stay as they are; columns named like a result are replaced.
+comments and the head are no text; formulas and the content of objects are. A null or empty page, and one
+without main text, give an empty text. Pages count whole, in time proportional to their length,
+however many tags stay open. Rows stay as they are, repeated ones too; an empty table gives no
+rows; columns named like a result are replaced.
 """
 
 from __future__ import annotations

@@ -396,6 +396,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, p
         return df.select(F.col("class").alias(name), *[F.col(w).alias(f"{w}_{name}") for w in what])
 
     pairs = stored(pairs, "candidate-pairs")
+    if pairs.isEmpty():
+        return pairs
     differ = f"zip_with({_folded('long_a', 'long_b')}, {_folded('long_b', 'long_a')}, (p, q) -> bit_count(p ^ q))"
     apart = f"aggregate({differ}, 0, (s, x) -> s + x) * {100 + percent} > {100 - percent} * (n_a + n_b)"
     near = pairs.join(end(heads, "a", "long", "n"), "a").join(end(heads, "b", "long", "n"), "b")
@@ -460,36 +462,40 @@ def similarity_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     # join most of a group whose texts link with many others but not with its first
     open_ = still_open(members)
     discard(members)
-    turn = F.xxhash64("class", "band")
-    piece = F.pmod(F.xxhash64("class", "band", F.lit(1)), F.ceil(F.col("members") / PIECE))
-    order = Window.partitionBy("band", "piece").orderBy("turn", "class")
-    nexts = open_.withColumn("piece", piece).withColumn("turn", turn)
-    own = F.struct("class", "part")
-    nexts = nexts.select(own.alias("x"), *[F.lead(own, i).over(order).alias(f"y{i}") for i in (1, 2)])
-    pairs = nexts.select("x", F.explode(F.array("y1", "y2")).alias("y")).filter("y IS NOT NULL AND x.part <> y.part")
-    pairs = pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    pairs = pairs.join(end("a", "x"), "a").join(end("b", "y"), "b").filter(f"NOT ({far})").select("a", "b")
-    links = links.union(_linked(pairs, docs, heads, shingle, percent))
-    joined = components(links)
+    if not open_.isEmpty():
+        turn = F.xxhash64("class", "band")
+        piece = F.pmod(F.xxhash64("class", "band", F.lit(1)), F.ceil(F.col("members") / PIECE))
+        order = Window.partitionBy("band", "piece").orderBy("turn", "class")
+        nexts = open_.withColumn("piece", piece).withColumn("turn", turn)
+        own = F.struct("class", "part")
+        nexts = nexts.select(own.alias("x"), *[F.lead(own, i).over(order).alias(f"y{i}") for i in (1, 2)])
+        pairs = nexts.select("x", F.explode(F.array("y1", "y2")).alias("y")).filter("y IS NOT NULL AND x.part <> y.part")
+        pairs = pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+        pairs = pairs.join(end("a", "x"), "a").join(end("b", "y"), "b").filter(f"NOT ({far})").select("a", "b")
+        links = links.union(_linked(pairs, docs, heads, shingle, percent))
+        joined = components(links)
 
     # what is left: every pair of members of one band in different components
     left = still_open(open_)
     discard(open_)
-    crowded = left.filter(F.col("members") > CROWDED).select("class", "part").distinct()
-    crowded = stored(crowded.join(heads.select("class", "row_key"), "class"), "crowded-classes")
-    rare = rare_bands(docs, crowded.select("class", "row_key"), shingle, percent)
-    rare = rare.join(crowded.select("class", "part"), "class").select("class", "band", "part")
-    meeting = left.filter(F.col("members") <= CROWDED).select("class", "band", "part").union(rare)
-    meeting = stored(meeting.join(facts, "class"), "meeting-members")
-
-    def side(name: str, part: str, facts_: str) -> DataFrame:
-        return meeting.select("band", F.col("class").alias(name), F.col("part").alias(part), F.struct("n", "sketch").alias(facts_))
-
-    x, y = side("a", "pa", "x"), side("b", "pb", "y")
-    rest = x.join(y, (x["band"] == y["band"]) & F.expr(f"a < b AND pa <> pb AND NOT ({far})"))
-    links = links.union(_linked(rest.select("a", "b").distinct(), docs, heads, shingle, percent))
-    discard(left, meeting)
-    joined = components(links)
+    if not left.isEmpty():
+        crowded = left.filter(F.col("members") > CROWDED).select("class", "part").distinct()
+        crowded = stored(crowded.join(heads.select("class", "row_key"), "class"), "crowded-classes")
+        meeting = left.filter(F.col("members") <= CROWDED).select("class", "band", "part")
+        if not crowded.isEmpty():
+            rare = rare_bands(docs, crowded.select("class", "row_key"), shingle, percent)
+            meeting = meeting.union(rare.join(crowded.select("class", "part"), "class").select("class", "band", "part"))
+        meeting = stored(meeting.join(facts, "class"), "meeting-members")
+
+        def side(name: str, part: str, facts_: str) -> DataFrame:
+            return meeting.select("band", F.col("class").alias(name), F.col("part").alias(part), F.struct("n", "sketch").alias(facts_))
+
+        x, y = side("a", "pa", "x"), side("b", "pb", "y")
+        rest = x.join(y, (x["band"] == y["band"]) & F.expr(f"a < b AND pa <> pb AND NOT ({far})"))
+        links = links.union(_linked(rest.select("a", "b").distinct(), docs, heads, shingle, percent))
+        discard(meeting)
+        joined = components(links)
+    discard(left)
 
     lowest = heads.select("class", "low").join(joined, heads["class"] == joined["node"], "left")
     lowest = lowest.withColumn("part", F.coalesce("component", "class"))

@@ -8,10 +8,11 @@ of the permitted length with the least cost per word is opened, the words that s
 pieces can still add being counted in; in the end each bin shrinks to the shortest length
 that holds its contents. Bins with equal contents are planned as one group. The plan says,
 for each size and range of ranks, the bins and offsets; pieces are ranked within their
-size (by hash bucket and id) and look their place up.
+size (by id, in sorted pieces) and look their place up.
 
 A null or blank text has no words: its row comes back with null bin. Rows with equal ids
-are pieces of their own. Extra columns are ignored.
+are pieces of their own. Texts count whole, however long; an empty table has an empty plan. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
