@@ -63,15 +63,16 @@ def axis_neighbours(points: DataFrame, point_col: str, axis: DataFrame, axis_col
     coordinate drop out. The axis may be a few grid lines or millions of station coordinates,
     and the points may crowd anywhere: both are sorted together into pieces of about equal size.
     Inside a piece the neighbours are the last axis value before and the next one behind; beyond
-    its edges they are carried over by running maxima and minima of the pieces' ends.
+    its edges they are carried over by running maxima and minima of the pieces' ends. Axis values
+    may repeat. Both tables are read twice, so they should come from storage.
     """
     x = number(point_col)
     below, above = f"{axis_col}_below", f"{axis_col}_above"
-    values = axis.select(number(axis_col).alias("_x")).filter(F.col("_x").isNotNull()).distinct()
+    values = axis.select(number(axis_col).alias("_x")).filter(F.col("_x").isNotNull())
     placed = points.withColumn("_x", x).filter(F.col("_x").isNotNull())
     both = placed.withColumn("_a", F.lit(None).cast("double")).unionByName(values.withColumn("_a", F.col("_x")), allowMissingColumns=True)
     # an axis value comes before the points at its place
-    rows = sorted_pieces(store(both, "points-and-axis"), [F.col("_x"), F.col("_a").isNull()], "axis-order")
+    rows = sorted_pieces(both, [F.col("_x"), F.col("_a").isNull()], "axis-order")
     ends = rows.groupBy("_piece").agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"))
     # every frame grows from its first row on: one that shrinks would be gone through again for each row
     upto = lambda w, n: w.rowsBetween(Window.unboundedPreceding, n)
