@@ -29,7 +29,7 @@ from harvestlens.functions.columns import (
     require_columns,
     sowing_day_of_year,
 )
-from harvestlens.session import store
+from harvestlens.session import spread, store
 
 CATEGORICAL = ("climate_source", "climate_model", "scenario", "period", "soil_id", "adaptation")
 ALIASES = {"gcm": "climate_model"}
@@ -300,15 +300,17 @@ def fit_surrogate(
     require_columns(train, [*numeric, *categorical, *targets], "training data")
     make = _regressor(model_type, {"random_state": 42, **(hyperparameters or {})})
     casts = {c: number(c) for c in [*numeric, *targets]}
-    # fitted many times over: kept on the executors, on disk where memory ends
     rows = train.withColumns(casts).select(*[col(c) for c in dict.fromkeys([*numeric, *categorical, *targets])])
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = store(rows, "training-rows")
+    encoder = _encoder(numeric, categorical).fit(rows)
+    # every target reads the vectors several times: they are made once, and kept on disk, since the trees' own
+    # points need the memory; partitions of a bounded size let Spark keep as many of these as there is room for
+    encoded = encoder.transform(spread(rows, rows.count())).select("_features", *[col(t) for t in targets])
+    encoded = encoded.persist(StorageLevel.DISK_ONLY)
     try:
-        encoder = _encoder(numeric, categorical).fit(rows)
-        encoded = encoder.transform(rows).select("_features", *[col(t) for t in targets])
         regressors = {t: make.copy().setLabelCol(t).fit(encoded) for t in targets}
     finally:
-        rows.unpersist()
+        encoded.unpersist()
     return Surrogate(encoder, regressors, list(numeric), list(categorical), model_type)
 
 

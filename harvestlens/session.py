@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # AQE sizes shuffle partitions and splits skewed joins from measured sizes, and
 # is what decides on broadcasts: the operators carry no broadcast hints.
@@ -68,6 +69,29 @@ def store(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROWS_A_TASK = 500_000
+
+
+def partitions_for(spark: SparkSession, rows: int) -> int | None:
+    """Partitions of ``ROWS_A_TASK`` rows; None where the session's own number is enough."""
+    needed = -(-rows // ROWS_A_TASK)
+    return needed if needed > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """A large table in as many partitions as its rows need, by ``keys`` or evenly.
+
+    The session's number of shuffle partitions is fixed, so the memory of a task would grow with the
+    table. Tables that this number is enough for stay as they are.
+    """
+    parts = partitions_for(df.sparkSession, rows)
+    if parts is None:
+        return df
+    if keys:
+        return df.repartition(parts, *keys)
+    return df.withColumn("_row", F.monotonically_increasing_id()).repartition(parts, "_row").drop("_row")
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that this session made, through Spark's own view of the store."""
     jvm = spark.sparkContext._jvm

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from harvestlens import session
 from harvestlens.operators import grouping, ordering
 from harvestlens.operators.impacts import baseline_statistics
 
@@ -127,3 +128,13 @@ def test_only_heavy_groups_are_split_by_their_size(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_table_is_spread_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    df = spark.range(5000).withColumn("g", F.lit(1))
+    assert session.spread(df, 800) is df
+    for keys in ((), ("id",)):
+        dealt = session.spread(df, 5000, *keys)
+        assert dealt.rdd.getNumPartitions() == 50 and dealt.columns == ["id", "g"]
+        assert dealt.agg(F.sum("id")).first()[0] == 4999 * 2500

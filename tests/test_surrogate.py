@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from harvestlens import session
 from harvestlens.operators import surrogate as su
 
 
@@ -133,3 +134,18 @@ def test_clusters(spark):
     df = spark.createDataFrame(rows, "location_id string, lat double, lon double, change double")
     out = su.impact_clusters(df, "change", k=2).toPandas()
     assert out.groupby("change").spatial_cluster.nunique().eq(1).all() and out.spatial_cluster.nunique() == 2
+
+
+def test_training_partitions_follow_the_rows(data, monkeypatch):
+    """The vectors of all targets are made once, in partitions of a bounded size."""
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100, raising=False)
+    seen = []
+
+    class Fake:
+        copy = lambda self: self
+        setLabelCol = lambda self, name: self
+        fit = lambda self, df: seen.append((df.rdd.getNumPartitions(), df.is_cached))
+
+    monkeypatch.setattr(su, "_regressor", lambda *_: Fake())
+    su.fit_surrogate(data, NUMERIC, CATEGORICAL, TARGETS)
+    assert seen == [(15, True), (15, True)]
