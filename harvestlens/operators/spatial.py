@@ -45,6 +45,9 @@ def polygon_index(
     four, ``depth`` times at most, so that only a place where very many edges meet can stay
     crowded. Edges stay rows until the leaves, a corner's parity follows from that of its parent
     and the parent's edges, and only crowded cells are worked on again.
+
+    The joins are by sorting: a stored table of a few MB holds many times that in rows, and a broadcast would
+    bring it to the driver on every level.
     """
     e = edges.select(col(polygon_id).alias("_p"), *[col(c).cast("double").alias(c) for c in _EDGE])
     e = store(e.dropna(), "polygon-edges")
@@ -82,14 +85,14 @@ def polygon_index(
         crowded = store(counts.filter(F.col("_n") > most).select("_cx", "_cy"), "crowded-cells")
         last = level == depth or crowded.isEmpty()
         # polygons without an edge in a crowded cell cover it or miss it: they stay on this level
-        here = pieces if last else pieces.join(crowded, ["_cx", "_cy"], "left_anti")
+        here = pieces if last else pieces.hint("merge").join(crowded, ["_cx", "_cy"], "left_anti")
         lists = here.groupBy("_p", "_cx", "_cy").agg(F.collect_list(F.struct(*_EDGE)).alias("_edges"))
         known = corners
         if not last:
-            cut = pieces.join(crowded, ["_cx", "_cy"])
+            cut = pieces.hint("merge").join(crowded, ["_cx", "_cy"])
             cut_cells = store(cut.select("_p", "_cx", "_cy").distinct(), "cut-cells")
-            known = corners.join(cut_cells, ["_p", "_cx", "_cy"], "left_anti")
-        found = known.join(lists, ["_p", "_cx", "_cy"], "left").filter("_odd OR _edges IS NOT NULL")
+            known = corners.hint("merge").join(cut_cells, ["_p", "_cx", "_cy"], "left_anti")
+        found = known.hint("merge").join(lists, ["_p", "_cx", "_cy"], "left").filter("_odd OR _edges IS NOT NULL")
         leaves.append(found.select(F.lit(level).alias("_level"), "_cx", "_cy", "_p", "_odd", "_edges"))
         if last:
             break
@@ -99,7 +102,7 @@ def polygon_index(
         low_x, low_y = F.col("_cx") * size, F.col("_cy") * size
         turned = _crossings(*[F.col(c) for c in _EDGE], low_x, low_y, kid_x * half, kid_y * half)
         flips = cut.withColumn("_k", kids).groupBy("_p", "_cx", "_cy", "_k").agg(F.sum(turned).alias("_t"))
-        next_corners = flips.join(corners, ["_p", "_cx", "_cy"]).select(
+        next_corners = flips.hint("merge").join(corners, ["_p", "_cx", "_cy"]).select(
             "_p", kid_x.alias("_cx"), kid_y.alias("_cy"), (F.col("_odd") != (F.col("_t") % 2 == 1)).alias("_odd")
         )
         next_pieces = cut.withColumn("_k", kids).select("_p", kid_x.alias("_cx"), kid_y.alias("_cy"), *_EDGE)
@@ -144,7 +147,7 @@ def points_in_polygons(
     if not cells:
         return placed.select(point_id, F.lit(None).alias("_p")).filter("_p IS NOT NULL").withColumnRenamed("_p", polygon_id)
     asked = placed.withColumn("_cell", F.explode(F.array(*cells))).select(point_id, "_px", "_py", "_cell.*")
-    met = asked.join(index, ["_level", "_cx", "_cy"])
+    met = asked.hint("merge").join(index, ["_level", "_cx", "_cy"])
     side = F.lit(tile) / F.pow(F.lit(2.0), F.col("_level"))
     turns = F.aggregate(
         F.coalesce("_edges", F.array().cast(index.schema["_edges"].dataType)),
@@ -162,7 +165,16 @@ def polygon_of_point(
     polygon_id: str = "polygon_id",
     **options,
 ) -> DataFrame:
-    """Each point with its polygon; NULL outside, the first id where polygons overlap."""
-    pairs = points_in_polygons(points, edges, point_id, polygon_id, **options)
+    """Each point with its polygon; NULL outside, the first id where polygons overlap.
+
+    A polygon that covers a cell holds all its points, so polygons of later ids are not looked at there.
+    """
+    index = options.pop("index", None)
+    if index is None:
+        index = polygon_index(edges, polygon_id, options.get("tile", 1.0), options.get("most", 256))
+    cell = ["_level", "_cx", "_cy"]
+    covering = index.filter("_edges IS NULL").groupBy(*cell).agg(F.min("_p").alias("_first"))
+    near = index.hint("merge").join(covering, cell, "left").filter("_first IS NULL OR _p <= _first").drop("_first")
+    pairs = points_in_polygons(points, edges, point_id, polygon_id, index=store(near, "first-polygons"), **options)
     first = pairs.groupBy(point_id).agg(F.min(polygon_id).alias(polygon_id))
-    return points.join(first, point_id, "left")
+    return points.hint("merge").join(first, point_id, "left")

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from harvestlens import session
 from harvestlens.operators import grid, quality, season, soil, spatial
 
 SOURCE = ("src", "gcm", "ssp245")
@@ -318,3 +319,26 @@ def test_soil_layers(spark):
     assert out == [("SOIL1", 1, 0.0, 60.0, 20.0), ("SOIL1", 2, 10.0, 55.0, 25.0), ("SOIL1", 3, 30.0, 50.0, 30.0)]
     structs = spark.createDataFrame([("S", [(1.0, 2.0, 3.0)])], "soil_id string, layers array<struct<depth:double,sand:double,clay:double>>")
     assert tuple(soil.soil_layers(structs, layers_col="layers").first()) == ("S", 1, 1.0, 2.0, 3.0)
+
+
+def test_polygons_are_not_sent_to_the_driver(spark):
+    ring = [(0.0, 0.0), (6.0, 0.0), (6.0, 6.0), (0.0, 6.0)]
+    edges = [(k, *a, *b) for k in ("a", "b", "c") for a, b in zip(ring, ring[1:] + ring[:1])]
+    edge_df = spark.createDataFrame(edges, "polygon_id string, x1 double, y1 double, x2 double, y2 double")
+    where = spark.createDataFrame([(1, 3.5, 3.5), (2, 0.5, 0.5), (3, 9.0, 9.0)], "location_id int, lat double, lon double")
+    asked = []
+    found = spatial.points_in_polygons
+
+    def counted(*args, index=None, **options):
+        asked.append(index.groupBy("_level", "_cx", "_cy").count().agg(F.max("count")).first()[0])
+        asked.append(index.filter("_cx = 3 AND _cy = 3").count())
+        return found(*args, index=index, **options)
+
+    spatial.points_in_polygons = counted
+    try:
+        out = spatial.polygon_of_point(where, edge_df)
+    finally:
+        spatial.points_in_polygons = found
+    assert "Broadcast" not in out._jdf.queryExecution().toString()
+    assert asked == [3, 1]  # of the polygons that cover a cell the first one only
+    assert sorted(tuple(r) for r in out.select("location_id", "polygon_id").collect()) == [(1, "a"), (2, "a"), (3, None)]
