@@ -323,9 +323,12 @@ def impact_clusters(
     seed: int = 42,
     name: str = "spatial_cluster",
 ) -> DataFrame:
-    """K-means clusters of standardized position and change."""
+    """K-means clusters of standardized position and change.
+
+    The rows are stored first: scaling, every round of K-means and the result read them.
+    """
     inputs = [lat_col, lon_col, change_col]
-    rows = impacts.dropna(subset=inputs)
+    rows = store(impacts.dropna(subset=inputs), "cluster-rows")
     prepared = Pipeline(
         stages=[
             VectorAssembler(inputCols=inputs, outputCol="_raw"),

@@ -835,7 +835,7 @@ def feature_table(spark, sf_dir):
 )
 def impact_clusters(spark, sf_dir):
     """Every location and future period in one of four clusters."""
-    changes = impacts.climate_impacts(sim_results(spark, sf_dir), ["location_id"], VALUES)
+    changes = store(impacts.climate_impacts(sim_results(spark, sf_dir), ["location_id"], VALUES), "changes")
     locations = (
         points(spark, sf_dir)
         .join(table(spark, sf_dir, "supplier"), F.col("location_id") == F.col("s_suppkey"))

@@ -136,6 +136,20 @@ def test_clusters(spark):
     assert out.groupby("change").spatial_cluster.nunique().eq(1).all() and out.spatial_cluster.nunique() == 2
 
 
+def test_clusters_work_their_input_out_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def change(i):
+        read.add(1)
+        return float(i % 2)
+
+    df = spark.range(20).select(F.col("id").cast("string").alias("location_id"), "id", (F.col("id") * 1.0).alias("lat"))
+    df = df.withColumn("lon", F.col("lat") / 2).withColumn("change", change.asNondeterministic()("id")).drop("id")
+    assert len(su.impact_clusters(df, "change", k=2).collect()) == 20
+    assert read.value == 20
+
+
 def test_training_partitions_follow_the_rows(data, monkeypatch):
     """The vectors of all targets are made once, in partitions of a bounded size."""
     monkeypatch.setattr(session, "ROWS_A_TASK", 100, raising=False)
