@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import col, keyed, number
-from harvestlens.session import store
+from harvestlens.session import spread, store
 
 HEAVY = 0.01  # share of all rows above which a group is split, by its own size
 # Quantile sketches bracket a rank to within 1 / ACCURACY of a group, at any size.
@@ -91,7 +91,8 @@ def group_percentiles(
             F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.percentile_approx(x, ends, ACCURACY).alias("e")).alias(f"_b_{v}"),
         ]
 
-    plan = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), *[s for v in values for s in summary(v)])
+    # with many groups Spark sorts a task's rows to build the sketches
+    plan = spread(rows, rows.count()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), *[s for v in values for s in summary(v)])
     plan = store(plan, "percentile-brackets")
     placed = split_join(rows, plan.drop("_size"), keys, sizes=plan.select(*keys, "_size"))
     slots = []  # (variable, value, lower end, upper end, probability)
@@ -104,8 +105,9 @@ def group_percentiles(
     around = []
     for _, x, lo, hi, _ in slots:
         around.append(F.struct(F.count_if(x < lo).alias("below"), F.max(F.when(x < lo, x)).alias("before"), F.min(F.when(x > hi, x)).alias("after")))
-    side = placed.groupBy(*keys).agg(*[F.first(f"_f_{v}").alias(f"_f_{v}") for v in values], *[a.alias(f"_a{i}") for i, a in enumerate(around)])
-    side = side.select(*keys, *[f"_f_{v}" for v in values], F.array(*[f"_a{i}" for i in range(len(slots))]).alias("_around"))
+    # only numbers are summed up here: with a struct among them Spark would sort all rows by group
+    side = placed.groupBy(*keys).agg(*[a.alias(f"_a{i}") for i, a in enumerate(around)])
+    side = side.join(plan.select(*keys, *[f"_f_{v}" for v in values]), keys).select(*keys, *[f"_f_{v}" for v in values], F.array(*[f"_a{i}" for i in range(len(slots))]).alias("_around"))
     hits = [F.when((x >= lo) & (x <= hi), F.struct(F.lit(i).alias("_i"), x.alias("_w"))) for i, (_, x, lo, hi, _) in enumerate(slots)]
     inside = placed.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("_h")).select(*keys, "_h.*")
     inside = inside.groupBy(*keys, "_i", "_w").agg(F.count(F.lit(1)).alias("_c"))

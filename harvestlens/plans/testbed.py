@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from harvestlens.operators.grid import pivot_variables
 from harvestlens.operators.scenario import assign_periods
+from harvestlens.session import spread
 
 KEYS = ["location_id", "climate_source", "climate_model"]
 VALUES = ["yield_kg", "etc_mm", "irrigation_mm"]
@@ -82,6 +83,18 @@ def whole(c):
     return F.floor(c + 0.5).cast("double")
 
 
+_SENT = 2_000_000  # rows of a table that Spark can send to every task
+
+
+def _spread_lines(spark: SparkSession, sf_dir: str, rows: DataFrame, key: str, other: str) -> DataFrame:
+    """Line items dealt by the key of a join, in as many partitions as they need, where ``other`` is large."""
+
+    def counted(name: str) -> int:
+        return once(spark, sf_dir, f"rows-{name}", table(spark, sf_dir, name).count)
+
+    return spread(rows, counted("lineitem"), key) if counted(other) > _SENT else rows
+
+
 def translate(name: str, pairs: dict[str, str]):
     out = F.lit(None).cast("string")
     for key, value in pairs.items():
@@ -96,13 +109,14 @@ def case_sql(name: str, pairs: dict[str, str]) -> str:
 def sim_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result fact table: line items with the attributes of their order, customer and part."""
     dated = assign_periods(table(spark, sf_dir, "orders"), "o_orderdate", PERIODS)
-    joined = (
-        table(spark, sf_dir, "lineitem")
-        .join(dated, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = _spread_lines(spark, sf_dir, table(spark, sf_dir, "lineitem"), "l_orderkey", "orders")
+    joined = lines.join(dated, F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = _spread_lines(spark, sf_dir, joined, "o_custkey", "customer")
+    joined = joined.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
+    joined = _spread_lines(spark, sf_dir, joined, "l_partkey", "part")
+    joined = joined.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("simulation_id"),
         F.col("n_nationkey").cast("string").alias("location_id"),

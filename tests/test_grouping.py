@@ -138,3 +138,16 @@ def test_a_table_is_spread_by_its_rows(spark, monkeypatch):
         dealt = session.spread(df, 5000, *keys)
         assert dealt.rdd.getNumPartitions() == 50 and dealt.columns == ["id", "g"]
         assert dealt.agg(F.sum("id")).first()[0] == 4999 * 2500
+
+
+def test_percentiles_sort_no_rows_by_group(spark, monkeypatch):
+    """All rows are counted by a hash aggregate, and the sketches are made in tasks of a bounded size."""
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100, raising=False)
+    seen = []
+    monkeypatch.setattr(grouping, "store", lambda df, purpose: seen.append((purpose, df)) or session.store(df, purpose))
+    df = spark.range(5000).select((F.col("id") % 200).alias("g"), F.col("id").cast("double").alias("v"))
+    out = grouping.group_percentiles(df, ["g"], ["v"], [0.5])
+    plan = out._jdf.queryExecution().toString()
+    assert not [line for line in plan.splitlines() if "SortAggregate" in line and "partial_count" in line]
+    assert "REPARTITION_BY_NUM, " in dict(seen)["percentile-brackets"]._jdf.queryExecution().toString()
+    assert {r["g"]: r["v"]["_q"][0] for r in out.collect()} == {g: g + 2400.0 for g in range(200)}
