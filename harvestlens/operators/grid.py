@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from harvestlens.functions.columns import col, keyed, number, require_columns, within_box, within_dates
 from harvestlens.operators.ordering import sorted_pieces
-from harvestlens.session import store
+from harvestlens.session import partitions_for, store
 
 METHODS = ("nearest", "previous", "next", "linear")
 
@@ -64,7 +64,8 @@ def axis_neighbours(points: DataFrame, point_col: str, axis: DataFrame, axis_col
     and the points may crowd anywhere: both are sorted together into pieces of about equal size.
     Inside a piece the neighbours are the last axis value before and the next one behind; beyond
     its edges they are carried over by running maxima and minima of the pieces' ends. Axis values
-    may repeat. Both tables are read twice, so they should come from storage.
+    may repeat. Large tables are cut into pieces of a bounded number of rows, so that a task's memory doesn't
+    grow with them. Both tables are read several times, so they should come from storage.
     """
     x = number(point_col)
     below, above = f"{axis_col}_below", f"{axis_col}_above"
@@ -72,7 +73,8 @@ def axis_neighbours(points: DataFrame, point_col: str, axis: DataFrame, axis_col
     placed = points.withColumn("_x", x).filter(F.col("_x").isNotNull())
     both = placed.withColumn("_a", F.lit(None).cast("double")).unionByName(values.withColumn("_a", F.col("_x")), allowMissingColumns=True)
     # an axis value comes before the points at its place
-    rows = sorted_pieces(both, [F.col("_x"), F.col("_a").isNull()], "axis-order")
+    pieces = partitions_for(both.sparkSession, both.count())
+    rows = sorted_pieces(both, [F.col("_x"), F.col("_a").isNull()], "axis-order", pieces)
     ends = rows.groupBy("_piece").agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"))
     # every frame grows from its first row on: one that shrinks would be gone through again for each row
     upto = lambda w, n: w.rowsBetween(Window.unboundedPreceding, n)
@@ -81,6 +83,8 @@ def axis_neighbours(points: DataFrame, point_col: str, axis: DataFrame, axis_col
         F.max("_hi").over(upto(Window.orderBy("_piece"), -1)).alias("_earlier"),
         F.min("_lo").over(upto(Window.orderBy(F.col("_piece").desc()), -1)).alias("_later"),
     )
+    if pieces:
+        rows = rows.repartition(pieces, "_piece")
     inside = Window.partitionBy("_piece")
     last = F.last("_a", ignorenulls=True).over(upto(inside.orderBy("_at"), 0))
     following = F.last("_a", ignorenulls=True).over(upto(inside.orderBy(F.col("_at").desc()), 0))

@@ -12,16 +12,18 @@ from harvestlens.session import store
 _BITS = 33  # of a generated id that count rows inside a partition
 
 
-def sorted_pieces(df: DataFrame, by: Sequence[Column], purpose: str = "ordered-rows") -> DataFrame:
+def sorted_pieces(
+    df: DataFrame, by: Sequence[Column], purpose: str = "ordered-rows", pieces: int | None = None
+) -> DataFrame:
     """The rows sorted and cut into pieces, stored: ``_piece`` ascends with the order, ``_at`` is the place in it.
 
     Spark takes the bounds of the pieces from a sample; equal rows may be in several pieces, so
     a piece has about the same size whatever the values. The number of pieces follows the session's
-    shuffle partitions, not the rows. ``df`` is read twice, so it should come from storage.
+    shuffle partitions, not the rows, unless ``pieces`` names it. ``df`` is read twice, so it should come from storage.
     """
     by = [*by, F.col("_tie")]
     named = df.withColumn("_tie", F.monotonically_increasing_id())
-    dealt = named.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    dealt = named.repartitionByRange(*[pieces] if pieces else [], *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
     rows = store(dealt.drop("_tie"), purpose)
     return rows.withColumn("_piece", F.shiftright("_at", _BITS)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << _BITS) - 1)))
 

@@ -321,6 +321,17 @@ def test_soil_layers(spark):
     assert tuple(soil.soil_layers(structs, layers_col="layers").first()) == ("S", 1, 1.0, 2.0, 3.0)
 
 
+def test_large_axes_get_more_pieces(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100, raising=False)
+    axis = spark.range(4000).select((F.col("id") * 2.0).alias("lat"))
+    where = spark.range(1000).select("id", (F.col("id") * 8.0 + 1).alias("x"))
+    out = grid.axis_neighbours(where, "x", axis, "lat")
+    assert out.rdd.getNumPartitions() == 50
+    rows = out.collect()
+    assert len(rows) == 1000
+    assert all((r["lat_below"], r["lat_above"]) == (r["x"] - 1, r["x"] + 1 if r["x"] < 7998 else None) for r in rows)
+
+
 def test_polygons_are_not_sent_to_the_driver(spark):
     ring = [(0.0, 0.0), (6.0, 0.0), (6.0, 6.0), (0.0, 6.0)]
     edges = [(k, *a, *b) for k in ("a", "b", "c") for a, b in zip(ring, ring[1:] + ring[:1])]
