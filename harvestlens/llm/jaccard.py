@@ -66,7 +66,8 @@ FILTER_BITS = 1 << 24  # of the table that finds the rows whose sets are needed:
 MARK_BITS = 1 << 28  # of the table that finds bands that may occur twice: 32 MB at most
 _U = np.uint64
 _WIDTH = 6  # bytes of a stored band
-_SEGMENT = 16  # bits of a place inside a segment of the table
+_SEGMENTS = 128  # parts of the table, however large it is
+_PLACE = 3  # bytes of a place inside a segment of the table
 # Odd multipliers for the positions of a shingle and for mixing.
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -231,11 +232,13 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def twice_marks(lists: DataFrame, column: str, expected: int) -> tuple[bytes, int]:
     """A table of bits that are set where two or more of the bands in ``column`` fall, and its size.
 
-    Every task sends the places of its bands as sorted 16-bit numbers by segment of the table;
-    segments are merged apart and only the finished table, of a fixed size, is put together.
+    Every batch of lists sends the places of its bands, sorted, by segment of the table: one row a
+    segment at most, and the number of segments is fixed, so that the rows follow the lists.
+    Segments are merged apart and only the finished table, of a fixed size, is put together.
     With very many bands it fills up and marks more, never fewer.
     """
     bits = min(MARK_BITS, max(1 << 20, 1 << int(8 * max(expected, 1) - 1).bit_length()))
+    width = bits // _SEGMENTS
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
@@ -243,19 +246,24 @@ def twice_marks(lists: DataFrame, column: str, expected: int) -> tuple[bytes, in
             if not len(found):
                 continue
             found.sort()
-            segment = (found >> _U(_SEGMENT)).astype(np.int64)
-            starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-            inside = (found & _U((1 << _SEGMENT) - 1)).astype("<u2")
-            parts = [inside[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(inside)])]
-            yield pa.RecordBatch.from_arrays([pa.array(segment[starts]), pa.array(parts, pa.binary())], names=["segment", "places"])
+            starts = np.searchsorted(found, np.arange(_SEGMENTS + 1, dtype=_U) * _U(width))
+            inside = (found & _U(width - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :_PLACE]
+            full = np.flatnonzero(starts[1:] > starts[:-1])
+            parts = [inside[starts[i] : starts[i + 1]].tobytes() for i in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(parts, pa.binary())], names=["segment", "places"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for segment, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = held.setdefault(segment, np.zeros(1 << _SEGMENT, dtype=np.uint8))
-                at, n = np.unique(np.frombuffer(packed, dtype="<u2"), return_counts=True)
-                counts[at] = np.minimum(2, counts[at] + np.minimum(n, 2))
+                if segment not in held:
+                    held[segment] = np.zeros(width, dtype=np.uint8)
+                counts, at = held[segment], np.zeros((len(packed) // _PLACE, 4), dtype=np.uint8)
+                at[:, :_PLACE] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, _PLACE)
+                at = at.reshape(-1).view("<u4")
+                again = np.flatnonzero(at[1:] == at[:-1])
+                counts[at] = np.minimum(2, counts[at] + 1)  # a place that is here several times counts once,
+                counts[at[again]] = 2  # and then as what it is
         full = [(s, np.packbits(c > 1, bitorder="little").tobytes()) for s, c in held.items() if (c > 1).any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([s for s, _ in full], pa.int64()), pa.array([m for _, m in full], pa.binary())], names=["segment", "marks"]
@@ -263,7 +271,7 @@ def twice_marks(lists: DataFrame, column: str, expected: int) -> tuple[bytes, in
 
     dealt = lists.select(column).mapInArrow(places, "segment long, places binary").repartition("segment")
     rows = stored(dealt.mapInArrow(merged, "segment long, marks binary"), "band-marks").toArrow()  # bits / 8 bytes at most
-    size = (1 << _SEGMENT) // 8
+    size = width // 8
     out = bytearray(bits // 8)
     for segment, marks in zip(rows["segment"].to_pylist(), rows["marks"].to_pylist()):
         out[segment * size : (segment + 1) * size] = marks
