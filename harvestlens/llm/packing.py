@@ -23,10 +23,10 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.llm.common import pick, stored, table, word_count, words
+from harvestlens.llm.common import free_names, may_hold, pick, stored, table, word_count, words
 from harvestlens.llm.registry import query
 from harvestlens.operators.ordering import global_positions
 
@@ -158,6 +158,26 @@ def pieces(docs: DataFrame, longest: int) -> DataFrame:
     ).drop("_size")
 
 
+def piece_texts(text: Column, longest: int) -> Column:
+    """The words of each piece of a text, joined by blanks; null if it has none."""
+    def cut(found: Column) -> Column:
+        last = F.floor((F.size(found) - 1) / longest).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(found, i * longest + 1, F.lit(longest)), " "))
+        return F.when(F.size(found) > 0, parts)
+
+    return F.transform(F.array(words(text)), cut)[0]  # so that the words are found once
+
+
+def once_each(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row of each ``key``; only rows whose key may be there again are moved for it. ``df`` is read three times."""
+    (name,) = free_names(df, "key_hash")
+    named = df.withColumn(name, F.xxhash64(*key))
+    again = named.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first(name).alias(name)).filter("n > 1").select(name)
+    several = may_hold(stored(again, "repeated-keys"), name)
+    apart = named.filter(~several).union(named.filter(several).dropDuplicates(key))
+    return apart.drop(name)
+
+
 def pack(
     docs: DataFrame, lengths: Sequence[int] = LENGTHS, costs: Mapping[int, float] | None = None
 ) -> DataFrame:
@@ -200,17 +220,19 @@ def sequences(docs: DataFrame, lengths: Sequence[int] = LENGTHS, costs: Mapping[
 
     A sequence has at most ``max(lengths)`` words, so gathering one is bounded.
     """
+    longest = max(lengths)
     placed = pack(docs, lengths, costs).filter("bin_id IS NOT NULL")
-    keyed = pick(docs, "doc_id", "text").withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    # rows equal in id and text have the same words: one copy serves all their pieces
-    texts = keyed.filter("text IS NOT NULL").dropDuplicates(["doc_id", "tie"])
-    texts = texts.select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), words(F.col("text")).alias("_w"))
-    joined = placed.join(texts, placed["doc_id"].eqNullSafe(texts["_d"]) & (placed["tie"] == texts["_t"]))
-    part = F.struct(
-        F.col("bin_offset").alias("offset"),
-        "doc_id",
-        F.array_join(F.slice("_w", (F.col("first_word") + 1).cast("int"), F.col("n_words").cast("int")), " ").alias("words"),
+    keyed = pick(docs, "doc_id", "text").filter("text IS NOT NULL").withColumn("tie", F.xxhash64("text"))
+    texts = once_each(keyed, ["doc_id", "tie"])  # rows equal in id and text have the same words: one copy serves all their pieces
+    # texts are cut before they meet their places: a list of words takes twice the room of its text, and every
+    # piece would take along the whole of it
+    texts = texts.select(
+        F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), F.posexplode(piece_texts(F.col("text"), longest)).alias("_p", "words")
+    )
+    joined = placed.join(
+        texts, placed["doc_id"].eqNullSafe(texts["_d"]) & (placed["tie"] == texts["_t"]) & (placed["piece"] == texts["_p"])
     )
+    part = F.struct(F.col("bin_offset").alias("offset"), "doc_id", "words")
     bins = joined.select("bin_id", "length", "bin_words", part.alias("p")).groupBy("bin_id").agg(
         F.first("length").alias("length"),
         F.first("bin_words").alias("n_words"),

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harvestlens.llm.common import free_names, in_parts, pick, stored, table
+from harvestlens.llm.common import discard, free_names, in_parts, pick, stored, table
 from harvestlens.llm.registry import query
 
 _CUT = re.compile(r"[.!?…。！？][\"')\]»”]*\s+|\n\s*")
@@ -168,7 +168,9 @@ def repeats(docs: DataFrame, run_words: int, run_sentences: int) -> DataFrame:
     first = stored(again.groupBy("run", "check").agg(F.min(place).alias("first")), "first-runs")
     later = again.join(first, ["run", "check"]).filter(~place.eqNullSafe(F.col("first")))
     columns = ["doc_id", "row_key", "span"]
-    flagged = later.select(*columns).union(every.filter("run IS NULL").select(*columns))
+    own = stored(every.filter("run IS NULL").select(*columns), "own-repeats")
+    discard(every, often)  # the large table is not left until the result is read
+    flagged = later.select(*columns).union(own)
     return flagged.groupBy("doc_id", "row_key").agg(F.collect_set("span").alias("spans"))
 
 

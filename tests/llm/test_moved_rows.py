@@ -1,8 +1,11 @@
 """What the document operators move, send and leave behind."""
 
+import os
+
 import numpy as np
 
-from harvestlens.llm import jaccard
+from harvestlens.llm import jaccard, packing, spans
+from tests.llm.data import awkward_docs, edited, prose
 
 
 def test_places_of_bands_follow_the_lists(spark, monkeypatch):
@@ -23,3 +26,51 @@ def test_places_of_bands_follow_the_lists(spark, monkeypatch):
         assert found.tolist() == value[n > 1].tolist() and len(found)
     assert bits == jaccard.MARK_BITS
     assert sent[1] <= 1.1 * sent[0] and sent[1] <= 6 * 128  # batches of 500 rows, five or six
+
+
+def test_packing_moves_texts_and_not_lists_of_words(spark):
+    docs = awkward_docs(spark)
+
+    def kinds_met(plan):
+        met = []
+        if plan.nodeName() == "Join":
+            for side in (plan.left(), plan.right()):
+                met += [side.output().apply(i).dataType().simpleString() for i in range(side.output().size())]
+        for i in range(plan.children().size()):
+            met += kinds_met(plan.children().apply(i))
+        return met
+
+    out = packing.sequences(docs, lengths=(32, 64, 128))
+    met = kinds_met(out._jdf.queryExecution().optimizedPlan())
+    assert "string" in met and "array<string>" not in met
+
+
+def test_sequences_hold_every_copy_of_a_row(spark, tmp_path):
+    """Rows that are there again, long ones and null ids among them, are in as many sequences as rows."""
+    rows = [(1, prose(1, 300)), (2, prose(2, 20)), (None, prose(3, 90)), (3, "a \t b\nc"), (4, ""), (5, None)]
+    rows = rows + rows[:4] * 3
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "docs"))
+    out = packing.sequences(spark.read.parquet(str(tmp_path / "docs")), lengths=(32, 64, 128)).collect()
+    got = {}
+    for b in out:
+        words = b["text"].split(" ")
+        assert len(words) == b["n_words"]
+        for doc, first, end in zip(b["doc_ids"], b["offsets"], [*b["offsets"][1:], len(words)]):
+            got.setdefault(doc, []).append(" ".join(words[first:end]))
+    want = {}
+    for doc, text in rows:
+        words = (text or "").split()
+        for at in range(0, len(words), 128):
+            want.setdefault(doc, []).append(" ".join(words[at : at + 128]))
+    assert {d: sorted(t) for d, t in got.items()} == {d: sorted(t) for d, t in want.items()}
+
+
+def test_no_table_of_all_runs_is_left(spark):
+    text = prose(1, 200)
+    docs = spark.createDataFrame([(1, text), (2, text + " " + text), (3, edited(text, 2, 9)), (None, None)], "doc_id long, text string")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    left = lambda: {d for d in os.listdir(folder) if d.startswith("runs-")} if os.path.isdir(folder) else set()
+    before = left()
+    out = spans.remove_repeats(docs, 16, 3)
+    assert {r["doc_id"]: r["n_removed"] > 0 for r in out.collect()} == {1: False, 2: True, 3: True, None: False}
+    assert left() == before
