@@ -310,8 +310,13 @@ def identify(
     added += [T.StructField("lang_spans", SPANS)] if spans else []
     names = {f.name for f in added}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("_identify_text"))
-    schema = T.StructType([f for f in source.schema.fields[:-1]] + added)
+    own = [F.col(f"`{c}`") for c in kept]
+    source = df.select(*own)
+    if kept.count(text_col) == 1 and source.schema[text_col].dataType == T.StringType():
+        at = kept.index(text_col)  # a text that is kept is sent once
+    else:
+        source, at = df.select(*own, F.col(f"`{text_col}`").cast("string").alias("_identify_text")), len(kept)
+    schema = T.StructType(source.schema.fields[: len(kept)] + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(
@@ -320,10 +325,10 @@ def identify(
         kinds = {"lang_pred": pa.string(), "score": pa.float64(), "lang_spans": span_type}
         for batch in in_parts(batches, 2000):
             found: dict[str, list] = {f.name: [] for f in added}
-            for part in _slices(batch.column(batch.num_columns - 1)):
+            for part in _slices(batch.column(at)):
                 for name, values in _label(model, part, spans).items():
                     found[name].extend(values)
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays(
                 columns + [pa.array(found[f.name], kinds[f.name]) for f in added], names=[*kept, *found]
             )

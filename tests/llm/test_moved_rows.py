@@ -4,7 +4,7 @@ import os
 
 import numpy as np
 
-from harvestlens.llm import jaccard, packing, spans
+from harvestlens.llm import jaccard, language, packing, spans
 from tests.llm.data import awkward_docs, edited, prose
 
 
@@ -74,3 +74,14 @@ def test_no_table_of_all_runs_is_left(spark):
     out = spans.remove_repeats(docs, 16, 3)
     assert {r["doc_id"]: r["n_removed"] > 0 for r in out.collect()} == {1: False, 2: True, 3: True, None: False}
     assert left() == before
+
+
+def test_a_kept_text_is_sent_once_for_its_language(spark):
+    docs = awkward_docs(spark).drop("score")
+    model = language.train(language.training_rows(docs))
+    sent = lambda df: df._jdf.queryExecution().analyzed().children().apply(0).output().size()
+    kept, apart = language.identify(docs, model), language.identify(docs, model, keep=["doc_id", "n_chars"])
+    assert sent(kept) == len(docs.columns) and sent(apart) == 3
+    assert kept.columns == [*docs.columns, "lang_pred", "score"] and apart.columns == ["doc_id", "n_chars", "lang_pred", "score"]
+    both = [sorted(df.select("doc_id", "n_chars", "lang_pred", "score").collect(), key=str) for df in (kept, apart)]
+    assert both[0] == both[1]
