@@ -1,4 +1,4 @@
-"""Regression surrogate of the crop models with MLlib."""
+"""Regression surrogate of the crop models: MLlib's encoding and boosted trees, and a forest on coded columns."""
 
 from __future__ import annotations
 
@@ -10,13 +10,8 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import (
-    GBTRegressionModel,
-    GBTRegressor,
-    RandomForestRegressionModel,
-    RandomForestRegressor,
-)
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +24,14 @@ from harvestlens.functions.columns import (
     require_columns,
     sowing_day_of_year,
 )
+from harvestlens.operators.forest import BAG, Forest, ForestRegressor, blocks, coded, thresholds
 from harvestlens.session import spread, store
 
 CATEGORICAL = ("climate_source", "climate_model", "scenario", "period", "soil_id", "adaptation")
 ALIASES = {"gcm": "climate_model"}
 MAX_TREE_DEPTH = 30  # of MLlib
+MAX_BINS = 32  # of a numeric feature, as in MLlib
+SAMPLE = 40_000  # about as many rows set the cuts between bins; MLlib takes 10,000
 
 
 def with_sowing_day(df: DataFrame) -> DataFrame:
@@ -165,6 +163,7 @@ class Surrogate:
     numeric: list[str]
     categorical: list[str]
     model_type: str
+    bins: Bucketizer | None = None  # of the numeric features, for a forest on coded columns
 
     @property
     def targets(self) -> list[str]:
@@ -183,6 +182,8 @@ class Surrogate:
         if absent:
             raise ValueError(f"prediction data lack features: {absent}")
         out = self.encoder.transform(df)
+        if any(isinstance(model, Forest) for model in self.regressors.values()):
+            out = _with_codes(out, self.encoder, self.bins, self.numeric, self.categorical)
         for target, model in self.regressors.items():
             model.setPredictionCol(f"{target}{suffix}").setFeaturesCol("_features")
             out = model.transform(out)
@@ -202,17 +203,26 @@ class Surrogate:
     def save(self, path: str) -> None:
         base = path.rstrip("/")
         self.encoder.write().overwrite().save(f"{base}/{self.model_type}/encoder")
+        spark = SparkSession.getActiveSession()
+        forests = []
         for i, model in enumerate(self.regressors.values()):
-            model.write().overwrite().save(f"{base}/{self.model_type}/target-{i}")
+            if isinstance(model, Forest):
+                model.save(spark, f"{base}/{self.model_type}/target-{i}")
+                forests.append([model.names, model.bins, model.features, model.trees, model.depth])
+            else:
+                model.write().overwrite().save(f"{base}/{self.model_type}/target-{i}")
+        if self.bins:
+            self.bins.write().overwrite().save(f"{base}/{self.model_type}/bins")
         meta = json.dumps(
             {
                 "numeric": self.numeric,
                 "categorical": self.categorical,
                 "targets": self.targets,
                 "model_type": self.model_type,
+                "forests": forests,
+                "binned": self.bins is not None,
             }
         )
-        spark = SparkSession.getActiveSession()
         spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(
             f"{base}/{self.model_type}/metadata"
         )
@@ -221,13 +231,20 @@ class Surrogate:
     def load(cls, spark: SparkSession, path: str, model_type: str = "RandomForest") -> "Surrogate":
         base = f"{path.rstrip('/')}/{model_type}"
         meta = json.loads(spark.read.text(f"{base}/metadata").first()[0])
+        # models stored without "forests" are MLlib's
         reader = {"RandomForest": RandomForestRegressionModel, "GBT": GBTRegressionModel}[model_type]
+        paths = {t: f"{base}/target-{i}" for i, t in enumerate(meta["targets"])}
+        if forests := meta.get("forests"):
+            regressors = {t: Forest.load(spark, p, *f) for (t, p), f in zip(paths.items(), forests, strict=True)}
+        else:
+            regressors = {t: reader.load(p) for t, p in paths.items()}
         return cls(
             PipelineModel.load(f"{base}/encoder"),
-            {t: reader.load(f"{base}/target-{i}") for i, t in enumerate(meta["targets"])},
+            regressors,
             meta["numeric"],
             meta["categorical"],
             model_type,
+            Bucketizer.load(f"{base}/bins") if meta.get("binned") else None,
         )
 
 
@@ -251,6 +268,37 @@ def _encoder(numeric: Sequence[str], categorical: Sequence[str]) -> Pipeline:
     return Pipeline(stages=stages)
 
 
+def _fit_bins(rows: DataFrame, numeric: Sequence[str], n: int) -> Bucketizer | None:
+    """Bins of the numeric features; like MLlib's forest, by a bounded sample of the rows."""
+    if not numeric:
+        return None
+    share = min(1.0, SAMPLE / max(n, 1))
+    sample = rows.select(*[col(c) for c in numeric]).sample(fraction=share, seed=42).toPandas()
+    infinity = float("inf")
+    cuts = [thresholds(sample[c].to_numpy("float64", na_value=float("nan")), MAX_BINS) or [0.0] for c in numeric]
+    return Bucketizer(
+        splitsArray=[[-infinity, *c, infinity] for c in cuts],
+        inputCols=[f"_n_{c}" for c in numeric],
+        outputCols=[f"_b_{c}" for c in numeric],
+        handleInvalid="keep",
+    )
+
+
+def _with_codes(
+    encoded: DataFrame, encoder: PipelineModel, bins: Bucketizer | None, numeric: Sequence[str], categorical: Sequence[str]
+) -> DataFrame:
+    """Add the columns that a forest reads, in the order of the assembled features: bins, then categories."""
+    codes = []
+    if bins:
+        encoded = bins.transform(encoded.withColumns({f"_n_{c}": number(c) for c in numeric}))
+        for c, cuts in zip(numeric, bins.getSplitsArray(), strict=True):
+            codes.append(coded(col(f"_b_{c}"), f"_code_b_{c}", len(cuts) - 1, True))
+    if categorical:
+        for c, labels in zip(categorical, encoder.stages[0].labelsArray, strict=True):
+            codes.append(coded(col(f"_i_{c}"), f"_code_i_{c}", len(labels) + 1, False))
+    return encoded.select("*", *codes)
+
+
 # Hyperparameter name -> setter argument; names without an equivalent are reported.
 _FOREST = {
     "n_estimators": "numTrees",
@@ -284,8 +332,7 @@ def _regressor(model_type: str, hyperparameters: Mapping):
         raise ValueError(f"max_depth {params['maxDepth']} is beyond {MAX_TREE_DEPTH}, the deepest tree there is")
     if "featureSubsetStrategy" in params:
         params["featureSubsetStrategy"] = str(params["featureSubsetStrategy"])
-    cls = RandomForestRegressor if model_type == "RandomForest" else GBTRegressor
-    return cls(featuresCol="_features", **params)
+    return ForestRegressor(**params) if model_type == "RandomForest" else GBTRegressor(featuresCol="_features", **params)
 
 
 def fit_surrogate(
@@ -301,17 +348,23 @@ def fit_surrogate(
     make = _regressor(model_type, {"random_state": 42, **(hyperparameters or {})})
     casts = {c: number(c) for c in [*numeric, *targets]}
     rows = train.withColumns(casts).select(*[col(c) for c in dict.fromkeys([*numeric, *categorical, *targets])])
-    rows = store(rows, "training-rows")
+    rows = store(rows.withColumn(BAG, F.xxhash64(F.monotonically_increasing_id())), "training-rows")
     encoder = _encoder(numeric, categorical).fit(rows)
-    # every target reads the vectors several times: they are made once, and kept on disk, since the trees' own
-    # points need the memory; partitions of a bounded size let Spark keep as many of these as there is room for
-    encoded = encoder.transform(spread(rows, rows.count())).select("_features", *[col(t) for t in targets])
+    n, bins = rows.count(), None
+    encoded = encoder.transform(spread(rows, n))
+    # every target reads the inputs several times: they are made once, in partitions of a bounded size, and kept on
+    # disk, since the trees' own points need the memory
+    if model_type == "RandomForest":
+        bins = _fit_bins(rows, numeric, n)
+        encoded = blocks(_with_codes(encoded, encoder, bins, numeric, categorical), targets)
+    else:
+        encoded = encoded.select("_features", *[col(t) for t in targets])
     encoded = encoded.persist(StorageLevel.DISK_ONLY)
     try:
         regressors = {t: make.copy().setLabelCol(t).fit(encoded) for t in targets}
     finally:
         encoded.unpersist()
-    return Surrogate(encoder, regressors, list(numeric), list(categorical), model_type)
+    return Surrogate(encoder, regressors, list(numeric), list(categorical), model_type, bins)
 
 
 def impact_clusters(
