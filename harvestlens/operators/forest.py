@@ -10,18 +10,19 @@ from __future__ import annotations
 
 import copy
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.linalg import DenseVector, Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harvestlens.functions.columns import col
+from harvestlens.functions.columns import col, number
 
 CODES = "_codes"  # column of blocks of codes
 BAG = "_bag"  # column of 64 random bits, from which every tree draws the weight of a row
@@ -98,6 +99,43 @@ class _Layout:
         return {"column": column, "code": code, "feature": np.array(feature), "ordered": np.array(self.ordered)[column]}
 
 
+@dataclass
+class Coding:
+    """How the columns of a table become codes inside a task: numbers by the cuts between bins, categories by their labels.
+
+    Nulls, NaN and labels that are not listed take the last code, as with ``coded``.
+    """
+
+    cuts: dict[str, list[float]]
+    labels: dict[str, list[str]]
+
+    @property
+    def layout(self) -> _Layout:
+        bins = [len(x) + 1 for x in (*self.cuts.values(), *self.labels.values())]
+        names = [*[f"_code_b_{c}" for c in self.cuts], *[f"_code_i_{c}" for c in self.labels]]
+        return _Layout(names, bins, [i < len(self.cuts) for i in range(len(bins))])
+
+    @property
+    def inputs(self) -> list[Column]:
+        return [*[number(c) for c in self.cuts], *[col(c).cast("string") for c in self.labels]]
+
+    def codes(self, columns: Sequence[pa.Array | pa.ChunkedArray]) -> np.ndarray:
+        """A line of codes per column of ``inputs``."""
+        out = np.empty((len(columns), len(columns[0])), self.layout.kind)
+        for line, column, cuts in zip(out, columns, self.cuts.values(), strict=False):
+            line[:] = np.searchsorted(cuts, np.asarray(column, "float64"), side="right")
+        for line, column, labels in zip(out[len(self.cuts) :], columns[len(self.cuts) :], self.labels.values(), strict=True):
+            found = pc.index_in(column, value_set=pa.array(labels, column.type))
+            line[:] = np.asarray(found.fill_null(len(labels)))
+        return out
+
+
+def _as_codes(columns: Sequence[pa.Array | pa.ChunkedArray], layout: _Layout, coding: Coding | None) -> np.ndarray:
+    if coding:
+        return coding.codes(columns)
+    return np.stack([np.asarray(c).astype(layout.kind) for c in columns])
+
+
 def _features_per_node(strategy: str, features: int, trees: int) -> int:
     """As MLlib reads ``featureSubsetStrategy``."""
     if strategy == "auto":
@@ -130,14 +168,18 @@ def _reached(nodes: dict, codes: np.ndarray, rows: np.ndarray, root: int, steps:
     return at
 
 
-def blocks(df: DataFrame, targets: Sequence[str]) -> DataFrame:
-    """Coded columns, ``BAG`` and targets as arrays of many rows, which reach Python as they are."""
-    layout = _Layout.of(df)
+def blocks(df: DataFrame, targets: Sequence[str], coding: Coding | None = None) -> DataFrame:
+    """Codes, ``BAG`` and targets as arrays of many rows, which reach Python as they are.
+
+    With a ``coding`` rows are coded on the way, else the columns are coded already.
+    """
+    layout = coding.layout if coding else _Layout.of(df)
+    inputs = coding.inputs if coding else [col(c) for c in layout.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _chunks(batches):
-            codes = np.stack([part.column(c).to_numpy().astype(layout.kind) for c in layout.names])
-            rest = [part.column(c).to_numpy() for c in (BAG, *targets)]
+            codes = _as_codes(part.columns[: len(layout.names)], layout, coding)
+            rest = [c.to_numpy() for c in part.columns[len(layout.names) :]]
             held = [codes, *[x.astype("float64" if i else "int64") for i, x in enumerate(rest)]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x.tobytes()], pa.binary()) for x in held], names=[CODES, BAG, *targets]
@@ -145,7 +187,8 @@ def blocks(df: DataFrame, targets: Sequence[str]) -> DataFrame:
 
     schema = T.StructType([T.StructField(c, T.BinaryType()) for c in (CODES, BAG, *targets)])
     meta = {"names": layout.names, "bins": layout.bins, "ordered": layout.ordered}
-    made = df.select(*[col(c) for c in [*layout.names, BAG, *targets]]).mapInArrow(run, schema)
+    given = [c.alias(f"_{i}") for i, c in enumerate([*inputs, *[col(c) for c in (BAG, *targets)]])]
+    made = df.select(*given).mapInArrow(run, schema)
     return made.withColumn(CODES, col(CODES).alias(CODES, metadata=meta))
 
 
@@ -345,16 +388,7 @@ class Forest:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add the mean of the trees' predictions."""
-        kind, leaf, trees, depth = np.min_scalar_type(max(self.bins)), self.nodes["prediction"], self.trees, self.depth
-        walked = _walked(self.nodes, kind)
-
-        def mean(*columns: pd.Series) -> pd.Series:
-            codes = np.stack([c.to_numpy().astype(kind) for c in columns])
-            rows = np.arange(codes.shape[1])
-            return pd.Series(sum(leaf.take(_reached(walked, codes, rows, t, depth)) for t in range(trees)) / trees)
-
-        mean.__annotations__ = {"columns": pd.Series, "return": pd.Series}
-        return df.withColumn(self.prediction, F.pandas_udf(mean, "double")(*[col(c) for c in self.names]))
+        return predictions(df, {self.prediction: self})
 
     @property
     def featureImportances(self) -> DenseVector:
@@ -377,3 +411,25 @@ class Forest:
     ) -> "Forest":
         table = spark.read.parquet(path).toPandas().sort_values("node")
         return cls({k: table[k].to_numpy() for k in _NODES}, list(names), list(bins), features, trees, depth)
+
+
+def predictions(df: DataFrame, forests: Mapping[str, Forest], coding: Coding | None = None) -> DataFrame:
+    """Add the mean of the trees of each forest under its name; a row is coded and sent to Python once for all of them."""
+    one = next(iter(forests.values()))
+    layout = coding.layout if coding else _Layout(one.names, one.bins, [])
+    walked = [(_walked(f.nodes, layout.kind), f.nodes["prediction"], f.trees, f.depth) for f in forests.values()]
+
+    def means(*columns: pa.Array) -> pa.Array:
+        codes = _as_codes(columns, layout, coding)
+        rows = np.arange(codes.shape[1])
+        found = [
+            sum(leaf.take(_reached(nodes, codes, rows, t, depth)) for t in range(trees)) / trees
+            for nodes, leaf, trees, depth in walked
+        ]
+        return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in found], [f"_{i}" for i in range(len(found))])
+
+    means.__annotations__ = {"columns": pa.Array, "return": pa.Array}
+    kind = "struct<" + ", ".join(f"_{i}: double" for i in range(len(forests))) + ">"
+    inputs = coding.inputs if coding else [col(c) for c in layout.names]
+    found = df.withColumn("_means", F.arrow_udf(means, kind)(*inputs))
+    return found.withColumns({name: F.col("_means")[f"_{i}"] for i, name in enumerate(forests)}).drop("_means")

@@ -10,7 +10,8 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Bucketizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ from harvestlens.functions.columns import (
     require_columns,
     sowing_day_of_year,
 )
-from harvestlens.operators.forest import BAG, Forest, ForestRegressor, blocks, coded, thresholds
-from harvestlens.session import spread, store
+from harvestlens.operators.forest import BAG, Coding, Forest, ForestRegressor, blocks, predictions, thresholds
+from harvestlens.session import partitions_for, spread, store
 
 CATEGORICAL = ("climate_source", "climate_model", "scenario", "period", "soil_id", "adaptation")
 ALIASES = {"gcm": "climate_model"}
@@ -181,12 +182,14 @@ class Surrogate:
             warnings.warn(f"columns that the model does not use: {extra}", stacklevel=2)
         if absent:
             raise ValueError(f"prediction data lack features: {absent}")
-        out = self.encoder.transform(df)
-        if any(isinstance(model, Forest) for model in self.regressors.values()):
-            out = _with_codes(out, self.encoder, self.bins, self.numeric, self.categorical)
-        for target, model in self.regressors.items():
-            model.setPredictionCol(f"{target}{suffix}").setFeaturesCol("_features")
-            out = model.transform(out)
+        if all(isinstance(model, Forest) for model in self.regressors.values()):
+            coding = _coding(self.encoder, self.bins, self.numeric, self.categorical)
+            out = predictions(df, {f"{t}{suffix}": model for t, model in self.regressors.items()}, coding)
+        else:
+            out = self.encoder.transform(df)
+            for target, model in self.regressors.items():
+                model.setPredictionCol(f"{target}{suffix}").setFeaturesCol("_features")
+                out = model.transform(out)
         keep = [*df.columns, *[f"{t}{suffix}" for t in self.regressors]]
         return out.select(*[col(c) for c in keep])
 
@@ -268,6 +271,28 @@ def _encoder(numeric: Sequence[str], categorical: Sequence[str]) -> Pipeline:
     return Pipeline(stages=stages)
 
 
+def _fit_encoder(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[PipelineModel, int]:
+    """The fitted ``_encoder`` and the number of rows.
+
+    The scale of a 0/1 feature follows from the count of its category, so no row is made a vector to fit the scaler.
+    """
+    *stages, scaler = _encoder(numeric, categorical).getStages()
+    encoder = Pipeline(stages=stages).fit(rows)
+    # a missing number leaves its feature without a scale, as in the scaler
+    spreads = [F.stddev_samp(F.coalesce(col(c), F.lit(float("nan")))) for c in numeric]
+    n, *deviations = rows.agg(F.count(F.lit(1)), *spreads).first()
+    if categorical:
+        texts = rows.select(*[col(c).cast("string").alias(str(i)) for i, c in enumerate(categorical)])
+        found = texts.unpivot([], texts.columns, "feature", "label").groupBy("feature", "label").count().collect()
+        counts = {(r["feature"], r["label"]): r["count"] for r in found}
+        for i, labels in enumerate(encoder.stages[0].labelsArray):
+            for k in (counts[str(i), label] for label in labels):
+                deviations.append(((k - k * k / n) / (n - 1)) ** 0.5 if n > 1 else 0.0)
+    scales = Vectors.dense([1 / d if d else 0.0 for d in deviations])
+    product = ElementwiseProduct(scalingVec=scales, inputCol=scaler.getInputCol(), outputCol=scaler.getOutputCol())
+    return PipelineModel([*encoder.stages, product]), n
+
+
 def _fit_bins(rows: DataFrame, numeric: Sequence[str], n: int) -> Bucketizer | None:
     """Bins of the numeric features; like MLlib's forest, by a bounded sample of the rows."""
     if not numeric:
@@ -284,19 +309,15 @@ def _fit_bins(rows: DataFrame, numeric: Sequence[str], n: int) -> Bucketizer | N
     )
 
 
-def _with_codes(
-    encoded: DataFrame, encoder: PipelineModel, bins: Bucketizer | None, numeric: Sequence[str], categorical: Sequence[str]
-) -> DataFrame:
-    """Add the columns that a forest reads, in the order of the assembled features: bins, then categories."""
-    codes = []
-    if bins:
-        encoded = bins.transform(encoded.withColumns({f"_n_{c}": number(c) for c in numeric}))
-        for c, cuts in zip(numeric, bins.getSplitsArray(), strict=True):
-            codes.append(coded(col(f"_b_{c}"), f"_code_b_{c}", len(cuts) - 1, True))
-    if categorical:
-        for c, labels in zip(categorical, encoder.stages[0].labelsArray, strict=True):
-            codes.append(coded(col(f"_i_{c}"), f"_code_i_{c}", len(labels) + 1, False))
-    return encoded.select("*", *codes)
+def _coding(
+    encoder: PipelineModel, bins: Bucketizer | None, numeric: Sequence[str], categorical: Sequence[str]
+) -> Coding:
+    """The columns that a forest reads, in the order of the assembled features: bins, then categories."""
+    cuts = [splits[1:-1] for splits in bins.getSplitsArray()] if bins else []
+    labels = encoder.stages[0].labelsArray if categorical else []
+    return Coding(
+        dict(zip(numeric, cuts, strict=True)), {c: list(x) for c, x in zip(categorical, labels, strict=True)}
+    )
 
 
 # Hyperparameter name -> setter argument; names without an equivalent are reported.
@@ -342,23 +363,26 @@ def fit_surrogate(
     targets: Sequence[str],
     model_type: str = "RandomForest",
     hyperparameters: Mapping | None = None,
+    stored: bool = False,
 ) -> Surrogate:
-    """Fit the encoding on the training rows and one regressor per target."""
+    """Fit the encoding on the training rows and one regressor per target; ``stored`` rows are not stored again."""
     require_columns(train, [*numeric, *categorical, *targets], "training data")
     make = _regressor(model_type, {"random_state": 42, **(hyperparameters or {})})
     casts = {c: number(c) for c in [*numeric, *targets]}
     rows = train.withColumns(casts).select(*[col(c) for c in dict.fromkeys([*numeric, *categorical, *targets])])
-    rows = store(rows.withColumn(BAG, F.xxhash64(F.monotonically_increasing_id())), "training-rows")
-    encoder = _encoder(numeric, categorical).fit(rows)
-    n, bins = rows.count(), None
-    encoded = encoder.transform(spread(rows, n))
+    if not stored:
+        rows = store(rows, "training-rows")
+    (encoder, n), bins = _fit_encoder(rows, numeric, categorical), None
     # every target reads the inputs several times: they are made once, in partitions of a bounded size, and kept on
     # disk, since the trees' own points need the memory
     if model_type == "RandomForest":
         bins = _fit_bins(rows, numeric, n)
-        encoded = blocks(_with_codes(encoded, encoder, bins, numeric, categorical), targets)
+        marked = rows.withColumn(BAG, F.xxhash64(F.monotonically_increasing_id()))
+        encoded = blocks(marked, targets, _coding(encoder, bins, numeric, categorical))
+        parts = partitions_for(encoded.sparkSession, n)
+        encoded = encoded.repartition(parts) if parts else encoded
     else:
-        encoded = encoded.select("_features", *[col(t) for t in targets])
+        encoded = encoder.transform(spread(rows, n)).select("_features", *[col(t) for t in targets])
     encoded = encoded.persist(StorageLevel.DISK_ONLY)
     try:
         regressors = {t: make.copy().setLabelCol(t).fit(encoded) for t in targets}

@@ -672,12 +672,12 @@ def _split_runs(spark, sf_dir):
         }
     )
     whole_rows = surrogate.complete_rows(rows, [*_NUMERIC, *_CATEGORIES], _TARGETS, check=False)
-    return surrogate.hash_split(whole_rows)
+    return surrogate.hash_split(whole_rows).select("simulation_id", *_NUMERIC, *_CATEGORIES, *_TARGETS, "is_test")
 
 
 def _fit(data, model_type="RandomForest", hyperparameters=_TREES, categorical=_CATEGORIES, targets=_TARGETS):
     train = data.filter(~F.col("is_test"))
-    return surrogate.fit_surrogate(train, _NUMERIC, categorical, targets, model_type, hyperparameters)
+    return surrogate.fit_surrogate(train, _NUMERIC, categorical, targets, model_type, hyperparameters, stored=True)
 
 
 @query(

@@ -115,3 +115,36 @@ def test_models_of_mllib_are_still_read(spark, data, tmp_path):
     meta = {"numeric": NUMERIC, "categorical": CATEGORICAL, "targets": ["y"], "model_type": "RandomForest"}
     spark.createDataFrame([(json.dumps(meta),)], "value string").write.text(f"{base}/metadata")
     assert su.Surrogate.load(spark, f"{tmp_path}/old").predict(data).filter("y_pred is null").count() == 0
+
+
+def test_codes_are_those_of_the_indexer_and_the_bucketizer(spark):
+    """On a cut, beyond all cuts, null, NaN, unknown: as MLlib's stages with ``handleInvalid="keep"``."""
+    numbers = [float(i) for i in range(60)] + [1.5, -7.0, float("inf"), float("-inf"), float("nan"), None]
+    rows = [(x, "abc"[i % 3] if i % 4 else None, i % 5) for i, x in enumerate(numbers)]
+    df = spark.createDataFrame(rows, "x double, kind string, k int")
+    encoder, n = su._fit_encoder(df.filter("x between 0 and 50 and kind <> 'c'"), ["x"], ["kind", "k"])
+    bins = su._fit_bins(df.filter("x between 0 and 50"), ["x"], n)
+    coding, last = su._coding(encoder, bins, ["x"], ["kind", "k"]), len(bins.getSplitsArray()[0]) - 2
+    binned = bins.transform(encoder.stages[0].transform(df.withColumn("_n_x", F.col("x"))))
+    codes = [F.least(F.coalesce(F.col("_b_x"), F.lit(last)), F.lit(last)), F.col("_i_kind"), F.col("_i_k")]
+    expected = binned.select(*[c.cast("int") for c in codes]).toPandas().to_numpy().T
+    raw = df.select(*[c.alias(str(i)) for i, c in enumerate(coding.inputs)]).toArrow()
+    np.testing.assert_array_equal(coding.codes(raw.columns), expected)
+    assert coding.layout.bins == [last + 1, 3, 6]
+
+
+def test_scales_are_those_of_the_scaler(data):
+    both = [su._encoder(NUMERIC, CATEGORICAL).fit(data), su._fit_encoder(data, NUMERIC, CATEGORICAL)[0]]
+    one, two = ([r[0].toArray() for r in e.transform(data).select("_features").collect()] for e in both)
+    np.testing.assert_allclose(one, two)
+
+
+def test_rows_are_coded_where_the_trees_are(data, monkeypatch):
+    """No encoding of row after row ahead of the trees, one way to Python for all targets, no second copy of stored rows."""
+    monkeypatch.setattr(su, "store", lambda *_: pytest.fail("stored again"))
+    targets, rows = ["y", "z"], data.withColumn("z", -F.col("y"))
+    model = su.fit_surrogate(rows, NUMERIC, CATEGORICAL, targets, hyperparameters={"n_estimators": 2}, stored=True)
+    plan = model.predict(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "UDF(" not in plan
+    found = model.predict(rows).selectExpr("max(abs(y_pred + z_pred)) as gap", "count(y_pred) as n").first()
+    assert found.gap < 1e-6 and found.n == rows.count()
