@@ -1,4 +1,4 @@
-"""Regression surrogate of the crop models: MLlib's encoding and boosted trees, and a forest on coded columns."""
+"""Regression surrogate of the crop models: MLlib's encoding, a forest and boosted trees on coded columns."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Bucketizer, ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel
+from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +25,18 @@ from harvestlens.functions.columns import (
     require_columns,
     sowing_day_of_year,
 )
-from harvestlens.operators.forest import BAG, Coding, Forest, ForestRegressor, blocks, predictions, thresholds
-from harvestlens.session import partitions_for, spread, store
+from harvestlens.operators.forest import (
+    BAG,
+    Boosted,
+    BoostedRegressor,
+    Coding,
+    Forest,
+    ForestRegressor,
+    blocks,
+    predictions,
+    thresholds,
+)
+from harvestlens.session import partitions_for, store
 
 CATEGORICAL = ("climate_source", "climate_model", "scenario", "period", "soil_id", "adaptation")
 ALIASES = {"gcm": "climate_model"}
@@ -164,7 +174,7 @@ class Surrogate:
     numeric: list[str]
     categorical: list[str]
     model_type: str
-    bins: Bucketizer | None = None  # of the numeric features, for a forest on coded columns
+    bins: Bucketizer | None = None  # of the numeric features, for trees on coded columns
 
     @property
     def targets(self) -> list[str]:
@@ -238,7 +248,8 @@ class Surrogate:
         reader = {"RandomForest": RandomForestRegressionModel, "GBT": GBTRegressionModel}[model_type]
         paths = {t: f"{base}/target-{i}" for i, t in enumerate(meta["targets"])}
         if forests := meta.get("forests"):
-            regressors = {t: Forest.load(spark, p, *f) for (t, p), f in zip(paths.items(), forests, strict=True)}
+            kind = {"RandomForest": Forest, "GBT": Boosted}[model_type]
+            regressors = {t: kind.load(spark, p, *f) for (t, p), f in zip(paths.items(), forests, strict=True)}
         else:
             regressors = {t: reader.load(p) for t, p in paths.items()}
         return cls(
@@ -353,7 +364,7 @@ def _regressor(model_type: str, hyperparameters: Mapping):
         raise ValueError(f"max_depth {params['maxDepth']} is beyond {MAX_TREE_DEPTH}, the deepest tree there is")
     if "featureSubsetStrategy" in params:
         params["featureSubsetStrategy"] = str(params["featureSubsetStrategy"])
-    return ForestRegressor(**params) if model_type == "RandomForest" else GBTRegressor(featuresCol="_features", **params)
+    return ForestRegressor(**params) if model_type == "RandomForest" else BoostedRegressor(**params)
 
 
 def fit_surrogate(
@@ -372,17 +383,15 @@ def fit_surrogate(
     rows = train.withColumns(casts).select(*[col(c) for c in dict.fromkeys([*numeric, *categorical, *targets])])
     if not stored:
         rows = store(rows, "training-rows")
-    (encoder, n), bins = _fit_encoder(rows, numeric, categorical), None
-    # every target reads the inputs several times: they are made once, in partitions of a bounded size, and kept on
-    # disk, since the trees' own points need the memory
-    if model_type == "RandomForest":
-        bins = _fit_bins(rows, numeric, n)
-        marked = rows.withColumn(BAG, F.xxhash64(F.monotonically_increasing_id()))
-        encoded = blocks(marked, targets, _coding(encoder, bins, numeric, categorical))
-        parts = partitions_for(encoded.sparkSession, n)
-        encoded = encoded.repartition(parts) if parts else encoded
-    else:
-        encoded = encoder.transform(spread(rows, n)).select("_features", *[col(t) for t in targets])
+    encoder, n = _fit_encoder(rows, numeric, categorical)
+    bins = _fit_bins(rows, numeric, n)
+    # every target reads the inputs several times: they are made once, in partitions of a bounded size, and kept on disk
+    forest, coding = model_type == "RandomForest", _coding(encoder, bins, numeric, categorical)
+    if forest:
+        rows = rows.withColumn(BAG, F.xxhash64(F.monotonically_increasing_id()))
+    encoded = blocks(rows, targets, coding)
+    parts = partitions_for(encoded.sparkSession, n, None if forest else coding.layout.rows_a_task)
+    encoded = encoded.repartition(parts) if parts else encoded
     encoded = encoded.persist(StorageLevel.DISK_ONLY)
     try:
         regressors = {t: make.copy().setLabelCol(t).fit(encoded) for t in targets}

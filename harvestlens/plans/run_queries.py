@@ -719,6 +719,7 @@ def surrogate_boosted(spark, sf_dir):
     metrics = surrogate.regression_metrics(
         model.predict(data.filter("is_test")), {"revenue": ("revenue", "revenue_pred")}
     )
+    metrics = store(metrics, "metrics")  # read twice below
     return metrics.agg(F.max("Count").alias("n_test")).join(surrogate.mean_r2(metrics)).select(
         "n_test", (F.col("mean_r2") > 0.5).alias("good")
     )

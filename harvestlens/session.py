@@ -72,9 +72,9 @@ def store(df: DataFrame, purpose: str) -> DataFrame:
 ROWS_A_TASK = 500_000
 
 
-def partitions_for(spark: SparkSession, rows: int) -> int | None:
-    """Partitions of ``ROWS_A_TASK`` rows; None where the session's own number is enough."""
-    needed = -(-rows // ROWS_A_TASK)
+def partitions_for(spark: SparkSession, rows: int, a_task: int | None = None) -> int | None:
+    """Partitions of ``a_task`` (``ROWS_A_TASK``) rows; None where the session's own number is enough."""
+    needed = -(-rows // (a_task or ROWS_A_TASK))
     return needed if needed > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
 
 

@@ -3,7 +3,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from harvestlens.operators import forest as fo
@@ -148,3 +148,68 @@ def test_rows_are_coded_where_the_trees_are(data, monkeypatch):
     assert plan.count("ArrowEvalPython") == 1 and "UDF(" not in plan
     found = model.predict(rows).selectExpr("max(abs(y_pred + z_pred)) as gap", "count(y_pred) as n").first()
     assert found.gap < 1e-6 and found.n == rows.count()
+
+
+BOOSTED = {"n_estimators": 5, "max_depth": 3, "min_samples_leaf": 4, "learning_rate": 0.3}
+
+
+def test_boosting_reads_blocks_of_rows(data, monkeypatch):
+    """A training row is no vector; the rows of a task follow from the bytes that it reads."""
+    seen = []
+
+    class Fake:
+        copy = lambda self: self
+        setLabelCol = lambda self, name: self
+        fit = lambda self, df: seen.append((df.count(), df.rdd.getNumPartitions(), df.columns))
+
+    monkeypatch.setattr(su, "_regressor", lambda *_: Fake())
+    su.fit_surrogate(data, NUMERIC, CATEGORICAL, ["y"], "GBT")
+    assert seen[0][0] <= seen[0][1] and fo.BAG not in seen[0][2]
+    monkeypatch.setattr(fo, "TASK_BYTES", 250)  # 25 rows of two codes and a label
+    su.fit_surrogate(data, NUMERIC, CATEGORICAL, ["y"], "GBT")
+    assert seen[1][1] == 16
+
+
+@pytest.mark.parametrize("chain", [2, 10])
+def test_boosted_trees_are_those_of_mllib(spark, data, monkeypatch, chain):
+    """Same bins, so the same trees, importances and predictions; the errors on disk are gone afterwards."""
+    monkeypatch.setattr(fo, "CHAIN", chain)
+    kept = set(spark.sparkContext._jsc.getPersistentRDDs())
+    model = su.fit_surrogate(data, NUMERIC, CATEGORICAL, ["y"], "GBT", BOOSTED)
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) == kept
+    vectors = model.encoder.transform(data)
+    gbt = GBTRegressor(featuresCol="_features", labelCol="y", maxIter=5, maxDepth=3, minInstancesPerNode=4, stepSize=0.3)
+    other = gbt.fit(vectors)
+    both = model.predict(other.transform(vectors)).toPandas()
+    np.testing.assert_allclose(both.y_pred, both.prediction, rtol=1e-9)
+    ours, theirs = model.regressors["y"].featureImportances, other.featureImportances
+    np.testing.assert_allclose(ours.toArray(), theirs.toArray(), atol=1e-9)
+    assert both.y_pred.nunique() > 8
+
+
+def test_boosted_models_are_stored(spark, data, tmp_path):
+    """Trees of this package and of MLlib, which earlier versions stored."""
+    model = su.fit_surrogate(data, NUMERIC, CATEGORICAL, ["y"], "GBT", BOOSTED)
+    gbt = GBTRegressor(featuresCol="_features", labelCol="y", maxIter=2).fit(model.encoder.transform(data))
+    old = su.Surrogate(model.encoder, {"y": gbt}, NUMERIC, CATEGORICAL, "GBT")
+    for name, made in (("new", model), ("old", old)):
+        made.save(f"{tmp_path}/{name}")
+        again = su.Surrogate.load(spark, f"{tmp_path}/{name}", "GBT")
+        a, b = (m.predict(data).orderBy("x", "y").toPandas() for m in (made, again))
+        pd.testing.assert_frame_equal(a, b)
+
+
+@pytest.mark.parametrize("settings", [{"n_estimators": 0}, {"max_depth": -1}, {"learning_rate": 0}, {"learning_rate": 1.5}])
+def test_settings_of_boosting(data, settings):
+    with pytest.raises(ValueError, match="maxIter"):
+        su.fit_surrogate(data, NUMERIC, CATEGORICAL, ["y"], "GBT", settings)
+
+
+def test_boosting_without_a_split(spark):
+    """Equal labels leave nothing to split, and no tree but the first predicts anything."""
+    flat = spark.createDataFrame([(float(i), 3.5) for i in range(20)], "x double, y double")
+    for settings in ({}, {"max_depth": 0}):
+        model = su.fit_surrogate(flat, ["x"], [], ["y"], "GBT", {"n_estimators": 3, **settings})
+        assert {r["y_pred"] for r in model.predict(flat).collect()} == {3.5}
+    with pytest.raises(ValueError, match="null or not finite"):
+        su.fit_surrogate(flat.withColumn("y", F.expr("nullif(x, 3)")), ["x"], [], ["y"], "GBT")
